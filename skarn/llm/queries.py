@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, quality_rules, warc
+from . import decontaminate, near_dup, quality_rules, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into rANS files and read them back."""
+    manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return token_store.read_tokens(manifest)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op8_token_store": op8_token_store,
     "op10_near_dup": op10_near_dup,
 }
 
