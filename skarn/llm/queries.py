@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, quality_rules, token_store, warc
+from . import decontaminate, near_dup, piece_codec, quality_rules, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and whether decoding gives the text back."""
+    return piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ids=False)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_store": op8_token_store,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
 }
 

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._jobs import arrow_stage, fresh_dir, text_of, written
+from ._known import Known
 
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
@@ -185,22 +186,15 @@ class Encoder:
     A word outside the plain form is encoded by the library as it is.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(n)])
-        self.forget()
-
-    def forget(self) -> None:
+        self.known = Known(remember)
         self.pieces: dict[str, np.ndarray] = {}
-        self.hashes = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -226,25 +220,9 @@ class Encoder:
     def encode(self, c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, ids per document)."""
         w = T.words(c, T.SPACED)
-        distinct, one, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.hashes) > self.remember:
-            self.forget()
-        at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == distinct[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            got = self.words([c.text(int(w.starts[i]), int(w.ends[i])).decode() for i in one[new]])
-            self.place = np.insert(self.place, at[new], np.arange(len(got)) + len(self.first) - 1)
-            self.hashes = np.insert(self.hashes, at[new], distinct[new])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in got])])
-            self.flat = np.concatenate([self.flat, *got])
-            at = np.searchsorted(self.hashes, distinct)
-        which = self.place[at[inverse]] if len(distinct) else np.zeros(0, np.int64)
-        size = self.first[which + 1] - self.first[which]
-        to = np.cumsum(size)
-        ids = self.flat[np.repeat(self.first[which] - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+        if len(self.pieces) > 400_000:
+            self.pieces = {}
+        ids, size = self.known.ids(w.hash, lambda new: self.words([c.text(int(w.starts[i]), int(w.ends[i])).decode() for i in new]))
         return ids, np.bincount(w.doc, weights=size, minlength=c.n).astype(np.int64)
 
     def encode_texts(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
