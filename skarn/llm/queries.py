@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, near_dup, piece_codec, quality_rules, token_store, warc
+from . import decontaminate, lm_score, near_dup, piece_codec, quality_classifier, quality_rules, token_store, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, from two thirds of the labels."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, from three quarters of the labels."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of benchmark items in all documents."""
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
@@ -64,8 +74,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_score": op2_lm_score,
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_token_store": op8_token_store,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
