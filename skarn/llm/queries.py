@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, near_dup, piece_codec, quality_classifier, quality_rules, token_store, toxicity, warc
+from . import decontaminate, lm_score, near_dup, pii, piece_codec, quality_classifier, quality_rules, token_store, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, with the terms that give it away."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, from two thirds of the labels."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,6 +79,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_score": op2_lm_score,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
