@@ -81,8 +81,9 @@ class Parameters:
 
 def contexts(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The classes before last and last of each token; END stands before a text."""
-    last = np.concatenate(([END], classes[:-1]))
-    far = np.concatenate(([END, END], classes[:-2]))[: len(classes)]
+    end = np.array([END, END], classes.dtype)
+    last = np.concatenate((end[:1], classes[:-1]))
+    far = np.concatenate((end, classes[:-2]))[: len(classes)]
     last[first] = END
     far[first] = END
     far[first[first + 1 < len(classes)] + 1] = END  # the token after a text's first (an END resets it anyway)
@@ -97,8 +98,18 @@ def nce_epoch(p: Parameters, classes: np.ndarray, first: np.ndarray, log_noise:
     noise_p /= noise_p.sum()
     sums = [np.full_like(x, 1e-2) for x in (p.r, p.t, p.c, p.b)]
     order = g.permutation(len(classes))
-    shift = np.log(NOISE) + log_noise
-    index = np.arange(CLASSES)
+    shift = (np.log(NOISE) + log_noise).astype(np.float32)
+    rate = np.float32(rate)
+
+    def scattered(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of the rows of equal ids (a radix sort of bytes, then runs are added up)."""
+        order = np.argsort(ids, kind="stable")
+        at = ids[order]
+        run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out = np.zeros((CLASSES, *rows.shape[1:]), np.float32)
+        out[at[run]] = np.add.reduceat(rows[order], run, axis=0)
+        return out
+
     for k in range(0, len(order), BATCH):
         at = order[k : k + BATCH]
         w, a, f = classes[at], last[at], far[at]
@@ -111,13 +122,11 @@ def nce_epoch(p: Parameters, classes: np.ndarray, first: np.ndarray, log_noise:
         scale = np.float32(1 / len(at))
         gd, gn = (gd * scale).astype(np.float32), (gn * scale).astype(np.float32)
         dq = gd[:, None] * p.t[w] + gn @ tn
-        one = lambda ids: (ids[None, :] == index[:, None]).astype(np.float32)
-        ow = one(w)
-        dt = ow @ (gd[:, None] * q)
+        both = scattered(w, np.hstack([gd[:, None] * q, gd[:, None]]))
+        dt, db = both[:, :-1], both[:, -1]
         np.add.at(dt, noise, gn.T @ q)
-        db = ow @ gd
         np.add.at(db, noise, gn.sum(0))
-        dr = one(a) @ (dq @ p.c[0]) + one(f) @ (dq @ p.c[1])
+        dr = scattered(a, dq @ p.c[0]) + scattered(f, dq @ p.c[1])
         dc = np.stack([dq.T @ ra, dq.T @ rf])
         for x, d, s in zip((p.r, p.t, p.c, p.b), (dr, dt, dc, db), sums, strict=True):
             s += d * d
@@ -223,7 +232,7 @@ def _round(sequences: DataFrame, model: Model, rate: float, seed: int) -> np.nda
         n = 0
         for b in batches:
             for raw in b.column(0).to_pylist():
-                seq = np.frombuffer(raw, np.uint8).astype(np.int64)
+                seq = np.frombuffer(raw, np.uint8)
                 first = np.concatenate(([0], np.flatnonzero(seq[:-1] == END) + 1)) if len(seq) else np.zeros(0, np.int64)
                 if len(seq):
                     nce_epoch(p, seq, first, log_noise, rate, seed)
