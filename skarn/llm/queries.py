@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, lm_score, near_dup, pii, piece_codec, quality_classifier, quality_rules, token_store, toxicity, warc
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,5 +89,3 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
 }
-
-ORACLES: dict[str, str] = {}
