@@ -17,19 +17,19 @@ SELECT doc_id AS id, lang AS language, source || '/f' || CAST(doc_id % 97 AS STR
   doc_id % 11 = 0 AS isDocumentation, doc_id % 13 = 0 AS isTest, n_chars AS contentSize,
   'C' || CAST(doc_id % 97 AS STRING) || '#m' || CAST(doc_id % 29 AS STRING) AS symbolId, CASE WHEN doc_id % 5 > 0 THEN 'C' || CAST(doc_id % 97 AS STRING) END AS parentSymbolId,
   CAST(floor(n_chars / 40) AS BIGINT) AS methodLines, n_chars % 160 AS methodDensity, (doc_id % 97) % 41 AS moduleMethodCount, (doc_id % 97) % 23 AS memberCount, (doc_id % 97) * 31 AS moduleLines,
-  0.2 + (doc_id * 37 % 101) / 200.0 AS score,
-  (doc_id % 97) % 40 + 1 AS git_file_commitCount, (doc_id % 97) * 5 % 400 AS git_file_ageDays, (doc_id % 97) * 13 % 100 AS git_file_bugFixRate, (doc_id % 97) % 9 / 2.0 AS git_file_relativeChurn,
-  (doc_id % 97) % 17 / 1.5 AS git_file_recencyWeightedFreq, (doc_id % 97) % 25 / 3.0 AS git_file_changeDensity, (doc_id % 97) * 3 % 120 / 1.0 AS git_file_churnVolatility,
+  2e-1 + (doc_id * 37 % 101) / 2e2 AS score,
+  (doc_id % 97) % 40 + 1 AS git_file_commitCount, (doc_id % 97) * 5 % 400 AS git_file_ageDays, (doc_id % 97) * 13 % 100 AS git_file_bugFixRate, (doc_id % 97) % 9 / 20e-1 AS git_file_relativeChurn,
+  (doc_id % 97) % 17 / 15e-1 AS git_file_recencyWeightedFreq, (doc_id % 97) % 25 / 30e-1 AS git_file_changeDensity, (doc_id % 97) * 3 % 120 / 10e-1 AS git_file_churnVolatility,
   (doc_id % 97) % 5 AS git_file_blameContributorCount, (doc_id % 97) * 7 % 101 AS git_file_blameDominantAuthorPct, (doc_id % 97) * 11 % 101 AS git_file_recentDominantAuthorPct, (doc_id % 97) % 6 AS git_file_recentContributorCount,
   'a' || CAST((doc_id % 97) % 8 AS STRING) AS git_file_recentDominantAuthor, 'a' || CAST((doc_id % 97) % 8 AS STRING) || '@x.org' AS git_file_recentDominantAuthorEmail, 'b' || CAST((doc_id % 97) % 12 AS STRING) AS git_file_blameDominantAuthor,
   1700000000 + (doc_id % 97) * 50000 AS git_file_lastModifiedAt, 1690000000 + (doc_id % 97) * 1000 AS git_file_firstCreatedAt,
   CASE WHEN doc_id % 3 > 0 THEN doc_id * 13 % 23 END AS git_chunk_commitCount, CASE WHEN doc_id % 3 > 0 THEN doc_id * 7 % 300 END AS git_chunk_ageDays, CASE WHEN doc_id % 3 > 0 THEN doc_id * 17 % 100 END AS git_chunk_bugFixRate,
-  CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 / 10.0 END AS git_chunk_churnRatio, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 / 2.0 END AS git_chunk_relativeChurn, CASE WHEN doc_id % 3 > 0 THEN doc_id % 13 / 1.5 END AS git_chunk_recencyWeightedFreq,
-  CASE WHEN doc_id % 3 > 0 THEN doc_id % 19 / 3.0 END AS git_chunk_changeDensity, CASE WHEN doc_id % 3 > 0 THEN doc_id * 3 % 110 / 1.0 END AS git_chunk_churnVolatility, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 END AS git_chunk_blameContributorCount,
+  CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 / 100e-1 END AS git_chunk_churnRatio, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 / 20e-1 END AS git_chunk_relativeChurn, CASE WHEN doc_id % 3 > 0 THEN doc_id % 13 / 15e-1 END AS git_chunk_recencyWeightedFreq,
+  CASE WHEN doc_id % 3 > 0 THEN doc_id % 19 / 30e-1 END AS git_chunk_changeDensity, CASE WHEN doc_id % 3 > 0 THEN doc_id * 3 % 110 / 10e-1 END AS git_chunk_churnVolatility, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 END AS git_chunk_blameContributorCount,
   1700000000 + doc_id * 300 AS git_chunk_lastModifiedAt,
-  (doc_id % 97) % 31 AS codegraph_file_fanIn, (doc_id % 97) % 19 AS codegraph_file_fanOut, (doc_id % 97) % 11 / 10.0 AS codegraph_file_instability, (doc_id % 97) % 8 AS codegraph_file_connectionCount,
+  (doc_id % 97) % 31 AS codegraph_file_fanIn, (doc_id % 97) % 19 AS codegraph_file_fanOut, (doc_id % 97) % 11 / 100e-1 AS codegraph_file_instability, (doc_id % 97) % 8 AS codegraph_file_connectionCount,
   (doc_id % 97) % 31 > 27 AS codegraph_file_isHub, (doc_id % 97) % 19 = 0 AS codegraph_file_isLeaf, (doc_id % 97) % 61 AS codegraph_file_transitiveImpact,
-  doc_id % 43 AS codegraph_chunk_fanIn, doc_id % 37 AS codegraph_chunk_fanOut, doc_id % 89 / 8000.0 AS codegraph_chunk_pageRank
+  doc_id % 43 AS codegraph_chunk_fanIn, doc_id % 37 AS codegraph_chunk_fanOut, doc_id % 89 / 80000e-1 AS codegraph_chunk_pageRank
 FROM documents"""
 
 # customer nation -> supplier nation, where any order links them
@@ -50,7 +50,7 @@ CALLS = """
 SELECT DISTINCT 'T' || CAST(p_partkey % 64 AS STRING) || '#m' || CAST(p_partkey % 5 AS STRING) AS source_symbol_id, 'src/t' || CAST(p_partkey % 64 AS STRING) || '.py' AS source_rel_path,
   'T' || CAST((p_partkey * 3 + 1) % 64 AS STRING) || '#m' || CAST(p_partkey % 3 AS STRING) AS target_symbol_id, 'src/t' || CAST((p_partkey * 3 + 1) % 64 AS STRING) || '.py' AS target_rel_path,
   'call' || CAST(p_partkey % 20 AS STRING) AS call_expression,
-  CASE p_partkey % 6 WHEN 0 THEN 'poly-base' WHEN 1 THEN 'dynamic' WHEN 2 THEN 'cone' ELSE 'exact' END AS edge_kind, CASE p_partkey % 6 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 1.0 END AS confidence
+  CASE p_partkey % 6 WHEN 0 THEN 'poly-base' WHEN 1 THEN 'dynamic' WHEN 2 THEN 'cone' ELSE 'exact' END AS edge_kind, CASE p_partkey % 6 WHEN 1 THEN 5e-1 WHEN 2 THEN 25e-2 ELSE 1e0 END AS confidence
 FROM part"""
 
 RUNS = """
@@ -59,8 +59,8 @@ SELECT n_name AS language, CASE n_nationkey % 3 WHEN 0 THEN 'chain' WHEN 1 THEN
 
 # ranges of lines per order, and single lines in them
 RANGES = "SELECT DISTINCT l_orderkey % 500 AS file, l_partkey AS chunk_id, l_partkey % 80 AS start_line, l_partkey % 80 + l_linenumber * 9 AS end_line, l_linenumber AS depth FROM lineitem WHERE l_linenumber < 4"
-POINTS = "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS point_id, l_orderkey % 500 AS file, (l_partkey * 7 + l_suppkey) % 120 AS line, 'w' || CAST(l_suppkey % 9 AS STRING) AS author FROM lineitem WHERE l_linenumber = 1"
-HUNKS = "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS hunk_id, l_orderkey % 500 AS file, l_suppkey % 100 AS hunk_start, l_suppkey % 100 + l_linenumber AS hunk_end FROM lineitem WHERE l_linenumber = 2"
+POINTS = "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_discount) AS point_id, l_orderkey % 500 AS file, (l_partkey * 7 + l_suppkey) % 120 AS line, 'w' || CAST(l_suppkey % 9 AS STRING) AS author FROM lineitem WHERE l_linenumber = 1"
+HUNKS = "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_discount) AS hunk_id, l_orderkey % 500 AS file, l_suppkey % 100 AS hunk_start, l_suppkey % 100 + l_linenumber AS hunk_end FROM lineitem WHERE l_linenumber = 2"
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:

@@ -111,6 +111,11 @@ def page_rank(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str
     return ranks.select("node", "rank")
 
 
+def _among(e: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Edges (s, d) whose ends are both among the nodes (n), or neither."""
+    return e.join(nodes.select(F.col("n").alias("s")), "s", how).join(nodes.select(F.col("n").alias("d")), "d", how).select("s", "d")
+
+
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component): strongly connected components of two nodes and more.
 
@@ -123,7 +128,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", roun
     while not e.isEmpty():
         while True:  # a node that lacks a way in or out is in no cycle
             both = e.select(F.col("s").alias("n")).distinct().join(e.select(F.col("d").alias("n")).distinct(), "n", "left_semi")
-            kept = written(e.join(both, e["s"] == both["n"], "left_semi").join(both, e["d"] == both["n"], "left_semi"), "scc")
+            kept = written(_among(e, both), "scc")
             if kept.count() == e.count():
                 break
             e = kept
@@ -131,8 +136,8 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", roun
             break
         colour = e.select(F.col("s").alias("n")).distinct().withColumn("c", F.col("n"))
         for _ in range(10_000):
-            push = e.join(colour, e["s"] == colour["n"]).groupBy("d").agg(F.max("c").alias("m"))
-            new = written(colour.join(push, colour["n"] == push["d"], "left").select("n", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("moved")), "colour")
+            push = e.join(colour.withColumnRenamed("n", "s"), "s").groupBy(F.col("d").alias("n")).agg(F.max("c").alias("m"))
+            new = written(colour.join(push, "n", "left").select("n", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("moved")), "colour")
             colour = new.drop("moved")
             if new.where("moved").isEmpty():
                 break
@@ -140,7 +145,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", roun
         inside = written(inside, "scc")
         back = frontier = inside.select(F.col("c").alias("n"), "c").distinct()
         for _ in range(10_000):
-            step = frontier.join(inside, (frontier["n"] == inside["d"]) & (frontier["c"] == inside["c"])).select(inside["s"].alias("n"), inside["c"]).distinct()
+            step = frontier.withColumnRenamed("n", "d").join(inside, ["d", "c"]).select(F.col("s").alias("n"), "c").distinct()
             frontier = written(step.join(back, ["n", "c"], "left_anti"), "scc")
             if frontier.isEmpty():
                 break
@@ -148,7 +153,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", roun
         whole = back.join(back.groupBy("c").agg(F.count("*").alias("k"), F.min("n").alias("component")).where("k > 1"), "c").select(F.col("n").alias("node"), "component")
         found = whole if found is None else found.unionByName(whole)
         done = written(back.select("n").union(colour.where("n = c").select("n")).distinct(), "scc")
-        e = written(e.join(done, e["s"] == done["n"], "left_anti").join(done, e["d"] == done["n"], "left_anti"), "scc")
+        e = written(_among(e, done, "left_anti"), "scc")
     if found is None:
         return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
     return found

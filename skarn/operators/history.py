@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ from ..storage import written
 # History windows and session gap.
 SESSION_MINUTES, DECAY, TOP_AUTHORS = 30, 0.1, 10
 MONTH_DAYS, ALL_MONTHS = 30, 120
+#: Generations of parents followed in one job.
+STEPS = 6
 # Subjects of merges of bug-fix branches.
 FIX_BRANCHES = (r"(?i)Merge branch '(?:fix|hotfix|bugfix)/", r"(?i)Merge pull request #\d+ from [^/]+/(?:fix|hotfix|bugfix)[/-]")
 
@@ -128,12 +131,16 @@ def fix_branch_commits(commits: DataFrame, depth: int = 200) -> DataFrame:
     parents = commits.select("sha", F.explode_outer("parents").alias("parent"))
     known = commits.select("sha")
     frontier = seen = written(tips.where("sha != main").join(known, "sha", "left_semi").select("merge", "main", "sha"), "branch")
-    for _ in range(depth):
-        step = frontier.join(parents, "sha").where("parent IS NOT NULL AND parent != main").select("merge", "main", F.col("parent").alias("sha")).distinct().join(known, "sha", "left_semi").select("merge", "main", "sha")
-        frontier = written(step.join(seen, ["merge", "main", "sha"], "left_anti").select("merge", "main", "sha"), "branch")
+    parents = written(parents.where("parent IS NOT NULL").join(known.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent"), "parents")
+    for _ in range(-(-depth // STEPS)):
+        steps = [frontier]
+        for _ in range(STEPS):  # several generations in one job
+            steps.append(steps[-1].join(parents, "sha").where("parent != main").select("merge", "main", F.col("parent").alias("sha")).distinct())
+        met = reduce(DataFrame.unionByName, steps[1:]).distinct()
+        frontier = written(met.join(seen, ["merge", "main", "sha"], "left_anti").select("merge", "main", "sha"), "branch")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = written(seen.unionByName(frontier), "branch")
     return seen.select("sha").distinct()
 
 

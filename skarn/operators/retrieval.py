@@ -111,7 +111,11 @@ def sparse(df: DataFrame, query: str, limit: int, text_col: str = "text", id_col
     weights = query_weights(df.sparkSession, query)
     if not weights:
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    hits = postings(df, text_col, id_col).where(F.col("bucket").isin(list(weights)))
+    # distinct tokens are hashed, not all occurrences; those of the query's buckets are few,
+    # so what does not match is dropped before anything is shuffled
+    tokens = df.select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    wanted = tokens.select("token").distinct().select("token", feature_hash("token").alias("bucket")).where(F.col("bucket").isin(list(weights)))
+    hits = tokens.join(wanted, "token").groupBy(id_col, "length", "bucket").agg(F.count("*").alias("tf"))
     freq = hits.groupBy("bucket").agg(F.count("*").alias("df"))  # as many rows as the query has buckets
     n = df.agg(F.count("*").alias("n_docs"))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

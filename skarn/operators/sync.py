@@ -80,15 +80,22 @@ def ring(shards: list[str], virtual: int = VIRTUAL_NODES) -> list[tuple[int, str
 def shard(column: str, shards: list[str], virtual: int = VIRTUAL_NODES) -> Column:
     """The shard of a key: the first node at or after its position, around the ring.
 
-    The ring is a literal array searched by a binary descent of conditions' depth, so no
-    join is needed; its size is the number of shards, not of keys.
+    The ring is a literal: the nodes by the upper bits of their position, each slice with
+    the first node after it, so a row looks at a few nodes.  Its size is that of the shards.
     """
     nodes = ring(shards, virtual)
-    names = [s for _, s in nodes]
-    positions = F.array(*[F.lit(p).cast("bigint") for p, _ in nodes])
+    bits = 32 - max(len(nodes).bit_length(), 1)
+    slices, k = [], 0
+    for b in range(1 << (32 - bits)):
+        while k < len(nodes) and nodes[k][0] < b << bits:
+            k += 1
+        last = next((j for j in range(k, len(nodes)) if nodes[j][0] >= (b + 1) << bits), None)
+        own = nodes[k : len(nodes) if last is None else last + 1]
+        slices.append(own if last is not None else [*own, (1 << 32, nodes[0][1])])
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"named_struct('p', {p}L, 's', '{s}')" for p, s in own) + ")" for own in slices) + ")")
     at = ring_position(column)
-    first = F.size(F.filter(positions, lambda p: p < at))
-    return F.element_at(F.array(*[F.lit(s) for s in [*names, names[0]]]), first + 1)
+    near = F.element_at(table, F.shiftright(at, bits).cast("int") + 1)
+    return F.element_at(F.filter(near, lambda n: n["p"] >= at), 1)["s"]
 
 
 def shard_of(key: str, shards: list[str], virtual: int = VIRTUAL_NODES) -> str:

@@ -68,7 +68,7 @@ def bounds(names) -> str:
     for n in names:
         for s in DERIVED[n].sources:
             c = _column(n, s)
-            if c in ("git_file_blameAuthors", "codegraph_file_isHub", "codegraph_file_isLeaf"):
+            if c in ("git_file_blameAuthors", "git_file_recentAuthors", "codegraph_file_isHub", "codegraph_file_isLeaf"):
                 continue
             values = f"list_sort(list({c}::DOUBLE) FILTER (WHERE {c} > 0))"
             p95 = f"coalesce({values}[least(floor(len({values}) * 0.95)::BIGINT, len({values}) - 1) + 1], 1)"

@@ -349,7 +349,7 @@ def label_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 _K = "regexp_extract(props, '([0-9]+)', 1)"
 _BODY = f"""CASE event_type WHEN 'error' THEN 'fix: handle ' || {_K} WHEN 'click' THEN 'ABC-' || {_K} || ' update #' || CAST(event_id AS STRING) || ' and !7' WHEN 'view' THEN 'Merge branch ''x''' WHEN 'signup' THEN '[TD-12] fixed login' ELSE 'closes #' || {_K} || ' with text fix' END"""
-COMMITS_SQL = f"SELECT event_id AS id, 'u' || user_id AS author, {_K} AS file, epoch(ts)::BIGINT AS ts, {_BODY} AS body, abs(value) AS churn, event_type FROM events"
+COMMITS_SQL = f"SELECT event_id AS id, 'u' || user_id AS author, {_K} AS file, floor(epoch(ts))::BIGINT AS ts, {_BODY} AS body, abs(value) AS churn, event_type FROM events"
 _FIX = "(NOT regexp_matches(body, '(?i)^Merge\\b') AND NOT regexp_matches(body, '(?i)\\btext\\s+fix(?:es)?\\b') AND (regexp_matches(body, '(?i)^(?:hot)?fix(?:\\([^)]+\\))?!?:') OR regexp_matches(body, '(?i)^\\[?[A-Z]+-\\d+\\]?\\s+(?:fix|fixed|fixes)\\b') OR regexp_matches(body, '(?i)\\b(?:fix|fixe[sd]|resolve[sd]?|close[sd]?)\\s+#\\d+')))"
 
 
@@ -558,7 +558,7 @@ def chunk_blame(spark: SparkSession, d: str) -> DataFrame:
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
     new = docs.where("path % 11 > 0").select("path", F.when(F.col("path") % 7 == 0, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")).alias("hash"))
-    return docs, new.unionByName(docs.where("path % 13 = 0").select(F.col("path") + 1_000_000, "hash"))
+    return docs, new.unionByName(docs.where("path % 13 = 0").select((F.col("path") + 1_000_000).alias("path"), "hash"))
 
 
 @query("""WITH o AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents), n AS (SELECT path, CASE WHEN path % 7 = 0 THEN sha256(hash || 'x') ELSE hash END AS hash FROM o WHERE path % 11 > 0 UNION ALL SELECT path + 1000000, hash FROM o WHERE path % 13 = 0)
@@ -572,13 +572,13 @@ SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'orphan'
 def extraction_repair(spark: SparkSession, d: str) -> DataFrame:
     docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
     have = docs.where("path % 11 > 0").select("path", F.when(F.col("path") % 5 == 0, None).when(F.col("path") % 7 == 0, "old").otherwise(F.col("hash")).alias("hash"))
-    return sync.repair(docs, have.unionByName(docs.where("path % 13 = 0").select(F.col("path") + 1_000_000, "hash")))
+    return sync.repair(docs, have.unionByName(docs.where("path % 13 = 0").select((F.col("path") + 1_000_000).alias("path"), "hash")))
 
 
 SHARDS = [f"shard{k}" for k in range(8)]
 
 
-@query("WITH ring AS (SELECT s, ('0x' || substr(md5('shard' || s || ':' || v), 1, 8))::BIGINT AS pos FROM range(8) a(s), range(150) b(v)), k AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS at FROM documents), f AS (SELECT doc_id, coalesce((SELECT min(pos) FROM ring WHERE pos >= at), (SELECT min(pos) FROM ring)) AS pos FROM k) SELECT doc_id, 'shard' || min(s) AS shard FROM f JOIN ring USING (pos) GROUP BY doc_id")
+@query("WITH ring AS (SELECT s, ('0x' || substr(md5('shard' || s || ':' || v), 1, 8))::BIGINT AS pos FROM range(8) a(s), range(150) b(v)), k AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS k FROM documents), f AS (SELECT doc_id, coalesce((SELECT min(pos) FROM ring WHERE pos >= k), (SELECT min(pos) FROM ring)) AS pos FROM k) SELECT doc_id, 'shard' || min(s) AS shard FROM f JOIN ring USING (pos) GROUP BY doc_id")
 def ring_shards(spark: SparkSession, d: str) -> DataFrame:
     ids = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("k"))
     return ids.select("doc_id", sync.shard("k", SHARDS).alias("shard"))
