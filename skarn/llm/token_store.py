@@ -163,6 +163,8 @@ class Segment:
             x = freq[s] * (x >> np.uint64(SCALE)) + slot - start[s]
             need = np.flatnonzero(x < LOW)
             if len(need):
+                if int(at[need].max()) >= len(self.words):
+                    raise ValueError("a block's words end too early")
                 x[need] = (x[need] << np.uint64(32)) | self.words[at[need]].astype(np.uint64)
                 at[need] += 1
             state[:live] = x

@@ -235,7 +235,7 @@ def lookup(manifest: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFr
     a table of one row per archive file; then directory, block and record as above.
     """
     shards = manifest.select("index", "directory", "file", "first_key", "last_key").orderBy("first_key")
-    edges = [(r.first_key, r.last_key, r.file, r.index, r.directory) for r in shards.toLocalIterator()]  # one row per file of many MB
+    edges = [(r.first_key, r.last_key, r.file, r["index"], r.directory) for r in shards.toLocalIterator()]  # one row per file of many MB
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
