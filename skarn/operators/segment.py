@@ -1,7 +1,7 @@
 """Segmentation: texts cut into chunks, file by file.
 
-Chunking carries state from line to line within a file, so it runs in pandas batches of
-files (``mapInPandas``), in parallel over files; everything after it is relational.
+Chunking carries state from line to line within a file, so it runs in Arrow batches of
+files (``mapInArrow``), in parallel over files; everything after it is relational.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Chunk sizes in characters, and what makes a good place to cut.
@@ -23,7 +23,10 @@ SECTION_DEPTH, MIN_SECTION, MIN_CODE = 3, 50, 50
 DIAGRAMS = r"(?:flowchart|graph|sequenceDiagram|classDiagram|stateDiagram|erDiagram|gantt|pie|gitGraph|subgraph)"
 
 SCHEMA = "path string, language string, chunk_index int, chunk_type string, name string, symbol_id string, parent_symbol_id string, parent_type string, heading_path array<struct<depth:int,text:string>>, is_documentation boolean, start_line int, end_line int, content string"
-COLUMNS = [c.split()[0] for c in re.sub(r"<[^ ]*>", "", SCHEMA).split(", ")]
+ARROW = pa.schema([
+    ("path", pa.string()), ("language", pa.string()), ("chunk_index", pa.int32()), ("chunk_type", pa.string()), ("name", pa.string()), ("symbol_id", pa.string()), ("parent_symbol_id", pa.string()), ("parent_type", pa.string()),
+    ("heading_path", pa.list_(pa.struct([("depth", pa.int32()), ("text", pa.string())]))), ("is_documentation", pa.bool_()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string()),
+])
 
 
 def by_characters(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP, max_size: int = MAX_SIZE) -> list[tuple[int, int, str]]:
@@ -254,14 +257,12 @@ def chunk_file(text: str, language: str | None, max_size: int = MAX_SIZE) -> lis
 def chunks(files: DataFrame, max_size: int = MAX_SIZE, path: str = "path", language: str = "language", text: str = "text") -> DataFrame:
     """All chunks of all files (path, language, text); null texts have none."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            rows = [{"path": r[0], "language": r[1], "chunk_index": i} | ({"language": c["language"]} if c.get("language") else {}) | {k: v for k, v in c.items() if k != "language"} for r in df.itertuples(index=False) for i, c in enumerate(chunk_file(r[2] or "", r[1], max_size))]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            out["is_documentation"] = [bool(x) if x is not None and x == x else False for x in out["is_documentation"]]
-            out["heading_path"] = [x if isinstance(x, list) else [] for x in out["heading_path"]]
-            for c in ("chunk_type", "name", "symbol_id", "parent_symbol_id", "parent_type"):
-                out[c] = [x if isinstance(x, str) else None for x in out[c]]
-            yield out
-
-    return files.select(path, language, text).mapInPandas(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, kind, content in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                made = chunk_file(content or "", kind, max_size)
+                if made:
+                    rows = [{"language": kind, "is_documentation": False, "heading_path": []} | c | {"path": name, "chunk_index": i} for i, c in enumerate(made)]
+                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+
+    return files.select(path, language, text).mapInArrow(run, SCHEMA)

@@ -25,7 +25,10 @@ def commits(spark: SparkSession, text: str | None = None, path: str | None = Non
         raw = spark.createDataFrame([(text or "",)], "value string")
     names = [*FIELDS[:5], *(["committer_ts"] if committer_time else []), "body", "stat"]
     parts = raw.select(F.split("value", "\x00").alias("p"))
-    heads = parts.select("p", F.explode(F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.trim(F.element_at(F.col("p"), i)).rlike(_SHA))).alias("i"))
+    is_sha = lambda i: F.trim(F.element_at(F.col("p"), i)).rlike(_SHA)
+    # the field after a commit's own hash is its parents, which may be one hash
+    first = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: is_sha(i) & ~F.when(i > 1, is_sha(F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(False)))
+    heads = parts.select("p", F.explode(first).alias("i"))
     at = lambda k: F.coalesce(F.try_element_at("p", F.col("i") + k), F.lit(""))
     out = heads.select(*[at(k).alias(n) for k, n in enumerate(names)])
     return out.select(

@@ -91,6 +91,20 @@ def kind(path, head) -> Column:
     return F.when(F.col(path).rlike(GENERATED_PATHS) | F.substring(F.coalesce(head, F.lit("")), 1, 500).rlike(GENERATED_MARKS), "generated").when(F.coalesce(test, F.lit(False)), "test").when(F.col(path).rlike(DOCUMENTATION), "documentation").otherwise("source")
 
 
+def _read(spark: SparkSession, path: str) -> str:
+    """A small file's text, or nothing; Spark's file source skips names with a leading dot."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return ""
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), languages: list[str] | None = None) -> DataFrame:
     """(path, language, kind, mtime, size, text) of the files that are not ignored.
 
@@ -101,8 +115,7 @@ def scan(spark: SparkSession, root: str, patterns: list[str] = (), languages: li
     base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), f"^{re.escape(base)}/", "")
     files = files.select(rel.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
-    found = {r.path: bytes(r.content).decode(errors="replace") for r in files.where(F.col("path").isin(*IGNORE_FILES)).collect()}  # five small files at most
-    rules = [*BUILTIN_IGNORE, *(x for name in IGNORE_FILES for x in found.get(name, "").splitlines()), *patterns]
+    rules = [*BUILTIN_IGNORE, *(x for name in IGNORE_FILES for x in _read(spark, f"{root.rstrip('/')}/{name}").splitlines()), *patterns]
     kept = files.where(~ignored("path", rules)).withColumn("language", language("path")).where("language IS NOT NULL")
     if languages:
         kept = kept.where(F.col("language").isin(languages))
