@@ -106,6 +106,12 @@ def query_weights(spark: SparkSession, query: str) -> dict[int, float]:
     return {r.bucket: r.w for r in rows}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer splits than cores (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sparse(df: DataFrame, query: str, limit: int, text_col: str = "text", id_col: str = "doc_id", digits: int = 6) -> DataFrame:
     """BM25 over hashed tokens: sum of query weight * document weight * idf."""
     weights = query_weights(df.sparkSession, query)
@@ -113,7 +119,7 @@ def sparse(df: DataFrame, query: str, limit: int, text_col: str = "text", id_col
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     # distinct tokens are hashed, not all occurrences; those of the query's buckets are few,
     # so what does not match is dropped before anything is shuffled
-    tokens = df.select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    tokens = spread(df.select(id_col, text_col)).select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     wanted = tokens.select("token").distinct().select("token", feature_hash("token").alias("bucket")).where(F.col("bucket").isin(list(weights)))
     hits = tokens.join(wanted, "token").groupBy(id_col, "length", "bucket").agg(F.count("*").alias("tf"))
     freq = hits.groupBy("bucket").agg(F.count("*").alias("df"))  # as many rows as the query has buckets
