@@ -320,12 +320,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates stays, with all its columns.
 
-    Of rows that repeat an id, one stays.  A row whose id is null has no name to be kept
-    by; it stays only if no row with an id is in its group, and then one of them does.
+    Of rows that repeat an id, one stays.  Rows whose id is null can't be told apart by
+    it: they all go if each has a group with a named document, else all stay but for
+    repeats of one text, so that no text of theirs is lost.
     """
-    found = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.lit(1).alias("_one"))
+    found = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
     found = found.groupBy("_kept_id").agg(F.count("*").alias("_times"))
     kept = docs.join(found, docs[id_col].eqNullSafe(found["_kept_id"]), "left_semi")
     if not found.where("_times > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
+        named = F.col(f"`{id_col}`").isNotNull()
+        kept = kept.where(named).dropDuplicates([id_col]).unionByName(kept.where(~named).dropDuplicates([text_col]))
     return kept

@@ -174,6 +174,8 @@ def test_near_duplicates(spark, odd):
     kept = near_dup.keep_first(df)
     assert kept.columns == df.columns
     assert kept.where("doc_id = 5").count() == 1
+    loose = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k l"), (1, "m n o p q r")], "doc_id bigint, text string")
+    assert sorted(x.text for x in near_dup.keep_first(loose).collect()) == ["a b c d e f", "g h i j k l", "m n o p q r"]
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
