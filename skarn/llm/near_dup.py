@@ -176,7 +176,7 @@ def _sets(rows: DataFrame, active: DataFrame, size: int) -> DataFrame:
 
 
 #: Shingles of a block of members, and of a block of queries that meets it.
-BLOCK = 400_000
+BLOCK = 100_000
 
 
 def _meet(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
