@@ -42,6 +42,8 @@ NOISE = 32
 BATCH = 4096
 #: Words kept in the table that every worker holds: 12 bytes each.
 TABLE = 65_536
+#: Chunks (of a megabyte of text) that one training task takes.
+TASK_CHUNKS = 12
 
 
 @dataclass
@@ -268,6 +270,8 @@ def fit(rows: DataFrame, rounds: int = 2, rate: float = 0.05, seed: int = 3) ->
     model = Model(h, c, docs, total.n or 0, total.v)
     model.flat = Parameters.start(model.log_noise, seed).flat()
     sequences = written(_sequences(rows, model), "sequences")
+    # a chunk of text is one row; as many rows to a task, however large the corpus is
+    sequences = sequences.repartition(max(1, -(-sequences.count() // TASK_CHUNKS)))
     for k in range(rounds):
         got = _round(sequences, model, rate / (1 + k), seed + k)
         model.flat = model.flat if got is None else got
