@@ -2,15 +2,20 @@
 
 DataFrame functions only.  Patterns find the protected entities (mail and network
 addresses, card and phone numbers).  Then the corpus itself says which ordinary terms
-disclose them: a term that stands near an entity in several texts, and hardly anywhere
+disclose them: a term that stands in several texts with an entity, and hardly anywhere
 else, tells nearly as much as the entity.  With N texts,
 
     information of an entity  IC(e) = log2(N / df(e))
     information a term gives  PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e)))
 
-a term near its entity is *removed* if PMI >= ``remove`` * IC and *generalised* to its
-shape if PMI >= ``generalise`` * IC, in both cases only with ``min_support`` texts that
-hold both.  df counts different texts: exact copies of a text count once.
+a term is *removed* if PMI >= ``remove`` * IC and *generalised* to its shape if
+PMI >= ``generalise`` * IC, in both cases only with ``min_support`` different texts that
+hold both, wherever in them.  That holds for all its occurrences in all texts, also in
+those without the entity.
+
+Pairs are counted over whole texts, once per different text.  Only pairs that cannot pass
+are left out before: both sides need ``min_support`` texts, and as df(t, e) <= df(e), PMI is
+at most log2(N / df(t)), so that df(t) <= N * (df(e) / N) ** ``generalise``.
 
 Offsets are code points.  They are prefix sums over the pieces that a pattern's matches
 cut a text into, built by chunks so that long lists stay linear; nothing leaves the row.
@@ -24,8 +29,6 @@ overlap a pattern's span are not added.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,6 @@ NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r
 MIN_SUPPORT = 3
 REMOVE = 0.9
 GENERALISE = 0.7
-NEAR = 48  # code points on each side of an entity in which terms are looked at
 CHUNK = 256
 
 
@@ -115,84 +117,83 @@ def _entity(match: Column, kind: Column) -> Column:
 _TERM = r"[\p{L}\p{N}_]+"
 
 
-_TERMS = "array<struct<entity:string,term:string,start:bigint,end:bigint>>"
+def _terms(text: Column) -> Column:
+    """The lower-cased words of a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
 
 
-def _sides(text: Column, spans: Column) -> Column:
-    """Per span the text on its left and right, and the spans that reach in there."""
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, also where ``use`` has lambdas."""
+    return F.transform(F.array(value), use)[0]
 
-    def one(s: Column) -> Column:
-        left = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.filter(spans, lambda x: (x["start"] < s["end"] + NEAR) & (x["end"] > left))
-        return F.struct(
-            _entity(s["match"], s["kind"]).alias("entity"),
-            F.transform(around, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("taken"),
-            F.array(
-                F.struct(left.alias("at"), F.substring(text, (left + 1).cast("int"), (s["start"] - left).cast("int")).alias("part"), F.lit(True).alias("left")),
-                F.struct(s["end"].alias("at"), F.substring(text, (s["end"] + 1).cast("int"), F.lit(NEAR)).alias("part"), F.lit(False).alias("left")),
-            ).alias("sides"),
-        )
 
-    return F.transform(spans, one)
+def _free(text: Column, spans: Column) -> Column:
+    """array<struct<start, end, term>> of the words that overlap no span."""
+    cut = F.struct(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)).alias("words"), F.split(text, _TERM, -1).alias("gaps"), spans.alias("spans"))
 
+    def listed(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["gaps"], 1, F.size(x["words"])), x["words"], lambda g, w: (F.length(g) + F.length(w)).cast("bigint"))
+        ends = _once(steps, lambda s: F.when(F.size(s) > 0, _offsets(s)).otherwise(F.array().cast("array<bigint>")))
+        terms = F.zip_with(ends, x["words"], lambda e, w: F.struct((e - F.length(w)).alias("start"), e.alias("end"), F.lower(w).alias("term")))
+        return F.filter(terms, lambda t: ~F.exists(x["spans"], lambda y: (y["start"] < t["end"]) & (t["start"] < y["end"])))
 
-def _near(found: DataFrame) -> DataFrame:
-    """(copy, entity, term, start, end): whole terms within reach of each entity."""
-    s = found.where(F.size("spans") > 0).select("key", "copy", F.explode(_sides(F.col("text"), F.col("spans"))).alias("s"))
-    s = s.select("key", "copy", "s.entity", "s.taken", F.explode("s.sides").alias("side"))
-    words = F.regexp_extract_all(F.col("side.part"), F.lit(_TERM), F.lit(0))
-    gaps = F.transform(F.split(F.col("side.part"), _TERM, -1), lambda x: F.length(x).cast("bigint"))
-    ends = _offsets(F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: g + F.length(w)))
-    terms = F.when(F.size(words) > 0, F.zip_with(ends, words, lambda e, w: F.struct((F.col("side.at") + e - F.length(w)).alias("start"), (F.col("side.at") + e).alias("end"), w.alias("word"))))
-    t = s.select("key", "copy", "entity", "taken", "side", F.explode(terms).alias("t"))
-    # a word cut by the border of the reach is not a whole word
-    start, end = F.col("t.start"), F.col("t.end")
-    whole = F.when(F.col("side.left"), (start > F.col("side.at")) | (F.col("side.at") == 0)).otherwise((end < F.col("side.at") + NEAR) | (F.length("side.part") < NEAR))
-    free = ~F.exists("taken", lambda x: (x["start"] < end) & (start < x["end"]))
-    return t.where(whole & free).select("key", "copy", "entity", F.lower("t.word").alias("term"), start.alias("start"), end.alias("end"))
+    return _once(cut, listed)
 
 
-def _disclosing(texts: DataFrame, near: DataFrame, total: int, mentions: DataFrame, min_support: int, generalise: float) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away.
+def _disclosing(rows: DataFrame, spans: DataFrame, min_support: int, generalise: float) -> DataFrame:
+    """(term, share): the most of an entity's information that the term gives away.
 
     Support counts different texts; the shares count documents of the whole corpus.
     """
-    per_text = near.select("entity", "term", "copy", "key").distinct()
-    pairs = per_text.groupBy("entity", "term", "copy").agg(F.count("*").alias("k")).groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("k").alias("both"))
-    pairs = written(pairs.where(F.col("support") >= min_support), "pairs")
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"))
-    terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    df_t = terms.groupBy("term").agg(F.count("*").alias("df_t"))
-    joined = pairs.join(entities, "entity").join(df_t, "term")
-    n = F.lit(float(max(total, 1)))
+    n = F.lit(float(max(spans.count(), 1)))
+    mentions = spans.where(F.size("spans") > 0).select(F.xxhash64("doc_id", "copy").alias("key"), "copy", F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(s["match"], s["kind"])))).alias("entity")).distinct()
+    per_text = written(mentions.groupBy("entity", "copy").agg(F.count("*").alias("k")), "mentions")
+    entities = per_text.groupBy("entity").agg(F.sum("k").alias("df_e"), F.count("*").alias("copies")).where(F.col("copies") >= min_support)
+    # a little more than the exact bound, for rounding; the exact test comes last
+    entities = entities.select("entity", "df_e", (n * F.pow(F.col("df_e") / n, F.lit(float(generalise))) * 1.000001).alias("most"))
+    held = written(per_text.join(entities, "entity"), "held")
+    most = held.agg(F.max("most")).first()[0]
+    if most is None:
+        return rows.select(F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    counts = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    counts = written(counts.where((F.col("df_t") >= min_support) & (F.col("df_t") <= most)), "terms")
+    texts = spans.where(F.size("spans") > 0).join(held.select("copy").distinct(), "copy", "left_semi").dropDuplicates(["copy"])
+    words = texts.select("copy", F.explode(F.array_distinct(F.transform(_free(F.col("text"), F.col("spans")), lambda t: t["term"]))).alias("term"))
+    both = words.join(counts, "term").join(held, "copy").where("df_t <= most")
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("k").alias("both"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
     ic = F.log2(n / F.col("df_e"))
     pmi = F.log2(n * F.col("both") / (F.col("df_t") * F.col("df_e")))
-    return joined.where(ic > 0).select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= generalise)
+    shares = pairs.where((F.col("support") >= min_support) & (ic > 0)).select("term", (pmi / ic).alias("share")).where(F.col("share") >= generalise)
+    return shares.groupBy("term").agg(F.max("share").alias("share"))
+
+
+_ADDED = "array<struct<start:bigint,end:bigint,kind:int,term:string,share:double>>"
 
 
-def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, remove: float, generalise: float) -> DataFrame:
-    """(doc_id, copy, spans, added) of every row; ``added`` has terms with their share.
+def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, remove: float, generalise: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy, spans) of every row, and (copy, added) of texts with disclosing terms.
 
-    ``copy`` is the hash of the text, so equal texts have equal spans whatever their ids.
+    ``added`` has the terms' spans with their share.  ``copy`` is the hash of the text, so
+    equal texts have equal spans whatever their ids.
     """
-    rows = find(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("copy"), "spans")
-    found = rows.withColumn("key", F.xxhash64("doc_id", "copy"))
-    spans = written(found.select("doc_id", "copy", "spans"), "spans")
-    near = written(_near(found), "near")
-    mentions = spans.select(F.xxhash64("doc_id", "copy").alias("key"), F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(s["match"], s["kind"])))).alias("entity")).distinct()
-    told = written(_disclosing(rows, near, spans.count(), mentions, min_support, generalise), "disclosing")
-    # of one text, each term's span once, with its largest share
-    added = near.join(told, ["entity", "term"]).groupBy("copy", "start", "end").agg(F.max("share").alias("share"), F.first("term").alias("term"))
-    added = added.groupBy("copy").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.lit(len(KINDS)).alias("kind"), "term", "share"))).alias("added"))
-    # only texts with an entity can have more; the others need no join
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,term:string,share:double>>")
-    some = spans.where(F.size("spans") > 0).join(added, "copy", "left").withColumn("added", F.coalesce("added", none))
-    return some.unionByName(spans.where(F.size("spans") == 0).withColumn("added", none)).select("doc_id", "copy", "spans", "added")
+    rows = text_of(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("copy", F.xxhash64("text"))
+    found = find(rows).withColumn("copy", F.xxhash64("text"))
+    spans = written(found.select("doc_id", "copy", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans"), "spans")
+    told = written(_disclosing(rows, spans, min_support, generalise), "disclosing")
+    hits = rows.select("copy", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(told, "term")
+    hits = written(hits.groupBy("copy", "term").agg(F.first("share").alias("share")), "hits")
+    # whole texts move only to the terms found in them
+    texts = rows.select("copy", "text").join(hits.select("copy").distinct(), "copy", "left_semi").dropDuplicates(["copy"])
+    texts = find(texts, "copy").select(F.col("doc_id").alias("copy"), F.explode(_free(F.col("text"), F.col("spans"))).alias("t"))
+    each = texts.select("copy", "t.start", "t.end", "t.term").join(hits, ["copy", "term"])
+    added = each.groupBy("copy").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.lit(len(KINDS)).alias("kind"), "term", "share"))).cast(_ADDED).alias("added"))
+    return spans.select("doc_id", "copy", "spans"), written(added, "added")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """Per row: doc_id, counts per kind, base_sha256, spans (pattern and term spans), n_term."""
-    every = _all_spans(docs, id_col, text_col, min_support, remove, generalise)
+    spans, added = _all_spans(docs, id_col, text_col, min_support, remove, generalise)
+    every = spans.join(added, "copy", "left").withColumn("added", F.coalesce("added", F.array().cast(_ADDED)))
     bare = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     order = lambda xs: F.array_sort(F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     of = lambda k: lambda s: s["kind"] == k
@@ -207,20 +208,20 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     Entities become ``<EMAIL>`` and so on; of the terms that give them away the strongest
     become ``<TERM>`` and the others their shape (``<NUMBER>``, ``<NAME>``, ``<WORD>``).
-    Texts without spans pass untouched and unmoved.
+    Texts without spans and such terms pass untouched.
     """
-    every = _all_spans(docs, id_col, text_col, min_support, remove, generalise).where(F.size("spans") > 0)
+    spans, added = _all_spans(docs, id_col, text_col, min_support, remove, generalise)
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     shape = lambda w: F.when(w.rlike(r"^\p{N}+$"), "<NUMBER>").when(w.rlike(r"\p{N}"), "<NAME>").otherwise("<WORD>")
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at(marks, s["kind"] + 1).alias("mark")))
     more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(s["share"] >= remove, F.lit("<TERM>")).otherwise(shape(s["term"])).alias("mark")))
-    edits = every.groupBy("copy").agg(F.first(F.array_sort(F.concat(base, more))).alias("_edits")).withColumnRenamed("copy", "_copy")
+    marked = spans.where(F.size("spans") > 0).dropDuplicates(["copy"]).select("copy", base.alias("_base"))
+    edits = marked.join(added.select("copy", more.alias("_more")), "copy", "full")
+    edits = edits.select(F.col("copy").alias("_copy"), F.array_sort(F.concat(*[F.coalesce(c, F.array().cast("array<struct<start:bigint,kind:int,end:bigint,mark:string>>")) for c in ("_base", "_more")])).alias("_edits"))
     text = F.col(f"`{text_col}`")
-    touched = reduce(lambda a, b: a | b, [NEEDS[k](F.coalesce(text, F.lit(""))) for k in KINDS])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    hit = docs.where(touched).withColumn("_copy", F.xxhash64(text)).join(edits, "_copy", "left")
+    hit = docs.withColumn("_copy", F.xxhash64(text)).join(edits, "_copy", "left")
     hit = hit.withColumn(text_col, F.when(F.col("_edits").isNull(), text).otherwise(_edited(text, F.col("_edits"))))
-    return hit.select(*names).unionByName(docs.where(~touched).select(*names))
+    return hit.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _edited(text: Column, edits: Column) -> Column:

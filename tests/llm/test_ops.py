@@ -287,6 +287,19 @@ def test_pii_terms(spark):
     assert one[0].text == "<EMAIL>, <IP> é <CARD>" and one[1].text is None
 
 
+def test_pii_terms_anywhere(spark):
+    """Pairs are counted over whole texts, and all occurrences of a disclosing term go."""
+    fill = "the usual thing and number " * 6
+    rows = [(k, f"Zorblax {k} {fill} mail zor@blax.org {fill} zorblax {fill} Zorblax") for k in range(4)] + [(10, f"{fill} about Zorblax")] + [(20 + k, f"{fill} {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.detect(df).collect()}
+    for i, t in rows[:5]:
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("[Zz]orblax", t)}
+        assert want <= set(got[i].spans.split(",")), i
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("zorblax" in clean[i].lower() for i in range(4)) and clean[10] in (f"{fill} about <TERM>", f"{fill} about <WORD>") and clean[30] == dict(rows)[30]
+
+
 def test_language_model(spark, docs, odd):
     for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, ODD)):
         got = lm_score.score_corpus(df).collect()
