@@ -88,7 +88,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, size: int, bands: int, rows_: int, seed: int = 7) -> DataFrame:
-    """(doc_id, key, n, s1, s2, sig): text hash, set size, hashes of the set, signature."""
+    """(doc_id, copy, key, n, s1, s2, sig): text hashes, set size, hashes of the set, signature."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +104,11 @@ def signatures(rows: DataFrame, size: int, bands: int, rows_: int, seed: int = 7
                     sig.append(signature(s, a, b) if len(s) else b"")
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(_signed(np.concatenate(key))), pa.array(n, pa.int64()), pa.array(_signed(np.array(s1, np.uint64))), pa.array(_signed(np.array(s2, np.uint64))), pa.array(sig, pa.binary())],
-                    ["doc_id", "key", "n", "s1", "s2", "sig"],
+                    [batch.column(0), batch.column(2), pa.array(_signed(np.concatenate(key))), pa.array(n, pa.int64()), pa.array(_signed(np.array(s1, np.uint64))), pa.array(_signed(np.array(s2, np.uint64))), pa.array(sig, pa.binary())],
+                    ["doc_id", "copy", "key", "n", "s1", "s2", "sig"],
                 )
 
-    return arrow_stage(rows, run, f"doc_id {kind}, key bigint, n bigint, s1 bigint, s2 bigint, sig binary")
+    return arrow_stage(rows, run, f"doc_id {kind}, copy bigint, key bigint, n bigint, s1 bigint, s2 bigint, sig binary")
 
 
 def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -277,8 +277,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Two texts are linked if 100 * shared shingles >= percent * all their shingles.
     """
+    out = _placed(docs, shingle, percent, id_col, text_col, seed).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _placed(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, seed: int = 7) -> DataFrame:
+    """(doc_id, copy, n, comp, component_id) of each row; a text without words has no comp."""
     bands, rows_ = plan(percent / 100)
-    rows = text_of(docs, {"doc_id": id_col, "text": text_col})
+    rows = text_of(docs, {"doc_id": id_col, "text": text_col}).withColumn("copy", _copy("text"))
     sigs = written(signatures(rows, shingle, bands, rows_, seed), "signatures")
     some = sigs.where("n > 0")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
@@ -309,25 +315,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # the smallest id of each component, back to every row through its class
     named = comps.join(classes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    known = classes.select(F.col("node").alias("s1"), F.col("doc_id").alias("own")).join(comps.join(named, "comp").select(F.col("node").alias("s1"), "component_id"), "s1", "left")
-    known = written(known.select("s1", F.coalesce("component_id", "own").alias("component_id")), "named")
-    out = some.select("doc_id", "n", "s1").join(known, "s1").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionByName(sigs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    known = classes.select(F.col("node").alias("s1"), F.col("doc_id").alias("own")).join(comps.join(named, "comp").select(F.col("node").alias("s1"), "comp", "component_id"), "s1", "left")
+    known = written(known.select("s1", F.coalesce("comp", "s1").alias("comp"), F.when(F.col("comp").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id")), "named")
+    out = some.select("doc_id", "copy", "n", "s1").join(known, "s1").select("doc_id", "copy", "n", "comp", "component_id")
+    out = out.unionByName(sigs.where("n = 0").select("doc_id", "copy", "n", F.lit(None).cast("bigint").alias("comp"), F.col("doc_id").alias("component_id")))
     release(docs.sparkSession)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out
+
+
+def _copy(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates stays, with all its columns.
 
-    Of rows that repeat an id, one stays.  Rows whose id is null can't be told apart by
-    it: they all go if each has a group with a named document, else all stay but for
-    repeats of one text, so that no text of theirs is lost.
+    It is a row with the group's smallest id, and of several texts under that id in one
+    group the one of smallest hash.  Texts of different groups stay whatever their ids; rows
+    that repeat id and text are one document.  A text without words is a group per id.
     """
-    found = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    found = found.groupBy("_kept_id").agg(F.count("*").alias("_times"))
-    kept = docs.join(found, docs[id_col].eqNullSafe(found["_kept_id"]), "left_semi")
+    rows = _placed(docs, shingle, percent, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    times = written(rows.groupBy("comp", "doc_id", "copy").agg(F.count("*").alias("times")), "kept")
+    found = times.where("comp IS NOT NULL").groupBy("comp", "doc_id").agg(F.min(F.struct("copy", "times")).alias("m")).select("doc_id", "m.copy", "m.times")
+    found = found.unionByName(times.where("comp IS NULL").select("doc_id", "copy", "times"))
+    found = found.select(F.col("doc_id").alias("_kept_id"), F.col("copy").alias("_kept_copy"), F.col("times").alias("_times"))
+    kept = docs.withColumn("_copy", _copy(text_col))
+    kept = kept.join(found, kept[id_col].eqNullSafe(found["_kept_id"]) & (kept["_copy"] == found["_kept_copy"]), "left_semi")
     if not found.where("_times > 1").isEmpty():
-        named = F.col(f"`{id_col}`").isNotNull()
-        kept = kept.where(named).dropDuplicates([id_col]).unionByName(kept.where(~named).dropDuplicates([text_col]))
-    return kept
+        kept = kept.dropDuplicates([id_col, "_copy"])
+    return kept.drop("_copy")

@@ -179,6 +179,15 @@ def test_near_duplicates(spark, odd):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_kept_texts_of_one_id(spark):
+    """Different texts under one id all stay; a near copy under a kept id goes."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (7, text("c") + " end"), (3, text("c")), (7, text("a") + " more"), (None, text("c")), (None, text("d")), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((x.doc_id or 0, x.text[:2]) for x in near_dup.keep_first(df).collect())
+    assert got == [(0, "d0"), (3, "c0"), (7, ""), (7, "a0"), (7, "b0")]
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(0, k) for k in range(400, 460)]
