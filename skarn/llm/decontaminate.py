@@ -98,7 +98,7 @@ def _hits(c: T.Chunk, w: T.Words, bench: Benchmark) -> tuple[np.ndarray, dict[in
         mark = _winnow(keys, made, g["t"])
         keys, at = keys[mark], at[mark]
         lo, hi = np.searchsorted(g["key"], keys, "left"), np.searchsorted(g["key"], keys, "right")
-        done: set[tuple[int, int, int]] = set()
+        done: dict[tuple[int, int, int], int] = {}  # end of the last span of an alignment
         for i in np.flatnonzero(hi > lo):
             d = int(w.doc[at[i]])
             for j in range(int(lo[i]), int(hi[i])):
@@ -107,7 +107,7 @@ def _hits(c: T.Chunk, w: T.Words, bench: Benchmark) -> tuple[np.ndarray, dict[in
                 ia, ib = int(g["first"][item]), int(g["first"][item] + g["counts"][item])
                 a, b = int(at[i]), int(at[i]) + g["k"]
                 same = lambda x, s=shift: c.text(int(w.starts[x]), int(w.ends[x])) == g["text"][x + s]
-                if (d, item, shift) in done and hit[a]:
+                if b <= done.get((d, item, shift), 0):  # inside a span that was extended
                     continue
                 if not all(same(x) for x in range(a, b)):
                     continue
@@ -115,7 +115,7 @@ def _hits(c: T.Chunk, w: T.Words, bench: Benchmark) -> tuple[np.ndarray, dict[in
                     a -= 1
                 while b < end and b + shift < ib and w.hash[b] == g["words"][b + shift] and same(b):
                     b += 1
-                done.add((d, item, shift))
+                done[d, item, shift] = b
                 if b - a >= g["w"]:
                     hit[a:b] = True
                     found.setdefault(d, set()).add(g["ids"][item])

@@ -235,6 +235,17 @@ def test_decontamination(spark, odd):
     assert decontaminate.scan(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_like_items():
+    """A second item of the same alignment is found, whatever hits stand there already."""
+    r = random.Random(5)
+    for _ in range(40):
+        opening, ending = ([f"w{r.randint(0, 10**6)}" for _ in range(n)] for n in (9, 23))
+        like = [(str(k), [x.encode() for x in [*opening, f"own{k}", *ending, *more]]) for k, more in enumerate(([], ["tail", "words"]))]
+        text = " ".join([*opening, "third", *ending, "tail", "words"])
+        got = decontaminate._scan(pa.array([text]), [decontaminate.Benchmark(like, 10)])
+        assert (got["items"][0], got["n_hit"][0]) == (["0", "1"], 25)
+
+
 def test_quality_rules(spark, odd):
     rows = [*ODD, (20, "a b c d e " * 9), (21, "x #$\n\nx #$\nx #$ y\n"), (22, "\nq\n q\nq")]
     got = quality_rules.measure(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept", F.lit(1))).collect()
