@@ -21,7 +21,8 @@ task has ended, so a lost executor leaves unlisted files and no damage.
 
 Defined results: null html is an empty payload; a null or empty url is kept under the key
 ``)/``; pages whose page_id is null are no captures and left out; rows that repeat a
-page_id are all written, equal rows refer to the smallest id.
+page_id are all written, each with its own payload's digest; equal rows refer to the
+smallest id.
 """
 
 from __future__ import annotations
@@ -143,26 +144,27 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK
     base = base or fresh_dir(spark, "warc")
     rows = text_of(pages, {"page_id": id_col, "url": url_col, "html": html_col}).where("page_id IS NOT NULL")
     rows = rows.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     key = surt(F.col("url"))
-    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "url", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"))
+    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "url", "digest")
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = digests.join(firsts, "digest").where("page_id > first_id").select(key.alias("key"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first_id").alias("refers_to"))
-    every = links.unionByName(rows.select(key.alias("key"), "page_id", "url", "html", F.lit(None).cast("bigint").alias("refers_to")))
-    # a page's link row (no html) sorts before its page row, and both fall in one range
+    links = digests.join(firsts, "digest").where("page_id > first_id").select(key.alias("key"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first_id").alias("refers_to"), "digest")
+    every = links.unionByName(rows.select(key.alias("key"), "page_id", "url", "html", F.lit(None).cast("bigint").alias("refers_to"), "digest"))
+    # the link row (no html) of a page and digest sorts before its page row, and both fall in one range
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = every.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", F.col("html").isNotNull())
+    dealt = every.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "digest", F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, pending = None, (None, None)
+        shard, pending, refers_to = None, None, None
         for b in batches:
-            for k, page, url, html, refers in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            for k, page, url, html, refers, digest in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
                 if html is None:
-                    pending = (page, refers)
+                    pending, refers_to = (page, digest), refers
                     continue
                 shard = shard or _Shard(base, block_lines)
-                shard.add(k, page, _record(page, url, html.encode(), pending[1] if pending[0] == page else None))
+                shard.add(k, page, _record(page, url, html.encode(), refers_to if pending == (page, digest) else None))
         if shard:
             row = shard.close(TaskContext.get().partitionId())
             yield pa.RecordBatch.from_pylist([row])

@@ -77,6 +77,14 @@ def test_warc(spark, tmp_path):
     assert small.record_type == "response"
 
 
+def test_warc_repeated_ids(spark):
+    """Only the row whose payload stands earlier is a revisit, not all rows of its page id."""
+    pages = [(1, "http://a.org/", "one"), (2, "http://a.org/", "one"), (2, "http://a.org/", "two"), (2, "http://b.org/", "three"), (2, "http://a.org/", "zero")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    got = warc.read_archive(warc.write_archive(df)).collect()
+    assert sorted((r.page_id, bytes(r.payload or b""), r.refers_to or 0) for r in got) == [(1, b"one", 0), (2, b"", 1), (2, b"three", 0), (2, b"two", 0), (2, b"zero", 0)]
+
+
 def test_warc_keys(spark):
     urls = {"http://www.Example.com:80/a?b#c": "com,example)/a?b", "x.org": "org,x)/", "": ")/"}
     df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", warc.surt(F.col("u")).alias("k"))
