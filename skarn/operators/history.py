@@ -120,7 +120,7 @@ def chunk_blame(lines: DataFrame, chunks: DataFrame, author: str = "author") ->
     return blame(inside, "chunk_id", author)
 
 
-def fix_branch_commits(commits: DataFrame, depth: int = 200) -> DataFrame:
+def fix_branch_commits(commits: DataFrame) -> DataFrame:
     """(sha): commits merged from bug-fix branches.
 
     From the second parent of such a merge through the parents, up to the first parent or
@@ -132,14 +132,12 @@ def fix_branch_commits(commits: DataFrame, depth: int = 200) -> DataFrame:
     known = commits.select("sha")
     frontier = seen = written(tips.where("sha != main").join(known, "sha", "left_semi").select("merge", "main", "sha"), "branch")
     parents = written(parents.where("parent IS NOT NULL").join(known.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent"), "parents")
-    for _ in range(-(-depth // STEPS)):
+    while not frontier.isEmpty():
         steps = [frontier]
         for _ in range(STEPS):  # several generations in one job
             steps.append(steps[-1].join(parents, "sha").where("parent != main").select("merge", "main", F.col("parent").alias("sha")).distinct())
         met = reduce(DataFrame.unionByName, steps[1:]).distinct()
         frontier = written(met.join(seen, ["merge", "main", "sha"], "left_anti").select("merge", "main", "sha"), "branch")
-        if frontier.isEmpty():
-            break
         seen = written(seen.unionByName(frontier), "branch")
     return seen.select("sha").distinct()
 

@@ -418,7 +418,7 @@ _MERGES = "SELECT 'c' || CAST(p_partkey AS STRING) AS sha, CASE WHEN p_partkey %
 w AS (SELECT merge, main, t.sha FROM t JOIN c USING (sha) WHERE t.sha <> main UNION SELECT w.merge, w.main, p FROM w JOIN (SELECT sha, unnest(parents) AS p FROM c) e ON e.sha = w.sha WHERE p <> w.main AND p IN (SELECT sha FROM c))
 SELECT DISTINCT sha FROM w""")
 def fix_branch_commits(spark: SparkSession, d: str) -> DataFrame:
-    return history.fix_branch_commits(X.frame(spark, d, _MERGES, "part"), depth=60)
+    return history.fix_branch_commits(X.frame(spark, d, _MERGES, "part"))
 
 
 # -- graph ---------------------------------------------------------------------

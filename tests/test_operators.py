@@ -37,6 +37,12 @@ def test_impact_and_paths(spark):
     assert [x.path for x in graph.paths(e, "d", "d").collect()] == [["d"]]
 
 
+def test_fix_branch_of_any_depth(spark):
+    rows = [("m", ["main", "c0"], "Merge branch 'fix/x'")] + [(f"c{k}", [f"c{k + 1}"], "work") for k in range(207)] + [("main", ["c203"], "work")]
+    df = spark.createDataFrame(rows, "sha string, parents array<string>, body string")
+    assert {r.sha for r in history.fix_branch_commits(df).collect()} == {f"c{k}" for k in range(207)}
+
+
 def test_sessions(spark):
     rows = [("1", "x", 0, "a", True), ("2", "x", 1799, "b", False), ("3", "x", 3599, "c", False), ("4", "x", 3600, "Merge branch", True), ("5", "y", 10, "z", False)]
     got = history.sessions(spark.createDataFrame(rows, "sha string, author string, ts bigint, body string, is_fix boolean")).orderBy("author", "session").collect()
