@@ -9,8 +9,7 @@
    bucket's pivot, then what is linked is joined to components, and only classes of
    *different* components in one bucket are compared further.  A link inside a component
    cannot change the result, one between components is always tested.
-4. A candidate is compared by signatures first (with a margin of over five standard
-   deviations) and then on the full sets.
+4. A candidate is compared on the full sets; signatures are not compared before.
 5. Components come from alternating large-star and small-star on the links.
 
 ``plan(threshold)`` picks bands and rows so that a pair at the threshold is missed with a
@@ -34,7 +33,6 @@ from . import _text as T
 from ._jobs import arrow_stage, release, text_of, written
 
 MISS = 1e-6
-MARGIN = 0.11
 
 
 def plan(threshold: float, miss: float = MISS, budget: int = 384) -> tuple[int, int]:
