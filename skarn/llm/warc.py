@@ -20,9 +20,10 @@ Files are written by name of task attempt and listed in the returned table only
 task has ended, so a lost executor leaves unlisted files and no damage.
 
 Defined results: null html is an empty payload; a null or empty url is kept under the key
-``)/``; pages whose page_id is null are no captures and left out; rows that repeat a
-page_id are all written, each with its own payload's digest; equal rows refer to the
-smallest id.
+``)/``; a null page_id is larger than all others (of payloads known under null ids only,
+every record is a response); rows that repeat a page_id are all written, each with its own
+payload's digest; records of the smallest id with an equal payload are all responses; an
+empty table gives an archive of no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,13 +65,17 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def _record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     revisit = refers_to is not None
     body = b"" if revisit else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         # a URL with a line break or other control would end the header; it is escaped
         f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
@@ -79,7 +84,7 @@ def _record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> by
         "Content-Type: text/html; charset=utf-8",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -107,7 +112,7 @@ class _Shard:
         self.lines: list[tuple[str, str]] = []
         self.first = self.last = ""
 
-    def add(self, key: str, page_id: int, record: bytes) -> None:
+    def add(self, key: str, page_id: int | None, record: bytes) -> None:
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         raw = packer.compress(record) + packer.flush()
         self.out[".warc.gz"].write(raw)
@@ -142,17 +147,17 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK
     """
     spark = pages.sparkSession
     base = base or fresh_dir(spark, "warc")
-    rows = text_of(pages, {"page_id": id_col, "url": url_col, "html": html_col}).where("page_id IS NOT NULL")
+    rows = text_of(pages, {"page_id": id_col, "url": url_col, "html": html_col})
     rows = rows.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     key = surt(F.col("url"))
     digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "url", "digest")
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = digests.join(firsts, "digest").where("page_id > first_id").select(key.alias("key"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first_id").alias("refers_to"), "digest")
+    links = digests.join(firsts, "digest").where("first_id IS NOT NULL AND NOT page_id <=> first_id").select(key.alias("key"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first_id").alias("refers_to"), "digest")
     every = links.unionByName(rows.select(key.alias("key"), "page_id", "url", "html", F.lit(None).cast("bigint").alias("refers_to"), "digest"))
     # the link row (no html) of a page and digest sorts before its page row, and both fall in one range
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = every.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "digest", F.col("html").isNotNull())
+    dealt = every.repartitionByRange(parts, "key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest", F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
