@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI.
 
-    Read from ``spark.checkpoint.dir`` of the session.  Where that is unset (tests on
-    one machine) a folder is made once and set, so that later calls find it.
+    Read from ``spark.checkpoint.dir`` of the session.  Where that is unset and Spark runs
+    in this process alone (tests) a folder is made once and set, so that later calls find
+    it; on a cluster no folder of one machine would do, and the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,18 +36,48 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write the rows as Parquet in the shared folder and read them.
 
     A lost executor then costs a re-read of files, not a re-run of what came before.
-    The shuffle files of the finished job are let go.
+    The shuffle files of the finished job are let go, and so is a written table that
+    nothing reads any more once this one is there (``instead_of``).
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    if instead_of is not None:
+        discard(instead_of)
+    return out
+
+
+_places: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a written table; another DataFrame is left alone."""
+    ref, path = _places.pop(id(table), (None, ""))
+    if ref is not None and ref() is table:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        fs.delete_dir(inner)
+    for key in [k for k, (r, _) in _places.items() if r() is None]:
+        del _places[key]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as make it new to the table."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def release(spark: SparkSession) -> None:

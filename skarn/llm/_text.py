@@ -3,8 +3,11 @@
 Texts arrive as Arrow string arrays.  All work is done on the UTF-8 bytes of a
 bounded chunk of documents at once: a 256-entry table classifies each byte,
 word borders come from a difference of that mask, and the hash of any byte span
-is read off one running sum of ``byte * B**i`` (mod 2**64), so hashing words,
-lines and n-grams costs the same few array passes whatever their number.
+is read off two running sums of ``byte * B**i``, one modulo 2**64 and one modulo a
+prime, so hashing words, lines and n-grams costs the same few array passes whatever
+their number.  Each sum makes up for what is weak in the other: modulo a power of two
+some spans collide whatever the base (the Thue-Morse words), modulo a prime of 31 bits
+alone there would be too few values.
 
 Memory: one chunk holds at most ``CHUNK_BYTES`` of text (or a single longer
 document); the arrays made from it take about 40 bytes per byte of text.
@@ -22,6 +25,10 @@ CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_PRIME = (1 << 31) - 1
+_SMALL_BASE = 1_103_515_245
+#: So many terms below 2**39 add up without overflow.
+_SMALL_RUN = 1 << 24
 
 
 def _table(separators: set[int]) -> np.ndarray:
@@ -49,6 +56,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["q"][:n]
 
 
+def small_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same modulo the prime, by doubling."""
+    if len(_powers.get("sp", ())) < n:
+        size = max(n, CHUNK_BYTES + 4096)
+        for key, base in (("sp", _SMALL_BASE), ("sq", pow(_SMALL_BASE, -1, _PRIME))):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate((out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)))
+            _powers[key] = out[:size]
+    return _powers["sp"][:n], _powers["sq"][:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over the 64-bit result."""
     x = x ^ (x >> np.uint64(30))
@@ -120,11 +139,20 @@ class Words:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span ``[start, end)``; it depends on the bytes alone."""
-    p, q = powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    n = len(data)
+    values = data.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(n + 1, np.uint64)
+    p, q = powers(n + 1)
+    np.cumsum(values * p[:-1], out=total[1:])
+    out = (total[ends] - total[starts]) * q[starts]
+    p, q = small_powers(n + 1)
+    terms = values * p[:-1]
+    prime = np.uint64(_PRIME)
+    if n > _SMALL_RUN:
+        terms %= prime
+    np.cumsum(terms, out=total[1:])
+    small = (total[ends] - total[starts]) % prime * q[starts] % prime
+    return mix(out + mix(small + np.uint64(1)) + (ends - starts).astype(np.uint64))
 
 
 def words(chunk: Chunk, table: np.ndarray, hashed: bool = True) -> Words:

@@ -54,8 +54,20 @@ def test_words_and_hashes():
     assert h[0] == h[1] and h[2] == h[3] and h[0] != h[2]
 
 
+@pytest.mark.parametrize("size", [1 << k for k in range(1, 14)])
+def test_hashes_of_thue_morse_words(size):
+    """Words on which any polynomial modulo a power of two collides, and runs of one letter."""
+    bits = np.array([bin(k).count("1") & 1 for k in range(size)], np.uint8)
+    rows = [97 + bits, 98 - bits, np.full(size, 97, np.uint8), np.full(size, 98, np.uint8)]
+    data = np.concatenate(rows)
+    starts = np.arange(4) * size
+    assert len(set(T.span_hashes(data, starts, starts + size).tolist())) == 4
+    long = np.concatenate([np.full(T._SMALL_RUN, 32, np.uint8), rows[0]]) if size == 1024 else data
+    assert T.span_hashes(long, np.array([len(long) - size]), np.array([len(long)]))[0] == T.span_hashes(long[len(long) - size :], np.array([0]), np.array([size]))[0]
+
+
 def test_warc(spark, tmp_path):
-    pages = [(1, "http://www.a.org/x?q=1#f", "hi"), (2, "https://a.org/x", "hi"), (3, None, None), (4, "http://b.org", ""), (5, "ftp://u@C.com:80/p", "é\r\n\r\nx"), (5, "ftp://u@C.com:80/p", "é\r\n\r\nx"), (None, "u", "v")]
+    pages = [(1, "http://www.a.org/x?q=1#f", "hi"), (2, "https://a.org/x", "hi"), (3, None, None), (4, "http://b.org", ""), (5, "ftp://u@C.com:80/p", "é\r\n\r\nx"), (5, "ftp://u@C.com:80/p", "é\r\n\r\nx"), (None, "u", "v"), (None, "u", "v"), (None, None, "hi")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("key", F.lit(1)).withColumn("digest", F.lit(1))
     manifest = warc.write_archive(df, block_lines=2)
     got = warc.read_archive(manifest).collect()
@@ -65,9 +77,9 @@ def test_warc(spark, tmp_path):
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
     for i, _, h in pages:
-        if i is not None:
-            raw = (h or "").encode()
-            want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), first[h or ""] if first[h or ""] != i else None] += 1
+        raw = (h or "").encode()
+        to = first.get(h or "")
+        want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), to if to != i else None] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in got) == want
     assert {r.page_id: bytes(r.payload or b"") for r in got}[1] == b"hi"
     asked = spark.createDataFrame([("https://a.org/x",), ("http://no.where/",), ("http://c.com/p",)], "url string")
