@@ -340,6 +340,69 @@ def test_pii_terms_anywhere(spark):
     assert not any("zorblax" in clean[i].lower() for i in range(4)) and clean[10] in (f"{fill} about <TERM>", f"{fill} about <WORD>") and clean[30] == dict(rows)[30]
 
 
+def terms_by_force(rows, min_support=3, generalise=0.7, elsewhere=0.5):
+    """Per row the spans of disclosing terms: every pair of term and entity counted plainly."""
+    word = re.compile(r"\w+")
+    n = len(rows)
+    of = lambda t, s: (s[3], re.sub("[^0-9]", "", t[s[0] : s[2]]) if s[1] > 1 else t[s[0] : s[2]].lower())
+    raw = [{w.lower() for w in word.findall(t or "")} for _, t in rows]
+    held = [{of(t, s) for s in spans(t)} for _, t in rows]
+
+    def free(t):
+        taken = {k for s in spans(t) for k in range(s[0], s[2])}
+        return [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t or "") if not taken & set(range(m.start(), m.end()))]
+
+    loose = [free(t) for _, t in rows]
+    df_t, df_e, both, texts = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for (_, t), words, entities, have in zip(rows, raw, held, loose, strict=True):
+        df_t.update(words)
+        df_e.update(entities)
+        for e in entities:
+            texts[e].add(t)
+            for w in {x[2] for x in have}:
+                both[e, w] += 1
+                texts[e, w].add(t)
+    told, points = set(), set()
+    for (e, w), k in both.items():
+        ic = math.log2(n / df_e[e])
+        if len(texts[e, w]) >= min_support and ic > 0 and math.log2(n * k / (df_t[w] * df_e[e])) / ic >= generalise:
+            told.add((e, w))
+            if k >= elsewhere * df_t[w]:
+                points.add(w)
+    return [sorted((a, b) for a, b, w in have if w in points or any((e, w) in told for e in entities)) for have, entities in zip(loose, held, strict=True)]
+
+
+def test_pii_terms_by_force(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    mails = [f"m{k}@x.org" for k in range(4)]
+    rows = []
+    for k in range(120):
+        w = [r.choice(words) for _ in range(r.randint(0, 25))]
+        if k % 3 == 0:
+            e = r.randrange(4)
+            w = [f"Name{e}", *w, mails[e].upper() if k % 2 else mails[e], *["Own" + str(e)] * (k % 2), "4111 1111 1111 1111" if e == 1 else "", "🎉name2" if e == 2 else "é"]
+        elif k % 7 == 0:
+            w = [*w, f"name{r.randrange(4)}", "own1"]
+        rows.append((k, " ".join(w)))
+    rows += [(500, None), (501, ""), *rows[:9], (502, rows[3][1])]
+    for times in (1, 4):  # repeating all rows changes nothing
+        got = pii.detect(spark.createDataFrame(rows * times, "doc_id bigint, text string")).collect()
+        want = collections.Counter((i, tuple(x)) for (i, _), x in zip(rows, terms_by_force(rows), strict=True))
+        assert any(x for _, x in want)
+        found = collections.Counter((g.doc_id, tuple(tuple(map(int, x.split(":")[1:])) for x in g.spans.split(",") if x.startswith("term:"))) for g in got)
+        assert found == collections.Counter({k: v * times for k, v in want.items()})
+        assert all(g.n_spans == (g.spans.count(",") + 1 if g.spans else 0) for g in got)
+
+
+def test_pii_clashing_names(spark):
+    text = "x a@b.cd y 1.2.3.4 " * 700
+    df = spark.createDataFrame([(1, text, "k", "e"), (2, None, None, None)], "doc_id bigint, text string, _copy string, _edits string")
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert got[1].text == "x <EMAIL> y <IP> " * 700 and (got[1]._copy, got[1]._edits) == ("k", "e") and got[2].text is None
+    assert pii.sanitise(df.limit(0)).count() == 0
+
+
 def test_language_model(spark, docs, odd):
     for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, ODD)):
         got = lm_score.score_corpus(df).collect()
