@@ -9,15 +9,20 @@
    bucket's pivot, then what is linked is joined to components, and only classes of
    *different* components in one bucket are compared further.  A link inside a component
    cannot change the result, one between components is always tested.
-4. A candidate is compared on the full sets; signatures are not compared before.
+4. A candidate is compared by signatures first: of all the bytes at least so many must
+   agree that a pair at the threshold falls short with a probability of ``MARGIN``.  Only
+   texts that pass with some partner have their sets made, moved and compared in full.
 5. Components come from alternating large-star and small-star on the links.
 
 ``plan(threshold)`` picks bands and rows so that a pair at the threshold is missed with a
-probability of about one in a million.
-
-Defined results: a text without words is linked with nothing and is its own component;
-a null doc_id never names a component that has another id; repeated rows get equal
-results, one each; other columns are ignored.
+probability of about one in a million.  Members and queries of a group meet in blocks of
+bounded size, so neither a bucket that all texts share nor a very long text makes a task
+that grows with the corpus.
+
+Defined results: a null text or one without words is linked with nothing and is its own
+component; a null doc_id never names a component that has another id; repeated rows get
+equal results, one each; an empty table gives no rows; other columns are ignored
+(``near_duplicates``) or passed on whatever their names (``keep_first``).
 """
 
 from __future__ import annotations
@@ -30,9 +35,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._jobs import arrow_stage, release, text_of, written
+from ._jobs import arrow_stage, free_names, release, text_of, written
 
 MISS = 1e-6
+MARGIN = 1e-7
+
+
+def least_agreement(threshold: float, size: int, margin: float = MARGIN) -> int:
+    """Bytes of two signatures that must agree: a pair at the threshold has fewer with chance ``margin``."""
+    p = threshold + (1 - threshold) / 256  # equal minima, or two bytes that are equal by chance
+    if p >= 1:
+        return size
+    k = np.arange(size + 1)
+    chance = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, size + 1)))))
+    pmf = np.exp(chance[size] - chance[k] - chance[size - k] + k * np.log(p) + (size - k) * np.log1p(-p))
+    return int(np.searchsorted(np.cumsum(pmf), margin))
 
 
 def plan(threshold: float, miss: float = MISS, budget: int = 384) -> tuple[int, int]:
@@ -126,27 +143,26 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return arrow_stage(classes.select("node", "n", "sig"), run, "bucket bigint, node bigint, n bigint")
 
 
-BITS = 26
-
-
-def _bitmap(keys: DataFrame) -> bytes:
-    """A Bloom filter of 2**BITS bits over the column ``k``: 8 MB, whatever the rows.
+def _bitmap(keys: DataFrame) -> tuple[int, bytes]:
+    """A Bloom filter over the column ``k``: some 16 bits a key, from 128 kB to 16 MB.
 
     More keys than it can tell apart only let more rows through to the exact join.
     """
-    at = F.explode(F.array(*[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << BITS)) for s in (1, 2)])).alias("at")
+    bits = min(max((16 * keys.count()).bit_length(), 20), 27)
+    at = F.explode(F.array(*[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << bits)) for s in (1, 2)])).alias("at")
     words = keys.select(at).select((F.col("at") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 32) as int))").alias("bit"))
-    table = np.zeros(1 << (BITS - 5), np.uint32)
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**21 rows
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**22 rows
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return table.tobytes()
+    return bits, table.tobytes()
 
 
 def _sets(rows: DataFrame, active: DataFrame, size: int) -> DataFrame:
     """(node, set) of the classes in ``active`` (node, doc_id, key), from the texts."""
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(active.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"))))
-    keyed = rows.withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("k", "text", *[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << BITS)).alias(f"b{s}") for s in (1, 2)])
+    size_, table_ = _bitmap(active.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")))
+    bits = spark.sparkContext.broadcast(table_)
+    keyed = rows.withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("k", "text", *[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << size_)).alias(f"b{s}") for s in (1, 2)])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint32)
@@ -173,8 +189,25 @@ def _sets(rows: DataFrame, active: DataFrame, size: int) -> DataFrame:
     return arrow_stage(found.join(wanted, "k").select("text", "node", "key"), build, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-#: Shingles of a block of members, and of a block of queries that meets it.
+#: Shingles of a block of members, and of a block of queries that meets it; and rows.
 BLOCK = 100_000
+BLOCK_ROWS = 256
+
+
+def _alike(rows: list[tuple], least: int) -> list[int]:
+    """Which rows (role, node, comp, sig) of a block agree well enough with one of the other role and another component."""
+    at = [np.array([i for i, r in enumerate(rows) if r[0] == role]) for role in (0, 1)]
+    if not len(at[0]) or not len(at[1]):
+        return []
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    comps = np.array([r[2] for r in rows])
+    members, found = sigs[at[0]], np.zeros(len(rows), bool)
+    for q in at[1]:
+        hit = ((members == sigs[q]).sum(1) >= least) & (comps[at[0]] != comps[q])
+        if hit.any():
+            found[q] = True
+            found[at[0][hit]] = True
+    return np.flatnonzero(found).tolist()
 
 
 def _meet(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -204,29 +237,44 @@ def _meet(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(grid: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (group, part, role, node, comp): role 0 members, 1 queries."""
+def _by_block(grid: DataFrame, values: DataFrame, value: str, use, schema: str) -> DataFrame:
+    """``use(block, rows)`` for every block of the grid joined with a value per node; rows are (role, node, comp, value)."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(7)]
-            links = []
-            for *group, role, node, comp, raw in zip(*cols, strict=True):
-                if group != now:
-                    links += _meet(rows, percent)
-                    now, rows = group, []
+            out = []
+            for *block, role, node, comp, raw in zip(*cols, strict=True):
+                if block != now:
+                    out += use(now, rows)
+                    now, rows = block, []
                 rows.append((role, node, comp, raw))
-            if links:
-                yield pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [y for _, y in links]})
-        links = _meet(rows, percent)
-        if links:
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [y for _, y in links]})
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)))
+        out = use(now, rows)
+        if out:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)))
 
-    full = grid.join(sets, "node").select("group", "part", "qpart", "role", "node", "comp", "set")
+    full = grid.join(values, "node").select("group", "part", "qpart", "role", "node", "comp", value)
     n = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.repartition(n, "group", "part", "qpart").sortWithinPartitions("group", "part", "qpart", "role", "node")
-    return arrow_stage(dealt, run, "a bigint, b bigint").distinct()
+    return arrow_stage(dealt, run, schema)
+
+
+GRID = "group bigint, part bigint, qpart bigint, role bigint, node bigint, comp bigint"
+
+
+def _likely(grid: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """The rows of the grid that pass by signature with some partner in their block."""
+    use = lambda block, rows: [(*block, *rows[i][:3]) for i in _alike(rows, least)]
+    return _by_block(grid, sigs, "sig", use, GRID)
+
+
+def _verify(grid: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from rows (group, part, qpart, role, node, comp): role 0 members, 1 queries."""
+    return _by_block(grid, sets, "set", lambda _, rows: _meet(rows, percent), "a bigint, b bigint").distinct()
 
 
 def _deal(column: str, parts: Column) -> Column:
@@ -239,11 +287,11 @@ def _grid(members: DataFrame, queries: DataFrame) -> DataFrame:
     members and queries: (group, node, comp, n).  A set goes to as many blocks as the
     other side has, which is one but for very large groups.
     """
-    blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).alias(name))
+    blocks = lambda df, name: df.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_ROWS)).alias(name))
     sizes = blocks(members, "parts").join(blocks(queries, "qparts"), "group")
     m = members.join(sizes, "group").withColumn("part", _deal("node", F.col("parts"))).withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qparts") - 1)))
     q = queries.join(sizes, "group").withColumn("qpart", _deal("node", F.col("qparts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    pick = lambda df, role: df.select("group", "part", "qpart", F.lit(role).alias("role"), "node", "comp")
+    pick = lambda df, role: df.select("group", "part", "qpart", F.lit(role).cast("bigint").alias("role"), "node", "comp")
     return pick(m, 0).unionByName(pick(q, 1))
 
 
@@ -255,14 +303,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and joined back, never gathered.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    mark = None
+    mark = before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars", instead_of=before)
+        before = now
         seen = now.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             break
@@ -293,13 +342,16 @@ def _placed(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     buckets = _buckets(classes, bands, rows_)
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("times")).where("times > 1").drop("times")
     hot = written(buckets.join(shared, "bucket"), "buckets")
-    active = hot.select("node").distinct().join(classes.select("node", "doc_id", "key"), "node")
-    sets = written(_sets(rows, active, shingle), "sets")
+    sig = classes.select("node", "sig")
+    least = least_agreement(percent / 100, bands * rows_)
+    found = lambda grid: grid.select("node").distinct().join(classes.select("node", "doc_id", "key"), "node")
 
     # every class meets the pivots of its buckets
     stars = hot.where("node != pivot").select(F.col("pivot").alias("group"), "node", F.col("node").alias("comp"), "n").distinct()
     heads = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("comp"), F.lit(1).alias("n"))
-    links = written(_verify(_grid(stars, heads), sets, percent), "links")
+    likely = written(_likely(_grid(stars, heads), sig, least), "likely")
+    sets = written(_sets(rows, found(likely), shingle), "sets")
+    links = written(_verify(likely, sets, percent), "links")
     comps = written(components(links), "components")
 
     # in buckets that still hold several components, all others meet all the rest
@@ -307,7 +359,11 @@ def _placed(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     of = placed.groupBy("group", "comp").agg(F.count("*").alias("k")).groupBy("group").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     mixed = written(placed.join(of.select("group", F.col("main.comp").alias("main")), "group"), "mixed")
     others = mixed.where("comp != main").drop("main")
-    more = _verify(_grid(mixed.drop("main"), others), sets, percent)
+    likely = written(_likely(_grid(mixed.drop("main"), others), sig, least), "likely")
+    new = found(likely).join(sets.select("node"), "node", "left_anti")
+    if not new.isEmpty():
+        sets = sets.unionByName(written(_sets(rows, new, shingle), "sets"))
+    more = _verify(likely, sets, percent)
     every = more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
     comps = written(components(written(every, "links")), "components")
 
@@ -336,9 +392,10 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     times = written(rows.groupBy("comp", "doc_id", "copy").agg(F.count("*").alias("times")), "kept")
     found = times.where("comp IS NOT NULL").groupBy("comp", "doc_id").agg(F.min(F.struct("copy", "times")).alias("m")).select("doc_id", "m.copy", "m.times")
     found = found.unionByName(times.where("comp IS NULL").select("doc_id", "copy", "times"))
-    found = found.select(F.col("doc_id").alias("_kept_id"), F.col("copy").alias("_kept_copy"), F.col("times").alias("_times"))
-    kept = docs.withColumn("_copy", _copy(text_col))
-    kept = kept.join(found, kept[id_col].eqNullSafe(found["_kept_id"]) & (kept["_copy"] == found["_kept_copy"]), "left_semi")
-    if not found.where("_times > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_copy"])
-    return kept.drop("_copy")
+    mine, kept_id, kept_copy, n = free_names(docs, "_copy", "_kept_id", "_kept_copy", "_times")
+    found = found.select(F.col("doc_id").alias(kept_id), F.col("copy").alias(kept_copy), F.col("times").alias(n))
+    kept = docs.withColumn(mine, _copy(text_col))
+    kept = kept.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(mine) == F.col(kept_copy)), "left_semi")
+    if not found.where(F.col(n) > 1).isEmpty():
+        kept = kept.dropDuplicates([id_col, mine])
+    return kept.drop(mine)

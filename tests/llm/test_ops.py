@@ -199,11 +199,32 @@ def test_near_duplicates(spark, odd):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_pass_at_the_threshold(percent):
+    """Of pairs just at the threshold, signatures let all pass and bands find all; of unlike ones they stop nearly all."""
+    g = np.random.default_rng(percent)
+    bands, rows = near_dup.plan(percent / 100)
+    least, (a, b) = near_dup.least_agreement(percent / 100, bands * rows), near_dup._hashes(bands * rows, 7)
+    passed, banded, stopped = 0, 0, 0
+    for k in range(2000):
+        union = int(g.integers(20, 400))
+        both = -(-percent * union // 100) if k % 2 else union // 2
+        values = g.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+        cut = both + (union - both) // 2
+        x, y = (np.frombuffer(near_dup.signature(s, a, b), np.uint8) for s in (values[:cut], np.concatenate((values[:both], values[cut:]))))
+        same = x == y
+        passed += bool(k % 2 and same.sum() >= least)
+        banded += bool(k % 2 and same.reshape(bands, rows).all(1).any())
+        stopped += bool(k % 2 == 0 and same.sum() < least)
+    assert passed >= 999 and banded >= 999 and stopped >= 990
+
+
 def test_kept_texts_of_one_id(spark):
     """Different texts under one id all stay; a near copy under a kept id goes."""
     text = lambda c: " ".join(f"{c}{k}" for k in range(40))
     rows = [(7, text("a")), (7, text("b")), (7, text("b")), (7, text("c") + " end"), (3, text("c")), (7, text("a") + " more"), (None, text("c")), (None, text("d")), (7, ""), (7, "")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_copy", F.lit("mine")).withColumn("_kept_id", F.lit(3))
+    assert {x._copy for x in near_dup.keep_first(df).collect()} == {"mine"} and near_dup.keep_first(df.limit(0)).count() == 0
     got = sorted((x.doc_id or 0, x.text[:2]) for x in near_dup.keep_first(df).collect())
     assert got == [(0, "d0"), (3, "c0"), (7, ""), (7, "a0"), (7, "b0")]
 
