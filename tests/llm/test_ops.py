@@ -270,21 +270,36 @@ def test_decontamination(spark, odd):
                     hit |= set(range(k, k + n))
                     ids.add(str(item))
         want[i, len(w), len(hit), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)] += 1
-    for limit in (64 << 20, 500):  # in one part and in several
-        got = decontaminate.scan(d, b, max_broadcast_bytes=limit).collect()
+    for limit in ("10485760", "-1"):  # the benchmark's side sent to all, and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = decontaminate.scan(d, b).collect()
         assert collections.Counter((x.doc_id, x.n_words, x.n_hit, x.items_sha256, x.contaminated) for x in got) == want
+        kept = decontaminate.drop_contaminated(d.withColumn("_copy", F.lit("mine")), b)
+        assert collections.Counter(x.doc_id for x in kept.collect()) == collections.Counter({i: n for (i, *_, bad), n in want.items() if not bad})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
     assert decontaminate.scan(d, b.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.scan(d.limit(0), b).count() == 0 and decontaminate.drop_contaminated(d.limit(0), b).columns == d.columns
 
 
-def test_decontamination_of_like_items():
+def test_decontamination_of_like_items(spark):
     """A second item of the same alignment is found, whatever hits stand there already."""
     r = random.Random(5)
-    for _ in range(40):
-        opening, ending = ([f"w{r.randint(0, 10**6)}" for _ in range(n)] for n in (9, 23))
-        like = [(str(k), [x.encode() for x in [*opening, f"own{k}", *ending, *more]]) for k, more in enumerate(([], ["tail", "words"]))]
-        text = " ".join([*opening, "third", *ending, "tail", "words"])
-        got = decontaminate._scan(pa.array([text]), [decontaminate.Benchmark(like, 10)])
-        assert (got["items"][0], got["n_hit"][0]) == (["0", "1"], 25)
+    texts, items = [], []
+    for n in range(20):
+        opening, ending = ([f"w{r.randint(0, 10**6)}" for _ in range(k)] for k in (9, 23))
+        items += [(f"{n}-{k}", " ".join([*opening, f"own{k}", *ending, *more])) for k, more in enumerate(([], ["tail", "words"]))]
+        texts.append((n, " ".join([*opening, "third", *ending, "tail", "words"])))
+    got = decontaminate.scan(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {(x.doc_id, x.n_hit, *x.items) for x in got} == {(n, 25, f"{n}-0", f"{n}-1") for n in range(20)}
+
+
+def test_decontamination_by_a_full_filter(spark, monkeypatch):
+    """A Bloom filter with far too few bits lets more through and changes nothing."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", (5, 5))
+    d, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    few = decontaminate.scan(d, b).select("doc_id", "n_hit", "items_sha256").collect()
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", (16, 27))
+    assert collections.Counter(few) == collections.Counter(decontaminate.scan(d, b).select("doc_id", "n_hit", "items_sha256").collect())
 
 
 def test_quality_rules(spark, odd):
