@@ -163,9 +163,11 @@ def _replaced(text: Column, edits: Column, fill=None) -> Column:
         first = F.get(x["c"], F.lit(0))["b"]
         return F.array_join(F.transform(x["c"], lambda y: F.concat(F.substring(x["text"], (y["b"] - first + 1).cast("int"), (y["s"] - y["b"]).cast("int")), y["m"])), "")
 
-    ends = F.transform(edits, lambda e: e["end"])
-    given = F.struct(text.alias("text"), edits.alias("edits"), _running(ends, F.greatest).alias("upto"))
-    return F.when(F.size(edits) > 0, _once(given, cut)).otherwise(text)
+    def given(x: Column) -> Column:
+        upto = _running(F.transform(x["edits"], lambda e: e["end"]), F.greatest)
+        return F.when(F.size(x["edits"]) > 0, _once(F.struct(x["text"].alias("text"), x["edits"].alias("edits"), upto.alias("upto")), cut)).otherwise(x["text"])
+
+    return _once(F.struct(text.alias("text"), edits.alias("edits")), given)
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -188,7 +190,8 @@ def _placed(masked: Column, hits: Column) -> Column:
 
     The hits are dealt to lists by their hash, so a word is compared with few of them.
     """
-    cut = F.struct(F.regexp_extract_all(masked, F.lit(_MASKED), F.lit(0)).alias("words"), F.split(masked, _MASKED, -1).alias("gaps"), _once(hits, _dealt).alias("dealt"))
+    def cut(x: Column) -> Column:
+        return F.struct(F.regexp_extract_all(x["masked"], F.lit(_MASKED), F.lit(0)).alias("words"), F.split(x["masked"], _MASKED, -1).alias("gaps"), _once(x["hits"], _dealt).alias("dealt"))
 
     def listed(x: Column) -> Column:
         steps = F.zip_with(F.slice(x["gaps"], 1, F.size(x["words"])), x["words"], lambda g, w: (F.length(g) + F.length(w)).cast("bigint"))
@@ -196,11 +199,11 @@ def _placed(masked: Column, hits: Column) -> Column:
 
     def found(x: Column) -> Column:
         lists = F.size(x["dealt"])
-        share = lambda h: F.get(F.filter(F.get(x["dealt"], F.pmod(h, lists).cast("int")), lambda y: y["term"] == h), F.lit(0))["share"]
-        each = F.zip_with(x["ends"], x["words"], lambda e, w: F.struct((e - F.length(w)).alias("start"), e.alias("end"), F.lit(len(KINDS)).alias("kind"), w.alias("term"), share(F.xxhash64(F.lower(w))).alias("share")))
+        share = lambda w: _once(F.xxhash64(F.lower(w)), lambda h: F.get(F.filter(F.get(x["dealt"], F.pmod(h, lists).cast("int")), lambda y: y["term"] == h), F.lit(0))["share"])
+        each = F.zip_with(x["ends"], x["words"], lambda e, w: F.struct((e - F.length(w)).alias("start"), e.alias("end"), F.lit(len(KINDS)).alias("kind"), w.alias("term"), share(w).alias("share")))
         return F.filter(each, lambda t: t["share"].isNotNull() & ~F.contains(t["term"], F.lit(MASK)))
 
-    return _once(cut, listed).cast(_ADDED)
+    return _once(F.struct(masked.alias("masked"), hits.alias("hits")), lambda x: _once(cut(x), listed)).cast(_ADDED)
 
 
 def _dealt(hits: Column) -> Column:
@@ -247,9 +250,11 @@ def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, re
     hits = own.unionByName(other).groupBy("copy", "term").agg(F.max("share").alias("share"))
     hits = written(hits.groupBy("copy").agg(F.collect_list(F.struct("term", "share")).alias("hits")), "hits")
     texts = rows.select("copy", "text").join(hits, "copy").dropDuplicates(["copy"]).join(per_text.select("copy", "spans"), "copy", "left")
+    # few bytes and much work: dealt to all tasks, and computed before any filter that would repeat it
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "copy")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,match:string>>")
-    added = texts.select("copy", _placed(_masked(F.col("text"), F.coalesce("spans", none)), F.col("hits")).alias("added")).where(F.size("added") > 0)
-    return spans, written(added, "added")
+    added = texts.select("copy", _placed(_masked(F.col("text"), F.coalesce("spans", none)), F.col("hits")).alias("added"))
+    return spans, written(added, "added").where(F.size("added") > 0)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE, elsewhere: float = ELSEWHERE) -> DataFrame:
