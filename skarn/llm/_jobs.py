@@ -36,7 +36,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None, row_group_bytes: int | None = None) -> DataFrame:
     """Cut the lineage: write the rows as Parquet in the shared folder and read them.
 
     A lost executor then costs a re-read of files, not a re-run of what came before.
@@ -46,7 +46,7 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group_bytes) if row_group_bytes else df.write).parquet(path)
     release(spark)
     out = spark.read.schema(schema).parquet(path)
     _places[id(out)] = (weakref.ref(out), path)

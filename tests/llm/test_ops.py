@@ -450,11 +450,59 @@ def test_language_model(spark, docs, odd):
         want = sorted((i is not None, i or 0, held(i), len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.5) / norm) for x in w), 6)) for i, t in rows for w in [[*re.findall(SPACED, low(t)), None]])
         assert sorted((r.doc_id is not None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 for r in got)
-    table = lm_score.Parameters.start(np.zeros(lm_score.CLASSES), 1).table()
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(axis=2), 1, atol=1e-4)
     assert lm_score.score_corpus(odd.limit(0)).count() == 0
 
 
+def test_language_model_adds_up(spark):
+    """After any two words the probabilities of all words, the end and one unseen word are one in sum."""
+    g = np.random.default_rng(1)
+    names = [f"w{k}" for k in range(300)]
+    text = " ".join(names[k] for k in np.minimum(g.zipf(1.3, 4000), 300) - 1)
+    rows = spark.createDataFrame([(k, text[k * 500 :]) for k in range(4)], "doc_id bigint, text string")
+    model, counts = lm_score.fit(rows, min_count=5)
+    counts = {np.uint64(r.h & (2**64 - 1)): r.c for r in counts.collect()}
+    assert model.v == sum(c >= 5 for c in counts.values()) and model.rare >= 3
+    ids = np.arange(model.v)
+    for far, last in ((0, 1), (model.end, model.end), (3, model.v + 17)):
+        seq = np.concatenate([[far, last, k] for k in [*ids, model.v, model.end]]).astype(np.int32)
+        p = 10.0 ** lm_score.log_probabilities(model, seq, np.array([0]))[2::3] if far != model.end else 10.0 ** lm_score.log_probabilities(model, seq[2::3], np.arange(len(ids) + 2))
+        assert abs(p.sum() - 1) < 1e-4
+    few = [c for c in counts.values() if c < 5]
+    assert sum(few) == model.rare_total and abs((sum(few) + 0.5 * (len(few) + 1)) - model.rare_norm()) < 1e-9
+
+
+def test_language_model_learns_order(spark):
+    """Held-out texts whose words follow a planted order are likelier than by their frequencies alone; runs agree."""
+    g = np.random.default_rng(2)
+    follow = g.permutation(400)
+    texts = []
+    for k in range(1000):
+        w = [int(g.integers(400))]
+        for _ in range(300):
+            w.append(int(follow[w[-1]]) if g.random() < 0.8 else int(g.integers(400)))
+        texts.append((k, " ".join(f"v{x}" for x in w)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(1)
+    first = {r.doc_id: r for r in lm_score.score_corpus(df).collect()}
+    held = [r for r in first.values() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.5, gain
+    again = {r.doc_id: r.score for r in lm_score.score_corpus(df).collect()}
+    assert all(abs(again[k] - r.score) < 1e-9 for k, r in first.items())
+
+
+@pytest.mark.parametrize("most", [100, 1000, 6000])
+def test_frequent_words_of_a_flat_corpus(spark, most):
+    """Words of one count only: about as many as asked for have embeddings, never more, none by chance."""
+    g = np.random.default_rng(3)
+    rows = [(int(h), 7) for h in g.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)] + [(1, 90), (5, 80)]
+    counts = spark.createDataFrame(rows, "h bigint, c bigint")
+    h, c = lm_score._frequent(counts, most)
+    assert len(h) == len(set(h.tolist())) and min(most, 5002) * 0.9 <= len(h) <= most and {90, 80} <= set(c.tolist())
+    model = lm_score.Model(h, c, 3, 5000 * 7 + 170, 5002, 5, 1)
+    place, known = model.place(np.concatenate((h, h + np.uint64(1))))
+    assert known[: len(h)].all() and (model.hashes[place[: len(h)]] == h).all() and not known[len(h) :].any() and model.v == len(h)
+
+
 def auc(s, y):
     a, b = [x for x, k in zip(s, y, strict=True) if k], [x for x, k in zip(s, y, strict=True) if not k]
     return sum((x > z) + (x == z) / 2 for x in a for z in b) / max(len(a) * len(b), 1)
