@@ -517,6 +517,20 @@ def test_quality_classifier(spark, odd):
     assert quality_classifier.classify(odd, spark.createDataFrame([(k, k % 2, 0) for k in range(2, 9)], "doc_id bigint, quality int, toxic int")).count() == len(ODD)
 
 
+def test_empty_tables(spark, odd):
+    """No rows in, no rows out, for every operator and stage; the labels may be empty too."""
+    none = odd.limit(0)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality_classifier.classify(none, labels).count() == quality_classifier.classify(none, labels.limit(0)).count() == 0
+    assert quality_rules.measure(none).count() == 0 and quality_rules.keep_good(none).columns == odd.columns
+    assert quality_rules.keep_good(none).count() == 0
+    path = tokenizer_file("word_bpe_49k.json")
+    assert token_store.read_tokens(token_store.write_tokens(none, path, 1)).count() == 0
+    path = tokenizer_file("piece_bpe_32k.model")
+    coded = piece_codec.encode(none, path)
+    assert coded.count() == 0 and piece_codec.decode(coded, path).count() == 0
+
+
 def test_toxicity(spark, odd):
     r = random.Random(6)
     plain = [f"w{k}" for k in range(300)]
@@ -532,6 +546,24 @@ def test_toxicity(spark, odd):
     assert auc([x.score for x in got], [x.toxic for x in got]) > 0.95
     assert {x.score for x in toxicity.classify(odd, y.limit(0)).collect()} == {0.0}
     assert toxicity.classify(odd, y).count() == len(ODD)
+    assert toxicity.classify(d.limit(0), y).count() == 0 and toxicity.classify(d.limit(0), y.limit(0)).count() == 0
+    flagged = [x for x in toxicity.classify(d, y).join(y, "doc_id").where("held_out AND flagged").collect()]
+    assert sum(x.toxic for x in flagged) >= 20 and sum(not x.toxic for x in flagged) <= 3
+    few = toxicity.fit(d, y, max_bytes=20_000)
+    assert few.net.constant is None and toxicity.fit(d, y, max_bytes=10).net.constant is not None
+
+
+def test_toxicity_thresholds():
+    """Thresholds hold for clean documents the net has not seen, and need enough of them."""
+    g = np.random.default_rng(4)
+    seen, new = g.random(3000) ** 4, g.random(20_000) ** 4
+    at = toxicity.cut(seen, 0.995)
+    assert 0.002 < (new > at).mean() < 0.009
+    assert toxicity.cut(seen[:100], 0.995) is None and toxicity.cut(seen[:199], 0.995) == seen[:199].max() and toxicity.cut(seen[:0], 0.5) is None
+    langs = np.array(["en"] * 2500 + ["fr"] * 400 + [None] * 100, object)
+    m = toxicity.Model(toxicity.Net(), seen, np.zeros(3000, int), langs, 0.995)
+    assert set(m.by_lang) == {"en", "fr"} and m.by_lang["en"] > toxicity.cut(seen[:2500], 0.995)
+    assert toxicity.Model(toxicity.Net(), seen[:3], np.zeros(3, int), langs[:3], 0.995).by_lang == {}
 
 
 def test_pipeline(spark, tmp_path):
