@@ -14,13 +14,15 @@ Forward value of a prefix:
   when merged alone.  That test on pairs is remembered.
 
 The public 32k model is a BPE, so a walk for the best sum of scores would give other ids
-than the model defines; the BPE form of the forward value gives its ids exactly.
+than the model defines (the README has figures); the BPE form of the forward value gives its
+ids exactly.
 
 Words never join: no piece holds a mark after another character (checked on loading).
 Characters outside the vocabulary become their bytes' pieces.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a text
-that holds the mark character itself decodes with spaces instead.
+that holds the mark character itself decodes with spaces instead; repeated rows are encoded
+one each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

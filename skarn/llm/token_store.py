@@ -15,13 +15,19 @@ Layout (little-endian)::
                    | document lengths u32
 
 ``write_tokens`` deals texts by range of doc_id, so that file order is id order, and each
-task encodes its texts once.  Words are encoded once per worker and remembered: the public
-tokenizer drops white space and never joins across it, so the ids of a text are those of
-its white-space-separated parts (``remember`` bounds how many are kept; others are just
-encoded again).
+task encodes its texts once.  Its manifest has one row per segment with its place in the
+file, so ``read_tokens`` deals segments: a reader takes a range of bytes and decodes the
+segment's blocks side by side, and a file of many segments is read by many tasks.
+
+Words are encoded once per worker and remembered: a tokenizer that drops white space and
+never joins across it gives a text the ids of its white-space-separated parts (``remember``
+bounds how many are kept; others are just encoded again).  Whether the given tokenizer is
+of that kind is tried on probes, and again on the first text of each chunk; one that is not
+encodes whole texts.
 
 Defined results: a null or empty text has only the end id; equal ids (and null, which
-come first) are ordered by text, ties between equal rows do not matter.
+come first) are ordered by text, ties between equal rows do not matter; an empty table gives
+no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ from ._known import Known
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
 SEGMENT_IDS = 2_000_000
-MANIFEST = "part bigint, file string, segments bigint, docs bigint, ids bigint"
+MANIFEST = "part bigint, segment bigint, file string, at bigint, bytes bigint, side_at bigint, side_bytes bigint, docs bigint, ids bigint"
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -130,14 +136,6 @@ class Segment:
         self.end = at + 4 * total
         self.checkpoints = np.concatenate(([0], np.cumsum(self.used.astype(np.int64))))
 
-    @staticmethod
-    def words_of(raw: bytes) -> int:
-        """How many words follow a header."""
-        h = zlib.decompress(raw[12:])
-        n, block, k, _ = struct.unpack_from("<4I", h)
-        blocks = -(-n // block)
-        return int(np.frombuffer(h, "<u4", blocks, 16 + 8 * k + 8 * blocks).sum())
-
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids of blocks first .. last (exclusive), checked against their sums."""
         last = self.blocks if last is None else last
@@ -175,6 +173,8 @@ class Segment:
         return ids
 
 
+_PROBES = ["it's", "Don't", "a.b", "x1y22", "中文ab", "naïve,", "--", "<|endoftext|>", "é́", "don", "'t", "12", "3", "İs", "a_b", "!?"]
+
 #: A word of letters with ASCII punctuation after it: the two are pieces of their own.
 _PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)\Z")
 
@@ -197,6 +197,19 @@ class Encoder:
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(n)])
         self.known = Known(remember)
         self.pieces: dict[str, np.ndarray] = {}
+        self.by_words = self._splits_at_white_space()
+
+    def _splits_at_white_space(self) -> bool:
+        """On the probes, any text has the ids of its words one after another."""
+        each = self._whole(_PROBES)
+        for space in (" ", "  ", "\n", "\t", "\r\n", "\x0b\x0c"):
+            for edge in ("", space):
+                for k in range(len(_PROBES)):  # every word follows every other
+                    turned = [*range(k, len(_PROBES)), *range(k)][:: 1 if k % 2 else -1]
+                    text = edge + space.join(_PROBES[i] for i in turned) + edge
+                    if not np.array_equal(self._whole([text])[0], np.concatenate([each[i] for i in turned])):
+                        return False
+        return not self._whole(["", " ", "\n\t "])[0].size and all(np.array_equal(a, b) for a, b in zip(self.words(_PROBES), each, strict=True))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -224,8 +237,16 @@ class Encoder:
         w = T.words(c, T.SPACED)
         if len(self.pieces) > 400_000:
             self.pieces = {}
+        if not self.by_words:
+            whole = self._whole([c.text(int(a), int(b)).decode() for a, b in zip(c.borders[:-1], c.borders[1:], strict=True)])
+            return np.concatenate([np.zeros(0, np.uint32), *whole]), np.array([len(x) for x in whole], np.int64)
         ids, size = self.known.ids(w.hash, lambda new: self.words([c.text(int(w.starts[i]), int(w.ends[i])).decode() for i in new]))
-        return ids, np.bincount(w.doc, weights=size, minlength=c.n).astype(np.int64)
+        counts = np.bincount(w.doc, weights=size, minlength=c.n).astype(np.int64)
+        first = int(np.flatnonzero(w.counts)[0]) if len(w.hash) else 0
+        if counts.any() and not np.array_equal(ids[counts[:first].sum() : counts[: first + 1].sum()], self._whole([c.text(int(c.borders[first]), int(c.borders[first + 1])).decode()])[0]):
+            self.by_words = False
+            return self.encode(c)
+        return ids, counts
 
     def encode_texts(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Chunk by chunk (first row, ids with the end id after each text, ids per text)."""
@@ -245,9 +266,9 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", base: str | None = None, segment_ids: int = SEGMENT_IDS, block: int = 2048) -> DataFrame:
-    """Encode all texts and write the files; the manifest (one row per file) comes back.
+    """Encode all texts and write the files; the manifest (one row per segment) comes back.
 
-    The documents' ids go to a file beside it, one Arrow batch per segment.
+    The documents' ids go to a file beside it, one Arrow stream per segment.
     """
     spark = docs.sparkSession
     base = base or fresh_dir(spark, "tokens")
@@ -261,46 +282,50 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         enc = encoder(tokenizer)
         name = f"{base}/{uuid.uuid4().hex}.rans"
         fs, path = pafs.FileSystem.from_uri(name)
-        out = side = None
-        segments = n_docs = n_ids = 0
-        held, lengths, doc_ids, size = [], [], [], 0
+        files: list = []
+        at = [0, 0]
+        held, lengths, doc_ids, size, segments = [], [], [], 0, 0
 
-        def flush() -> None:
+        def flush() -> pa.RecordBatch:
             nonlocal held, lengths, doc_ids, size, segments
-            if held:
-                out.write(encode(np.concatenate(held), np.concatenate(lengths), block))
-                side.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids)], ["doc_id"]))
-                segments += 1
+            ids, counts = np.concatenate(held), np.concatenate(lengths)
+            side = pa.BufferOutputStream()
+            column = pa.concat_arrays(doc_ids)
+            with pa.ipc.new_stream(side, pa.schema([("doc_id", column.type)])) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([column], ["doc_id"]))
+            raw = [encode(ids, counts, block), side.getvalue().to_pybytes()]
+            if not files:
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                files.extend(fs.open_output_stream(path + x, compression=None) for x in ("", ".ids"))
+            row = {"part": TaskContext.get().partitionId(), "segment": segments, "file": name, "at": at[0], "bytes": len(raw[0]), "side_at": at[1], "side_bytes": len(raw[1]), "docs": len(counts), "ids": len(ids)}
+            for i in (0, 1):
+                files[i].write(raw[i])
+                at[i] += len(raw[i])
+            segments += 1
             held, lengths, doc_ids, size = [], [], [], 0
+            return pa.RecordBatch.from_pylist([row])
 
+        listed = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                fs.create_dir(path.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(path, compression=None)
-                side_file = fs.open_output_stream(path + ".ids", compression=None)
-                side = pa.ipc.new_stream(side_file, pa.schema([("doc_id", b.schema.field(0).type)]))
-            for first, ids, counts in enc.encode_texts(b.column(1), end_id):
-                held.append(ids)
-                lengths.append(counts)
-                doc_ids.append(b.column(0).slice(first, len(counts)))
-                size += len(ids)
-                n_docs += len(counts)
-                n_ids += len(ids)
-                if size >= segment_ids:
-                    flush()
-        if out:
-            flush()
-            side.close()
-            side_file.close()
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": name, "segments": segments, "docs": n_docs, "ids": n_ids}])
+            if b.num_rows:
+                for first, ids, counts in enc.encode_texts(b.column(1), end_id):
+                    held.append(ids)
+                    lengths.append(counts)
+                    doc_ids.append(b.column(0).slice(first, len(counts)))
+                    size += len(ids)
+                    if size >= segment_ids:
+                        listed.append(flush())
+        if held:
+            listed.append(flush())
+        for f in files:
+            f.close()
+        yield from listed  # only when the file is whole
 
     manifest = written(arrow_stage(dealt, run, MANIFEST), "tokens-manifest")
-    # one row per file; file order is id order
-    manifest = manifest.withColumn("start", F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return manifest.withColumn("start", F.coalesce("start", F.lit(0).cast("bigint")))
+    # ids before a file (one row per file), and before a segment in its file
+    files = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return manifest.join(files.select("part", "before"), "part").withColumn("start", (F.col("before") + inside).cast("bigint")).drop("before")
 
 
 def read_tokens(manifest: DataFrame, id_type: str = "bigint", ids: bool = False) -> DataFrame:
@@ -308,31 +333,25 @@ def read_tokens(manifest: DataFrame, id_type: str = "bigint", ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, at, size, side_at, side_size, start in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
                 fs, path = pafs.FileSystem.from_uri(name)
-                with fs.open_input_file(path) as f, fs.open_input_stream(path + ".ids", compression=None) as g:
-                    side = pa.ipc.open_stream(g)
-                    size, at = f.size(), 0
-                    for doc_ids in side:
-                        # a segment's length is known once its header is read
-                        f.seek(at)
-                        head = f.read(12)
-                        raw = head + f.read(struct.unpack_from("<I", head, 4)[0])
-                        words = 4 * int(Segment.words_of(raw))
-                        seg = Segment(raw + f.read(words))
-                        at += len(raw) + words
-                        got = seg.ids()
-                        to = np.cumsum(seg.lengths.astype(np.int64))
-                        begin = to - seg.lengths
-                        pieces = [got[x:y].astype("<u4").tobytes() for x, y in zip(begin, to, strict=True)]
-                        cols = [doc_ids.column(0), pa.array(begin + start), pa.array(seg.lengths.astype(np.int64)), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
-                        if ids:
-                            cols.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in pieces], pa.list_(pa.int32())))
-                        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
-                        start += len(got)
-                    if at != size:
-                        raise ValueError("the file has more than its documents")
+                with fs.open_input_file(path) as f, fs.open_input_file(path + ".ids") as g:
+                    f.seek(at)
+                    seg = Segment(f.read(size))
+                    g.seek(side_at)
+                    doc_ids = pa.ipc.open_stream(g.read(side_size)).read_all().column(0).combine_chunks()
+                if seg.end != size or len(doc_ids) != len(seg.lengths):
+                    raise ValueError("the segment has more than its documents")
+                got = seg.ids().astype("<u4")
+                raw = memoryview(got.tobytes())
+                to = np.cumsum(seg.lengths.astype(np.int64))
+                begin = to - seg.lengths
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(begin.tolist(), to.tolist(), strict=True)]
+                cols = [doc_ids, pa.array(begin + start), pa.array(seg.lengths.astype(np.int64)), pa.array(crc, pa.int64())]
+                if ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], to)).astype(np.int32)), pa.array(got.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
-    return arrow_stage(manifest.select("file", "start").repartition(n, "file"), run, schema)
+    return arrow_stage(manifest.select("file", "at", "bytes", "side_at", "side_bytes", "start").repartition(n, "file", "at"), run, schema)

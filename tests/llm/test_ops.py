@@ -130,12 +130,36 @@ def test_token_store(spark, odd):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == [(b, a, c, d) for a, b, c, d in want]
+    assert token_store.Encoder(path).by_words
+    long = spark.createDataFrame([(k, f"{k} " + LONG) for k in range(40)], "doc_id bigint, text string")
+    listed = token_store.write_tokens(long, path, 1, segment_ids=20)
+    assert listed.count() > listed.select("file").distinct().count()  # several segments of one file, each read alone
+    got, start = token_store.read_tokens(listed).orderBy("start").collect(), 0
+    for k, r in enumerate(got):
+        assert (r.doc_id, r.start) == (k, start) and r.n_tokens > 30_000
+        start += r.n_tokens
     words = ["it's I'M", "x<|endoftext|>y", "é ́a b 　c\x85d \x1c e", "İ ß ² a_b", "中文ab abc,,, É!!"]
     e = token_store.Encoder(path)
     out = [x for _, ids, counts in e.encode_texts(pa.array(words), 1) for x in np.split(ids, np.cumsum(counts)[:-1])]
     assert [x[:-1].tolist() for x in out] == [t.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_tokenizer_that_joins_over_white_space(spark, odd):
+    """Ids of a byte-level tokenizer, whose words take in the space before them, are the library's too."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    assert not token_store.Encoder(path).by_words
+    t = Tokenizer.from_file(path)
+    got = token_store.read_tokens(token_store.write_tokens(odd, path, 1), ids=True).collect()
+    want = collections.Counter((i, *t.encode(x or "", add_special_tokens=False).ids, 1) for i, x in ODD)
+    assert collections.Counter((r.doc_id, *r.ids) for r in got) == want
+    e = token_store.Encoder(tokenizer_file("word_bpe_49k.json"))
+    e.words = lambda words: [np.zeros(1, np.uint32) for _ in words]  # a wrong word is noticed on the next chunk
+    ids, _ = e.encode(next(T.chunks(pa.array(["one two"]))))
+    assert not e.by_words and len(ids) == 2 and ids.all()
+
+
 def test_pieces(spark, odd):
     import sentencepiece
 
@@ -152,7 +176,31 @@ def test_pieces(spark, odd):
     assert all(r.round_trip for r in coded.collect())
     back = collections.Counter((r.doc_id, r.text) for r in piece_codec.decode(coded, path).collect())
     assert back == collections.Counter((i, t or "") for i, t in ODD)
-    assert piece_codec.Pieces(path, unigram=True)._words(["▁the"])[0].size >= 1
+
+
+def test_pieces_by_viterbi():
+    """The unigram walk finds a segmentation of the best sum of scores, as trying all of them does."""
+    codec = piece_codec.Pieces(tokenizer_file("piece_bpe_32k.model"), unigram=True)
+    r = random.Random(8)
+    words = ["▁" * r.randint(0, 2) + "".join(r.choice("therinaes🎉é") for _ in range(r.randint(1, 9))) for _ in range(300)]
+
+    def best(w):
+        if not w:
+            return 0.0
+        return max(codec.score.get(w[:k], -1e9) + best(w[k:]) for k in range(1, len(w) + 1) if k == 1 or w[:k] in codec.score)
+
+    for w, ids in zip(words, codec._words(words), strict=True):
+        pieces, at = [], 0
+        for i in ids.tolist():  # bytes' pieces stand for a character outside the vocabulary
+            pieces.append(codec.names[i])
+        total, at = 0.0, 0
+        k = 0
+        while k < len(pieces):
+            if pieces[k] in codec.score:
+                total, at, k = total + codec.score[pieces[k]], at + len(pieces[k]), k + 1
+            else:
+                total, k, at = total - 1e9, k + len(w[at].encode()), at + 1
+        assert at == len(w) and abs(total - best(w)) < 1e-6 * max(1, abs(total)), (w, pieces)
 
 
 def components_by_force(rows, size, percent):
