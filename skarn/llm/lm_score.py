@@ -17,7 +17,7 @@ Training.  Each task trains on its part of the whole training corpus with noise-
 estimation: noise classes are drawn by frequency and shared by a minibatch, noise words
 evenly from the target's class.  All starts from the smoothed frequencies.  After each
 round the parameters are averaged in Spark, row by row and weighted by how often a task
-has used a row, in a tree: blocks of rows of some tasks are added up, then those sums.
+has used a row, in a tree: blocks of rows of some tasks are averaged, then those means.
 
 Scoring.  Matrix products over blocks of tokens give the normalised log-probabilities.
 Words beyond the table of the most frequent ones meet their counts in a join.
@@ -59,7 +59,8 @@ INDEX_BITS = 20
 #: Rows of parameters that are averaged together, and tasks in the first step of the tree.
 BLOCK = 4096
 FAN = 32
-#: Bytes of a row group of training tokens, so that even one file is trained on by many tasks.
+#: Chunks (of a megabyte of text) that one training task takes, and bytes of a row group of them.
+TASK_CHUNKS = 64
 GROUP_BYTES = 4 << 20
 
 
@@ -265,20 +266,21 @@ class Training:
         rows = np.flatnonzero(self.used)
         for b in np.unique(rows // BLOCK).tolist():
             at = rows[rows // BLOCK == b]
-            yield b, pack((at - b * BLOCK).astype(np.int32), self.used[at].astype(np.float64), self.flat[at] * self.used[at, None].astype(np.float64))
+            yield b, pack(at - b * BLOCK, self.used[at], self.flat[at] - self.m.flat[at])
 
 
-def pack(at: np.ndarray, n: np.ndarray, sums: np.ndarray) -> bytes:
-    return at.astype("<i4").tobytes() + n.astype("<f8").tobytes() + sums.astype("<f4").tobytes()
+def pack(at: np.ndarray, n: np.ndarray, mean: np.ndarray) -> bytes:
+    """Rows of a block, how often they were used, and how far they have moved (halves are exact enough for that)."""
+    return at.astype("<u2").tobytes() + n.astype("<f4").tobytes() + mean.astype("<f2").tobytes()
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = len(raw) // (12 + 4 * (WIDTH + 1))
-    return np.frombuffer(raw, "<i4", k), np.frombuffer(raw, "<f8", k, 4 * k), np.frombuffer(raw, "<f4", k * (WIDTH + 1), 12 * k).reshape(k, WIDTH + 1)
+    k = len(raw) // (6 + 2 * (WIDTH + 1))
+    return np.frombuffer(raw, "<u2", k), np.frombuffer(raw, "<f4", k, 2 * k).astype(np.float64), np.frombuffer(raw, "<f2", k * (WIDTH + 1), 6 * k).reshape(k, WIDTH + 1).astype(np.float64)
 
 
 def _added(parts: DataFrame, key: list[str]) -> DataFrame:
-    """Packed sums (block, task, raw) of equal keys added up, in order of task."""
+    """Packed means (block, task, raw) of equal keys, weighted by use, in order of task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, sums, first = None, None, None, 0
@@ -286,16 +288,16 @@ def _added(parts: DataFrame, key: list[str]) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             if now is not None:
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([first], pa.int64()), pa.array([pack(at, n[at], sums[at])], pa.binary())], ["block", "task", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([first], pa.int64()), pa.array([pack(at, n[at], sums[at] / n[at, None])], pa.binary())], ["block", "task", "raw"])
 
         for b in batches:
             for *k, task, raw in zip(*[b.column(i).to_pylist() for i in range(len(key) + 2)], strict=True):
                 if k != now:
                     yield from done()
                     now, n, sums, first = k, np.zeros(BLOCK), np.zeros((BLOCK, WIDTH + 1)), task
-                at, more, values = unpack(raw)
+                at, more, mean = unpack(raw)
                 n[at] += more
-                sums[at] += values
+                sums[at] += more[:, None] * mean
         yield from done()
 
     cols = [F.col("block"), *([F.expr(f"task div {FAN}").alias("fan")] if "fan" in key else [])]
@@ -400,8 +402,8 @@ def _round(sequences: DataFrame, model: Model, seed: int) -> None:
     made = arrow_stage(sequences, run, "block int, task bigint, raw binary")
     got = _added(_added(made, ["block", "fan"]), ["block"]).toArrow()  # as many rows as the model has blocks
     for block, raw in zip(got.column("block").to_pylist(), got.column("raw").to_pylist(), strict=True):
-        at, n, sums = unpack(raw)
-        model.flat[at + block * BLOCK] = sums / n[:, None]
+        at, _, mean = unpack(raw)
+        model.flat[at.astype(np.int64) + block * BLOCK] += mean.astype(np.float32)
     spread.destroy()
 
 
@@ -411,8 +413,10 @@ def fit(rows: DataFrame, rounds: int = 1, seed: int = 3, min_count: int = MIN_CO
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     model = Model(*_frequent(counts, max_words), rows.count(), total.n or 0, total.v, min_count, seed)
     sequences = written(_sequences(rows, model), "sequences", row_group_bytes=GROUP_BYTES)
+    # as much text to a task whatever the corpus; partitions are joined, not moved
+    tasks = sequences.coalesce(max(1, -(-sequences.count() // TASK_CHUNKS)))
     for k in range(rounds):
-        _round(sequences, model, seed + 1000 * k)
+        _round(tasks, model, seed + 1000 * k)
     discard(sequences)
     return model, counts
 
