@@ -18,8 +18,8 @@ class Collection:
     ``chunks`` and ``vectors`` share the column ``id``; vectors have ``vector``.
     """
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, statistics: DataFrame | None = None, edges: DataFrame | None = None, inheritance: DataFrame | None = None):
-        self.chunks, self.vectors, self.edges, self.inheritance = chunks, vectors, edges, inheritance
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, statistics: DataFrame | None = None, edges: DataFrame | None = None, inheritance: DataFrame | None = None, post: DataFrame | None = None):
+        self.chunks, self.vectors, self.edges, self.inheritance, self.post = chunks, vectors, edges, inheritance, post
         self.statistics = stats.as_mapping(statistics) if statistics is not None else None
 
     def _filtered(self, df: DataFrame, params: Mapping | None, spec, default: str | None, level: str | None) -> DataFrame:
@@ -39,9 +39,15 @@ class Collection:
         _, preset = rank.resolve_mode(rerank)
         rows = self._filtered(self.chunks, params, filter, preset.filter if preset else None, None)
         kept = self.vectors.join(rows.select("id"), "id", "left_semi").withColumnRenamed("vector", "embedding")
-        fused = retrieval.hybrid(rows.withColumnRenamed("content", "text"), kept, text, query, rank.fetch_size(limit), dense_weight, "id", "id")
+        post = self.post.join(rows.select("id"), "id", "left_semi") if self.post is not None else None
+        fused = retrieval.hybrid(rows.withColumnRenamed("content", "text"), kept, text, query, rank.fetch_size(limit), dense_weight, "id", "id", post)
         return self._ranked(rows.join(fused, "id"), rerank, limit, 0, None, text, preset)
 
+    def find_similar_text(self, code: str, limit: int = 10, rerank=None, width: int = 64) -> DataFrame:
+        """Chunks like a block of code, by the hashed embedding of its text."""
+        q = self.chunks.sparkSession.createDataFrame([(code,)], "t string").select(retrieval.hashed_embedding("t", width).alias("v")).first().v
+        return self.find_similar([q], limit=limit, rerank=rerank)
+
     def find_similar(self, positive: Sequence[Sequence[float]], negative: Sequence[Sequence[float]] = (), strategy: str = "best_score", limit: int = 10, rerank=None) -> DataFrame:
         hits = retrieval.recommend(self.chunks.join(self.vectors, "id"), positive, negative, strategy, rank.fetch_size(limit), vec_col="vector", id_col="id")
         return self._ranked(hits, rerank, limit, 0, None, None, rank.resolve_mode(rerank)[1])
@@ -76,8 +82,20 @@ class Collection:
     def callers(self, symbol: str, limit: int = graph.CALLERS_LIMIT) -> DataFrame:
         return graph.callers(self.edges, self.inheritance, symbol, limit)
 
-    def trace_path(self, start: str, end: str, depth: int = graph.TRACE_DEPTH, limit: int = graph.TRACE_PATHS) -> DataFrame:
-        return graph.paths(self.edges, start, end, depth, limit, "source_symbol_id", "target_symbol_id")
+    def callees(self, symbol: str, limit: int = graph.CALLERS_LIMIT) -> DataFrame:
+        known = self.chunks.select(F.col("symbolId").alias("symbol_id"), F.col("relativePath").alias("rel_path")).where("symbol_id IS NOT NULL").distinct()
+        return graph.callees(self.edges, self.inheritance, known, symbol, limit)
+
+    def trace_path(self, start: str, end: str, depth: int = graph.TRACE_DEPTH, limit: int = graph.TRACE_PATHS, rerank=None) -> DataFrame:
+        """Simple paths of calls; with a preset or weights, by the worst of their steps' scores."""
+        found = graph.paths(self.edges, start, end, depth, limit, "source_symbol_id", "target_symbol_id")
+        if rerank is None:
+            return found
+        weights, _ = rank.resolve_mode(rerank)
+        weights.pop("similarity", None)
+        steps = self.chunks.join(found.select(F.explode("path").alias("symbolId")).distinct(), "symbolId", "left_semi").withColumn("score", F.lit(0.0))
+        scored = rank.score(steps, {"custom": weights}, self.statistics).groupBy(F.col("symbolId").alias("node")).agg(F.max("rank_score").alias("rank_score"))
+        return graph.danger(found, scored)
 
     @staticmethod
     def meta_only(df: DataFrame) -> DataFrame:

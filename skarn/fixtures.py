@@ -58,9 +58,10 @@ SELECT n_name AS language, CASE n_nationkey % 3 WHEN 0 THEN 'chain' WHEN 1 THEN
   n_nationkey % 4 AS external_skipped, n_nationkey % 3 AS unresolvable, n_nationkey % 5 AS no_in_project_def, n_nationkey % 7 AS ambiguous_fanout, n_nationkey % 2 AS core_ambiguous FROM nation"""
 
 # ranges of lines per order, and single lines in them
-RANGES = "SELECT DISTINCT l_orderkey % 500 AS file, l_partkey AS chunk_id, l_partkey % 80 AS start_line, l_partkey % 80 + l_linenumber * 9 AS end_line, l_linenumber AS depth FROM lineitem WHERE l_linenumber < 4"
-POINTS = "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_discount) AS point_id, l_orderkey % 500 AS file, (l_partkey * 7 + l_suppkey) % 120 AS line, 'w' || CAST(l_suppkey % 9 AS STRING) AS author FROM lineitem WHERE l_linenumber = 1"
-HUNKS = "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_discount) AS hunk_id, l_orderkey % 500 AS file, l_suppkey % 100 AS hunk_start, l_suppkey % 100 + l_linenumber AS hunk_end FROM lineitem WHERE l_linenumber = 2"
+_LINE_KEY = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
+RANGES = "SELECT DISTINCT l_orderkey % 5000 AS file, l_partkey AS chunk_id, l_partkey % 80 AS start_line, l_partkey % 80 + l_linenumber * 9 AS end_line, l_linenumber AS depth FROM lineitem"
+POINTS = f"SELECT DISTINCT {_LINE_KEY} AS point_id, l_orderkey % 5000 AS file, (l_partkey * 7 + l_suppkey) % 120 AS line, 'w' || CAST(l_suppkey % 9 AS STRING) AS author FROM lineitem"
+HUNKS = f"SELECT DISTINCT {_LINE_KEY} AS hunk_id, l_orderkey % 5000 AS file, l_suppkey % 100 AS hunk_start, l_suppkey % 100 + l_linenumber AS hunk_end FROM lineitem"
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:

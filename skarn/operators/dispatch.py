@@ -15,13 +15,16 @@ def first_verdict(verdicts: DataFrame, call: str = "call_id") -> DataFrame:
     """The outcome of an ordered chain per call.
 
     verdicts: call_id, priority, verdict (resolved, deferred, drop, continue), target.  The
-    first resolved or drop decides; without either, the first deferred target does.
+    first resolved or drop ends the chain.  A resolved target counts; a drop, or a chain
+    without either, leaves the first deferred target before its end, if any.
     """
     stop = F.min(F.when(F.col("verdict").isin("resolved", "drop"), F.struct("priority", "verdict", "target")))
-    parked = F.min(F.when(F.col("verdict") == "deferred", F.struct("priority", "verdict", "target")))
+    parked = F.min(F.when(F.col("verdict") == "deferred", F.struct("priority", "target")))
     out = verdicts.groupBy(call).agg(stop.alias("stop"), parked.alias("parked"))
-    chosen = F.coalesce("stop", "parked")
-    return out.select(call, F.when(chosen.isNull(), "unresolved").when(chosen["verdict"] == "drop", "dropped").otherwise("resolved").alias("outcome"), F.when(chosen["verdict"] != "drop", chosen["target"]).alias("target"))
+    early = F.when(F.col("parked").isNotNull() & (F.col("stop").isNull() | (F.col("parked.priority") < F.col("stop.priority"))), F.col("parked.target"))
+    hit = F.col("stop.verdict").eqNullSafe("resolved")
+    outcome = F.when(hit | early.isNotNull(), "resolved").when(F.col("stop").isNotNull(), "dropped").otherwise("unresolved")
+    return out.select(call, outcome.alias("outcome"), F.when(hit, F.col("stop.target")).otherwise(early).alias("target"))
 
 
 def first_component(edges: DataFrame, call: str = "call_id", order: str = "component") -> DataFrame:
@@ -86,10 +89,15 @@ def cone(calls: DataFrame, inheritance: DataFrame, symbols: DataFrame, instantia
     return few.unionByName(base)
 
 
-def is_external(receiver: Column, member: Column, names: DataFrame) -> Column:
-    """Whether a bare or qualified call names an entry of a vocabulary of bounded size."""
-    known = [r[0] for r in names.limit(10_000).collect()]  # vocabularies are short lists kept in the code
-    return F.when(receiver.isNull(), member.isin(known)).otherwise(F.concat(receiver, F.lit("."), member).isin(known) | receiver.isin(known))
+def external_calls(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """Calls (receiver, member) with ``external``: whether they name an entry of a vocabulary (one column).
+
+    A bare call is looked up by its member, another by its receiver and by both together.
+    """
+    known = names.select(F.col(names.columns[0]).alias("_name")).distinct()
+    at = F.explode(F.when(F.col("receiver").isNull(), F.array("member")).otherwise(F.array("receiver", F.concat("receiver", F.lit("."), "member"))))
+    hits = calls.select("call_id", at.alias("_name")).join(known, "_name", "left_semi").select("call_id").distinct().withColumn("external", F.lit(True))
+    return calls.join(hits, "call_id", "left").withColumn("external", F.coalesce("external", F.lit(False)))
 
 
 def miss(calls: DataFrame, definitions: DataFrame, core: list[str] = ()) -> DataFrame:

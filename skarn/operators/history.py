@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -148,6 +148,27 @@ def with_fix(commits: DataFrame) -> DataFrame:
     return commits.join(branch, "sha", "left").withColumn("is_fix", F.coalesce("_branch", F.lit(False)) | is_fix("body")).drop("_branch")
 
 
+def shift(ranges: Iterable[list[int]], hunks: Iterable[tuple[int, int, int]]) -> None:
+    """Ranges [start, end] moved back over a commit's hunks (old lines, new start, new lines), in place.
+
+    From the last hunk to the first: a range wholly below a hunk moves by its change in
+    length, one that holds the whole hunk shrinks or grows by it, others stay.  In the end
+    no range begins before line 1 or ends before it begins.
+    """
+    ranges = list(ranges)
+    for old_lines, start, new_lines in sorted(hunks, key=lambda h: -h[1]):
+        delta, last = new_lines - old_lines, start + max(new_lines - 1, 0)
+        for r in ranges if delta else ():
+            if r[0] > last:
+                r[0] -= delta
+                r[1] -= delta
+            elif start >= r[0] and last <= r[1]:
+                r[1] -= delta
+    for r in ranges:
+        r[0] = max(r[0], 1)
+        r[1] = max(r[1], r[0])
+
+
 def walk_hunks(hunks: DataFrame, chunks: DataFrame) -> DataFrame:
     """Touches of chunks by hunks, walking each file's commits from newest to oldest.
 
@@ -162,23 +183,16 @@ def walk_hunks(hunks: DataFrame, chunks: DataFrame) -> DataFrame:
         ranges = {r.chunk_id: [int(r.start_line), int(r.end_line)] for r in right.itertuples()}
         out = []
         for (_, sha), part in sorted(left.groupby(["ts", "id"]), key=lambda x: (-x[0][0], x[0][1])):
-            part = part.sort_values("new_start")
+            part = part.sort_values("new_start", kind="stable")
             for h in part.itertuples():
-                last = h.new_start + max(h.new_lines, 1) - 1
+                last = h.new_start + max(h.new_lines - 1, 0)
                 for chunk, (a, b) in ranges.items():
                     if h.new_start <= b and last >= a:
                         overlap = min(last, b) - max(h.new_start, a) + 1
                         added = min(overlap, h.new_lines)
                         deleted = int(h.old_lines * overlap / max(h.new_lines, 1) + 0.5)
                         out.append((h.file, chunk, str(sha), h.author, int(h.ts), bool(h.is_fix), int(added), deleted))
-            for h in part.iloc[::-1].itertuples():
-                delta = h.new_lines - h.old_lines
-                for r in ranges.values():
-                    if r[0] > h.new_start + h.new_lines - 1:
-                        r[0] -= delta
-                        r[1] -= delta
-                    elif r[1] >= h.new_start + h.new_lines - 1:
-                        r[1] = max(r[0], r[1] - delta)
+            shift(ranges.values(), list(part[["old_lines", "new_start", "new_lines"]].itertuples(index=False)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return hunks.groupBy("file").cogroup(chunks.groupBy("file")).applyInPandas(lambda k, a, b: fold(k, a, b), schema)

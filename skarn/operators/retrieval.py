@@ -43,12 +43,19 @@ def vector_of(df: DataFrame, id_value, vec_col: str = "embedding", id_col: str =
     return [float(x) for x in row[0]]
 
 
-def quantised(df: DataFrame, query: Sequence[float], limit: int, oversample: float = 2.0, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Search on vectors of 8-bit integers, then rescore the best of them exactly."""
+def coded(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(id, codes): each vector as 8-bit integers of its largest component, to be stored."""
     scale = F.array_max(F.transform(vec_col, lambda x: F.abs(x))).cast("double")
-    codes = F.transform(vec_col, lambda x: F.round(x / F.when(scale > 0, scale) * 127).cast("tinyint"))
-    rough = dense(df.withColumn("_codes", codes), query, int(limit * oversample), None, "_codes", id_col, digits=None)
-    return dense(rough.drop("_codes", "score"), query, limit, None, vec_col, id_col)
+    return df.select(id_col, F.transform(vec_col, lambda x: F.round(x / F.when(scale > 0, scale) * 127).cast("tinyint")).alias("codes"))
+
+
+def quantised(df: DataFrame, codes: DataFrame, query: Sequence[float], limit: int, oversample: float = 2.0, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """Search on stored codes (an eighth of the bytes of doubles), then rescore the best exactly.
+
+    Only ``limit * oversample`` whole vectors are read, by their ids.
+    """
+    rough = dense(codes, query, int(limit * oversample), None, "codes", id_col, digits=None).select(id_col)
+    return dense(df.join(F.broadcast(rough), id_col, "left_semi"), query, limit, None, vec_col, id_col)  # at most limit * oversample ids
 
 
 class RecommendError(ValueError):
@@ -92,11 +99,38 @@ def grouped(df: DataFrame, query: Sequence[float], group_col: str, group_size: i
     return hits
 
 
+#: Partitions of stored postings; a query reads those of its buckets only.
+PARTS = 64
+
+
 def postings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, bucket, tf, length): the sparse form of each text."""
-    tokens = df.select(id_col, code_tokens(text_col).alias("tokens")).withColumn("length", F.size("tokens"))
-    counts = tokens.select(id_col, "length", F.explode("tokens").alias("token")).groupBy(id_col, "length", "token").agg(F.count("*").alias("n"))
-    return counts.select(id_col, "length", feature_hash("token").alias("bucket"), "n").groupBy(id_col, "length", "bucket").agg(F.sum("n").alias("tf"))
+    """(id, bucket, tf, length, part): the sparse form of each text, to be stored by ``part``.
+
+    Rows come sorted by bucket within a part, so that a reader skips most of a file too.
+    """
+    texts = df.select(id_col, text_col).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    tokens = texts.select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    counts = tokens.groupBy(id_col, "length", "token").agg(F.count("*").alias("n"))
+    hashed = counts.select("token").distinct().select("token", feature_hash("token").alias("bucket"))  # each token once
+    made = counts.join(hashed, "token").groupBy(id_col, "length", "bucket").agg(F.sum("n").alias("tf"))
+    return made.withColumn("part", (F.col("bucket") % PARTS).cast("int")).repartition("part").sortWithinPartitions("part", "bucket", id_col)
+
+
+def stored_sparse(post: DataFrame, n_docs: int, query: str, limit: int, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
+    """BM25 over stored postings of ``n_docs`` texts: as ``sparse``, without reading a text."""
+    weights = query_weights(post.sparkSession, query)
+    if not weights:
+        return post.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    hits = post.where(F.col("part").isin(sorted({b % PARTS for b in weights})) & F.col("bucket").isin(list(weights)))
+    return _scored(hits, hits.groupBy("bucket").agg(F.count("*").alias("df")).withColumn("n_docs", F.lit(n_docs)), weights, limit, id_col, digits)
+
+
+def _scored(hits: DataFrame, freq: DataFrame, weights: dict[int, float], limit: int, id_col: str, digits: int) -> DataFrame:
+    """The best rows by the sum of query weight * document weight * idf; freq has a row per bucket of the query."""
+    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    q = F.create_map(*[x for b, w in weights.items() for x in (F.lit(b), F.lit(w))])
+    scored = hits.join(F.broadcast(freq), "bucket").select(id_col, (q[F.col("bucket")] * bm25_tf("tf", "length") * idf).alias("part"))
+    return scored.groupBy(id_col).agg(F.round(F.sum("part"), digits).alias("score")).orderBy(F.col("score").desc(), id_col).limit(limit)
 
 
 def query_weights(spark: SparkSession, query: str) -> dict[int, float]:
@@ -106,12 +140,6 @@ def query_weights(spark: SparkSession, query: str) -> dict[int, float]:
     return {r.bucket: r.w for r in rows}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the input has fewer splits than cores (one small file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def sparse(df: DataFrame, query: str, limit: int, text_col: str = "text", id_col: str = "doc_id", digits: int = 6) -> DataFrame:
     """BM25 over hashed tokens: sum of query weight * document weight * idf."""
     weights = query_weights(df.sparkSession, query)
@@ -119,15 +147,12 @@ def sparse(df: DataFrame, query: str, limit: int, text_col: str = "text", id_col
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     # distinct tokens are hashed, not all occurrences; those of the query's buckets are few,
     # so what does not match is dropped before anything is shuffled
-    tokens = spread(df.select(id_col, text_col)).select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    tokens = df.select(id_col, text_col).select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     wanted = tokens.select("token").distinct().select("token", feature_hash("token").alias("bucket")).where(F.col("bucket").isin(list(weights)))
     hits = tokens.join(wanted, "token").groupBy(id_col, "length", "bucket").agg(F.count("*").alias("tf"))
     freq = hits.groupBy("bucket").agg(F.count("*").alias("df"))  # as many rows as the query has buckets
     n = df.agg(F.count("*").alias("n_docs"))
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    q = F.create_map(*[x for b, w in weights.items() for x in (F.lit(b), F.lit(w))])
-    scored = hits.join(F.broadcast(freq.crossJoin(n)), "bucket").select(id_col, (q[F.col("bucket")] * bm25_tf("tf", "length") * idf).alias("part"))
-    return scored.groupBy(id_col).agg(F.round(F.sum("part"), digits).alias("score")).orderBy(F.col("score").desc(), id_col).limit(limit)
+    return _scored(hits, freq.crossJoin(n), weights, limit, id_col, digits)
 
 
 def fuse(rankings: Sequence[DataFrame], id_col: str, limit: int, weights: Sequence[float] | None = None, k: int = RRF_K, digits: int = 8) -> DataFrame:
@@ -140,10 +165,13 @@ def fuse(rankings: Sequence[DataFrame], id_col: str, limit: int, weights: Sequen
     return every.groupBy(id_col).agg(F.round(F.sum("_part"), digits).alias("score")).orderBy(F.col("score").desc(), id_col).limit(limit)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int, dense_weight: float | None = None, id_col: str = "doc_id", vec_id: str = "vec_id") -> DataFrame:
-    """Dense and sparse lists of ``limit`` rows each, fused; weights are w and 1 - w."""
+def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int, dense_weight: float | None = None, id_col: str = "doc_id", vec_id: str = "vec_id", post: DataFrame | None = None) -> DataFrame:
+    """Dense and sparse lists of ``limit`` rows each, fused; weights are w and 1 - w.
+
+    With stored postings (``post``) the texts are only counted.
+    """
     a = dense(vectors, query_vector, limit, id_col=vec_id).select(F.col(vec_id).alias(id_col), "score")
-    b = sparse(docs, query, limit, id_col=id_col)
+    b = sparse(docs, query, limit, id_col=id_col) if post is None else stored_sparse(post, docs.count(), query, limit, id_col)
     return fuse([a, b], id_col, limit, None if dense_weight is None else [dense_weight, 1 - dense_weight])
 
 

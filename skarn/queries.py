@@ -14,6 +14,7 @@ from .functions import text as S
 from .operators import dispatch, graph, history, intervals, retrieval, segment, stats, symbols, sync
 from .plans import catalog, filters, rank
 from .plans.catalog import DERIVED
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,10 +102,16 @@ def dense_distances(spark: SparkSession, d: str) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
-@query()
+_CODES = "list_transform({v}, lambda x: round(x::DOUBLE / list_max(list_transform({v}, lambda y: abs(y)))::DOUBLE * 127)::TINYINT)"
+
+
+@query(f"""WITH c AS (SELECT vec_id, embedding, {_CODES.format(v='embedding')} AS codes FROM embeddings), r AS (SELECT vec_id, embedding FROM c ORDER BY {_cos('codes', _Q0)} DESC, vec_id LIMIT 80)
+SELECT vec_id, round({_cos('embedding', _Q0)}, 6) AS score FROM r ORDER BY score DESC, vec_id LIMIT 20""")
 def dense_quantised(spark: SparkSession, d: str) -> DataFrame:
-    """8-bit search with exact rescoring (its recall is tested against dense_topk)."""
-    return retrieval.quantised(X.table(spark, d, "embeddings"), _vec(spark, d, 0), 20, 4.0).select("vec_id", "score")
+    """Search on stored 8-bit codes with exact rescoring."""
+    e = X.table(spark, d, "embeddings")
+    codes = stored(spark, "codes", d, lambda: retrieval.coded(e))
+    return retrieval.quantised(e, codes, _vec(spark, d, 0), 20, 4.0).select("vec_id", "score")
 
 
 _V = lambda i: f"(SELECT embedding FROM embeddings WHERE vec_id = {i})"
@@ -148,8 +155,28 @@ bm AS (SELECT doc_id, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length
 TEXT_QUERY = "therean worthless tionha"
 
 
-@query("WITH " + _BM25.replace("{q}", TEXT_QUERY) + " SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, "postings", d, lambda: retrieval.postings(X.table(spark, d, "documents")), ["part"])
+
+
+_POST = "WITH " + _BM25.replace("{q}", TEXT_QUERY)
+
+
+@query(_POST + " SELECT doc_id, count(*) AS buckets, sum(tf)::BIGINT AS tokens, sum(bucket * tf)::BIGINT AS weighted FROM post GROUP BY doc_id")
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse form of all texts, stored with the collection and added up per text."""
+    return _postings(spark, d).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum("tf").alias("tokens"), F.sum(F.col("bucket") * F.col("tf")).alias("weighted"))
+
+
+@query(_POST + " SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def sparse_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over stored postings: only the query's parts of them are read."""
+    return retrieval.stored_sparse(_postings(spark, d), X.table(spark, d, "documents").count(), TEXT_QUERY, 20)
+
+
+@query(_POST + " SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+def sparse_bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without postings, from the texts."""
     return retrieval.sparse(X.table(spark, d, "documents"), TEXT_QUERY, 20)
 
 
@@ -161,12 +188,12 @@ SELECT doc_id, round(sum(p), 8) AS score FROM (SELECT doc_id, {{a}} / (60 + r) A
 
 @query(_RRF.replace("{a}", "1.0").replace("{b}", "1.0"))
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(X.table(spark, d, "documents"), X.table(spark, d, "embeddings"), TEXT_QUERY, _vec(spark, d, 0), 20)
+    return retrieval.hybrid(X.table(spark, d, "documents"), X.table(spark, d, "embeddings"), TEXT_QUERY, _vec(spark, d, 0), 20, post=_postings(spark, d))
 
 
 @query(_RRF.replace("{a}", "0.7").replace("{b}", "0.3"))
 def hybrid_rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(X.table(spark, d, "documents"), X.table(spark, d, "embeddings"), TEXT_QUERY, _vec(spark, d, 0), 20, 0.7)
+    return retrieval.hybrid(X.table(spark, d, "documents"), X.table(spark, d, "embeddings"), TEXT_QUERY, _vec(spark, d, 0), 20, 0.7, post=_postings(spark, d))
 
 
 @query(f"SELECT source, max(score) AS score, list(doc_id ORDER BY -score, doc_id) AS members FROM (SELECT doc_id, source, round({_cos('embedding', _Q0)}, 6) AS score FROM documents JOIN embeddings ON doc_id = vec_id ORDER BY score DESC, doc_id LIMIT 60) t GROUP BY source ORDER BY score DESC, source LIMIT 8")
@@ -662,8 +689,10 @@ def cone_dispatch(spark: SparkSession, d: str) -> DataFrame:
 _VERDICTS = "SELECT l_orderkey AS call_id, l_linenumber AS priority, CASE (l_partkey + l_linenumber) % 7 WHEN 0 THEN 'resolved' WHEN 1 THEN 'drop' WHEN 2 THEN 'deferred' ELSE 'continue' END AS verdict, l_partkey AS target FROM lineitem"
 
 
-@query(f"""WITH v AS (SELECT DISTINCT * FROM ({_VERDICTS}) x), s AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY CASE WHEN verdict IN ('resolved', 'drop') THEN 0 WHEN verdict = 'deferred' THEN 1 ELSE 2 END, priority, verdict, target) AS n FROM v)
-SELECT call_id, CASE verdict WHEN 'drop' THEN 'dropped' WHEN 'continue' THEN 'unresolved' ELSE 'resolved' END AS outcome, CASE WHEN verdict IN ('resolved', 'deferred') THEN target END AS target FROM s WHERE n = 1""")
+@query(f"""WITH v AS (SELECT DISTINCT * FROM ({_VERDICTS}) x), s AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY priority, verdict, target) AS n FROM v WHERE verdict IN ('resolved', 'drop')),
+k AS (SELECT v.call_id, target, priority, row_number() OVER (PARTITION BY v.call_id ORDER BY priority, target) AS n FROM v WHERE verdict = 'deferred'), c AS (SELECT DISTINCT call_id FROM v),
+j AS (SELECT c.call_id, s.verdict, s.target, k.target AS parked, k.call_id IS NOT NULL AND (s.priority IS NULL OR k.priority < s.priority) AS early FROM c LEFT JOIN s ON s.call_id = c.call_id AND s.n = 1 LEFT JOIN k ON k.call_id = c.call_id AND k.n = 1)
+SELECT call_id, CASE WHEN verdict = 'resolved' OR early THEN 'resolved' WHEN verdict = 'drop' THEN 'dropped' ELSE 'unresolved' END AS outcome, CASE WHEN verdict = 'resolved' THEN target WHEN early THEN parked END AS target FROM j""")
 def resolver_chain(spark: SparkSession, d: str) -> DataFrame:
     return dispatch.first_verdict(X.frame(spark, d, _VERDICTS, "lineitem"))
 

@@ -63,7 +63,7 @@ def blame(spark: SparkSession, text: str) -> DataFrame:
 
     run = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one file's lines
     grouped = marked.withColumn("g", F.last("head", ignorenulls=True).over(run)).where("g IS NOT NULL")
-    field = lambda name: F.max(F.when(F.col("t").startswith(name + " "), F.substring("t", len(name) + 2, 10_000)))
+    field = lambda name: F.max(F.when(F.col("t").startswith(name + " "), F.regexp_extract("t", f"^{name} (.*)$", 1)))
     rows = grouped.groupBy("g").agg(F.max(F.regexp_extract("t", head, 1)).alias("sha"), F.max(F.when(F.col("t").rlike(head), F.regexp_extract("t", head, 2).cast("bigint"))).alias("line"), field("author").alias("author"), field("author-mail").alias("email"), field("author-time").alias("ts"))
     known = rows.where("author IS NOT NULL").groupBy("sha").agg(F.first("author").alias("a"), F.first("email").alias("e"), F.first("ts").alias("t"))
     out = rows.join(known, "sha", "left")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests), a new local folder."""
+    """``spark.checkpoint.dir`` of the session; where unset and Spark runs in this process alone (tests), a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,6 +30,25 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
+    """A table derived from ``source``, written the first time it is asked for and read after that.
+
+    For what a collection keeps beside its rows (postings, codes): made once per
+    application, partitioned by ``by``, so that queries prune to what they need.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
+        made = build()
+        schema = made.schema
+        (made.write.partitionBy(*by) if by else made.write).parquet(path)
+        _stored[key] = spark.read.schema(schema).parquet(path)
+    return _stored[key]
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``new`` stand in for rows of ``old`` with the same key."""
     keys = [key] if isinstance(key, str) else key

@@ -1,9 +1,11 @@
 """Incremental indexing: micro-batches of changed files against an index of chunks.
 
-A stream of file versions is applied batch by batch: chunks of changed and deleted files
-go, chunks of added and changed files come.  Each batch is written as a new version of the
-table in the shared folder and then named in a pointer row, so a batch that is run twice,
-or lost half-way, leaves the index right.
+A stream of file versions is applied batch by batch.  A batch writes what it changes and
+nothing else: the chunks of its added and changed files, and then one row per path it has
+touched, which commits it.  The index is what the latest batch of each path has written.
+So the work of a batch follows its changes, not the size of the index; a batch that is run
+twice is skipped; one that was lost half-way has no commit and is written again; and an
+index is found on its folder whoever opens it.
 """
 
 from __future__ import annotations
@@ -17,26 +19,42 @@ from ..operators.segment import chunks
 
 
 class Index:
-    """The chunks of all files, versioned by batch, in a folder that Spark writes."""
+    """The chunks of all files, in a folder that Spark writes."""
 
     def __init__(self, spark: SparkSession, folder: str, chunker: Callable[[DataFrame], DataFrame] = chunks):
         self.spark, self.folder, self.chunker = spark, folder.rstrip("/"), chunker
-        self.version: int | None = None
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def applied(self, batch_id: int) -> bool:
+        return self._exists(f"{self.folder}/paths/batch={batch_id}/_SUCCESS")
 
     def read(self) -> DataFrame:
-        if self.version is None:
+        """Chunks of the latest version of every path."""
+        if not self._exists(f"{self.folder}/paths"):
             raise LookupError("nothing is indexed yet")
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}")
+        latest = self.spark.read.parquet(f"{self.folder}/paths").groupBy("path").agg(F.max("batch").alias("batch"))
+        return self.spark.read.parquet(f"{self.folder}/chunks").join(latest, ["path", "batch"], "left_semi").drop("batch")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """batch: path, language, text, deleted, seq.  The last version of a path counts."""
+        if self.applied(batch_id):
+            return
         w = Window.partitionBy("path").orderBy(F.col("seq").desc())
         last = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         made = self.chunker(last.where(~F.coalesce("deleted", F.lit(False))))
-        if self.version is not None:
-            made = self.read().join(last.select("path"), "path", "left_anti").unionByName(made)
-        made.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
-        self.version = batch_id
+        made.write.mode("overwrite").parquet(f"{self.folder}/chunks/batch={batch_id}")
+        last.select("path").write.mode("overwrite").parquet(f"{self.folder}/paths/batch={batch_id}")
+
+    def compact(self, folder: str) -> Index:
+        """The same index in a new folder as one batch, when many have come together."""
+        last = self.spark.read.parquet(f"{self.folder}/paths").agg(F.max("batch")).first()[0]
+        self.read().write.mode("overwrite").parquet(f"{folder}/chunks/batch={last}")
+        out = Index(self.spark, folder, self.chunker)
+        self.spark.read.parquet(f"{self.folder}/paths").select("path").distinct().write.mode("overwrite").parquet(f"{folder}/paths/batch={last}")
+        return out
 
     def follow(self, stream: DataFrame, checkpoint: str, once: bool = True):
         """Apply a stream of file versions; with ``once``, what is there now."""

@@ -1,5 +1,7 @@
 """Operators on small literal tables, with the properties they promise."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +198,94 @@ def test_pandas_free_plans(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": [1, 2], "score": [0.1, 0.9], "methodLines": [10, 20], "chunkType": ["function", "block"]}))
     plan = rank.score(df, {"custom": {"similarity": 0.5, "chunkSize": 0.5}})._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_index_restart(spark, tmp_path):
+    """Another index on the same folder goes on where the first one ended; a replayed batch changes nothing."""
+    files = lambda *rows: spark.createDataFrame(rows, "path string, language string, text string, deleted boolean, seq bigint")
+    body = lambda name: f"def {name}():\n    return 1\n"
+    names = lambda i: sorted((r.path, r.symbol_id) for r in i.read().where("symbol_id IS NOT NULL").collect())
+    first = Index(spark, f"file://{tmp_path}/index")
+    with pytest.raises(LookupError):
+        first.read()
+    first.apply(files(("a.py", "python", body("a"), False, 1), ("b.py", "python", body("b"), False, 1)), 0)
+    second = Index(spark, f"file://{tmp_path}/index")
+    assert names(second) == [("a.py", "a"), ("b.py", "b")]
+    second.apply(files(("b.py", "python", body("old"), False, 2), ("b.py", "python", body("new"), False, 3), ("c.py", "python", body("c"), False, 2)), 1)
+    second.apply(files(("z.py", "python", body("z"), False, 9)), 1)  # replayed: already there
+    assert names(Index(spark, f"file://{tmp_path}/index")) == [("a.py", "a"), ("b.py", "new"), ("c.py", "c")]
+    # a batch lost before its commit leaves chunks that nobody reads, and is written again
+    second.chunker(files(("a.py", "python", body("lost"), False, 4))).write.parquet(f"file://{tmp_path}/index/chunks/batch=2")
+    assert ("a.py", "lost") not in names(second)
+    second.apply(files(("a.py", "python", None, True, 5)), 2)
+    assert names(first) == [("b.py", "new"), ("c.py", "c")]
+    small = first.compact(f"file://{tmp_path}/small")
+    assert names(small) == names(first)
+    small.apply(files(("d.py", "python", body("d"), False, 6)), 3)
+    assert ("d.py", "d") in names(Index(spark, f"file://{tmp_path}/small"))
+
+
+@pytest.mark.parametrize(
+    ("ranges", "hunks", "want"),
+    [
+        ([[10, 20]], [(0, 3, 4)], [[6, 16]]),  # four lines added above
+        ([[10, 20]], [(4, 3, 0)], [[14, 24]]),  # four removed above
+        ([[10, 20]], [(0, 12, 3)], [[10, 17]]),  # added inside
+        ([[10, 20]], [(3, 12, 0)], [[10, 23]]),  # removed inside
+        ([[10, 20]], [(0, 8, 4)], [[10, 20]]),  # begins above, ends inside: left alone
+        ([[10, 20]], [(2, 18, 6)], [[10, 20]]),  # begins inside, ends below: left alone
+        ([[10, 20]], [(0, 30, 5)], [[10, 20]]),  # below
+        ([[10, 20]], [(1, 9, 0)], [[11, 21]]),  # a deletion stands at its own line
+        ([[10, 20]], [(1, 10, 0)], [[10, 21]]),  # at the first line: inside
+        ([[3, 4]], [(0, 1, 2), (0, 3, 9)], [[1, 2]]),  # from the last hunk to the first
+        ([[2, 3]], [(0, 1, 1), (0, 2, 2)], [[1, 1]]),  # held at line 1
+    ],
+)
+def test_ranges_move_back(ranges, hunks, want):
+    history.shift(ranges, hunks)
+    assert ranges == want
+
+
+def test_walk_hunks(spark):
+    """Two commits of one file, newest first; the older one meets the ranges as they were then."""
+    chunks = spark.createDataFrame([("f", "top", 1, 10), ("f", "low", 14, 24)], "file string, chunk_id string, start_line bigint, end_line bigint")
+    hunks = spark.createDataFrame(
+        [("f", "c2", "ann", 200, False, 3, 0, 3, 4), ("f", "c1", "bob", 100, True, 11, 1, 11, 2)],
+        "file string, id string, author string, ts bigint, is_fix boolean, old_start bigint, old_lines bigint, new_start bigint, new_lines bigint",
+    )
+    got = sorted((r.chunk_id, r.id, r.added, r.deleted) for r in history.walk_hunks(hunks, chunks).collect())
+    # c2 adds four lines inside top; before it low stood at 10..20, where c1 wrote lines 11 and 12
+    assert got == [("low", "c1", 2, 1), ("top", "c2", 4, 0)]
+
+
+def test_strong_components_both_ways(spark):
+    r = random.Random(3)
+    pairs = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(90)] + [(100, 101), (101, 100), (200, 200)]
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    few, many = (sorted((x.node, x.component) for x in graph.strong_components(e, few=k).collect()) for k in (10**6, 0))
+    assert few == many and (101, 100) in few and all(n != 200 for n, _ in few)
+
+
+def test_quantised_recall(spark):
+    """Of the exact nearest vectors, the search on codes finds at least nine in ten."""
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    codes = retrieval.coded(e).cache()
+    found = whole = 0
+    for i in range(0, 500, 50):
+        q = retrieval.vector_of(e, i)
+        exact = {r.vec_id for r in retrieval.dense(e, q, 10).collect()}
+        found += len(exact & {r.vec_id for r in retrieval.quantised(e, codes, q, 10, 2.0).collect()})
+        whole += len(exact)
+    assert found >= 0.9 * whole
+
+
+def test_external_calls(spark):
+    calls = spark.createDataFrame([(1, None, "print"), (2, "os", "getcwd"), (3, "os.path", "join"), (4, "x", "print"), (5, None, "mine")], "call_id bigint, receiver string, member string")
+    names = spark.createDataFrame([("print",), ("os",), ("os.path.join",)] + [(f"n{k}",) for k in range(20_000)], "name string")
+    assert {r.call_id for r in dispatch.external_calls(calls, names).where("external").collect()} == {1, 2, 3}
+
+
+def test_verdicts_end_with_what_is_parked(spark):
+    v = spark.createDataFrame([(1, 1, "deferred", "p"), (1, 2, "drop", None), (2, 1, "drop", None), (2, 2, "deferred", "late"), (3, 1, "deferred", "p"), (3, 2, "resolved", "r"), (4, 1, "continue", None), (5, 1, "deferred", "a"), (5, 2, "deferred", "b")], "call_id bigint, priority int, verdict string, target string")
+    got = {r.call_id: (r.outcome, r.target) for r in dispatch.first_verdict(v).collect()}
+    assert got == {1: ("resolved", "p"), 2: ("dropped", None), 3: ("resolved", "r"), 4: ("unresolved", None), 5: ("resolved", "a")}
