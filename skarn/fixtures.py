@@ -7,16 +7,19 @@ their keys by arithmetic; texts, vectors, times and orders are used as they are.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = 1_706_745_600  # the end of the events' month
 
 CHUNKS = """
-SELECT doc_id AS id, lang AS language, source || '/f' || CAST(doc_id % 97 AS STRING) || '.' || lang AS relativePath, '.' || lang AS fileExtension,
+SELECT doc_id AS id, lang AS language, source || CASE (doc_id % 97) % 10 WHEN 3 THEN '/auth' WHEN 7 THEN '/lib/token' ELSE '' END || '/f' || CAST(doc_id % 97 AS STRING) || '.' || lang AS relativePath, '.' || lang AS fileExtension,
   (doc_id % 50) * 10 + 1 AS startLine, (doc_id % 50) * 10 + 1 + doc_id % 40 AS endLine, doc_id % 50 AS chunkIndex,
   CASE doc_id % 7 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'block' WHEN 3 THEN 'test' WHEN 4 THEN 'interface' ELSE 'function' END AS chunkType,
   doc_id % 11 = 0 AS isDocumentation, doc_id % 13 = 0 AS isTest, n_chars AS contentSize,
   'C' || CAST(doc_id % 97 AS STRING) || '#m' || CAST(doc_id % 29 AS STRING) AS symbolId, CASE WHEN doc_id % 5 > 0 THEN 'C' || CAST(doc_id % 97 AS STRING) END AS parentSymbolId,
   CAST(floor(n_chars / 40) AS BIGINT) AS methodLines, n_chars % 160 AS methodDensity, (doc_id % 97) % 41 AS moduleMethodCount, (doc_id % 97) % 23 AS memberCount, (doc_id % 97) * 31 AS moduleLines,
+  split(substr('a,b,c,d,e,f,g,h', 1, CAST(doc_id % 8 * 2 + 1 AS INT)), ',') AS imports, CASE doc_id % 4 WHEN 0 THEN 'Install Guide' WHEN 1 THEN 'The install' WHEN 2 THEN 'Other topic' END AS heading1, CASE doc_id % 3 WHEN 0 THEN 'user-guide_notes' ELSE 'misc' END AS heading2,
+  CASE WHEN doc_id % 3 = 0 THEN split('TD-' || CAST(doc_id % 7 AS STRING) || ',#' || CAST(doc_id % 11 AS STRING), ',') END AS git_file_taskIds,
   2e-1 + (doc_id * 37 % 101) / 2e2 AS score,
   (doc_id % 97) % 40 + 1 AS git_file_commitCount, (doc_id % 97) * 5 % 400 AS git_file_ageDays, (doc_id % 97) * 13 % 100 AS git_file_bugFixRate, (doc_id % 97) % 9 / 20e-1 AS git_file_relativeChurn,
   (doc_id % 97) % 17 / 15e-1 AS git_file_recencyWeightedFreq, (doc_id % 97) % 25 / 30e-1 AS git_file_changeDensity, (doc_id % 97) * 3 % 120 / 10e-1 AS git_file_churnVolatility,
@@ -80,7 +83,9 @@ def frame(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, CHUNKS, "documents")
+    made = frame(spark, sf_dir, CHUNKS, "documents")
+    headings = F.array(*[F.struct(F.lit(k).alias("depth"), F.col(f"heading{k}").alias("text")) for k in (1, 2)])
+    return made.withColumn("headingPath", F.filter(headings, lambda h: h["text"].isNotNull()))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

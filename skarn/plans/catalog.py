@@ -113,43 +113,6 @@ pageRank chunk.pageRank 0.01 -
 transitiveImpact file.transitiveImpact 50 -
 """
 
-# Fixed values.  owner, preset, tools (S semantic, H hybrid, C code, F similar, R rank,
-# T trace), level, group, filter preset, weights.
-PRESETS_TEXT = """
-static decomposition SHRF - parentSymbolId coreLogic similarity:0.4 chunkSize:0.4 chunkDensity:0.2
-static documentationRelevance SH - - - similarity:0.5 headingRelevance:0.3 documentation:0.2
-static godModule SHRF file - - similarity:0.2 symbolCount:0.8
-static relevance SHCF - - - similarity:1.0
-git bugHunt SHCFRT - - production similarity:0.25 burstActivity:0.2 volatility:0.2 relativeChurnNorm:0.15 bugFix:0.15 recency:0.05 blockPenalty:-0.05
-git codeReview SHFR - - - similarity:0.3 recency:0.15 burstActivity:0.1 density:0.1 chunkChurn:0.15 chunkRelativeChurn:0.1 recentActivityConcentration:0.15 blockPenalty:-0.1
-git dangerous SHFR - - production bugFix:0.35 volatility:0.25 knowledgeSilo:0.2 burstActivity:0.1 similarity:0.1 blockPenalty:-0.05
-git hotspots SHRF - - production similarity:0.2 chunkSize:0.1 chunkChurn:0.15 chunkRelativeChurn:0.15 burstActivity:0.15 bugFix:0.1 volatility:0.15 blockPenalty:-0.15
-git onboarding SHF file - - similarity:0.3 documentation:0.2 stability:0.2 age:0.1 ownership:-0.1 recentActivityConcentration:0.1 volatility:-0.1
-git ownership SHRF file - production similarity:0.35 ownership:0.35 knowledgeSilo:0.3
-git proven SHCFT file - production similarity:0.2 stability:0.3 age:0.3 bugFix:-0.15 knowledgeSilo:-0.1 volatility:-0.05
-git recent CSHFT - - - similarity:0.5 recency:0.2 burstActivity:0.15 density:0.1 churn:0.05
-git refactoring SHRF - parentSymbolId coreLogic similarity:0.15 chunkSize:0.3 chunkDensity:0.1 chunkChurn:0.15 chunkRelativeChurn:0.1 volatility:0.1 bugFix:0.05 age:0.05 blockPenalty:-0.1
-git securityAudit SHF file - production similarity:0.25 age:0.15 ownership:0.1 bugFix:0.15 pathRisk:0.15 volatility:0.2
-git stable CSHFT - - - similarity:0.45 stability:0.2 age:0.15 bugFix:-0.15 volatility:-0.1
-git techDebt SHRF - - production similarity:0.15 age:0.15 churn:0.1 chunkChurn:0.1 bugFix:0.15 volatility:0.1 knowledgeSilo:0.1 density:0.1 blockPenalty:-0.05
-codegraph criticalMethod SHRF chunk - - similarity:0.3 pageRank:0.7
-codegraph godMethod SHRF chunk - - similarity:0.3 chunkFanOut:0.7
-codegraph hotMethod SHRF chunk - - similarity:0.3 chunkFanIn:0.7
-composite architecturalHub SHRFT file - production similarity:0.2 isHub:0.35 fanIn:0.2 fanOut:0.1 churn:0.1 bugFix:0.05
-composite blastRadius SHRT - - production similarity:0.2 transitiveImpact:0.2 fanIn:0.15 churn:0.2 bugFix:0.15 isHub:0.05 chunkFanIn:0.05
-composite bugHunt SHCFRT - - production similarity:0.2 burstActivity:0.18 volatility:0.18 bugFix:0.15 pageRank:0.14 relativeChurnNorm:0.1 recency:0.05 blockPenalty:-0.05
-composite codeReview SHFRT - - - similarity:0.27 recency:0.13 burstActivity:0.1 density:0.08 chunkChurn:0.13 chunkRelativeChurn:0.09 recentActivityConcentration:0.13 fanIn:0.07 blockPenalty:-0.1
-composite criticalPath SHRF chunk - production similarity:0.2 pageRank:0.3 bugFix:0.3 churn:0.2
-composite dangerous SHFRT - - production bugFix:0.3 volatility:0.2 knowledgeSilo:0.15 fanIn:0.15 burstActivity:0.1 similarity:0.1 blockPenalty:-0.05
-composite decomposition SHRF chunk parentSymbolId - similarity:0.2 chunkSize:0.35 chunkFanOut:0.3 chunkDensity:0.15
-composite entryPoint SHRFT - - production similarity:0.3 fanOutPerLine:0.3 fanIn:-0.2 chunkSize:0.1
-composite godModule SHRF file - - similarity:0.15 symbolCount:0.5 fanIn:0.15 transitiveImpact:0.1 isHub:0.1
-composite hotspots SHRFT - - production similarity:0.18 chunkSize:0.1 chunkChurn:0.15 chunkRelativeChurn:0.15 burstActivity:0.12 bugFix:0.1 volatility:0.12 fanIn:0.08 blockPenalty:-0.15
-composite ownership SHRFT file - production similarity:0.3 ownership:0.35 knowledgeSilo:0.25 fanIn:0.1
-composite securityAudit SHFT file - production similarity:0.2 age:0.15 ownership:0.1 bugFix:0.15 pathRisk:0.15 volatility:0.15 fanIn:0.1
-composite techDebt SHRFT - - production similarity:0.13 age:0.15 churn:0.1 chunkChurn:0.1 bugFix:0.15 volatility:0.1 knowledgeSilo:0.07 density:0.05 fanIn:0.1 blockPenalty:-0.05
-"""
-
 # Fixed values.  filter preset: conditions (N/M: percentile N of the collection, or else M).
 FILTER_PRESETS_TEXT = """
 deadCandidates: must codegraph.chunk.fanIn eq 0; must chunkType eq function
@@ -195,13 +158,50 @@ class Derived:
 class Preset:
     owner: str
     name: str
-    tools: str
+    tools: tuple[str, ...]
     level: str | None
     group_by: str | None
     filter: str | None
     weights: dict[str, float] = field(default_factory=dict)
 
 
+# Owner, name, tools that offer it, level, group, filter preset, weights.
+ALL_PRESETS = [
+    Preset("static", "decomposition", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), None, "parentSymbolId", "coreLogic", {"similarity": 0.4, "chunkSize": 0.4, "chunkDensity": 0.2}),
+    Preset("static", "documentationRelevance", ("semantic_search", "hybrid_search"), None, None, None, {"similarity": 0.5, "headingRelevance": 0.3, "documentation": 0.2}),
+    Preset("static", "godModule", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "file", None, None, {"similarity": 0.2, "symbolCount": 0.8}),
+    Preset("static", "relevance", ("semantic_search", "hybrid_search", "search_code", "find_similar"), None, None, None, {"similarity": 1}),
+    Preset("git", "bugHunt", ("semantic_search", "hybrid_search", "search_code", "find_similar", "rank_chunks", "trace_path"), None, None, "production", {"similarity": 0.25, "burstActivity": 0.2, "volatility": 0.2, "relativeChurnNorm": 0.15, "bugFix": 0.15, "recency": 0.05, "blockPenalty": -0.05}),
+    Preset("git", "codeReview", ("semantic_search", "hybrid_search", "find_similar", "rank_chunks"), None, None, None, {"similarity": 0.3, "recency": 0.15, "burstActivity": 0.1, "density": 0.1, "chunkChurn": 0.15, "chunkRelativeChurn": 0.1, "recentActivityConcentration": 0.15, "blockPenalty": -0.1}),
+    Preset("git", "dangerous", ("semantic_search", "hybrid_search", "find_similar", "rank_chunks"), None, None, "production", {"bugFix": 0.35, "volatility": 0.25, "knowledgeSilo": 0.2, "burstActivity": 0.1, "similarity": 0.1, "blockPenalty": -0.05}),
+    Preset("git", "hotspots", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), None, None, "production", {"similarity": 0.2, "chunkSize": 0.1, "chunkChurn": 0.15, "chunkRelativeChurn": 0.15, "burstActivity": 0.15, "bugFix": 0.1, "volatility": 0.15, "blockPenalty": -0.15}),
+    Preset("git", "onboarding", ("semantic_search", "hybrid_search", "find_similar"), "file", None, None, {"similarity": 0.3, "documentation": 0.2, "stability": 0.2, "age": 0.1, "ownership": -0.1, "recentActivityConcentration": 0.1, "volatility": -0.1}),
+    Preset("git", "ownership", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "file", None, "production", {"similarity": 0.35, "ownership": 0.35, "knowledgeSilo": 0.3}),
+    Preset("git", "proven", ("semantic_search", "hybrid_search", "search_code", "find_similar", "trace_path"), "file", None, "production", {"similarity": 0.2, "stability": 0.3, "age": 0.3, "bugFix": -0.15, "knowledgeSilo": -0.1, "volatility": -0.05}),
+    Preset("git", "recent", ("search_code", "semantic_search", "hybrid_search", "find_similar", "trace_path"), None, None, None, {"similarity": 0.5, "recency": 0.2, "burstActivity": 0.15, "density": 0.1, "churn": 0.05}),
+    Preset("git", "refactoring", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), None, "parentSymbolId", "coreLogic", {"similarity": 0.15, "chunkSize": 0.3, "chunkDensity": 0.1, "chunkChurn": 0.15, "chunkRelativeChurn": 0.1, "volatility": 0.1, "bugFix": 0.05, "age": 0.05, "blockPenalty": -0.1}),
+    Preset("git", "securityAudit", ("semantic_search", "hybrid_search", "find_similar"), "file", None, "production", {"similarity": 0.25, "age": 0.15, "ownership": 0.1, "bugFix": 0.15, "pathRisk": 0.15, "volatility": 0.2}),
+    Preset("git", "stable", ("search_code", "semantic_search", "hybrid_search", "find_similar", "trace_path"), None, None, None, {"similarity": 0.45, "stability": 0.2, "age": 0.15, "bugFix": -0.15, "volatility": -0.1}),
+    Preset("git", "techDebt", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), None, None, "production", {"similarity": 0.15, "age": 0.15, "churn": 0.1, "chunkChurn": 0.1, "bugFix": 0.15, "volatility": 0.1, "knowledgeSilo": 0.1, "density": 0.1, "blockPenalty": -0.05}),
+    Preset("codegraph", "criticalMethod", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "chunk", None, None, {"similarity": 0.3, "pageRank": 0.7}),
+    Preset("codegraph", "godMethod", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "chunk", None, None, {"similarity": 0.3, "chunkFanOut": 0.7}),
+    Preset("codegraph", "hotMethod", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "chunk", None, None, {"similarity": 0.3, "chunkFanIn": 0.7}),
+    Preset("composite", "architecturalHub", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar", "trace_path"), "file", None, "production", {"similarity": 0.2, "isHub": 0.35, "fanIn": 0.2, "fanOut": 0.1, "churn": 0.1, "bugFix": 0.05}),
+    Preset("composite", "blastRadius", ("semantic_search", "hybrid_search", "rank_chunks", "trace_path"), None, None, "production", {"similarity": 0.2, "transitiveImpact": 0.2, "fanIn": 0.15, "churn": 0.2, "bugFix": 0.15, "isHub": 0.05, "chunkFanIn": 0.05}),
+    Preset("composite", "bugHunt", ("semantic_search", "hybrid_search", "search_code", "find_similar", "rank_chunks", "trace_path"), None, None, "production", {"similarity": 0.2, "burstActivity": 0.18, "volatility": 0.18, "bugFix": 0.15, "pageRank": 0.14, "relativeChurnNorm": 0.1, "recency": 0.05, "blockPenalty": -0.05}),
+    Preset("composite", "codeReview", ("semantic_search", "hybrid_search", "find_similar", "rank_chunks", "trace_path"), None, None, None, {"similarity": 0.27, "recency": 0.13, "burstActivity": 0.1, "density": 0.08, "chunkChurn": 0.13, "chunkRelativeChurn": 0.09, "recentActivityConcentration": 0.13, "fanIn": 0.07, "blockPenalty": -0.1}),
+    Preset("composite", "criticalPath", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "chunk", None, "production", {"similarity": 0.2, "pageRank": 0.3, "bugFix": 0.3, "churn": 0.2}),
+    Preset("composite", "dangerous", ("semantic_search", "hybrid_search", "find_similar", "rank_chunks", "trace_path"), None, None, "production", {"bugFix": 0.3, "volatility": 0.2, "knowledgeSilo": 0.15, "fanIn": 0.15, "burstActivity": 0.1, "similarity": 0.1, "blockPenalty": -0.05}),
+    Preset("composite", "decomposition", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "chunk", "parentSymbolId", None, {"similarity": 0.2, "chunkSize": 0.35, "chunkFanOut": 0.3, "chunkDensity": 0.15}),
+    Preset("composite", "entryPoint", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar", "trace_path"), None, None, "production", {"similarity": 0.3, "fanOutPerLine": 0.3, "fanIn": -0.2, "chunkSize": 0.1}),
+    Preset("composite", "godModule", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar"), "file", None, None, {"similarity": 0.15, "symbolCount": 0.5, "fanIn": 0.15, "transitiveImpact": 0.1, "isHub": 0.1}),
+    Preset("composite", "hotspots", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar", "trace_path"), None, None, "production", {"similarity": 0.18, "chunkSize": 0.1, "chunkChurn": 0.15, "chunkRelativeChurn": 0.15, "burstActivity": 0.12, "bugFix": 0.1, "volatility": 0.12, "fanIn": 0.08, "blockPenalty": -0.15}),
+    Preset("composite", "ownership", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar", "trace_path"), "file", None, "production", {"similarity": 0.3, "ownership": 0.35, "knowledgeSilo": 0.25, "fanIn": 0.1}),
+    Preset("composite", "securityAudit", ("semantic_search", "hybrid_search", "find_similar", "trace_path"), "file", None, "production", {"similarity": 0.2, "age": 0.15, "ownership": 0.1, "bugFix": 0.15, "pathRisk": 0.15, "volatility": 0.15, "fanIn": 0.1}),
+    Preset("composite", "techDebt", ("semantic_search", "hybrid_search", "rank_chunks", "find_similar", "trace_path"), None, None, "production", {"similarity": 0.13, "age": 0.15, "churn": 0.1, "chunkChurn": 0.1, "bugFix": 0.15, "volatility": 0.1, "knowledgeSilo": 0.07, "density": 0.05, "fanIn": 0.1, "blockPenalty": -0.05}),
+]
+
+
 @dataclass(frozen=True)
 class Condition:
     kind: str  # must, should, must_not
@@ -226,12 +226,6 @@ def _derived(line: str) -> Derived:
     return Derived(name, () if sources == "-" else tuple(sources.split(",")), number(bound), number(k), bool(inverted))
 
 
-def _preset(line: str) -> Preset:
-    owner, name, tools, level, group, chosen, *weights = line.split()
-    some = lambda x: None if x == "-" else x
-    return Preset(owner, name, tools, some(level), some(group), some(chosen), {k: float(v) for k, v in (w.split(":") for w in weights)})
-
-
 def _value(text: str) -> object:
     if "," in text:
         return text.split(",")
@@ -249,7 +243,6 @@ def _condition(text: str) -> Condition:
 _lines = lambda text: text.strip().splitlines()
 SIGNALS = {s.key: s for s in map(_signal, _lines(SIGNALS_TEXT))}
 DERIVED = {d.name: d for d in map(_derived, _lines(DERIVED_TEXT))}
-ALL_PRESETS = [_preset(x) for x in _lines(PRESETS_TEXT)]
 FILTER_PRESETS = {name: [_condition(c) for c in rest.split("; ")] for name, rest in (x.split(": ", 1) for x in _lines(FILTER_PRESETS_TEXT))}
 
 

@@ -212,13 +212,14 @@ def preset_scores(spark: SparkSession, d: str) -> DataFrame:
     c = X.chunks(spark, d)
     out = None
     for level in (None, "file"):
-        chosen = [p for p in catalog.presets().values() if (p.level == "file") == (level == "file")]
-        scored = rank.score(c, {"custom": dict.fromkeys(DERIVED, 1.0)}, level=level)
+        chosen = [p for p in catalog.ALL_PRESETS if (p.level == "file") == (level == "file")]
+        used = {n for p in chosen for n in p.weights}
+        scored = rank.score(c, {"custom": {n: 1.0 for n in DERIVED if n in used}}, level=level, query="Guide to the install")
         rows = []
         for p in chosen:
             total = sum(abs(w) for w in p.weights.values())
             value = F.col("score") if set(p.weights) == {"similarity"} else sum((F.lit(w) * F.col(f"signal_{n}") for n, w in p.weights.items()), F.lit(0.0)) / total
-            rows.append(F.struct(F.lit(p.name).alias("preset"), F.round(value.cast("double"), 6).alias("rank_score")))
+            rows.append(F.struct(F.lit(f"{p.owner}/{p.name}").alias("preset"), F.round(value.cast("double"), 6).alias("rank_score")))
         part = scored.select("id", F.explode(F.array(*rows)).alias("r")).select("r.preset", "id", "r.rank_score")
         out = part if out is None else out.unionByName(part)
     return out
@@ -247,7 +248,7 @@ _FILTER_SQL = {
     "language": ("fr", "language = 'fr'"), "fileExtension": ([".en", ".de"], "fileExtension IN ('.en', '.de')"), "chunkType": ("function", "chunkType = 'function'"), "documentation": ("exclude", "NOT coalesce(isDocumentation, false)"), "testFile": ("only", "coalesce(isTest, false)"),
     "pathPattern": ("src{1,2}/**/f?.en", "regexp_matches(relativePath, '^src(1|2)/(.*/)?f[^/]\\.en$')"), "symbolId": ("X#m3", "symbolId = 'X#m3' OR string_split_regex(symbolId, '::|[#.]')[-1] = 'm3'"), "recentAuthor": ("a3@x.org", "git_file_recentDominantAuthor = 'a3@x.org' OR git_file_recentDominantAuthorEmail = 'a3@x.org'"), "blameOwner": ("b5", "git_file_blameDominantAuthor = 'b5'"),
     "minRecentContributors": (3, "git_file_recentContributorCount >= 3"), "maxRecentContributors": (2, "git_file_recentContributorCount <= 2"), "modifiedAfter": ("2023-12-01", "git_file_lastModifiedAt >= 1701388800"), "modifiedBefore": ("2023-12-01T12:00:00", "git_file_lastModifiedAt <= 1701432000"),
-    "minAgeDays": (100, "git_file_ageDays > 0 AND git_file_ageDays >= 100"), "maxAgeDays": (90, "git_file_ageDays > 0 AND git_file_ageDays <= 90"), "minCommitCount": (20, "git_file_commitCount >= 20"), "taskId": ("A-1", "false"), "minFanIn": (12, "codegraph_file_fanIn >= 12"), "minFanOut": (9, "codegraph_file_fanOut >= 9"),
+    "minAgeDays": (100, "git_file_ageDays > 0 AND git_file_ageDays >= 100"), "maxAgeDays": (90, "git_file_ageDays > 0 AND git_file_ageDays <= 90"), "minCommitCount": (20, "git_file_commitCount >= 20"), "taskId": ("TD-3", "list_contains(git_file_taskIds, 'TD-3')"), "minFanIn": (12, "codegraph_file_fanIn >= 12"), "minFanOut": (9, "codegraph_file_fanOut >= 9"),
     "minPageRank": (0.005, "codegraph_chunk_pageRank >= 0.005"), "minInstability": (0.5, "codegraph_file_instability >= 0.5"), "minTransitiveImpact": (30, "codegraph_file_transitiveImpact >= 30"), "minConnectionCount": (4, "codegraph_file_connectionCount >= 4"), "isHub": (True, "codegraph_file_isHub"), "isLeaf": (False, "NOT codegraph_file_isLeaf"),
 }
 
@@ -255,7 +256,7 @@ _FILTER_SQL = {
 @query(f"WITH c AS ({X.CHUNKS}) " + " UNION ALL ".join(f"SELECT '{k}' AS param, count(*) AS n, coalesce(sum(id), 0)::BIGINT AS ids FROM c WHERE {sql}" for k, (_, sql) in _FILTER_SQL.items()))
 def filter_parameters(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks, and which, each typed parameter keeps."""
-    c = X.chunks(spark, d).withColumn("git_file_taskIds", F.array().cast("array<string>"))
+    c = X.chunks(spark, d)
     flags = [F.when(filters.typed(c, **{k: v}), F.col("id")).alias(k) for k, (v, _) in _FILTER_SQL.items()]
     one = c.select(*flags).agg(*[F.struct(F.lit(k).alias("param"), F.count(k).alias("n"), F.coalesce(F.sum(k), F.lit(0)).alias("ids")).alias(k) for k in _FILTER_SQL])
     return one.select(F.explode(F.array(*_FILTER_SQL)).alias("r")).select("r.param", "r.n", "r.ids")
@@ -391,10 +392,10 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("is_fix", S.is_fix("body"))
 
 
-@query(f"WITH c AS ({COMMITS_SQL}) SELECT id, {_FIX} AS is_fix, len(list_distinct(list_concat(regexp_extract_all(body, '\\b([A-Z]{{2,10}}-\\d{{1,6}})\\b', 1), list_concat(regexp_extract_all(body, '(?:^|[^&])#(\\d{{1,7}})\\b', 1), regexp_extract_all(body, '!(\\d{{1,7}})\\b', 1)))))::INT AS n_tasks FROM c")
+@query(f"WITH c AS ({COMMITS_SQL}) SELECT id, {_FIX} AS is_fix, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(body, '\\b([A-Z]{{2,10}}-\\d{{1,6}})\\b', 1), list_concat(list_transform(regexp_extract_all(body, '(?:^|[^&])#(\\d{{1,7}})\\b', 1), lambda x: '#' || x), list_transform(regexp_extract_all(body, '!(\\d{{1,7}})\\b', 1), lambda x: '!' || x))))), ' ') AS tasks FROM c")
 def commit_messages(spark: SparkSession, d: str) -> DataFrame:
     """Bug fixes and ticket ids of all messages."""
-    return commits(spark, d).select("id", "is_fix", F.size(S.task_ids("body")).alias("n_tasks"))
+    return commits(spark, d).select("id", "is_fix", F.array_join(F.array_sort(S.task_ids("body")), " ").alias("tasks"))
 
 
 _SESSIONS = f"""c AS (SELECT *, {_FIX} AS is_fix FROM ({COMMITS_SQL}) x WHERE NOT regexp_matches(body, '(?i)^Merge\\b')),

@@ -201,7 +201,7 @@ def drift(stored: Sequence[str]) -> dict[str, list[str]]:
 
 
 def describe(tool: str | None = None) -> dict[str, list[str]]:
-    """Names of presets (of one tool: S, H, C, F, R or T), signals, filters and their presets."""
+    """Names of presets (those that one tool offers), signals, filters and their presets."""
     chosen = [n for n, p in presets().items() if tool is None or tool in p.tools]
     return {"presets": sorted(chosen), "signals": sorted(DERIVED), "payload": sorted(SIGNALS), "filters": sorted(PARAMETERS), "filter_presets": sorted(FILTER_PRESETS)}
 
