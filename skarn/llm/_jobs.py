@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -92,11 +93,23 @@ def text_of(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def arrow_stage(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of few rows, as texts may be very long."""
+    """``mapInArrow`` with batches of few rows, as texts may be very long.
+
+    A Python worker lives on from task to task; at the end of each it hands the memory it
+    has freed back to the system, so that what one stage needed is there for the next.
+    """
     spark = df.sparkSession
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
         spark.conf.set(key, value)
-    return df.mapInArrow(make, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -59,8 +59,8 @@ INDEX_BITS = 20
 #: Rows of parameters that are averaged together, and tasks in the first step of the tree.
 BLOCK = 4096
 FAN = 32
-#: Chunks (of a megabyte of text) that one training task takes, and bytes of a row group of them.
-TASK_CHUNKS = 64
+#: Chunks (of half a megabyte of text) that one training task takes, and bytes of a row group of them.
+TASK_CHUNKS = 128
 GROUP_BYTES = 4 << 20
 
 
