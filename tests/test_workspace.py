@@ -34,7 +34,7 @@ def test_index(spark, tmp_path):
     (src / "c.py").write_text("def k():\n    pass\n")
     assert {r.change: r.files for r in w.index("p", f"file://{src}").collect()} == {"modified": 1, "deleted": 1, "added": 1}
     assert sorted(r.symbol_id for r in w.read("p", "chunks").collect()) == ["h", "k"]
-    assert w.status("p") == {"status": "indexed", "chunks": 2, "files": 2}
+    assert {k: v for k, v in w.status("p").items() if k != "enrichment"} == {"status": "indexed", "chunks": 2, "files": 2}
     assert w.metrics("p").first().chunks == 2
     w.register("proj", str(src), "p")
     assert w.resolve(project="proj") == w.resolve(path=f"{src}/a.py") == "p"
@@ -42,11 +42,11 @@ def test_index(spark, tmp_path):
     with pytest.raises(WorkspaceError):
         w.resolve(project="proj")
     w.clear("p")
-    assert w.status("p") == {"status": "not_indexed"}
+    assert w.status("p")["status"] == "not_indexed"
 
 
 def test_descriptions(spark):
-    assert len(describe()["signals"]) == 33 and "hotspots" in describe("R")["presets"] and "relevance" not in describe("T")["presets"]
+    assert len(describe()["signals"]) == 33 and "hotspots" in describe("rank_chunks")["presets"] and "relevance" not in describe("trace_path")["presets"]
     assert drift(["content"])["undeclared"] == ["content"]
     e = spark.createDataFrame([("a/x", "a/y"), ("a/y", "a/x"), ("b/x", "b/y"), ("b/y", "b/x")], "src string, dst string")
     assert {r.member for r in find_cycles(e, "a/*").collect()} == {"a/x", "a/y"}
