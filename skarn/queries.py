@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from . import oracle
+from . import oracle, resolution_fixture
 from .functions import numeric as N
 from .functions import text as S
-from .operators import dispatch, graph, history, intervals, retrieval, segment, stats, symbols, sync
+from .operators import dispatch, enrichment, graph, history, intervals, resolution, retrieval, segment, stats, symbols, sync
 from .plans import catalog, filters, rank
 from .plans.catalog import DERIVED
+from .sources import walkers
 from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -723,3 +724,121 @@ def sql_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Spark SQL over the same tables: the engine's collections are plain tables."""
     X.register(spark, d, "lineitem")
     return spark.sql("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus")
+
+
+# -- call resolution ---------------------------------------------------------------
+
+
+def _resolve_query(language: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = resolution.chain(resolution_fixture.facts(spark, d, language), language)
+        return found.withColumnRenamed("by", "strategy")
+
+    run.__name__ = f"resolve_{language}"
+    run.__doc__ = f"Every call's verdict by the {language} chain, and the strategy that gave it."
+    query(resolution_fixture.sql(language))(run)
+
+
+for _language in resolution_fixture.EXTENSION:
+    _resolve_query(_language)
+
+_SOURCE = """SELECT 'pkg/t' || CAST(k AS STRING) || '.py' AS path, 'python' AS language, concat(CASE WHEN k > 1 THEN concat('from pkg.t', CAST(j AS STRING), ' import T', CAST(j AS STRING), chr(10)) ELSE '' END, 'class T', CAST(k AS STRING), CASE WHEN k > 1 THEN concat('(T', CAST(j AS STRING), ')') ELSE '' END, ':', chr(10),
+'    def m', CAST(k % 5 AS STRING), '(self):', chr(10), '        self.m', CAST((k + 1) % 5 AS STRING), '()', chr(10), '        x = T', CAST(j AS STRING), '()', chr(10), '        x.m', CAST(j % 5 AS STRING), '(1, 2)', chr(10), '        super().m', CAST((k + 2) % 5 AS STRING), '()', chr(10), '        print(x)', chr(10)) AS text
+FROM (SELECT DISTINCT p_partkey % 64 AS k, CAST(floor(p_partkey % 64 / 2) AS BIGINT) AS j FROM part WHERE p_partkey % 64 > 0) t"""
+
+
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT p_partkey % 64 AS k, (p_partkey % 64) // 2 AS j FROM part WHERE p_partkey % 64 > 0), a AS (SELECT k, k AS up, 0 AS d FROM t UNION ALL SELECT k, up // 2, d + 1 FROM a WHERE up // 2 > 0),
+q AS (SELECT k, 'self.m' || ((k + 1) % 5) AS call, (k + 1) % 5 AS m, 0 AS least FROM t UNION ALL SELECT k, 'super().m' || ((k + 2) % 5), (k + 2) % 5, 1 FROM t),
+r AS (SELECT q.k, q.call, up, m, row_number() OVER (PARTITION BY q.k, q.call ORDER BY d) AS n FROM q JOIN a ON a.k = q.k AND a.d >= q.least AND up % 5 = m)
+SELECT 'T' || k || '#m' || (k % 5) AS source_symbol_id, call AS call_expression, 'T' || up || '#m' || m AS target_symbol_id, 'pkg/t' || up || '.py' AS target_rel_path FROM r WHERE n = 1
+UNION ALL SELECT 'T' || k || '#m' || (k % 5), 'x.m' || (j % 5), 'T' || j || '#m' || (j % 5), 'pkg/t' || j || '.py' FROM t WHERE j > 0
+UNION ALL SELECT 'T' || k || '#m' || (k % 5), 'T' || j, 'T' || j, 'pkg/t' || j || '.py' FROM t WHERE j > 0""")
+def python_source_calls(spark: SparkSession, d: str) -> DataFrame:
+    """From source files to the edges of their calls: walked by the parser, resolved by the chain."""
+    found = walkers.facts(walkers.walk(X.frame(spark, d, _SOURCE, "part")))
+    edges = resolution.chain(found, "python").where("target IS NOT NULL").join(found.calls, "call_id")
+    return edges.select("source_symbol_id", F.concat_ws(".", "receiver", "member").alias("call_expression"), F.col("target").alias("target_symbol_id"), F.col("file").alias("target_rel_path"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_partkey % 64 AS k FROM part WHERE p_partkey % 64 > 0) SELECT 'python' AS language, receiver_kind, count(*) AS attempted, count(*) FILTER (WHERE outcome = 'resolved') AS resolved, count(*) FILTER (WHERE outcome = 'no_in_project_def') AS no_in_project_def FROM (
+WITH RECURSIVE a AS (SELECT k, k AS up, 0 AS d FROM t UNION ALL SELECT k, up // 2, d + 1 FROM a WHERE up // 2 > 0)
+SELECT 'selfMember' AS receiver_kind, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.k = t.k AND up % 5 = (t.k + 1) % 5) THEN 'resolved' ELSE 'missed' END AS outcome FROM t
+UNION ALL SELECT 'super', CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.k = t.k AND d > 0 AND up % 5 = (t.k + 2) % 5) THEN 'resolved' ELSE 'missed' END FROM t
+UNION ALL SELECT 'localVar', CASE WHEN k > 1 THEN 'resolved' ELSE 'missed' END FROM t UNION ALL SELECT 'bareCall', CASE WHEN k > 1 THEN 'resolved' ELSE 'no_in_project_def' END FROM t UNION ALL SELECT 'bareCall', 'no_in_project_def' FROM t UNION ALL SELECT 'bareCall', 'no_in_project_def' FROM t) x GROUP BY receiver_kind""")
+def python_run_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """From source files to the statistics of the run."""
+    found = walkers.facts(walkers.walk(X.frame(spark, d, _SOURCE, "part")))
+    out = resolution.statistics(resolution.resolve(found, "python")["outcomes"])
+    return out.select("language", "receiver_kind", "attempted", "resolved", "no_in_project_def")
+
+
+# -- enrichment --------------------------------------------------------------------
+
+
+@query(f"""WITH {_ALL}, m AS ({_metrics_sql('a')}), c AS (SELECT doc_id, (doc_id % 120)::VARCHAR AS path FROM documents)
+SELECT doc_id AS id, commit_count AS "git_file_commitCount", bug_fix_rate AS "git_file_bugFixRate", commit_count IS NULL AS "git_file_missing" FROM c LEFT JOIN m ON m.file = c.path""")
+def enrichment_join(spark: SparkSession, d: str) -> DataFrame:
+    """History metrics of files joined onto all chunks of each."""
+    c = X.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 120).cast("string").alias("path"))
+    made = history.file_metrics(commits(spark, d).withColumn("added", F.floor("churn")).withColumn("deleted", F.floor(F.col("churn") / 3)), X.AS_OF)
+    out = enrichment.overlays(c, made, now=1, path="path")
+    return out.select("id", "git_file_commitCount", "git_file_bugFixRate", "git_file_missing")
+
+
+@query(f"""WITH {_ALL}, m AS ({_metrics_sql('a')}), c AS (SELECT doc_id, (doc_id % 120)::VARCHAR AS path FROM documents), e AS (SELECT doc_id, coalesce(commit_count, 0)::DOUBLE AS n, coalesce(bug_fix_rate, 0)::DOUBLE AS f, commit_count AS raw, bug_fix_rate AS rawf FROM c LEFT JOIN m ON m.file = c.path),
+b AS (SELECT greatest(coalesce(list_sort(list(raw) FILTER (WHERE raw > 0))[least(floor(count(raw) FILTER (WHERE raw > 0) * 0.95)::BIGINT, count(raw) FILTER (WHERE raw > 0) - 1) + 1], 1), {DERIVED['churn'].bound}) AS p FROM e)
+SELECT doc_id AS id, round(least(1.0, n / p), 6) AS rank_score FROM e, b ORDER BY rank_score DESC, doc_id LIMIT 20""")
+def enriched_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Index, enrich, rank: chunks by the churn that enrichment has joined."""
+    c = X.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 120).cast("string").alias("path"))
+    made = history.file_metrics(commits(spark, d).withColumn("added", F.floor("churn")).withColumn("deleted", F.floor(F.col("churn") / 3)), X.AS_OF)
+    out = rank.score(enrichment.overlays(c, made, now=1, path="path").withColumn("score", F.lit(0.0)), {"custom": {"churn": 1.0}})
+    return rank.top(out.withColumn("rank_score", F.round("rank_score", 6)), 20, "id").select("id", "rank_score")
+
+
+@query(f"""WITH c AS ({X.CHUNKS}), k AS (SELECT relativePath AS rel_path, symbolId AS symbol_id, max(startLine * 1000000 + id) % 1000000 AS chunk_id FROM c GROUP BY ALL), s AS (SELECT DISTINCT relativePath AS rel_path, 'C' || (id % 97) || '#m' || (id % 31) AS symbol_id FROM c)
+SELECT s.rel_path, s.symbol_id, k.chunk_id::BIGINT AS chunk_id FROM s LEFT JOIN k USING (rel_path, symbol_id)""")
+def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols with the chunk that holds each; of several the last one counts."""
+    c = X.chunks(spark, d)
+    wanted = c.select(F.col("relativePath").alias("rel_path"), F.concat(F.lit("C"), F.col("id") % 97, F.lit("#m"), F.col("id") % 31).alias("symbol_id")).distinct()
+    have = c.select(F.col("relativePath").alias("rel_path"), F.col("id").alias("chunk_id"), F.col("symbolId").alias("symbol_id"), F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"))
+    return enrichment.attach_chunks(wanted, have)
+
+
+@query(f"WITH c AS ({X.CHUNKS}), a AS (SELECT id, 'hub' AS list FROM c WHERE codegraph_file_isHub), b AS (SELECT id, 'leaf' AS list FROM c WHERE codegraph_file_isLeaf OR id % 5 = 0) SELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a)")
+def merged_scroll(spark: SparkSession, d: str) -> DataFrame:
+    """Two scrolls as one; a chunk that both hold is the first one's."""
+    c = X.chunks(spark, d)
+    return enrichment.merged([c.where("codegraph_file_isHub").select("id", F.lit("hub").alias("list")), c.where("codegraph_file_isLeaf OR id % 5 = 0").select("id", F.lit("leaf").alias("list"))])
+
+
+@query(f"""WITH c AS ({X.CHUNKS}) SELECT id, map_from_entries(list_filter([('commitCount', git_file_commitCount::VARCHAR), ('blameDominantAuthor', git_file_blameDominantAuthor)], lambda x: x[2] IS NOT NULL))::VARCHAR AS file, CASE WHEN git_chunk_commitCount IS NULL THEN '{{}}' ELSE '{{commitCount=' || git_chunk_commitCount || '}}' END AS chunk FROM c""")
+def overlay_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Raw values behind a result, by a mask of fields per level."""
+    out = enrichment.overlay(X.chunks(spark, d), {"file": ["commitCount", "blameDominantAuthor"], "chunk": ["commitCount"]})
+    shown = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "), F.lit("}"))
+    return out.select("id", shown("overlay.file").alias("file"), shown("overlay.chunk").alias("chunk"))
+
+
+def _adaptive_sql() -> str:
+    made = {c.key: c.key.replace(".", "_") for cs in catalog.FILTER_PRESETS.values() for c in cs if c.percentile is not None}
+    known = ", ".join(f"round(quantile_cont({col}, {p / 100}) FILTER (WHERE {col} > 0), 6) AS t{p}_{col}" for key, col in made.items() for p in sorted({c.percentile for cs in catalog.FILTER_PRESETS.values() for c in cs if c.key == key and c.percentile is not None}))
+    parts = []
+    for name, cs in catalog.FILTER_PRESETS.items():
+        if any(c.percentile is not None for c in cs):
+            one = lambda c: f"coalesce({c.key.replace('.', '_')} {'>=' if c.op == 'gte' else '<='} {('t%d_%s' % (c.percentile, made[c.key])) if c.percentile is not None else c.value}, false)"
+            must, should = [one(c) for c in cs if c.kind == "must"], [one(c) for c in cs if c.kind == "should"]
+            parts.append(f"SELECT '{name}' AS preset, count(*) AS n, coalesce(sum(id), 0)::BIGINT AS ids FROM c, q WHERE " + " AND ".join([*must, *([f"({' OR '.join(should)})"] if should else [])]))
+    return f"WITH c AS ({X.CHUNKS}), q AS (SELECT {known} FROM c) " + " UNION ALL ".join(parts)
+
+
+@query(_adaptive_sql())
+def filter_presets_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Filter presets whose thresholds are the collection's own percentiles."""
+    c = X.chunks(spark, d)
+    names = [k for k, cs in catalog.FILTER_PRESETS.items() if any(x.percentile is not None for x in cs)]
+    keys = sorted({x.key for k in names for x in catalog.FILTER_PRESETS[k] if x.percentile is not None})
+    known = stats.as_mapping(stats.signal_percentiles(c.withColumn("scope", stats.scope(c)), keys))
+    one = c.select(*[F.when(filters.preset(c, k, known), F.col("id")).alias(k) for k in names]).agg(*[F.struct(F.lit(k).alias("preset"), F.count(k).alias("n"), F.coalesce(F.sum(k), F.lit(0)).alias("ids")).alias(k) for k in names])
+    return one.select(F.explode(F.array(*names)).alias("r")).select("r.preset", "r.n", "r.ids")
