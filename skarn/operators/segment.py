@@ -14,6 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.lexing import blanked
+from . import scopes
+
 # Chunk sizes in characters, and what makes a good place to cut.
 CHUNK_SIZE, OVERLAP, MAX_SIZE = 2500, 300, 5000
 LOOK_AHEAD, TAIL = 20, 50
@@ -247,6 +250,9 @@ def chunk_file(text: str, language: str | None, max_size: int = MAX_SIZE) -> lis
         made = by_markdown(text, max_size)
     elif language == "python":
         made = by_python(text, max_size)
+    elif language in ("typescript", "javascript", "ruby"):
+        by_size = lambda t: [{"chunk_type": "block", "start_line": a, "end_line": b, "content": c} for a, b, c in by_characters(t, max_size // 2, OVERLAP, max_size)]
+        made = scopes.chunks(text, blanked(text, language), scopes.ruby_regions if language == "ruby" else scopes.script_regions, by_size)
     elif language in BRACES:
         made = by_braces(text, max_size)
     else:

@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexing import SCRIPTS, blanked
 from ..operators.resolution import Facts
+from ..operators.scopes import ENDLESS
 from ..storage import written
 
 FACT = (
@@ -29,7 +31,6 @@ FACT = (
 _KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _SCHEMA = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in FACT.split(", ")])
 
-SCRIPTS = ("typescript", "javascript")
 #: Words that look like calls or definitions in languages with braces.
 KEYWORDS = frozenset("if for while switch catch return function new typeof await throw else do match loop unsafe move fn func defer go select case super this sizeof in of yield delete void import require synchronized assert".split())
 
@@ -160,22 +161,6 @@ def python_facts(path: str, text: str) -> list[dict]:
 # -- languages with braces ---------------------------------------------------------
 
 
-def blanked(text: str, language: str) -> str:
-    """The text with comments and the insides of strings as blanks; length and lines stay."""
-    line = {"python": "#", "ruby": "#", "bash": r"(?<![\w$&{])#"}.get(language, "//")
-    quotes = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'" + (r"|`(?:\\.|[^`\\])*`" if language in (*SCRIPTS, "go") else "")
-    if language == "rust":
-        quotes = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'"
-    block = r"/\*.*?\*/|" if line == "//" else r"^=begin.*?^=end[^\n]*|" if language == "ruby" else ""
-
-    def blank(m: re.Match) -> str:
-        s = m[0]
-        inner = re.sub(r"[^\n]", " ", s)
-        return s[0] + inner[1:-1] + s[-1] if s[0] in "\"'`" and len(s) > 1 else inner
-
-    return re.sub(f"{block}{line}[^\n]*|{quotes}", blank, text, flags=re.S | re.M)
-
-
 def logical(text: str) -> Iterator[tuple[int, str]]:
     """(first line, text) of lines joined until their parentheses are closed (forty at most)."""
     held, first, depth = [], 0, 0
@@ -433,7 +418,7 @@ def ruby_facts(path: str, text: str) -> list[dict]:
     ordinal = 0
     for line, code in logical(bare):
         body = code.strip()
-        single = bool(re.search(r";\s*end\b|\bend\s*$", body)) and not body.startswith("end")
+        single = bool(re.search(r";\s*end\b|\bend\s*$", body) or ENDLESS.match(code)) and not body.startswith("end")
         if m := re.match(r"(class|module)\s+([A-Z][\w:]*)(?:\s*<\s*([A-Z][\w:]*))?", body):
             full = f"{scope()}::{m[2]}" if scope() else m[2]
             row("symbol", line, 0, name=m[2].rpartition("::")[2], value=full, flag=True)

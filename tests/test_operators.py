@@ -289,3 +289,28 @@ def test_verdicts_end_with_what_is_parked(spark):
     v = spark.createDataFrame([(1, 1, "deferred", "p"), (1, 2, "drop", None), (2, 1, "drop", None), (2, 2, "deferred", "late"), (3, 1, "deferred", "p"), (3, 2, "resolved", "r"), (4, 1, "continue", None), (5, 1, "deferred", "a"), (5, 2, "deferred", "b")], "call_id bigint, priority int, verdict string, target string")
     got = {r.call_id: (r.outcome, r.target) for r in dispatch.first_verdict(v).collect()}
     assert got == {1: ("resolved", "p"), 2: ("dropped", None), 3: ("resolved", "r"), 4: ("unresolved", None), 5: ("resolved", "a")}
+
+
+def test_script_scopes():
+    """Classes without their methods, comments with what they stand above, assignments and tests."""
+    text = (
+        "import x from 'y';\n\n/** Doc of A. */\nexport class A {\n  n = 1;\n\n  // about run\n  @decorated\n  run(a: string): void {\n    if (a) {\n    }\n  }\n\n  static make() {\n    return new A();\n  }\n}\n\n"
+        "function top() {\n  return '}';\n}\n\nexports.late = function (z) {\n  return z;\n};\n\nB.prototype.go = function () {\n};\n\ndescribe('A', () => {\n  let a;\n  beforeEach(() => {\n    a = new A();\n  });\n  describe('run', () => {\n    it('works well', () => {\n      a.run();\n    });\n  });\n});\n"
+    )
+    got = {m["symbol_id"]: m for m in segment.chunk_file(text, "typescript") if m.get("symbol_id")}
+    assert set(got) == {"A", "A#run", "A.make", "top", "late", "B#go", "A > beforeEach", "A > setup", "A > run > works well"}
+    assert got["A"]["content"].startswith("/** Doc of A. */") and "n = 1" in got["A"]["content"] and "run(a" not in got["A"]["content"] and got["A#run"]["content"].strip().startswith("// about run")
+    assert got["A#run"]["parent_symbol_id"] == "A" and got["A > run > works well"]["chunk_type"] == "test" and got["A > run > works well"]["parent_symbol_id"] == "A > run" and got["A > beforeEach"]["chunk_type"] == "test_setup"
+    assert segment.chunk_file(text, "typescript")[0]["content"] == "import x from 'y';"
+
+
+def test_ruby_scopes():
+    text = (
+        "require 'x'\n\nmodule M\n  # About B.\n  class B < A\n    has_many :as\n    has_many :bs\n    validates :c\n\n    # about run\n    def run(x)\n      if x\n        1\n      end\n    end\n\n    def self.make = new\n\n    def last\n      [1].each do |y|\n        y\n      end\n    end\n  end\nend\n\n"
+        "RSpec.describe B do\n  let(:b) { B.new }\n  context 'when on' do\n    before do\n      b.on\n    end\n    it 'runs' do\n      b.run(1)\n    end\n  end\nend\n"
+    )
+    made = segment.chunk_file(text, "ruby")
+    got = {m["symbol_id"]: m for m in made if m.get("symbol_id")}
+    assert {"M", "M::B", "M::B#run", "M::B#last", "B > when on > runs", "B > when on > before"} <= set(got)
+    assert "# about run" in got["M::B#run"]["content"] and "has_many" not in got["M::B"]["content"] and any(m["chunk_type"] == "block" and m.get("name") == "has_many" for m in made)
+    assert got["B > when on > runs"]["chunk_type"] == "test" and "b.run(1)" in got["B > when on > runs"]["content"] and got["M::B#last"]["end_line"] - got["M::B#last"]["start_line"] == 4
