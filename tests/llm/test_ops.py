@@ -708,3 +708,57 @@ def test_pipeline(spark, tmp_path):
     stages = spark.read.parquet(f"{made}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, stages.limit(0), made).columns == stages.columns
+
+
+def test_random_indexing_by_force(spark):
+    """Word vectors and a document's features, by plain loops over the pieces of a few texts."""
+    texts = ["Aa bb12, cc aa! bb", "", "cc cc cc cc cc cc cc cc", "é 中文 aa-bb"]
+    q = quality_classifier
+    place, sign = q.index_vectors()
+
+    def cut(t):
+        kind = lambda b: 0 if b in b" \t\n\x0b\x0c\r" else 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4
+        out, now = [], b""
+        for b in t.encode():
+            if now and kind(b) != kind(now[-1]):
+                out.append(now)
+                now = b""
+            now += bytes([b])
+        return [x for x in [*out, now] if x and kind(x[0])]
+
+    hash_of = lambda x: int(T.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] >> np.uint64(20)) % q.BUCKETS
+    cut_up = [[hash_of(x) for x in cut(t)] for t in texts]
+    want = np.zeros((q.BUCKETS, q.WIDTH))
+    for at in cut_up:
+        for i, x in enumerate(at):
+            for j, y in enumerate(at):
+                if i != j and abs(i - j) <= q.REACH:
+                    for k in range(q.SIGNS):
+                        want[x, place[y, k]] += sign[y, k]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = q._contexts(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"))
+    assert np.allclose(got, want, atol=1e-5)
+    (c,) = T.chunks(pa.array(texts))
+    found = q.features(c, got)
+    for at, row in zip(cut_up, found, strict=True):
+        v = got[at] if at else np.zeros((0, q.WIDTH))
+        like = [sum(float(v[i] @ v[i - lag]) for i in range(lag, len(v))) / max(len(v), 1) for lag in q.LAGS]
+        plain = np.concatenate([v.mean(0) if len(v) else np.zeros(q.WIDTH), v.std(0) if len(v) else np.zeros(q.WIDTH), like])
+        assert np.allclose(row, plain, atol=1e-3)
+
+
+def test_convolution_by_force():
+    """A text's score is that of the largest response of each filter at any place, by plain loops."""
+    net = toxicity.Net(3)
+    for e in net.e:
+        e *= 100
+    g = np.random.default_rng(1)
+    texts = [g.integers(0, toxicity.BUCKETS, (n, 1 + len(toxicity.HEADS))).astype(np.uint16) for n in (5, 0, 1, 2, 9)]
+    got = net.score(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for t, s in zip(texts, got, strict=True):
+        x = [np.concatenate([e[w[i]] for i, e in enumerate(net.e)]) for w in t] + [np.zeros(len(net.e) * toxicity.HALF)] * (max(toxicity.WIDTHS) - 1)
+        best = []
+        for j, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best.append(max([0.0, *(max(0.0, net.kb[j][f] + sum(float(x[k + d] @ net.k[j][d][:, f]) for d in range(width))) for k in range(len(t)))]))
+        assert abs(s - 1 / (1 + np.exp(-(np.dot(best, net.o) + net.ob)))) < 1e-4
