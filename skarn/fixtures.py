@@ -44,6 +44,9 @@ JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = s
 # a sparse graph with chains, joints and cycles
 SPARSE = "SELECT DISTINCT p_partkey % 400 AS src, (p_partkey * p_partkey + 7) % 400 AS dst FROM part"
 
+# two ways on from each node
+WEB = "SELECT DISTINCT p_partkey % 30 AS src, CASE WHEN CAST(floor(p_partkey / 30) AS BIGINT) % 2 = 0 THEN (p_partkey * 3 + 1) % 30 ELSE (p_partkey * 7 + 2) % 30 END AS dst FROM part"
+
 # types below types: each above 1 extends its half
 TYPES = "SELECT 'T' || CAST(k AS STRING) AS source_fq_name, 'T' || CAST(CAST(floor(k / 2) AS BIGINT) AS STRING) AS ancestor_fq_name, 'extends' AS kind, 0 AS ordinal FROM (SELECT DISTINCT p_partkey % 64 AS k FROM part) t WHERE k > 1"
 

@@ -543,12 +543,10 @@ def resolve_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolve_summary(X.frame(spark, d, X.RUNS, "nation"))
 
 
-@query(f"""WITH RECURSIVE e AS ({X.SPARSE}), p AS (SELECT [(SELECT min(src) FROM e)] AS path, (SELECT min(src) FROM e) AS node, 0 AS steps UNION ALL SELECT list_append(path, dst), dst, steps + 1 FROM p JOIN e ON src = node WHERE steps < 8 AND NOT list_contains(path, dst) AND node <> 7)
-SELECT path, steps FROM p WHERE node = 7 AND steps > 0 ORDER BY steps, path LIMIT 10""")
+@query(f"""WITH RECURSIVE e AS ({X.WEB}), p AS (SELECT [4::BIGINT] AS path, 4::BIGINT AS node, 0 AS steps UNION ALL SELECT list_append(path, dst), dst, steps + 1 FROM p JOIN e ON src = node WHERE steps < 8 AND NOT list_contains(path, dst) AND node <> 20)
+SELECT path, steps FROM p WHERE node = 20 AND steps > 0 ORDER BY steps, path LIMIT 10""")
 def trace_paths(spark: SparkSession, d: str) -> DataFrame:
-    e = X.parts(spark, d, X.SPARSE)
-    first = e.agg(F.min("src")).first()[0]
-    return graph.paths(e, first, 7)
+    return graph.paths(X.parts(spark, d, X.WEB), 4, 20)
 
 
 @query("WITH l AS (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) SELECT link, count(*) AS n, count(DISTINCT url) AS pages FROM l GROUP BY link ORDER BY n DESC, link LIMIT 50")
@@ -842,3 +840,79 @@ def filter_presets_adaptive(spark: SparkSession, d: str) -> DataFrame:
     known = stats.as_mapping(stats.signal_percentiles(c.withColumn("scope", stats.scope(c)), keys))
     one = c.select(*[F.when(filters.preset(c, k, known), F.col("id")).alias(k) for k in names]).agg(*[F.struct(F.lit(k).alias("preset"), F.count(k).alias("n"), F.coalesce(F.sum(k), F.lit(0)).alias("ids")).alias(k) for k in names])
     return one.select(F.explode(F.array(*names)).alias("r")).select("r.preset", "r.n", "r.ids")
+
+
+# -- outlines, chunk metrics, paths, sync ---------------------------------------------
+
+
+@query(f"WITH c AS ({X.CHUNKS}), l AS (SELECT relativePath, startLine, id, (CASE WHEN parentSymbolId IS NULL THEN '' ELSE '  ' END) || symbolId AS line FROM c), f AS (SELECT relativePath, line, min(startLine * 10000000 + id) AS pos FROM l GROUP BY ALL) SELECT relativePath AS relative_path, array_to_string(list(line ORDER BY pos), chr(10)) AS outline FROM f GROUP BY 1")
+def file_outlines(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.file_outline(_symbol_chunks(spark, d))
+
+
+@query(f"""WITH c AS ({X.CHUNKS}), h AS (SELECT relativePath, startLine, id, 1 AS depth, heading1 AS text FROM c WHERE heading1 IS NOT NULL UNION ALL SELECT relativePath, startLine, id, 2, heading2 FROM c WHERE heading2 IS NOT NULL),
+f AS (SELECT relativePath, depth, text, min((startLine * 10000000 + id) * 10 + depth) AS pos FROM h GROUP BY ALL) SELECT relativePath AS relative_path, array_to_string(list(repeat('  ', depth - 1) || text ORDER BY pos), chr(10)) AS toc FROM f GROUP BY 1""")
+def document_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of contents of all files by the first place of each heading."""
+    c = X.chunks(spark, d).select(F.col("relativePath").alias("relative_path"), F.col("startLine").alias("start_line"), F.col("id").alias("chunk_id"), F.col("headingPath").alias("heading_path"))
+    return symbols.doc_toc(c).select("relative_path", "toc")
+
+
+_TOUCH = f"SELECT file AS path, file || ':' || CAST(event_id % 3 AS STRING) AS chunk_id, CAST(event_id AS STRING) AS id, author, ts, churn, is_fix FROM (SELECT *, id AS event_id, {_FIX} AS is_fix FROM ({COMMITS_SQL}) x) y"
+
+
+@query(f"""WITH a AS ({_TOUCH}), u AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY chunk_id ORDER BY ts, id)) / 86400.0 AS gap FROM a), f AS (SELECT path, count(*) AS n FROM a GROUP BY path)
+SELECT chunk_id, count(*) AS commit_count, floor(count(*) / max(f.n)::DOUBLE * 100 + 0.5) / 100 AS churn_ratio, floor(({X.AS_OF} - max(ts)) / 86400)::BIGINT AS age_days, floor(100 * avg(is_fix::INT) + 0.5)::BIGINT AS bug_fix_rate,
+floor(sum(exp(-0.1 * ({X.AS_OF} - ts) / 86400.0)) * 100 + 0.5) / 100 AS recency_weighted_freq, floor(coalesce(stddev_pop(gap), 0.0) * 100 + 0.5) / 100 AS churn_volatility FROM u JOIN f USING (path) GROUP BY chunk_id""")
+def chunk_churn_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """History metrics of chunks from the commits that touched them."""
+    c = commits(spark, d)
+    touched = c.select(F.concat_ws(":", "file", (F.col("id") % 3).cast("string")).alias("chunk_id"), F.col("id").cast("string").alias("id"), "author", "ts", F.lit(1).alias("added"), F.lit(0).alias("deleted"), "is_fix", F.col("file").alias("_file"))
+    chunks = touched.select("chunk_id", F.col("_file").alias("file"), F.lit(10).alias("lines")).distinct()
+    files = c.groupBy("file").agg(F.count("*").alias("commit_count"), F.countDistinct("author").alias("contributors"))
+    return history.chunk_metrics(touched.drop("_file"), chunks, files, X.AS_OF).select("chunk_id", "commit_count", "churn_ratio", "age_days", "bug_fix_rate", "recency_weighted_freq", "churn_volatility")
+
+
+@query(f"""WITH RECURSIVE e AS ({X.WEB}), p AS (SELECT [11::BIGINT] AS path, 11::BIGINT AS node, 0 AS steps UNION ALL SELECT list_append(path, dst), dst, steps + 1 FROM p JOIN e ON src = node WHERE steps < 8 AND NOT list_contains(path, dst) AND node <> 20),
+f AS (SELECT path FROM p WHERE node = 20 AND steps > 0 ORDER BY steps, path LIMIT 10) SELECT path, list_max(list_transform(path, lambda x: (x * 7 % 13)::DOUBLE)) AS danger FROM f""")
+def path_danger(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with the score of their worst step."""
+    e = X.parts(spark, d, X.WEB)
+    scored = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("rank_score", (F.col("node") * 7 % 13).cast("double"))
+    return graph.danger(graph.paths(e, 11, 20), scored).select("path", "danger")
+
+
+@query(f"WITH e AS ({X.CALLS}) SELECT source_rel_path, source_symbol_id, call_expression, member FROM (SELECT *, split_part(target_symbol_id, '#', 2) AS member FROM e) x WHERE member = 'm1' AND edge_kind = 'dynamic' ORDER BY source_rel_path, source_symbol_id, call_expression LIMIT 50")
+def ambiguous_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that may mean a member, of which there are several."""
+    wide = X.parts(spark, d, X.CALLS).where("edge_kind = 'dynamic'").withColumn("member", F.split("target_symbol_id", "#")[1])
+    return graph.ambiguous_callers(wide, "m1").select("source_rel_path", "source_symbol_id", "call_expression", "member")
+
+
+_IMPORTS = "SELECT DISTINCT 'src/t' || CAST(p_partkey % 64 AS STRING) || '.py' AS src, 'pkg.t' || CAST((p_partkey * 3 + 1) % 80 AS STRING) AS import_text, p_partkey AS position FROM part"
+
+
+@query(f"WITH i AS ({_IMPORTS}), f AS (SELECT DISTINCT rel_path FROM ({X.SYMBOLS}) s), m AS (SELECT src, rel_path AS dst, import_text, row_number() OVER (PARTITION BY src, rel_path ORDER BY position) AS n FROM i JOIN f ON 'src/' || split_part(import_text, '.', 2) || '.py' = rel_path WHERE src <> rel_path) SELECT src, dst, import_text FROM m WHERE n = 1")
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """File edges from the last part of each import."""
+    return dispatch.import_edges(X.parts(spark, d, _IMPORTS), X.parts(spark, d, X.SYMBOLS).select("rel_path").distinct())
+
+
+@query("""SELECT 'retry' AS kind, doc_id FROM documents WHERE doc_id % 4 = 0 AND (doc_id % 3 = 0 OR doc_id <= 300) UNION ALL SELECT 'unenriched', doc_id FROM documents WHERE doc_id % 6 = 5
+UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN 'newly_ignored' ELSE 'newly_unignored' END, doc_id FROM documents WHERE doc_id % 7 = 0""")
+def sync_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Files to try again, chunks that enrichment has missed, and changes that ignore rules have made."""
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("path"))
+    again = sync.retry(docs.where("path % 4 = 0").withColumn("next_retry", F.col("path")), docs.where("path % 3 = 0"), 300)
+    missed = sync.unenriched(docs.withColumn("mark", F.when(F.col("path") % 6 != 5, 1)), "mark")
+    changes = docs.withColumn("change", F.when(F.col("path") % 2 == 0, "deleted").otherwise("added"))
+    seven = F.col("path") % 7 == 0
+    moved = sync.ignore_changes(changes, seven & (F.col("change") == "added"), seven & (F.col("change") == "deleted")).where(F.col("change").startswith("newly"))
+    one = lambda df, kind: df.select(kind.alias("kind"), F.col("path").alias("doc_id"))
+    return one(again, F.lit("retry")).unionByName(one(missed, F.lit("unenriched"))).unionByName(one(moved, F.col("change")))
+
+
+@query(f"WITH c AS ({X.CHUNKS}) SELECT id, CASE WHEN contentSize > 0 AND endLine >= startLine THEN floor(contentSize / (endLine - startLine + 1)::DOUBLE * least(1.0, (endLine - startLine + 1) / greatest(2.0, ceil(sqrt(methodLines)))) + 0.5) ELSE 0 END::BIGINT AS density FROM c")
+def method_densities(spark: SparkSession, d: str) -> DataFrame:
+    c = X.chunks(spark, d).withColumn("lines", F.col("endLine") - F.col("startLine") + 1)
+    return c.select("id", S.method_density("contentSize", "lines", "methodLines").cast("bigint").alias("density"))
