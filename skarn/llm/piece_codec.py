@@ -45,7 +45,7 @@ MARK = "▁"
 class Pieces:
     """Vocabulary of a SentencePiece model file and its two directions."""
 
-    def __init__(self, path: str, unigram: bool = False, remember: int = 1_000_000):
+    def __init__(self, path: str, unigram: bool = False, remember: int = 1_500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
