@@ -704,7 +704,7 @@ def fan_out_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def character_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """All documents cut into chunks (tested against a plain version)."""
+    """All documents cut into chunks (their borders and sizes are tested by property)."""
     files = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("string").alias("language"), "text")
     return segment.chunks(files).select("path", "chunk_index", "start_line", "end_line", F.length("content").alias("n_chars"))
 

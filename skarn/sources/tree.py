@@ -105,17 +105,59 @@ def _read(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+#: Levels of folders that are listed before anything is read.
+LISTED = 3
+
+
+def kept_roots(spark: SparkSession, root: str, rules: list[str]) -> list[str]:
+    """What to read of a tree: folders without those that the rules drop, so that their files are not opened.
+
+    Listed to a depth of ``LISTED``; a folder none of whose folders is dropped stays whole.
+    Rules that take something back in may reach into any folder, so with one nothing is cut.
+    """
+    rules = [r.strip() for r in rules if r.strip() and not r.strip().startswith("#")]
+    if any(r.startswith("!") for r in rules):
+        return [root]
+    dropped = [re.compile(ignore_regex(r)) for r in rules]
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def walk(path, rel: str, depth: int) -> tuple[list[str], bool]:
+        out, cut = [], False
+        for s in fs.listStatus(path):
+            name = s.getPath().getName()
+            inner = f"{rel}{name}"
+            if name[0] in "._":  # not seen by Spark's file source
+                continue
+            if any(d.search(inner) for d in dropped):
+                cut = True
+                continue
+            if s.isDirectory() and depth < LISTED:
+                below, less = walk(s.getPath(), f"{inner}/", depth + 1)
+                cut |= less
+                out += below if less else [s.getPath().toString()]
+            else:
+                out.append(s.getPath().toString())
+        return out, cut
+
+    found, cut = walk(p, "", 1)
+    return found if cut else [root]
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), languages: list[str] | None = None) -> DataFrame:
     """(path, language, kind, mtime, size, text) of the files that are not ignored.
 
     Rules: the built-in ones, the tree's ignore files in their order, then ``patterns``.
     Paths are read by Spark's file source, so a tree in any store it knows is fine.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rules = [*BUILTIN_IGNORE, *(x for name in IGNORE_FILES for x in _read(spark, f"{root.rstrip('/')}/{name}").splitlines()), *patterns]
+    roots = kept_roots(spark, root, rules)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots or root)
+    files = files if roots else files.limit(0)
     base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), f"^{re.escape(base)}/", "")
     files = files.select(rel.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
-    rules = [*BUILTIN_IGNORE, *(x for name in IGNORE_FILES for x in _read(spark, f"{root.rstrip('/')}/{name}").splitlines()), *patterns]
     kept = files.where(~ignored("path", rules)).withColumn("language", language("path")).where("language IS NOT NULL")
     if languages:
         kept = kept.where(F.col("language").isin(languages))

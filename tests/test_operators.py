@@ -314,3 +314,16 @@ def test_ruby_scopes():
     assert {"M", "M::B", "M::B#run", "M::B#last", "B > when on > runs", "B > when on > before"} <= set(got)
     assert "# about run" in got["M::B#run"]["content"] and "has_many" not in got["M::B"]["content"] and any(m["chunk_type"] == "block" and m.get("name") == "has_many" for m in made)
     assert got["B > when on > runs"]["chunk_type"] == "test" and "b.run(1)" in got["B > when on > runs"]["content"] and got["M::B#last"]["end_line"] - got["M::B#last"]["start_line"] == 4
+
+
+def test_ignored_folders_are_not_read(spark, tmp_path):
+    """Files below dropped folders are not even opened; what is kept is the same as without that."""
+    for p in ("src/a.py", "src/deep/b.py", "node_modules/x/c.js", "pkg/one/node_modules/d.js", "pkg/one/e.py", "top.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x = 1\n")
+    root = f"file://{tmp_path}"
+    roots = tree.kept_roots(spark, root, ["node_modules/"])
+    assert not any("node_modules" in r for r in roots) and any(r.endswith("/src") for r in roots)
+    assert tree.kept_roots(spark, root, ["node_modules/", "!node_modules/x"]) == [root] == tree.kept_roots(spark, root, ["absent/"])
+    assert {r.path for r in tree.scan(spark, root).collect()} == {"src/a.py", "src/deep/b.py", "pkg/one/e.py", "top.py"}
+    assert tree.scan(spark, root, ["*.py", "*.js"]).count() == 0
