@@ -616,6 +616,31 @@ def test_toxicity_thresholds():
     assert toxicity.Model(toxicity.Net(), seen[:3], np.zeros(3, int), langs[:3], 0.995).by_lang == {}
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """What only rows far down the order of hashes show is learned, whether one task trains or many."""
+    ids = [r.id for r in spark.range(12_000).where("pmod(crc32(cast(cast(id AS string) AS binary)), 4) <> 2").orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    toxic = set(ids[8_000:])
+    assert len(toxic) > 500
+    rows = [(k, f"w{k % 50} late" if k in toxic else f"w{k % 50} v{k % 7}", "en", int(k in toxic)) for k in ids]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int").repartition(4)
+    probe = spark.createDataFrame([(1, "w3 late", "en"), (2, "w3 v3", "en")], "doc_id bigint, text string, lang string")
+    for size in (toxicity.TASK_BYTES, 40_000):
+        monkeypatch.setattr(toxicity, "TASK_BYTES", size)
+        model = toxicity.fit(d, d)
+        late, plain = [r.score for r in toxicity.score(probe, model).orderBy("doc_id").collect()]
+        assert model.net.constant is None and late > 0.8 and plain < 0.2
+
+
+def test_toxicity_cuts(spark):
+    """Cuts counted in Spark are those of the sorted list, also among equal scores."""
+    g = np.random.default_rng(5)
+    lists = {"": g.random(4000) ** 6, "=a": np.round(g.random(1500), 2), "=b": np.zeros(300), "=c": g.random(199), "=d": g.random(198)}
+    rows = [(k, int(x)) for k, v in lists.items() for x in v.view(np.int64)]
+    got = toxicity.cuts(spark.createDataFrame(rows, "key string, bits bigint"), 0.995)
+    assert got == {k: toxicity.cut(v, 0.995) for k, v in lists.items() if k != "=d"}
+    assert toxicity.cuts(spark.createDataFrame([], "key string, bits bigint"), 0.995) == {}
+
+
 def kept_by_force(text):
     """The whole verdict of the quality rules by plain loops."""
     t, rules = text or "", quality_rules.Rules()
