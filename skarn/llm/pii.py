@@ -54,6 +54,8 @@ REMOVE = 0.9
 GENERALISE = 0.7
 ELSEWHERE = 0.5
 CHUNK = 256
+#: Slots of the table that sorts out words before they move; a power of two.
+SLOTS = 1 << 20
 #: Stands for the code points of a found span; a private one, no letter of any script.
 MASK = "\ue000"
 
@@ -182,6 +184,17 @@ def _free(masked: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
 
+def _may_be(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose term may be one of the known ones, as its slot is taken; the exact join comes after.
+
+    The words of all texts are many times the text, so they are sorted out before they
+    move, whatever form Spark gives the join, and by a table of at most ``SLOTS`` rows.
+    """
+    slot = F.col("term").bitwiseAND(F.lit(SLOTS - 1))
+    taken = F.broadcast(known.select(slot.alias("slot")).distinct())
+    return rows.withColumn("slot", slot).join(taken, "slot", "left_semi").drop("slot")
+
+
 _ADDED = "array<struct<start:bigint,end:bigint,kind:int,term:string,share:double>>"
 
 
@@ -236,7 +249,7 @@ def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, re
     pairs = paired.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("k").alias("both")).where(F.col("support") >= min_support)
     pairs = written(pairs, "pairs")
     each = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = each.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    counts = _may_be(each, pairs).groupBy("term").agg(F.count("*").alias("df_t"))
     ic = F.log2(n / F.col("df_e"))
     pmi = F.log2(n * F.col("both") / (F.col("df_t") * F.col("df_e")))
     told = pairs.join(counts, "term").join(entities, "entity").where(ic > 0)
@@ -244,9 +257,9 @@ def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, re
     told = written(told.where(F.col("share") >= generalise), "disclosing")
 
     # the terms of each text: those of its own entities, and those that point to one anyway
-    own = paired.join(told, ["entity", "term"]).select("copy", "term", "share")
+    own = _may_be(paired, told).join(told, ["entity", "term"]).select("copy", "term", "share")
     points = told.where("everywhere").groupBy("term").agg(F.max("share").alias("share"))
-    other = rows.select("copy", F.explode(_terms(F.col("text"))).alias("term")).join(points, "term").select("copy", "term", "share")
+    other = _may_be(rows.select("copy", F.explode(_terms(F.col("text"))).alias("term")), points).join(points, "term").select("copy", "term", "share")
     hits = own.unionByName(other).groupBy("copy", "term").agg(F.max("share").alias("share"))
     hits = written(hits.groupBy("copy").agg(F.collect_list(F.struct("term", "share")).alias("hits")), "hits")
     texts = rows.select("copy", "text").join(hits, "copy").dropDuplicates(["copy"]).join(per_text.select("copy", "spans"), "copy", "left")

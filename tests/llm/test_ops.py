@@ -581,6 +581,26 @@ def test_empty_tables(spark, odd):
     assert coded.count() == 0 and piece_codec.decode(coded, path).count() == 0
 
 
+def test_pii_words_stay(spark, monkeypatch):
+    """Words that no entity meets do not move, also where Spark joins by sorting; slots that all share change nothing."""
+    rows = [(k, " ".join(f"x{k}y{i}" for i in range(100)) + (" codename mail to ann@mail.example.org" if k < 4 else "")) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sc.setJobGroup("pii-words", "")
+        got = sorted(pii.detect(df).collect())
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        store, tracker, moved = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
+        for stage in {k for j in tracker.getJobIdsForGroup("pii-words") for k in tracker.getJobInfo(j).stageIds}:
+            moved += store.lastStageAttempt(stage).shuffleWriteRecords()
+        assert 0 < moved < 10_000  # there are 40,000 words
+        monkeypatch.setattr(pii, "SLOTS", 1)
+        assert sorted(pii.detect(df).collect()) == got and [r.n_term > 0 for r in got] == [k < 4 for k in range(400)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_toxicity(spark, odd):
     r = random.Random(6)
     plain = [f"w{k}" for k in range(300)]
