@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, near_dup, pii, piece_codec, quality_classifier, quality_rules, token_store, toxicity, warc
+from . import centroids, decontaminate, license_scan, lm_score, near_dup, pii, piece_codec, quality_classifier, quality_rules, token_store, toxicity, warc, whitening
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -77,6 +77,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ids=False)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the eight leading components of their covariance, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 16 clusters after three rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_lm_score": op2_lm_score,
@@ -88,4 +103,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
+    "op11_license_scan": op11_license_scan,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
 }
