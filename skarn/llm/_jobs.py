@@ -9,6 +9,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +113,25 @@ def arrow_stage(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(tidy, schema)
 
 
+def bloom(keys: DataFrame, *places: Column) -> tuple[int, bytes]:
+    """A Bloom filter over rows, given the hashes of each: some 16 bits a row, from 128 kB to 16 MB.
+
+    More rows than it can tell apart only let more through to the exact join.
+    """
+    bits = min(max((16 * keys.count()).bit_length(), 20), 27)
+    at = F.explode(F.array(*[F.pmod(h, F.lit(1 << bits)) for h in places])).alias("at")
+    words = keys.select(at).select((F.col("at") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 32) as int))").alias("bit"))
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**22 rows
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return bits, table.tobytes()
+
+
+def in_bloom(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set; a row is in the filter if all of its places are."""
+    return ((table[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id counts as an empty string)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._jobs import arrow_stage, free_names, release, text_of, written
+from ._jobs import arrow_stage, bloom, free_names, in_bloom, release, text_of, written
 
 MISS = 1e-6
 MARGIN = 1e-7
@@ -143,50 +143,53 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return arrow_stage(classes.select("node", "n", "sig"), run, "bucket bigint, node bigint, n bigint")
 
 
-def _bitmap(keys: DataFrame) -> tuple[int, bytes]:
-    """A Bloom filter over the column ``k``: some 16 bits a key, from 128 kB to 16 MB.
-
-    More keys than it can tell apart only let more rows through to the exact join.
-    """
-    bits = min(max((16 * keys.count()).bit_length(), 20), 27)
-    at = F.explode(F.array(*[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << bits)) for s in (1, 2)])).alias("at")
-    words = keys.select(at).select((F.col("at") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 32) as int))").alias("bit"))
-    table = np.zeros(1 << (bits - 5), np.uint32)
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**22 rows
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return bits, table.tobytes()
+#: (id, text) pairs that a task remembers, so that their repetitions don't move.
+REMEMBER = 1 << 18
 
 
 def _sets(rows: DataFrame, active: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the classes in ``active`` (node, doc_id, key), from the texts."""
+    """(node, set) of the classes in ``active`` (node, doc_id, key), from the texts.
+
+    A class is found again by the id and the hash of its first text, so rows that share an
+    id (or have none) meet only the class of their own text, and repeated rows move once a task.
+    """
     spark = rows.sparkSession
-    size_, table_ = _bitmap(active.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")))
-    bits = spark.sparkContext.broadcast(table_)
-    keyed = rows.withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("k", "text", *[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << size_)).alias(f"b{s}") for s in (1, 2)])
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    wanted = active.select("node", "key", name.alias("k"))
+    ids, texts = bloom(wanted, *[F.xxhash64("k", F.lit(s)) for s in (1, 2)]), bloom(wanted, F.col("key"), F.shiftright("key", 32))
+    sent = [spark.sparkContext.broadcast(t) for _, t in (ids, texts)]
+    low = (1 << texts[0]) - 1
+    keyed = rows.withColumn("k", name).select("k", "text", *[F.pmod(F.xxhash64("k", F.lit(s)), F.lit(1 << ids[0])).alias(f"b{s}") for s in (1, 2)])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint32)
+        by_id, by_text = (np.frombuffer(b.value, np.uint32) for b in sent)
+        has = in_bloom
+        met: set[tuple[str, int]] = set()
         for b in batches:
-            at = [b.column(i).to_numpy() for i in (2, 3)]
-            seen = [(table[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1) for x in at]
-            out = b.filter(pa.array((seen[0] & seen[1]).astype(bool)))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["k", "text"])
+            b = b.filter(pa.array(has(by_id, b.column(2).to_numpy()) & has(by_id, b.column(3).to_numpy())))
+            for c in T.chunks(b.column(1)):
+                key = _signed(T.span_hashes(c.data, c.borders[:-1], c.borders[1:]))
+                k = b.column(0).slice(c.first, c.n)
+                mine = np.flatnonzero(has(by_text, key & low) & has(by_text, (key >> 32) & low))
+                if len(met) > REMEMBER:
+                    met.clear()
+                new = []
+                for i in mine.tolist():
+                    pair = (k[i].as_py(), int(key[i]))
+                    if pair not in met:
+                        met.add(pair)
+                        new.append(i)
+                take = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays([k.take(take), pa.array(key[new]), b.column(1).slice(c.first, c.n).take(take)], ["k", "key", "text"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, sets = [], []
-            wanted = b.column(2).to_numpy()
             for c in T.chunks(b.column(0)):
-                key = _signed(T.span_hashes(c.data, c.borders[:-1], c.borders[1:]))
-                for i, s in enumerate(shingle_sets(c, size)):
-                    if key[i] == wanted[c.first + i]:
-                        node.append(b.column(1)[c.first + i].as_py())
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
-
-    found = arrow_stage(keyed, likely, "k string, text string")
-    wanted = active.select("node", "key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"))
-    return arrow_stage(found.join(wanted, "k").select("text", "node", "key"), build, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set"))
+                sets = [s.tobytes() for s in shingle_sets(c, size)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.first, c.n), pa.array(sets, pa.binary())], ["node", "set"])
+
+    found = arrow_stage(keyed, likely, "k string, key bigint, text string")
+    return arrow_stage(found.join(wanted, ["k", "key"]).select("text", "node"), build, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
 #: Shingles of a block of members, and of a block of queries that meets it; and rows.

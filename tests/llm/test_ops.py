@@ -567,6 +567,27 @@ def test_quality_classifier(spark, odd):
     assert quality_classifier.classify(odd, spark.createDataFrame([(k, k % 2, 0) for k in range(2, 9)], "doc_id bigint, quality int, toxic int")).count() == len(ODD)
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_near_duplicates_under_one_id(spark, shared, monkeypatch):
+    """Thousands of rows with one id, or none: the rows that become sets are as many as the classes."""
+    text = lambda k: " ".join(f"g{k}w{i}" for i in range(40)) + f" v{k % 3}"
+    rows = [(shared, text(k // 2) + (" end" if k % 2 else "")) for k in range(3000)] + [(shared, "one and the same text " * 3)] * 2000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    made, real = [], near_dup.arrow_stage
+
+    def counted(frame, make, schema):
+        if schema == "node bigint, set binary":
+            made.append(frame.count())
+        return real(frame, make, schema)
+
+    monkeypatch.setattr(near_dup, "arrow_stage", counted)
+    got = near_dup.near_duplicates(df).groupBy("doc_id", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(shared, shared, 5000)]
+    assert sum(made) <= 3001 + 8  # the repeated text at most once a task
+    monkeypatch.setattr(near_dup, "arrow_stage", real)
+    assert near_dup.keep_first(df).count() == 1501
+
+
 def test_empty_tables(spark, odd):
     """No rows in, no rows out, for every operator and stage; the labels may be empty too."""
     none = odd.limit(0)
@@ -582,23 +603,16 @@ def test_empty_tables(spark, odd):
 
 
 def test_pii_words_stay(spark, monkeypatch):
-    """Words that no entity meets do not move, also where Spark joins by sorting; slots that all share change nothing."""
-    rows = [(k, " ".join(f"x{k}y{i}" for i in range(100)) + (" codename mail to ann@mail.example.org" if k < 4 else "")) for k in range(400)]
+    """Words that no entity meets do not pass to the exact joins; slots that all share change nothing."""
+    rows = [(k, " ".join(f"x{k}y{i}" for i in range(40)) + (" codename mail to ann@mail.example.org" if k < 4 else "")) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        sc.setJobGroup("pii-words", "")
-        got = sorted(pii.detect(df).collect())
-        sc.setLocalProperty("spark.jobGroup.id", None)
-        store, tracker, moved = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
-        for stage in {k for j in tracker.getJobIdsForGroup("pii-words") for k in tracker.getJobInfo(j).stageIds}:
-            moved += store.lastStageAttempt(stage).shuffleWriteRecords()
-        assert 0 < moved < 10_000  # there are 40,000 words
-        monkeypatch.setattr(pii, "SLOTS", 1)
-        assert sorted(pii.detect(df).collect()) == got and [r.n_term > 0 for r in got] == [k < 4 for k in range(400)]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    real, passed = pii._may_be, []
+    monkeypatch.setattr(pii, "_may_be", lambda words, known: (passed.append((words.count(), real(words, known).count())), real(words, known))[1])
+    got = sorted(pii.detect(df).collect())
+    assert max(w for w, _ in passed) > 2400 and all(p < 400 for w, p in passed if w > 1000)
+    monkeypatch.setattr(pii, "_may_be", real)
+    monkeypatch.setattr(pii, "SLOTS", 1)
+    assert sorted(pii.detect(df).collect()) == got and [r.n_term > 0 for r in got] == [k < 4 for k in range(60)]
 
 
 def test_toxicity(spark, odd):
