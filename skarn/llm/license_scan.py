@@ -16,8 +16,8 @@ Base phrases are templates of which only exact quotations count, so each place i
 
 Texts with equal content are one text to steps 1 to 3 (told apart by SHA-256), so a notice in
 thousands of copies is matched once; rows take their spans in a join that is salted, as one text
-may be a third of all rows.  No text moves while the found spans are small enough for Spark to
-broadcast; beyond that each text moves once.
+may be a third of all rows.  Only texts that a Bloom filter of those with candidates lets through
+(of bounded size, so that it may be sent to all) go along in that join, to be verified.
 
 Defined results: null or empty texts have no words and no spans; repeated rows get equal results,
 one each, and so do null ids; an empty table gives an empty one; columns other than the id and the
@@ -31,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._jobs import arrow_stage, text_of, written
+from ._jobs import arrow_stage, bloom, in_bloom, text_of, written
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,8 @@ NOTICES = [
 ]
 
 GRAM, GAP, MIN_VOTES, MIN_SHARE = 3, 4, 0.3, 0.85
+#: Templates of so many words in all are sent to all tasks; beyond that the k-grams of the texts are shuffled.
+SMALL = 200_000
 #: Rows of one text are dealt to so many places when they join their spans.
 SALTS = 16
 
@@ -111,7 +114,8 @@ def _positions(spark, templates: list[list[str]]) -> DataFrame:
         k = min(GRAM, len(words))
         hashes, at, _ = T.grams(w.hash, w.counts, k)
         rows += [(t, k, h, q, len(words)) for h, q in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True)]
-    return spark.createDataFrame(rows, "template int, k int, hash bigint, q int, size int")
+    out = spark.createDataFrame(rows, "template int, k int, hash bigint, q int, size int")
+    return F.broadcast(out) if len(rows) <= SMALL else out
 
 
 def _copy(text: Column) -> Column:
@@ -159,8 +163,26 @@ def candidates(docs: DataFrame, templates: list[Template], text_col: str = "text
     return parts.where(enough).groupBy("copy").agg(F.collect_list(F.struct("template", "k", "lines")).alias("found"))
 
 
+def _counted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, copy, salt, n_words, text) of every row; the text only where its copy may be among those found."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    bits, table = bloom(found.select("copy"), *[F.xxhash64("copy", F.lit(s)) for s in (1, 2)])
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    placed = rows.select("doc_id", "copy", "salt", "text", *[F.pmod(F.xxhash64("copy", F.lit(s)), F.lit(1 << bits)).alias(f"b{s}") for s in (1, 2)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(sent.value, np.uint32)
+        for b in batches:
+            n = [T.words(c.lowered(), T.ALNUM, hashed=False).counts for c in T.chunks(b.column(3))]
+            likely = in_bloom(seen, b.column(4).to_numpy()) & in_bloom(seen, b.column(5).to_numpy())
+            text = pc.if_else(pa.array(likely), b.column(3), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.concatenate(n) if n else [], pa.int64()), text], ["doc_id", "copy", "salt", "n_words", "text"])
+
+    return arrow_stage(placed, run, f"doc_id {kind}, copy binary, salt bigint, n_words bigint, text string")
+
+
 def _verified(rows: DataFrame, templates: list[Template], min_share: float) -> DataFrame:
-    """(doc_id, n_words, spans) from (doc_id, text, found), compared word by word."""
+    """(doc_id, n_words, spans) from (doc_id, n_words, text, found), compared word by word."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     listed = [[w.encode() for w in _words(t.text)] for t in templates]
     schema = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
@@ -183,15 +205,16 @@ def _verified(rows: DataFrame, templates: list[Template], min_share: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in T.chunks(b.column(1)):
+            lists: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            at = np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False))
+            for raw in T.chunks(b.column(2).take(pa.array(at))):
                 c = raw.lowered()
                 w = T.words(c, T.ALNUM, hashed=False)
-                first, found = w.first, b.column(2).slice(c.first, c.n)
-                lists: list[list[dict]] = [[] for _ in range(c.n)]
-                for d in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    base, n = int(first[d]), int(w.counts[d])
-                    lists[d] = spans(found[d].as_py(), lambda p, base=base, n=n: c.text(int(w.starts[base + p]), int(w.ends[base + p])) if 0 <= p < n else None)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array(w.counts), pa.array(lists, schema)], ["doc_id", "n_words", "spans"])
+                first = w.first
+                for d in range(c.n):
+                    base, n, row = int(first[d]), int(w.counts[d]), int(at[c.first + d])
+                    lists[row] = spans(b.column(3)[row].as_py(), lambda p, base=base, n=n, w=w, c=c: c.text(int(w.starts[base + p]), int(w.ends[base + p])) if 0 <= p < n else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, schema)], ["doc_id", "n_words", "spans"])
 
     return arrow_stage(rows, run, FOUND.format(kind=kind))
 
@@ -206,7 +229,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, min_share: fl
     found = written(candidates(docs, every, text_col), "licences")
     rows = text_of(docs, {"doc_id": id_col, "text": text_col}).withColumn("copy", _copy(F.col("text"))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     salted = found.select("copy", "found", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    out = _verified(rows.join(salted, ["copy", "salt"], "left").select("doc_id", "text", "found"), every, min_share)
+    out = _verified(_counted(rows, found).join(salted, ["copy", "salt"], "left").select("doc_id", "n_words", "text", "found"), every, min_share)
     base = F.filter("spans", lambda s: s["template"] < len(BASE))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda s: s["label"]))), ",")
     return out.withColumn("_base", base).select(
