@@ -70,6 +70,13 @@ POINTS = f"SELECT DISTINCT {_LINE_KEY} AS point_id, l_orderkey % 5000 AS file, (
 HUNKS = f"SELECT DISTINCT {_LINE_KEY} AS hunk_id, l_orderkey % 5000 AS file, l_suppkey % 100 AS hunk_start, l_suppkey % 100 + l_linenumber AS hunk_end FROM lineitem"
 
 
+# a history of line changes: each supplier is a file, each order a commit, and one file is much busier
+CHANGES = """
+SELECT CASE WHEN l_partkey % 20 = 0 THEN 0 ELSE l_suppkey END AS file, l_orderkey AS id, 'a' || CAST(l_suppkey % 9 AS STRING) AS author, l_orderkey * 60 AS ts, l_returnflag = 'R' AS is_fix,
+  l_partkey % 170 + 1 AS old_start, CAST(l_quantity AS BIGINT) % 5 AS old_lines, l_partkey % 170 + 1 AS new_start, CAST(l_linenumber AS BIGINT) - 1 AS new_lines FROM lineitem"""
+SPANS = "SELECT DISTINCT CASE WHEN l_partkey % 20 = 0 THEN 0 ELSE l_suppkey END AS file, CAST(l_linenumber AS BIGINT) AS chunk_id, CAST(l_linenumber AS BIGINT) * 24 - 20 AS start_line, CAST(l_linenumber AS BIGINT) * 24 + 3 AS end_line FROM lineitem"
+
+
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for n in names:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
@@ -79,6 +86,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, as a source of streams takes no single file by name."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """A fixture as a DataFrame over the tables it names."""
     register(spark, sf_dir, *names)

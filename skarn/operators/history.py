@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.numeric import age_days, round0, round2
 from ..functions.text import is_fix, is_merge_subject, subject, task_ids
-from ..storage import written
+from ..storage import discard, written
 
 # History windows and session gap.
 SESSION_MINUTES, DECAY, TOP_AUTHORS = 30, 0.1, 10
@@ -41,6 +45,22 @@ def sessions(commits: DataFrame, gap_minutes: float = SESSION_MINUTES, keys: tup
     return numbered.groupBy(*keys, "session").agg(F.max("ts").alias("ts"), F.min("ts").alias("first_ts"), F.count("*").alias("commits"), F.max("is_fix").alias("is_fix"))
 
 
+def merged_sessions(touches: DataFrame, gap_minutes: float = SESSION_MINUTES, keys: tuple[str, ...] = ("chunk_id", "author"), time: str = "ts") -> DataFrame:
+    """(keys, first_ts, ts, touches, is_fix): bursts of touches, as Spark's session windows.
+
+    A gap of exactly ``gap_minutes`` begins a new session, and a session is a fix if any touch in
+    it is.  Windows that meet are merged row by row as they come sorted, so a busy chunk is never
+    gathered.  ``time`` may be seconds, or a timestamp: a stream with a watermark on it gives
+    each session once, when it is closed.
+    """
+    whole = isinstance(touches.schema[time].dataType, NumericType)
+    at = F.timestamp_seconds(time) if whole else F.col(time)
+    w = F.session_window(at, f"{round(gap_minutes * 60_000_000) - 1} microseconds")  # windows that only touch are merged too
+    second = F.col(time) if whole else F.col(time).cast("bigint")
+    made = touches.withColumn("_s", second).groupBy(*keys, w).agg(F.min("_s").alias("first_ts"), F.max("_s").alias("ts"), F.count("*").alias("touches"), F.max("is_fix").alias("is_fix"))
+    return made.drop("session_window")
+
+
 def _units(units: DataFrame, key: str, as_of: int) -> DataFrame:
     """Metrics of a file's or chunk's units (commits or sessions) with ts and is_fix."""
     w = Window.partitionBy(key).orderBy("ts", "id")
@@ -85,14 +105,16 @@ def file_metrics(changes: DataFrame, as_of: int, lines: DataFrame | None = None,
     return out.withColumn("file_churn_count", churn).withColumn("relative_churn", round2(churn / size))
 
 
-def chunk_metrics(touches: DataFrame, chunks: DataFrame, files: DataFrame, as_of: int) -> DataFrame:
+def chunk_metrics(touches: DataFrame, chunks: DataFrame, files: DataFrame, as_of: int, squash: bool = False, gap_minutes: float = SESSION_MINUTES) -> DataFrame:
     """Metrics of each chunk from its touches (chunk_id, id, author, ts, added, deleted, is_fix).
 
     chunks: chunk_id, file, lines; files: file, commit_count, contributors.  A chunk that
-    was never touched has zeros and no age.
+    was never touched has zeros and no age.  With ``squash`` the counting metrics, and the share of
+    fixes with them, use sessions of an author instead of commits.
     """
     once = touches.groupBy("chunk_id", "id").agg(F.max("ts").alias("ts"), F.max("is_fix").alias("is_fix"), F.min("author").alias("author"), F.sum(F.col("added") + F.col("deleted")).alias("churn"))
-    counted = _units(once.select("chunk_id", "id", "ts", "is_fix"), "chunk_id", as_of)
+    units = merged_sessions(once, gap_minutes).withColumn("id", F.concat_ws("#", "author", F.col("first_ts"))) if squash else once
+    counted = _units(units.select("chunk_id", "id", "ts", "is_fix"), "chunk_id", as_of)
     plain = once.groupBy("chunk_id").agg(F.max("ts").alias("last_modified_at"), age_days(F.lit(as_of), F.max("ts")).alias("age_days"), F.sum("churn").alias("churn"), F.countDistinct("author").alias("chunk_authors"))
     f = files.select("file", F.col("commit_count").alias("file_commits"), F.col("contributors").alias("file_authors"))
     out = chunks.select("chunk_id", "file", "lines").join(plain, "chunk_id", "left").join(counted, "chunk_id", "left").join(f, "file", "left")
@@ -169,33 +191,83 @@ def shift(ranges: Iterable[list[int]], hunks: Iterable[tuple[int, int, int]]) ->
         r[1] = max(r[1], r[0])
 
 
-def walk_hunks(hunks: DataFrame, chunks: DataFrame) -> DataFrame:
+#: Hunks of one file that a task walks, and chunks that it walks them for.
+WALK_HUNKS, WALK_CHUNKS = 50_000, 256
+_WALKED = "file string, chunk_id string, id string, author string, ts bigint, is_fix boolean, added bigint, deleted bigint, start_line bigint, end_line bigint"
+
+
+def _walk(key: tuple, hunks: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+    """Touches of some chunks by a stretch of one file's commits, newest first.
+
+    The rows without an id are the ranges as they stood before the oldest of these commits.
+    """
+    names = [c.split()[0] for c in _WALKED.split(", ")]
+    if not len(chunks):
+        return pd.DataFrame([], columns=names)
+    ids = chunks["chunk_id"].to_numpy(object)
+    start, end = (chunks[c].to_numpy("int64").copy() for c in ("start_line", "end_line"))
+    met = []
+    ordered = hunks.sort_values(["ts", "id", "new_start", "old_start", "new_lines", "old_lines"], ascending=[False, True, True, True, True, True], kind="stable")
+    rows = list(zip(*[ordered[c].tolist() for c in ("ts", "id", "author", "is_fix", "new_start", "old_lines", "new_lines")], strict=True))
+    for (ts, sha), part in groupby(rows, key=lambda r: r[:2]):
+        commit = list(part)
+        for _, _, author, fix, first, old, new in commit:
+            last = first + max(new - 1, 0)
+            for i in np.flatnonzero((first <= end) & (last >= start)).tolist():
+                lines = min(last, int(end[i])) - max(first, int(start[i])) + 1
+                met.append((key[0], ids[i], sha, author, ts, fix, lines, math.floor(old * lines / new + 0.5) if new > 0 else 0, None, None))
+        for _, _, _, _, first, old, new in sorted(commit, key=lambda r: -r[4]):
+            delta, last = new - old, first + max(new - 1, 0)
+            if delta:
+                below = start > last
+                end -= delta * (below | ((first >= start) & (last <= end)))
+                start -= delta * below
+        np.maximum(start, 1, out=start)
+        np.maximum(end, start, out=end)
+    kept = [(key[0], c, None, None, None, None, None, None, a, b) for c, a, b in zip(ids, start.tolist(), end.tolist(), strict=True)]
+    return pd.DataFrame(met + kept, columns=names)
+
+
+def walk_hunks(hunks: DataFrame, chunks: DataFrame, block: int = WALK_HUNKS, together: int = WALK_CHUNKS) -> DataFrame:
     """Touches of chunks by hunks, walking each file's commits from newest to oldest.
 
-    A chunk's range is where it stands now; going back over a commit moves the ranges
-    below its hunks by their change in length.  That is a fold over one file's commits,
-    so it runs file by file in pandas.  hunks: file, id, author, ts, is_fix, old_start,
-    old_lines, new_start, new_lines; the result has one row per chunk and hunk that meets it.
+    A chunk's range is where it stands now; going back over a commit moves it as ``shift``
+    does.  hunks: file, id, author, ts, is_fix, old_start, old_lines, new_start, new_lines;
+    chunks: file, chunk_id, start_line, end_line.  The result has one row per chunk and hunk
+    that meets it: lines added are those of the hunk inside the chunk, lines deleted its share
+    of the old ones.
+
+    Where a chunk stands depends on every newer commit of its file, and on nothing of other
+    chunks.  So all hunks are dealt by ranges of (file, time, commit), which cuts the history
+    of a busy file into stretches of some ``block`` hunks; round k walks the k-th stretch of
+    every file, ``together`` chunks to a task, and hands on where the chunks stood before it.
+    A file whose commits fit one stretch is done in the first round, later rounds read only
+    stretches of the busy ones.  A commit is never cut.
     """
-    schema = "file string, chunk_id string, id string, author string, ts bigint, is_fix boolean, added bigint, deleted bigint"
-
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ranges = {r.chunk_id: [int(r.start_line), int(r.end_line)] for r in right.itertuples()}
-        out = []
-        for (_, sha), part in sorted(left.groupby(["ts", "id"]), key=lambda x: (-x[0][0], x[0][1])):
-            part = part.sort_values("new_start", kind="stable")
-            for h in part.itertuples():
-                last = h.new_start + max(h.new_lines - 1, 0)
-                for chunk, (a, b) in ranges.items():
-                    if h.new_start <= b and last >= a:
-                        overlap = min(last, b) - max(h.new_start, a) + 1
-                        added = min(overlap, h.new_lines)
-                        deleted = int(h.old_lines * overlap / max(h.new_lines, 1) + 0.5)
-                        out.append((h.file, chunk, str(sha), h.author, int(h.ts), bool(h.is_fix), int(added), deleted))
-            shift(ranges.values(), list(part[["old_lines", "new_start", "new_lines"]].itertuples(index=False)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return hunks.groupBy("file").cogroup(chunks.groupBy("file")).applyInPandas(lambda k, a, b: fold(k, a, b), schema)
+    spark = hunks.sparkSession
+    rows = hunks.select("file", F.col("id").cast("string").alias("id"), "author", F.col("ts").cast("bigint").alias("ts"), "is_fix", *[F.col(c).cast("bigint").alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")]).where("file IS NOT NULL")
+    n = max(1, -(-rows.count() // block))
+    dealt = written(rows.repartitionByRange(n, "file", F.col("ts").desc(), "id").withColumn("part", F.spark_partition_id()), "dealt")
+    parts = dealt.groupBy("file").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    busy = written(parts.where("first < last"), "busy")  # at most one file for each border of stretches
+    placed = dealt.join(busy.drop("last"), "file", "left").withColumn("k", F.coalesce(F.col("part") - F.col("first"), F.lit(0))).drop("part", "first")
+    placed = written(placed, "stretches", by=["k"])
+    discard(dealt)
+    rounds = busy.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0
+
+    stand = chunks.select("file", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+    groups = stand.groupBy("file").agg(F.ceil(F.count("*") / together).alias("groups"))
+    stand = stand.join(groups, "file").withColumn("group", F.pmod(F.xxhash64("chunk_id"), "groups"))
+    groups = written(stand.select("file", "group").distinct(), "groups")
+    stand = written(stand.drop("groups"), "standing")
+    touches = []
+    for k in range(rounds + 1):
+        now = placed.where(F.col("k") == k).drop("k").join(groups, "file")
+        ranges = stand if k == 0 else stand.join(busy.where(F.col("last") - F.col("first") >= k), "file", "left_semi")
+        met = written(now.groupBy("file", "group").cogroup(ranges.groupBy("file", "group")).applyInPandas(lambda key, a, b: _walk(key, a, b).assign(group=key[1]), _WALKED + ", group bigint"), "walked")
+        touches.append(met.where("id IS NOT NULL").drop("start_line", "end_line", "group"))
+        stand = met.where("id IS NULL").select("file", "chunk_id", "start_line", "end_line", "group")
+    return reduce(DataFrame.unionByName, touches)
 
 
 def diff_hunks(versions: DataFrame, max_lines: int = 10_000) -> DataFrame:

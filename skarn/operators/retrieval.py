@@ -50,12 +50,13 @@ def coded(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") ->
 
 
 def quantised(df: DataFrame, codes: DataFrame, query: Sequence[float], limit: int, oversample: float = 2.0, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Search on stored codes (an eighth of the bytes of doubles), then rescore the best exactly.
+    """Search on stored codes (a quarter of the bytes of floats), then rescore the best exactly.
 
-    Only ``limit * oversample`` whole vectors are read, by their ids.
+    The best ``limit * oversample`` ids come to the driver and go back as literals, so a table
+    sorted by id is read where they are; ``inverted`` also keeps vectors in folders.
     """
-    rough = dense(codes, query, int(limit * oversample), None, "codes", id_col, digits=None).select(id_col)
-    return dense(df.join(F.broadcast(rough), id_col, "left_semi"), query, limit, None, vec_col, id_col)  # at most limit * oversample ids
+    rough = dense(codes, query, int(limit * oversample), None, "codes", id_col, digits=None).select(id_col).collect()
+    return dense(df.where(F.col(id_col).isin([r[0] for r in rough])), query, limit, None, vec_col, id_col)
 
 
 class RecommendError(ValueError):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from . import fixtures as X
 from . import oracle, resolution_fixture
 from .functions import numeric as N
 from .functions import text as S
-from .operators import dispatch, enrichment, graph, history, intervals, resolution, retrieval, segment, stats, symbols, sync
+from .operators import dispatch, enrichment, graph, history, intervals, inverted, resolution, retrieval, segment, stats, symbols, sync
 from .plans import catalog, filters, rank
 from .plans.catalog import DERIVED
 from .sources import walkers
-from .storage import stored
+from .storage import stored, written
+from .streaming import machines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,10 +111,48 @@ _CODES = "list_transform({v}, lambda x: round(x::DOUBLE / list_max(list_transfor
 @query(f"""WITH c AS (SELECT vec_id, embedding, {_CODES.format(v='embedding')} AS codes FROM embeddings), r AS (SELECT vec_id, embedding FROM c ORDER BY {_cos('codes', _Q0)} DESC, vec_id LIMIT 80)
 SELECT vec_id, round({_cos('embedding', _Q0)}, 6) AS score FROM r ORDER BY score DESC, vec_id LIMIT 20""")
 def dense_quantised(spark: SparkSession, d: str) -> DataFrame:
-    """Search on stored 8-bit codes with exact rescoring."""
-    e = X.table(spark, d, "embeddings")
-    codes = stored(spark, "codes", d, lambda: retrieval.coded(e))
-    return retrieval.quantised(e, codes, _vec(spark, d, 0), 20, 4.0).select("vec_id", "score")
+    """Search on the codes of all lists with exact rescoring: whole vectors only of the best candidates."""
+    index = _inverted(spark, d)
+    return inverted.search(index, _vec(spark, d, 0), 20, len(index.centroids), 4.0).select("vec_id", "score")
+
+
+_indexes: dict[tuple, inverted.Inverted] = {}
+
+
+def _inverted(spark: SparkSession, d: str) -> inverted.Inverted:
+    """The inverted file of all vectors, built once per application; its centroids are rows as they are, which SQL can follow."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = inverted.build(X.table(spark, d, "embeddings"), rounds=0)
+    return _indexes[key]
+
+
+_PROBED = 0.75
+
+
+def _probes(index: inverted.Inverted) -> int:
+    return math.ceil(_PROBED * len(index.centroids))
+
+
+_ROUGH = f"round({_cos("{a}", "{b}")}, 9)"
+_LISTS = f"""v AS (SELECT vec_id, embedding AS e, {_CODES.format(v='embedding')} AS codes FROM embeddings),
+c AS MATERIALIZED (SELECT e, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS list FROM v QUALIFY list < (SELECT floor(sqrt(count(*))) FROM v)),
+m AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, any_value(codes) AS codes, min({{'s': -{_ROUGH.format(a='v.e', b='c.e')}, 'k': list}}).k AS list FROM v, c GROUP BY vec_id),
+q AS MATERIALIZED (SELECT vec_id AS query_id, v.e AS q FROM v WHERE vec_id % 20 = 0),
+p AS MATERIALIZED (SELECT query_id, q, list FROM (SELECT query_id, q, list, row_number() OVER (PARTITION BY query_id ORDER BY {_ROUGH.format(a='q', b='c.e')} DESC, list) AS r FROM q, c) x WHERE r <= ceil({_PROBED} * (SELECT count(*) FROM c))),
+t AS MATERIALIZED (SELECT query_id, q, vec_id, e FROM (SELECT query_id, q, vec_id, e, row_number() OVER (PARTITION BY query_id ORDER BY {_ROUGH.format(a='codes', b='q')} DESC, vec_id) AS r FROM m JOIN p USING (list)) x WHERE r <= 40),
+f AS MATERIALIZED (SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT query_id, vec_id, round({_cos('e', 'q')}, 6) AS score FROM t) x) y WHERE rank <= 10),
+x AS MATERIALIZED (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, round({_cos('e', 'q')}, 6) AS score FROM v, q) x) y WHERE rank <= 10)"""
+
+
+@query(f"WITH {_LISTS}, n AS (SELECT count(f.vec_id) / count(*) AS recall FROM x LEFT JOIN f USING (query_id, vec_id)) SELECT query_id, rank, vec_id, score, round(recall, 6) AS recall, recall >= 0.9 AS enough FROM f, n")
+def dense_inverted(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of every twentieth vector by an inverted file, with their recall against brute force over all rows."""
+    e, index = X.table(spark, d, "embeddings"), _inverted(spark, d)
+    asked = e.where(F.col("vec_id") % 20 == 0)
+    found = written(inverted.search_all(index, asked, 10, _probes(index)), "neighbours")
+    share = inverted.recall(found, inverted.exact_all(e, asked, 10)).select("recall")
+    return found.crossJoin(F.broadcast(share)).select("query_id", "rank", "vec_id", "score", F.round("recall", 6).alias("recall"), (F.col("recall") >= 0.9).alias("enough"))  # one row
 
 
 _V = lambda i: f"(SELECT embedding FROM embeddings WHERE vec_id = {i})"
@@ -866,11 +906,16 @@ SELECT chunk_id, count(*) AS commit_count, floor(count(*) / max(f.n)::DOUBLE * 1
 floor(sum(exp(-0.1 * ({X.AS_OF} - ts) / 86400.0)) * 100 + 0.5) / 100 AS recency_weighted_freq, floor(coalesce(stddev_pop(gap), 0.0) * 100 + 0.5) / 100 AS churn_volatility FROM u JOIN f USING (path) GROUP BY chunk_id""")
 def chunk_churn_metrics(spark: SparkSession, d: str) -> DataFrame:
     """History metrics of chunks from the commits that touched them."""
+    return _chunk_metrics(spark, d)
+
+
+def _chunk_metrics(spark: SparkSession, d: str, squash: bool = False) -> DataFrame:
     c = commits(spark, d)
     touched = c.select(F.concat_ws(":", "file", (F.col("id") % 3).cast("string")).alias("chunk_id"), F.col("id").cast("string").alias("id"), "author", "ts", F.lit(1).alias("added"), F.lit(0).alias("deleted"), "is_fix", F.col("file").alias("_file"))
     chunks = touched.select("chunk_id", F.col("_file").alias("file"), F.lit(10).alias("lines")).distinct()
     files = c.groupBy("file").agg(F.count("*").alias("commit_count"), F.countDistinct("author").alias("contributors"))
-    return history.chunk_metrics(touched.drop("_file"), chunks, files, X.AS_OF).select("chunk_id", "commit_count", "churn_ratio", "age_days", "bug_fix_rate", "recency_weighted_freq", "churn_volatility")
+    made = history.chunk_metrics(touched.drop("_file"), chunks, files, X.AS_OF, squash, 1440)
+    return made.select("chunk_id", "commit_count", "churn_ratio", "age_days", "bug_fix_rate", "recency_weighted_freq", "churn_volatility")
 
 
 @query(f"""WITH RECURSIVE e AS ({X.WEB}), p AS (SELECT [11::BIGINT] AS path, 11::BIGINT AS node, 0 AS steps UNION ALL SELECT list_append(path, dst), dst, steps + 1 FROM p JOIN e ON src = node WHERE steps < 8 AND NOT list_contains(path, dst) AND node <> 20),
@@ -916,3 +961,77 @@ def sync_recovery(spark: SparkSession, d: str) -> DataFrame:
 def method_densities(spark: SparkSession, d: str) -> DataFrame:
     c = X.chunks(spark, d).withColumn("lines", F.col("endLine") - F.col("startLine") + 1)
     return c.select("id", S.method_density("contentSize", "lines", "methodLines").cast("bigint").alias("density"))
+
+
+# -- state over time -------------------------------------------------------------
+
+_STEP = """list_reduce(h, lambda a, x: struct_pack(
+  s := CASE WHEN x.fin THEN greatest({s}, 1) ELSE {s} END, e := CASE WHEN x.fin THEN greatest({e}, greatest({s}, 1)) ELSE {e} END,
+  s0 := CASE WHEN x.fin THEN greatest({s}, 1) ELSE a.s0 END, e0 := CASE WHEN x.fin THEN greatest({e}, greatest({s}, 1)) ELSE a.e0 END,
+  n := a.n + {hit}::BIGINT, commits := a.commits + ({hit} AND a.last IS DISTINCT FROM x.id)::BIGINT, last := CASE WHEN {hit} THEN x.id ELSE a.last END,
+  added := a.added + CASE WHEN {hit} THEN {lines} ELSE 0 END, deleted := a.deleted + CASE WHEN {hit} AND x.new > 0 THEN floor(x.old * {lines} / x.new::DOUBLE + 0.5)::BIGINT ELSE 0 END,
+  fixes := a.fixes + ({hit} AND x.is_fix)::BIGINT), struct_pack(s := start_line, e := end_line, s0 := start_line, e0 := end_line, n := 0::BIGINT, commits := 0::BIGINT, last := NULL::BIGINT, added := 0::BIGINT, deleted := 0::BIGINT, fixes := 0::BIGINT))"""
+_BELOW, _INSIDE = "(a.s > x.stop)", "(x.start >= a.s AND x.stop <= a.e)"
+_STEP = _STEP.format(
+    s=f"(CASE WHEN {_BELOW} THEN a.s - x.new + x.old ELSE a.s END)", e=f"(CASE WHEN {_BELOW} OR {_INSIDE} THEN a.e - x.new + x.old ELSE a.e END)",
+    hit="(x.start <= a.e0 AND x.stop >= a.s0)", lines="(least(x.stop, a.e0) - greatest(x.start, a.s0) + 1)",
+)
+
+
+@query(f"""WITH h AS ({X.CHANGES}), o AS (SELECT *, row_number() OVER (PARTITION BY file, ts, id ORDER BY new_start, old_start DESC, new_lines DESC, old_lines DESC) = 1 AS fin FROM h),
+l AS (SELECT file, list(struct_pack(id := id, start := new_start, stop := new_start + greatest(new_lines - 1, 0), new := new_lines, old := old_lines, is_fix := is_fix, fin := fin) ORDER BY ts DESC, id, new_start DESC, old_start, new_lines, old_lines) AS h FROM o GROUP BY file),
+w AS (SELECT file, chunk_id, {_STEP} AS r FROM ({X.SPANS}) s JOIN l USING (file))
+SELECT file, chunk_id, r.n AS touches, r.commits AS commits, r.added AS lines_added, r.deleted AS lines_deleted, r.fixes AS fixes FROM w WHERE r.n > 0""")
+def commit_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Touches of all chunks, walked back through all commits of their files; the busiest file in several stretches."""
+    hunks, spans = X.frame(spark, d, X.CHANGES, "lineitem"), X.frame(spark, d, X.SPANS, "lineitem")
+    met = history.walk_hunks(hunks.withColumn("file", F.col("file").cast("string")), spans.withColumn("file", F.col("file").cast("string")), block=20_000)
+    sums = met.groupBy("file", "chunk_id").agg(F.count("*").alias("touches"), F.countDistinct("id").alias("commits"), F.sum("added").alias("lines_added"), F.sum("deleted").alias("lines_deleted"), F.sum(F.col("is_fix").cast("bigint")).alias("fixes"))
+    return sums.select(F.col("file").cast("bigint").alias("file"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "touches", "commits", "lines_added", "lines_deleted", "fixes")
+
+
+@query(f"""WITH t AS ({_TOUCH}), c AS (SELECT *, ts AS at FROM t), g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= 86400 THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY chunk_id, author ORDER BY ts, id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY chunk_id, author ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM g), z AS (SELECT any_value(path) AS path, chunk_id, author || '#' || session AS id, max(ts) AS ts, bool_or(is_fix) AS is_fix FROM s GROUP BY chunk_id, author, session),
+u AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY chunk_id ORDER BY ts, id)) / 86400.0 AS gap FROM z), f AS (SELECT path, count(*) AS n FROM t GROUP BY path)
+SELECT chunk_id, count(*) AS commit_count, floor(count(*) / max(f.n)::DOUBLE * 100 + 0.5) / 100 AS churn_ratio, floor(({X.AS_OF} - max(ts)) / 86400)::BIGINT AS age_days, floor(100 * avg(is_fix::INT) + 0.5)::BIGINT AS bug_fix_rate,
+floor(sum(exp(-0.1 * ({X.AS_OF} - ts) / 86400.0)) * 100 + 0.5) / 100 AS recency_weighted_freq, floor(coalesce(stddev_pop(gap), 0.0) * 100 + 0.5) / 100 AS churn_volatility FROM u JOIN f USING (path) GROUP BY chunk_id""")
+def chunk_session_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """History metrics of chunks with bursts of one author's commits squashed to sessions."""
+    return _chunk_metrics(spark, d, squash=True)
+
+
+_T, _SIZE, _LEAST = 86_400_000, 5, 3
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS "at", event_id AS id FROM events), w AS (SELECT max("at") AS w FROM e),
+l AS (SELECT key, any_value(w) AS w, list(struct_pack(t := "at", id := id) ORDER BY "at", id) AS x FROM e, w WHERE "at" < w GROUP BY key),
+r AS (SELECT key, 1::BIGINT AS nxt, 0::BIGINT AS seq, 0::BIGINT AS n, NULL::BIGINT AS first_id, NULL::BIGINT AS last_id, NULL::BIGINT AS "at", NULL::VARCHAR AS reason FROM l
+UNION ALL SELECT key, nxt + n, seq + 1, n, x[nxt].id, x[nxt + n - 1].id, "at", reason FROM (
+  SELECT key, nxt, seq, x, w, CASE WHEN full_at < due THEN {_SIZE} ELSE len(list_filter(part, lambda y: y.t < due)) END AS n, CASE WHEN full_at < due THEN full_at ELSE due END AS "at", CASE WHEN full_at < due THEN 'size' ELSE 'time' END AS reason FROM (
+    SELECT key, nxt, seq, x, w, part, part[{_SIZE}].t AS full_at, list_filter([part[1].t + {_T}, part[1].t + {_T + _T // 2}, part[1].t + {2 * _T}, part[1].t + {2 * _T + _T // 2}], lambda t: t = part[1].t + {2 * _T + _T // 2} OR len(list_filter(part, lambda y: y.t < t)) >= {_LEAST})[1] AS due
+    FROM (SELECT r.key, r.nxt, r.seq, l.x, l.w, l.x[r.nxt : r.nxt + {_SIZE - 1}] AS part FROM r JOIN l ON l.key = r.key WHERE r.nxt <= len(l.x)) a) b) c WHERE "at" < w)
+SELECT key AS user_id, seq, n::INT AS n, first_id, last_id, "at", reason FROM r WHERE seq > 0""")
+def micro_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of every user's events by size and time, made by the stream."""
+    events = X.stream(spark, d, "events")
+    out = machines.drained(events, machines.Accumulator(_SIZE, _T, _LEAST), "user_id")
+    return out.select(F.col("key").alias("user_id"), "seq", "n", "first_id", "last_id", "at", "reason")
+
+
+_DELAY, _LONGEST = 6 * 3_600_000, 4 * 86_400_000
+
+
+@query(f"""WITH a AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS "at", event_id AS id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'failed' WHEN 'signup' THEN 'changed' ELSE 'ok' END AS kind FROM events), w AS (SELECT max("at") AS w FROM a),
+e AS (SELECT *, coalesce(sum((kind = 'ok')::INT) OVER (PARTITION BY key ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS episode FROM a, w WHERE "at" < w),
+f AS (SELECT *, count(*) FILTER (WHERE kind = 'failed') OVER o AS attempts, min("at") FILTER (WHERE kind = 'failed') OVER o AS first_failed, max("at") FILTER (WHERE kind = 'failed') OVER o AS last_failed, last_value(CASE WHEN kind = 'failed' THEN id END IGNORE NULLS) OVER o AS last_id, lead("at") OVER (PARTITION BY key, episode ORDER BY "at", id) AS next_at
+  FROM e WINDOW o AS (PARTITION BY key, episode ORDER BY "at", id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, CASE WHEN kind = 'failed' THEN "at" + least({_DELAY} * (2 ** least(attempts - 1, 40)), {_LONGEST})::BIGINT END AS due FROM f WHERE attempts > 0),
+x AS (SELECT key, CASE kind WHEN 'ok' THEN 'cleared' ELSE kind END AS what, "at", attempts, first_failed, last_failed, due, last_id FROM d
+UNION ALL SELECT key, 'due', due, attempts, first_failed, last_failed, NULL, last_id FROM d WHERE kind = 'failed' AND due < w AND (next_at IS NULL OR due <= next_at))
+SELECT key AS user_id, what, "at", attempts::INT AS attempts, first_failed, last_failed, due, last_id FROM x""")
+def quarantine_log(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of every user's events, replays after rising delays, and recoveries, made by the stream."""
+    events = X.stream(spark, d, "events")
+    machine = machines.Quarantine(_DELAY, _LONGEST, ("error", "click"), ("signup",))
+    out = machines.drained(events, machine, "user_id", kind="event_type")
+    return out.select(F.col("key").alias("user_id"), "what", "at", "attempts", "first_failed", "last_failed", "due", "last_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write the rows as Parquet and read them back: loops keep short plans and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/skarn/{name}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; nothing is created yet."""
+    return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step", instead_of: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Write the rows as Parquet and read them back: loops keep short plans and survive lost executors.
+
+    ``by``: columns whose values become folders, so that a filter on them prunes.  A written
+    table that nothing reads once this one is there is deleted (``instead_of``).
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    if instead_of is not None:
+        discard(instead_of)
+    return out
+
+
+_places: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a written table; another DataFrame is left alone."""
+    ref, path = _places.pop(id(table), (None, ""))
+    if ref is not None and ref() is table:
+        jvm = table.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for key in [k for k, (r, _) in _places.items() if r() is None]:
+        del _places[key]
 
 
 _stored: dict[tuple, DataFrame] = {}
