@@ -16,6 +16,7 @@ from pyspark.sql.types import NumericType
 from ..functions.numeric import age_days, round0, round2
 from ..functions.text import is_fix, is_merge_subject, subject, task_ids
 from ..storage import discard, written
+from .intervals import contained
 
 # History windows and session gap.
 SESSION_MINUTES, DECAY, TOP_AUTHORS = 30, 0.1, 10
@@ -138,7 +139,7 @@ def blame(lines: DataFrame, key: str = "file", author: str = "author") -> DataFr
 
 def chunk_blame(lines: DataFrame, chunks: DataFrame, author: str = "author") -> DataFrame:
     """Ownership of each chunk: live lines (file, line, author) within its range."""
-    inside = lines.join(chunks.select("file", "chunk_id", "start_line", "end_line"), "file").where("line BETWEEN start_line AND end_line")
+    inside = contained(lines, chunks.select("file", "chunk_id", "start_line", "end_line"), "file", "line", ("start_line", "end_line"))
     return blame(inside, "chunk_id", author)
 
 

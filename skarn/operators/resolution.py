@@ -16,7 +16,8 @@ strategy does not guess.  Names are looked up within one language.
 * bindings: rel_path, owner, name, line, type, is_class; call_bindings: the same with ``function``;
 * fields: language, scope, field, type; returns: language, function, type;
 * inheritance: language, source_fq_name, ancestor_fq_name, kind, ordinal;
-* registries: language, name, type (values of registry constants); unions: rel_path, owner, name, type.
+* registries: language, name, type (values of registry constants); unions: rel_path, owner, name, type;
+* arguments: call_id, position, type, name; parameters: function, position, name (see ``folded``).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .dispatch import CONE_MAX, fan_out, fan_out_cap, first_verdict, narrowed, tally
+from .dispatch import CONE_MAX, fan_out_cap, first_verdict, narrowed, tally
 
 #: More edges from one file than this mean generated code; its method edges are left out.
 EDGE_CAP = 10_000
@@ -68,6 +69,8 @@ class Facts:
     call_bindings: DataFrame
     registries: DataFrame | None = None
     unions: DataFrame | None = None
+    arguments: DataFrame | None = None
+    parameters: DataFrame | None = None
     ancestors: DataFrame = field(init=False)
 
     def __post_init__(self) -> None:
@@ -176,8 +179,13 @@ def field_calls(t: Facts, calls: DataFrame, prefix: str) -> DataFrame:
 
 
 def global_name(t: Facts, calls: DataFrame) -> DataFrame:
-    """The only definition of the member's name in the project."""
-    return sole(by_name(t, calls))
+    """The only definition of the member's name in the project.
+
+    Definitions are reduced to one row per name before calls meet them, so a name with very
+    many of both makes no pairs.
+    """
+    one = _symbols(t).groupBy("language", "member").agg(F.count_distinct(F.struct("file", F.coalesce("target", F.lit("")))).alias("n"), F.min(F.struct("file", "target")).alias("t")).where("n = 1")
+    return calls.select("call_id", "language", "member").join(one, ["language", "member"]).select("call_id", "t.file", "t.target")
 
 
 def normal(path: Column) -> Column:
@@ -758,10 +766,23 @@ def dynamic(t: Facts, c: DataFrame) -> DataFrame:
     on = _with(c).where(~F.col("member").isin(DUCK_MEMBERS) & ~F.col("receiver").isin("self", "this", "super") & ~F.col("receiver").rlike(r"^[A-Z\"'\[{0-9:@]")).join(typed_, "call_id", "left_anti")
     given = ["n_args", "given_keywords", "keyword_splat", "has_block"]
     facts = ["min_args", "max_args", "splat", "required_keywords", "declared_keywords", "visibility", "accepts_block"]
-    met = on.select("call_id", "language", "member", *given).join(_symbols(t, *facts).where(F.col("in_scope").isNotNull()), ["language", "member"])
-    cap = fan_out_cap(t.symbols).first().cap
-    out = fan_out(narrowed(met.drop("in_scope", "language")), cap, DYNAMIC_DISCOUNT)
-    return out.select("call_id", "file", "target", F.when(F.col("n_candidates") == 1, "exact").otherwise("dynamic").alias("edge_kind"), "confidence", "ambiguous")
+    cap = F.broadcast(fan_out_cap(t.symbols))  # one row
+    # definitions of a name with the same signature fit the same calls, so calls meet signatures, not definitions
+    defined = _symbols(t, *facts).where(F.col("in_scope").isNotNull())
+    forms = defined.groupBy("language", "member", *facts).agg(F.count("*").alias("times"))
+    forms = forms.withColumn("form", F.xxhash64("language", "member", *[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in facts]))
+    met = narrowed(on.select("call_id", "language", "member", *given).join(forms, ["language", "member"]))
+    n = F.sum("times").over(Window.partitionBy("call_id"))
+    counted = met.withColumn("n_candidates", n).crossJoin(cap).withColumn("ambiguous", F.col("n_candidates") > F.col("cap"))
+    many = counted.where("ambiguous").select("call_id").distinct()
+    homes = defined.select("language", "member", "file", "target", F.xxhash64("language", "member", *[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in facts]).alias("form"))
+    few = counted.where("NOT ambiguous").select("call_id", "language", "member", "form", "n_candidates").join(homes, ["language", "member", "form"])
+    kind = F.when(F.col("n_candidates") == 1, "exact").otherwise("dynamic")
+    share = F.when(F.col("n_candidates") == 1, 1.0).otherwise(DYNAMIC_DISCOUNT / F.col("n_candidates"))
+    none = F.lit(None).cast("string")
+    return few.select("call_id", "file", "target", kind.alias("edge_kind"), share.alias("confidence"), F.lit(False).alias("ambiguous")).unionByName(
+        many.select("call_id", none.alias("file"), none.alias("target"), F.lit("dynamic").alias("edge_kind"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("ambiguous"))
+    )
 
 
 # -- a run ---------------------------------------------------------------------------
@@ -774,8 +795,8 @@ def _none(t: Facts) -> DataFrame:
 def resolve(t: Facts, language: str, edge_cap: int = EDGE_CAP) -> dict[str, DataFrame]:
     """All of one language: ``edges``, ``ambiguous`` calls, ``outcomes`` of all calls and run statistics.
 
-    In order: registries, unions and overriding subtypes, the chain, and for Ruby what is
-    left over the fan-out on untyped receivers.  Files with more edges than ``edge_cap``
+    In order: registries, unions and overriding subtypes, the chain, calls on parameters whose type
+    their call sites agree on, and for Ruby what is left over the fan-out on untyped receivers.  Files with more edges than ``edge_cap``
     keep none.
     """
     c = t.of(language)
@@ -783,9 +804,13 @@ def resolve(t: Facts, language: str, edge_cap: int = EDGE_CAP) -> dict[str, Data
     single = written(chain(t, language), "chain")
     exact = single.where("target IS NOT NULL").select("call_id", "file", "target", F.lit("exact").alias("edge_kind"), F.lit(1.0).alias("confidence"))
     parts.append((3, exact))
-    ambiguous = c.limit(0).select("call_id")
+    ambiguous, left = c.limit(0).select("call_id"), single.where("outcome != 'resolved'").select("call_id")
+    if t.arguments is not None and t.parameters is not None:
+        gained = folded(t, exact.select("call_id", "target"), t.arguments, t.parameters)["edges"].join(left, "call_id", "left_semi")
+        parts.append((3, gained.select("call_id", "file", "target", F.lit("exact").alias("edge_kind"), F.lit(1.0).alias("confidence"))))
+        left = left.join(gained.select("call_id"), "call_id", "left_anti")
     if language == "ruby":
-        open_ = c.join(single.where("outcome != 'resolved'").select("call_id"), "call_id", "left_semi")
+        open_ = c.join(left, "call_id", "left_semi")
         wide = written(dynamic(t, open_), "dynamic")
         parts.append((4, wide.where("NOT ambiguous").drop("ambiguous")))
         ambiguous = wide.where("ambiguous").select("call_id").distinct()
@@ -825,10 +850,72 @@ def statistics(outcomes_: DataFrame) -> DataFrame:
 def parameter_types(t: Facts, arguments: DataFrame) -> DataFrame:
     """(function, position, type): what the call sites of a function agree on; arguments: call_id, position, type."""
     met = arguments.join(t.calls.select("call_id", "member", "language"), "call_id").join(t.symbols.select("language", F.col("short_name").alias("member"), F.col("symbol_id").alias("function")), ["language", "member"])
-    n = met.groupBy("function", "position").agg(F.countDistinct("type").alias("n"), F.min("type").alias("type"))
+    return agreed(met)
+
+
+def agreed(evidence: DataFrame) -> DataFrame:
+    """(function, position, type) where all evidence is of one type; a disagreement is silence."""
+    n = evidence.groupBy("function", "position").agg(F.countDistinct("type").alias("n"), F.min("type").alias("type"))
     return n.where("n = 1").select("function", "position", "type")
 
 
+def folded(t: Facts, targets: DataFrame, arguments: DataFrame, parameters: DataFrame) -> dict[str, DataFrame]:
+    """Types of parameters from the arguments of calls, to a fixpoint: ``types`` and the ``edges`` that they give.
+
+    * targets: call_id, target (calls that are resolved already);
+    * arguments: call_id, position, type (known from the text) or name (a variable);
+    * parameters: function, position, name.
+
+    An argument says what its parameter is: by its own type, the type its variable is bound to, or
+    what is known of the caller's parameter it hands on.  A call on a parameter means the member of its
+    type or of the nearest one above, and its arguments say more in turn.  All parameters that have come
+    to one type in a round hand it on in the next, each once; one that two arguments disagree about is
+    silent, for good (what it has handed on before stays).  When no parameter is new, those that are
+    still of one type have it, and only they give edges.
+
+    Each round joins only what is new; there are as many rounds as calls hand a type on, and no more
+    evidence than arguments.
+    """
+    calls = t.calls.select("call_id", "language", "rel_path", "line", "source_symbol_id", "receiver", "member")
+    own = parameters.select(F.col("function").alias("source_symbol_id"), F.col("position").alias("from_position"), F.col("name").alias("receiver"))
+    at = calls.drop("receiver", "member").join(arguments.where("type IS NULL AND name IS NOT NULL").select("call_id", "position", F.col("name").alias("receiver")), "call_id").withColumn("argument", F.concat_ws(":", "call_id", "position")).withColumnRenamed("call_id", "of_call").withColumnRenamed("argument", "call_id")
+    local = bound(t, at, t.bindings, "type")
+    known = written(arguments.where("type IS NOT NULL").select("call_id", "position", "type").unionByName(local.select(F.col("of_call").alias("call_id"), "position", "type")), "arguments")
+    handed = at.join(local.select("call_id"), "call_id", "left_anti").join(own, ["source_symbol_id", "receiver"])
+    handed = written(handed.select(F.col("of_call").alias("call_id"), "position", F.col("source_symbol_id").alias("from_function"), "from_position"), "handed")
+    open_ = calls.where("receiver IS NOT NULL").join(targets.select("call_id"), "call_id", "left_anti")
+    open_ = open_.join(bound(t, open_, t.bindings, "type").select("call_id"), "call_id", "left_anti").join(own, ["source_symbol_id", "receiver"])
+    open_ = written(open_.select("call_id", "language", "member", F.col("source_symbol_id").alias("function"), F.col("from_position").alias("position")), "open-calls")
+
+    def says(meant: DataFrame) -> DataFrame:
+        """What the arguments of calls with these targets say by themselves."""
+        return meant.select("call_id", F.col("target").alias("function")).join(known, "call_id").select("function", "position", "type")
+
+    def ways(meant: DataFrame) -> DataFrame:
+        """(from_function, from_position, function, position): parameters handed on."""
+        return meant.select("call_id", F.col("target").alias("function")).join(handed, "call_id").select("from_function", "from_position", "function", "position").distinct()
+
+    through = lambda facts, flows: facts.select(F.col("function").alias("from_function"), F.col("position").alias("from_position"), "type").join(flows, ["from_function", "from_position"]).select("function", "position", "type")
+    flows, evidence = written(ways(targets), "flows"), written(says(targets).distinct(), "evidence")
+    said = written(evidence.limit(0), "said")
+    meant = written(open_.select("call_id", F.lit("").alias("type"), F.lit("").alias("file"), F.lit("").alias("target")).limit(0), "meant")
+    while True:
+        new = written(agreed(evidence).join(said, ["function", "position"], "left_anti"), "new")
+        if new.isEmpty():
+            break
+        said = written(said.unionByName(new), "said", instead_of=said)
+        asked = open_.join(new, ["function", "position"]).select("call_id", "language", "member", "type")
+        got = written(inherited(t, asked, "type").join(asked.select("call_id", "type"), "call_id").select("call_id", "type", "file", "target"), "got")
+        more = written(ways(got), "more")
+        step = through(new, flows).unionByName(says(got)).unionByName(through(said, more))
+        evidence = written(evidence.unionByName(step).distinct(), "evidence", instead_of=evidence)
+        flows = written(flows.unionByName(more).distinct(), "flows", instead_of=flows)
+        meant = written(meant.unionByName(got), "meant", instead_of=meant)
+    types = written(agreed(evidence), "types")
+    edges = open_.join(types, ["function", "position"]).select("call_id", "type").join(meant, ["call_id", "type"]).select("call_id", "file", "target")
+    return {"types": types.join(parameters, ["function", "position"]).select("function", "position", "name", "type"), "edges": written(edges.distinct(), "edges"), "evidence": evidence}
+
+
 def column_symbols(schema: DataFrame, models: DataFrame) -> DataFrame:
     """Accessors of a model's database columns; schema: table, column; models: table, scope, rel_path."""
     return schema.join(models, "table").select(F.lit("ruby").alias("language"), "rel_path", F.concat("scope", F.lit("#"), "column").alias("symbol_id"), F.col("column").alias("short_name"), "scope", F.lit(True).alias("is_column"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from . import oracle, resolution_fixture
+from . import folding_fixture, oracle, resolution_fixture, ruby_fixture
 from .functions import numeric as N
 from .functions import text as S
 from .operators import dispatch, enrichment, graph, history, intervals, inverted, resolution, retrieval, segment, stats, symbols, sync
@@ -532,7 +532,7 @@ def page_rank_converged(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE e AS (SELECT * FROM ({X.SPARSE}) x WHERE src <> dst), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON src = b),
 m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) SELECT node, least(node, min(other)) AS component FROM m GROUP BY node""")
 def strong_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strong_components(X.parts(spark, d, X.SPARSE))
+    return graph.strong_components(X.parts(spark, d, X.SPARSE), few=0)
 
 
 _TYPES = f"t AS ({X.TYPES})"
@@ -780,6 +780,24 @@ def _resolve_query(language: str) -> None:
 for _language in resolution_fixture.EXTENSION:
     _resolve_query(_language)
 
+
+@query(ruby_fixture.sql())
+def resolve_ruby(spark: SparkSession, d: str) -> DataFrame:
+    """Every call's verdict by Ruby's chain of fifteen strategies, and the strategy that gave it."""
+    return resolution.chain(ruby_fixture.facts(spark, d), "ruby").withColumnRenamed("by", "strategy")
+
+
+@query(folding_fixture.sql())
+def folded_types(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that mean something once their receivers, which are parameters, are typed by the calls of their functions."""
+    t, targets, arguments, parameters = folding_fixture.facts(spark, d)
+    made = resolution.folded(t, targets, arguments, parameters)
+    on = t.calls.select("call_id", F.col("source_symbol_id").alias("function"), F.col("receiver").alias("name"))
+    gained = made["edges"].join(on, "call_id").join(made["types"], ["function", "name"])
+    n = made["evidence"].agg(F.count("*").alias("evidence"))  # one row
+    return gained.select("call_id", "target", "function", "position", "type").crossJoin(F.broadcast(n))
+
+
 _SOURCE = """SELECT 'pkg/t' || CAST(k AS STRING) || '.py' AS path, 'python' AS language, concat(CASE WHEN k > 1 THEN concat('from pkg.t', CAST(j AS STRING), ' import T', CAST(j AS STRING), chr(10)) ELSE '' END, 'class T', CAST(k AS STRING), CASE WHEN k > 1 THEN concat('(T', CAST(j AS STRING), ')') ELSE '' END, ':', chr(10),
 '    def m', CAST(k % 5 AS STRING), '(self):', chr(10), '        self.m', CAST((k + 1) % 5 AS STRING), '()', chr(10), '        x = T', CAST(j AS STRING), '()', chr(10), '        x.m', CAST(j % 5 AS STRING), '(1, 2)', chr(10), '        super().m', CAST((k + 2) % 5 AS STRING), '()', chr(10), '        print(x)', chr(10)) AS text
 FROM (SELECT DISTINCT p_partkey % 64 AS k, CAST(floor(p_partkey % 64 / 2) AS BIGINT) AS j FROM part WHERE p_partkey % 64 > 0) t"""

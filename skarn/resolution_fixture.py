@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import fixtures as X
 from .operators.resolution import JAVA_LANG, Facts
 
-EXTENSION = {"bash": "sh", "go": "go", "java": "java", "python": "py", "rust": "rs", "typescript": "ts"}
-OWN = {"java": "this", "typescript": "this", "python": "self", "rust": "self", "go": "s", "bash": "x"}
+EXTENSION = {"bash": "sh", "go": "go", "java": "java", "javascript": "js", "python": "py", "rust": "rs", "typescript": "ts"}
+OWN = {"java": "this", "javascript": "this", "typescript": "this", "python": "self", "rust": "self", "go": "s", "bash": "x"}
 _T = "'T' || CAST({} AS STRING)"
 
 
@@ -25,7 +25,8 @@ def _tables(language: str) -> dict[str, str]:
         "go": "'proj/d' || CAST((n + k) % 5 AS STRING)", "java": "'d' || CAST((n * 3 + k) % 20 % 5 AS STRING) || '.T' || CAST((n * 3 + k) % 20 AS STRING)", "python": "'d' || CAST((n * 3 + k) % 20 % 5 AS STRING) || '.T' || CAST((n * 3 + k) % 20 AS STRING)",
         "rust": "'crate::d' || CAST((n * 3 + k) % 20 % 5 AS STRING) || '::T' || CAST((n * 3 + k) % 20 AS STRING)", "bash": "'../d' || CAST((n + k) % 5 AS STRING) || '/f' || CAST((n * 2 + k) % 12 AS STRING) || '.sh'",
         "typescript": "CASE WHEN k = 2 THEN 'outside' ELSE '../d' || CAST((n * 3 + k) % 20 % 5 AS STRING) || '/T' || CAST((n * 3 + k) % 20 AS STRING) END",
-    }[language]
+    }
+    imported = imported["typescript" if language == "javascript" else language]
     path = f"CASE WHEN n % 10 = 0 THEN 'd0/main.{e}' ELSE {home('n % 20')} END"
     receiver = f"""CASE n % 9 WHEN 0 THEN NULL WHEN 1 THEN '{own}' WHEN 2 THEN '{own}.fld' || CAST(n % 4 AS STRING) WHEN 3 THEN 'v' || CAST(n % 3 AS STRING) WHEN 4 THEN 'T' || CAST(n % 23 AS STRING) WHEN 5 THEN 'd' || CAST(n % 6 AS STRING) WHEN 6 THEN 'super' WHEN 7 THEN 'w' || CAST(n % 3 AS STRING) ELSE 'String' END"""
     calls = "(SELECT DISTINCT p_partkey AS n FROM part) p"
@@ -175,7 +176,7 @@ def sql(language: str) -> str:
     file = {
         "python": "replace(import_text, '.', '/') || '.py'", "java": "replace(import_text, '.', '/') || '.java'", "bash": "regexp_replace(import_text, '^\\.\\./', '')", "rust": "NULL", "go": "NULL",
         "typescript": f"CASE WHEN import_text <> 'outside' THEN regexp_replace(import_text, '^\\.\\./', '') || '.{e}' END",
-    }[language]
+    }["typescript" if language == "javascript" else language]
     made = _chain(language)
     body = f"""WITH RECURSIVE c AS MATERIALIZED ({t['calls']}), s AS MATERIALIZED (SELECT rel_path AS file, symbol_id AS target, short_name AS member, scope AS in_scope FROM ({t['symbols']}) x), i AS MATERIALIZED (SELECT *, {file} AS file FROM ({t['imports']}) x),
 b AS MATERIALIZED ({t['bindings']}), fld AS MATERIALIZED ({t['fields']}), h AS MATERIALIZED ({t['inheritance']}), r AS MATERIALIZED ({t['returns']}), cb AS MATERIALIZED ({t['call_bindings']}),
