@@ -54,8 +54,13 @@ REMOVE = 0.9
 GENERALISE = 0.7
 ELSEWHERE = 0.5
 CHUNK = 256
-#: Slots of the table that sorts out words before they move; a power of two.
-SLOTS = 1 << 20
+#: Bits of the table that sorts out words before they move, at least and at most: 16 for each term, as
+#: powers of two.  64 of them are a row of what is broadcast, so that has at most 2**20 rows.
+FILTER_BITS = (16, 26)
+#: Rows of one text are dealt to so many places when they join their terms.
+SALTS = 16
+#: The same where spans of all texts with personal data are joined, which are more.
+FEW_SALTS = 4
 #: Stands for the code points of a found span; a private one, no letter of any script.
 MASK = "\ue000"
 
@@ -185,14 +190,18 @@ def _free(masked: Column) -> Column:
 
 
 def _may_be(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows whose term may be one of the known ones, as its slot is taken; the exact join comes after.
+    """The rows whose term may be one of the known ones, as its bit is set; the exact join comes after.
 
-    The words of all texts are many times the text, so they are sorted out before they
-    move, whatever form Spark gives the join, and by a table of at most ``SLOTS`` rows.
+    The words of all texts are many times the text, so they are sorted out before they move,
+    whatever form Spark gives the join.  The table of bits follows the number of terms up to its
+    bound: one in 16 words that are no terms passes at four million terms, one in two at 46 million.
     """
-    slot = F.col("term").bitwiseAND(F.lit(SLOTS - 1))
-    taken = F.broadcast(known.select(slot.alias("slot")).distinct())
-    return rows.withColumn("slot", slot).join(taken, "slot", "left_semi").drop("slot")
+    bits = min(max((16 * known.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    at = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
+    place, bit = F.shiftright(at, 6), F.expr("shiftleft(1L, cast(_at & 63 AS int))")
+    words = known.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_at", at).withColumn("_place", place).join(F.broadcast(words), "_place")  # 2**20 rows at most
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_at", "_place", "_bits")
 
 
 _ADDED = "array<struct<start:bigint,end:bigint,kind:int,term:string,share:double>>"
@@ -225,14 +234,24 @@ def _dealt(hits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(hits, lambda y: F.pmod(y["term"], n) == k))
 
 
+def _copy(text: Column) -> Column:
+    """What tells texts apart, whoever wrote them: 16 bytes of their SHA-256."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
+def _salted(found: DataFrame, name: str = "_salt", salts: int = SALTS) -> DataFrame:
+    """What is known of texts, once for each salt."""
+    return found.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+
+
 def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, remove: float, generalise: float, elsewhere: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, copy, spans) of every row, and (copy, added) of texts with disclosing terms.
 
-    ``added`` has the terms' spans with their share.  ``copy`` is the hash of the text, so
-    equal texts have equal spans whatever their ids.
+    ``added`` has the terms' spans with their share.  ``copy`` is half of the text's SHA-256, so
+    equal texts have equal spans whatever their ids, and other texts have their own.
     """
-    rows = text_of(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("copy", F.xxhash64("text"))
-    spans = written(find(rows).select("doc_id", F.xxhash64("text").alias("copy"), "spans"), "spans")
+    rows = text_of(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("copy", _copy(F.col("text")))
+    spans = written(find(rows).select("doc_id", _copy(F.col("text")).alias("copy"), "spans"), "spans")
     n = F.lit(float(max(spans.count(), 1)))
     per_text = written(spans.where(F.size("spans") > 0).groupBy("copy").agg(F.first("spans").alias("spans"), F.count("*").alias("k")), "spans-by-text")
 
@@ -273,7 +292,8 @@ def _all_spans(docs: DataFrame, id_col: str, text_col: str, min_support: int, re
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE, elsewhere: float = ELSEWHERE) -> DataFrame:
     """Per row: doc_id, counts per kind, base_sha256, spans (pattern and term spans), n_term, n_spans (all)."""
     spans, added = _all_spans(docs, id_col, text_col, min_support, remove, generalise, elsewhere)
-    every = spans.join(added, "copy", "left").withColumn("added", F.coalesce("added", F.array().cast(_ADDED)))
+    salted = spans.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    every = salted.join(_salted(added), ["copy", "_salt"], "left").drop("_salt").withColumn("added", F.coalesce("added", F.array().cast(_ADDED)))
     order = lambda xs: F.array_sort(F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     bare = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     of = lambda k: lambda s: s["kind"] == k
@@ -297,11 +317,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     shape = lambda w: F.when(w.rlike(r"^\p{N}+$"), "<NUMBER>").when(w.rlike(r"\p{N}"), "<NAME>").otherwise("<WORD>")
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at(marks, s["kind"] + 1).alias("mark")))
     more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(s["share"] >= remove, F.lit("<TERM>")).otherwise(shape(s["term"])).alias("mark")))
-    copy, edits = free_names(docs, "_copy", "_edits")
+    copy, edits, salt = free_names(docs, "_copy", "_edits", "_salt")
     marked = spans.where(F.size("spans") > 0).groupBy("copy").agg(F.first(base).alias("base"))
     found = marked.join(added.select("copy", more.alias("more")), "copy", "full")
     found = found.select(F.col("copy").alias(copy), F.array_sort(F.concat(*[F.coalesce(c, F.array()).cast(kind) for c in ("base", "more")])).alias(edits))
     text = F.col(f"`{text_col}`")
-    hit = docs.withColumn(copy, F.xxhash64(text)).join(found, copy, "left")
+    hit = docs.withColumn(copy, _copy(text)).withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(FEW_SALTS)))
+    hit = hit.join(_salted(found, salt, FEW_SALTS), [copy, salt], "left")
     hit = hit.withColumn(text_col, F.when(F.col(edits).isNull(), text).otherwise(_replaced(text, F.col(edits))))
     return hit.select(*[F.col(f"`{c}`") for c in docs.columns])

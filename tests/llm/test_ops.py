@@ -611,7 +611,7 @@ def test_pii_words_stay(spark, monkeypatch):
     got = sorted(pii.detect(df).collect())
     assert max(w for w, _ in passed) > 2400 and all(p < 400 for w, p in passed if w > 1000)
     monkeypatch.setattr(pii, "_may_be", real)
-    monkeypatch.setattr(pii, "SLOTS", 1)
+    monkeypatch.setattr(pii, "FILTER_BITS", (0, 0))
     assert sorted(pii.detect(df).collect()) == got and [r.n_term > 0 for r in got] == [k < 4 for k in range(60)]
 
 
