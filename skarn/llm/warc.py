@@ -248,24 +248,27 @@ def lookup(manifest: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFr
         cache: dict = {}
         directories: dict = {}
         firsts = [e[0] for e in edges]
+        key_of = lambda line: json.loads(line)[0]
         for b in batches:
             got = []
             for url, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                to = bisect.bisect_right(firsts, key)
-                for first, last, file, index, directory in reversed(edges[:to]):
-                    if last < key:
-                        break
+                shard = bisect.bisect_right(firsts, key) - 1
+                while shard >= 0 and edges[shard][1] >= key:
+                    _, _, file, index, directory = edges[shard]
+                    shard -= 1
                     if directory not in directories:
                         if len(directories) > 64:
                             directories.pop(next(iter(directories)))
-                        directories[directory] = _directory(directory)
-                    entries = directories[directory]
-                    low = max(bisect.bisect_left([e[0] for e in entries], key) - 1, 0)
-                    for start, offset, length in entries[low:]:
-                        if start > key:
-                            break
-                        lines = [json.loads(x) for x in zlib.decompress(_range(_fs(index), cache, offset, length)).decode().split("\n")]
-                        for line in lines[bisect.bisect_left([x[0] for x in lines], key) :]:
+                        entries = _directory(directory)
+                        directories[directory] = entries, [e[0] for e in entries]
+                    entries, starts = directories[directory]
+                    block = max(bisect.bisect_left(starts, key) - 1, 0)
+                    while block < len(entries) and starts[block] <= key:
+                        _, offset, length = entries[block]
+                        block += 1
+                        lines = zlib.decompress(_range(_fs(index), cache, offset, length)).decode().split("\n")
+                        for at in range(bisect.bisect_left(lines, key, key=key_of), len(lines)):
+                            line = json.loads(lines[at])
                             if line[0] != key:
                                 break
                             got.append({"query": url} | _capture(line, file, cache))
