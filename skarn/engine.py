@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import graph, retrieval, stats, symbols
 from .plans import filters, rank
 from .plans.catalog import SIGNALS
+from .plans.payload import Payload
 
 
 class Collection:
@@ -43,10 +44,45 @@ class Collection:
         fused = retrieval.hybrid(rows.withColumnRenamed("content", "text"), kept, text, query, rank.fetch_size(limit), dense_weight, "id", "id", post)
         return self._ranked(rows.join(fused, "id"), rerank, limit, 0, None, text, preset)
 
+    def _embedded(self, texts: Sequence[str], width: int) -> list[list[float]]:
+        """Hashed embeddings of some texts; blank ones have none."""
+        rows = [(k, t) for k, t in enumerate(texts) if t and t.strip()]
+        made = self.chunks.sparkSession.createDataFrame(rows, "k int, t string").select("k", retrieval.hashed_embedding("t", width).alias("v")) if rows else None
+        return [r.v for r in made.orderBy("k").collect()] if made is not None else []  # one row a text given
+
+    def find_similar_to(self, positive_ids: Sequence = (), positive_code: Sequence[str] = (), negative_ids: Sequence = (), negative_code: Sequence[str] = (), strategy: str = "best_score", limit: int = 10, offset: int = 0, extensions: Sequence[str] = (), level: str | None = None, rerank=None, width: int = 64) -> DataFrame:
+        """Chunks like some chunks and blocks of code and unlike others; with level ``file``, files by their best chunk.
+
+        Chunks that are given by id are not among the results; an unknown id is an error.
+        """
+        given = [*positive_ids, *negative_ids]
+        stored = {r.id: [float(x) for x in r.vector] for r in self.vectors.where(F.col("id").isin(given)).select("id", "vector").collect()} if given else {}  # one row an id given
+        missing = [i for i in given if i not in stored]
+        if missing:
+            raise KeyError(f"no chunk {missing[0]}")
+        positive = [*[stored[i] for i in positive_ids], *self._embedded(positive_code, width)]
+        negative = [*[stored[i] for i in negative_ids], *self._embedded(negative_code, width)]
+        rows = self.chunks.where(F.col("fileExtension").isin(list(extensions))) if extensions else self.chunks
+        fetch = (limit + offset) * 3 if level == "file" else rank.fetch_size(limit, offset, rerank is not None)
+        hits = retrieval.recommend(rows.join(self.vectors, "id"), positive, negative, strategy, fetch, given, "vector", "id")
+        if level == "file":
+            return retrieval.file_level(hits, "relativePath", "id", limit)
+        return self._ranked(hits, rerank, limit, offset, level, None, rank.resolve_mode(rerank)[1])
+
     def find_similar_text(self, code: str, limit: int = 10, rerank=None, width: int = 64) -> DataFrame:
         """Chunks like a block of code, by the hashed embedding of its text."""
-        q = self.chunks.sparkSession.createDataFrame([(code,)], "t string").select(retrieval.hashed_embedding("t", width).alias("v")).first().v
-        return self.find_similar([q], limit=limit, rerank=rerank)
+        return self.find_similar_to(positive_code=[code], limit=limit, rerank=rerank, width=width)
+
+    def ordered(self, source: str, limit: int = 10, level: str = "file", ascending: bool = False, params: Mapping | None = None) -> DataFrame:
+        """Chunks in order of one signal's payload field; those without it are left out.
+
+        ``source`` is a declared path or, for a signal of history, its part below the level (``commitCount``).
+        """
+        name = next((k for k in (source, f"git.{level}.{source}", f"codegraph.{level}.{source}") if k in SIGNALS), source)
+        value = Payload(self.chunks)[name]
+        rows = self._filtered(self.chunks, params, None, None, level).withColumn("order_value", value).where("order_value IS NOT NULL")
+        order = F.col("order_value").asc() if ascending else F.col("order_value").desc()
+        return rows.orderBy(order, "id").limit(limit)
 
     def find_similar(self, positive: Sequence[Sequence[float]], negative: Sequence[Sequence[float]] = (), strategy: str = "best_score", limit: int = 10, rerank=None) -> DataFrame:
         hits = retrieval.recommend(self.chunks.join(self.vectors, "id"), positive, negative, strategy, rank.fetch_size(limit), vec_col="vector", id_col="id")

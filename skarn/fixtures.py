@@ -41,23 +41,29 @@ SELECT DISTINCT cn.n_name AS src, sn.n_name AS dst
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey"""
 
+# graphs whose nodes and edges grow with the table: so many nodes for so many parts, and a least number
+def _nodes(parts: int, least: int) -> str:
+    return f"(SELECT greatest({least}, CAST(floor(count(*) / {parts}) AS BIGINT)) AS kk FROM part) k"
+
+
 # a sparse graph with chains, joints and cycles
-SPARSE = "SELECT DISTINCT p_partkey % 400 AS src, (p_partkey * p_partkey + 7) % 400 AS dst FROM part"
+SPARSE = f"SELECT DISTINCT p_partkey % kk AS src, (p_partkey * p_partkey + 7) % kk AS dst FROM part, {_nodes(5, 40)}"
 
 # two ways on from each node
-WEB = "SELECT DISTINCT p_partkey % 30 AS src, CASE WHEN CAST(floor(p_partkey / 30) AS BIGINT) % 2 = 0 THEN (p_partkey * 3 + 1) % 30 ELSE (p_partkey * 7 + 2) % 30 END AS dst FROM part"
+WEB = f"SELECT DISTINCT p_partkey % kk AS src, CASE WHEN CAST(floor(p_partkey / kk) AS BIGINT) % 2 = 0 THEN (p_partkey * 3 + 1) % kk ELSE (p_partkey * 7 + 2) % kk END AS dst FROM part, {_nodes(66, 30)}"
 
 # types below types: each above 1 extends its half
-TYPES = "SELECT 'T' || CAST(k AS STRING) AS source_fq_name, 'T' || CAST(CAST(floor(k / 2) AS BIGINT) AS STRING) AS ancestor_fq_name, 'extends' AS kind, 0 AS ordinal FROM (SELECT DISTINCT p_partkey % 64 AS k FROM part) t WHERE k > 1"
+NAMES = _nodes(31, 64)
+TYPES = f"SELECT 'T' || CAST(k AS STRING) AS source_fq_name, 'T' || CAST(CAST(floor(k / 2) AS BIGINT) AS STRING) AS ancestor_fq_name, 'extends' AS kind, 0 AS ordinal FROM (SELECT DISTINCT p_partkey % kk AS k FROM part, {NAMES}) t WHERE k > 1"
 
-SYMBOLS = "SELECT DISTINCT 'src/t' || CAST(p_partkey % 64 AS STRING) || '.py' AS rel_path, 'T' || CAST(p_partkey % 64 AS STRING) || '#m' || CAST(p_partkey % 5 AS STRING) AS symbol_id, 'm' || CAST(p_partkey % 5 AS STRING) AS short_name FROM part"
+SYMBOLS = f"SELECT DISTINCT 'src/t' || CAST(p_partkey % kk AS STRING) || '.py' AS rel_path, 'T' || CAST(p_partkey % kk AS STRING) || '#m' || CAST(p_partkey % 5 AS STRING) AS symbol_id, 'm' || CAST(p_partkey % 5 AS STRING) AS short_name FROM part, {NAMES}"
 
-CALLS = """
-SELECT DISTINCT 'T' || CAST(p_partkey % 64 AS STRING) || '#m' || CAST(p_partkey % 5 AS STRING) AS source_symbol_id, 'src/t' || CAST(p_partkey % 64 AS STRING) || '.py' AS source_rel_path,
-  'T' || CAST((p_partkey * 3 + 1) % 64 AS STRING) || '#m' || CAST(p_partkey % 3 AS STRING) AS target_symbol_id, 'src/t' || CAST((p_partkey * 3 + 1) % 64 AS STRING) || '.py' AS target_rel_path,
+CALLS = f"""
+SELECT DISTINCT 'T' || CAST(p_partkey % kk AS STRING) || '#m' || CAST(p_partkey % 5 AS STRING) AS source_symbol_id, 'src/t' || CAST(p_partkey % kk AS STRING) || '.py' AS source_rel_path,
+  'T' || CAST((p_partkey * 3 + 1) % kk AS STRING) || '#m' || CAST(p_partkey % 3 AS STRING) AS target_symbol_id, 'src/t' || CAST((p_partkey * 3 + 1) % kk AS STRING) || '.py' AS target_rel_path,
   'call' || CAST(p_partkey % 20 AS STRING) AS call_expression,
   CASE p_partkey % 6 WHEN 0 THEN 'poly-base' WHEN 1 THEN 'dynamic' WHEN 2 THEN 'cone' ELSE 'exact' END AS edge_kind, CASE p_partkey % 6 WHEN 1 THEN 5e-1 WHEN 2 THEN 25e-2 ELSE 1e0 END AS confidence
-FROM part"""
+FROM part, {NAMES}"""
 
 RUNS = """
 SELECT n_name AS language, CASE n_nationkey % 3 WHEN 0 THEN 'chain' WHEN 1 THEN 'constant' ELSE 'bareCall' END AS receiver_kind, 100 + n_nationkey AS attempted, 60 + n_nationkey AS resolved,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round2
 from ..functions.text import edge_visible, split_method
-from ..storage import written
+from ..storage import bucketed, written
 
 # PageRank, impact and path tracing.
 DAMPING, EPSILON, MAX_ITERATIONS = 0.85, 1e-6, 50
@@ -24,6 +24,32 @@ CALLERS_LIMIT, CALLERS_CAP = 50, 500
 EDGE_KINDS = ("exact", "cone", "poly-base", "dynamic", "registry")
 
 
+#: Edges of one node that a bucket holds; those of busier nodes are spread over several.
+HOT_EDGES = 1_000_000
+
+
+class Adjacency:
+    """Edges stored once, in buckets by one of their ends, for steps that join them again and again.
+
+    A step moves its rows to the edges and leaves the edges where they are.  Nodes with more than
+    ``HOT_EDGES`` edges have several salts, and rows on them go to each; the others have one.
+    """
+
+    def __init__(self, edges: DataFrame, key: str, other: str, name: str = "adjacency", hot: int | None = None):
+        self.key = key
+        limit = HOT_EDGES if hot is None else hot
+        counts = edges.groupBy(key).agg(F.ceil(F.count("*") / limit).alias("_salts")).where("_salts > 1")
+        self.hot = written(counts, f"{name}-hot")  # at most the number of edges / limit
+        spread = edges.join(self.hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+        self.edges = bucketed(spread, name, [key, "_salt"])
+
+    def step(self, rows: DataFrame, on: str) -> DataFrame:
+        """Rows joined with the edges of the node in their column ``on``, which becomes the edges' end."""
+        keyed = rows.withColumnRenamed(on, self.key)
+        salted = keyed.join(self.hot, self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        return salted.join(self.edges, [self.key, "_salt"]).drop("_salt")
+
+
 def fan(edges: DataFrame, files: DataFrame, node: str = "rel_path", src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, fan_in, fan_out) of every file, zeros kept."""
     ins = edges.groupBy(F.col(dst).alias(node)).agg(F.count("*").alias("fan_in"))
@@ -64,8 +90,9 @@ def impact(edges: DataFrame, depth: int = IMPACT_DEPTH, roots: DataFrame | None
     start = roots.select(F.col(roots.columns[0]).alias("root")) if roots is not None else e.select(F.col("d").alias("root")).union(e.select("s"))
     start = start.distinct()
     frontier = seen = start.select("root", F.col("root").alias("node"))
+    into = Adjacency(e.where("s IS NOT NULL AND d IS NOT NULL"), "d", "s", "impact-edges")
     for _ in range(depth):
-        step = frontier.join(e, frontier["node"] == e["d"]).select("root", F.col("s").alias("node")).distinct()
+        step = into.step(frontier, "node").select("root", F.col("s").alias("node")).distinct()
         frontier = written(step.join(seen, ["root", "node"], "left_anti"), "impact")
         if frontier.isEmpty():
             break
@@ -78,8 +105,9 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst:
     """(node, depth): nodes reached from ``start`` (column node) and the fewest steps."""
     e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
     frontier = seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    out = Adjacency(e.where("s IS NOT NULL AND d IS NOT NULL"), "s", "d", "reach-edges")
     for k in range(1, depth + 1):
-        step = frontier.join(e, frontier["node"] == e["s"]).select(F.col("d").alias("node")).distinct()
+        step = out.step(frontier.select("node"), "node").select(F.col("d").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)), "reach")
         if frontier.isEmpty():
             break
@@ -96,19 +124,20 @@ def page_rank(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str
     e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d"), w.alias("w")).groupBy("s", "d").agg(F.sum("w").alias("w"))
     total = e.groupBy("s").agg(F.sum("w").alias("total"))
     e = written(e.join(total, "s").where("total > 0").select("s", "d", (F.col("w") / F.col("total")).alias("share")), "edges")
+    out = Adjacency(e, "s", "d", "rank-edges")
     nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst))).distinct()
     nodes = written(nodes.join(e.select(F.col("s").alias("node")).distinct().withColumn("gives", F.lit(1)), "node", "left"), "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("node", "gives", F.lit(1.0 / n).alias("rank"))
+    ranks, before = nodes.select("node", "gives", F.lit(1.0 / n).alias("rank")), None
     for _ in range(iterations):
         dangling = ranks.where("gives IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = e.join(ranks, e["s"] == ranks["node"]).groupBy("d").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        got = out.step(ranks.select("node", "rank"), "node").groupBy("d").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         new = ranks.join(got, ranks["node"] == got["d"], "left").crossJoin(F.broadcast(dangling))  # one row
         new = new.select("node", "gives", F.col("rank").alias("old"), (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        step = written(new, "ranks")
-        ranks = step.drop("old")
+        step = written(new, "ranks", instead_of=before)
+        ranks, before = step.drop("old"), step
         if not fixed and step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
             break
     return ranks.select("node", "rank")
@@ -215,9 +244,19 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst", few:
     return found
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """The rows with their place in the order of a column, from 0: ranges are sorted apart and their sizes added up."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = written(df.repartitionByRange(n, by).sortWithinPartitions(by).withColumn("_at", at).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_at", "_part", "_n", "_before")
+
+
 def cycles(components: DataFrame) -> DataFrame:
     """(cycle_id, member, position): components by smallest member, members in order."""
-    ids = components.select("component").distinct().withColumn("cycle_id", F.dense_rank().over(Window.orderBy("component")) - 1)
+    ids = numbered(components.select("component").distinct(), "component", "cycle_id")
     return components.join(ids, "component").select("cycle_id", F.col("node").alias("member"), (F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1).alias("position"))
 
 

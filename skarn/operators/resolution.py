@@ -756,14 +756,34 @@ def registry(t: Facts, c: DataFrame, cone_max: int = CONE_MAX) -> DataFrame:
     return found.withColumn("n", n).where(F.col("n") <= cone_max).select("call_id", "file", "target", F.lit("table").alias("edge_kind"), (1 / F.col("n")).alias("confidence"))
 
 
+def gates(t: Facts, c: DataFrame) -> DataFrame:
+    """(call_id, gate): calls that must not fan out over a name, with the first reason of these.
+
+    ``bare``: no receiver; ``shape``: the own object, a constant, a literal, a field; ``typed``: a receiver
+    of known type; ``relation``: a chain that builds a query; ``index``: an element of unknown type
+    (``rows[k]``); ``outside``: a chain from a constant that the project doesn't define; ``duck``: a member
+    that any object may answer.
+    """
+    typed_ = receiver_types(t, c).select("call_id").distinct().withColumn("_typed", F.lit(True))
+    root = F.when(F.contains("receiver", F.lit(".")), F.regexp_extract("receiver", r"^([A-Z]\w*(?:::[A-Z]\w*)*)[.]", 1))
+    inside = t.symbols.select("language", F.col("symbol_id").alias("_root")).distinct().withColumn("_inside", F.lit(True))
+    on = c.join(typed_, "call_id", "left").withColumn("_root", root).join(inside, ["language", "_root"], "left")
+    r, bare = F.col("receiver"), F.col("receiver").isNull() | (F.col("receiver") == "")
+    why = (
+        F.when(bare, "bare").when(r.isin("self", "this", "super") | (r.rlike(r"^[A-Z\"'\[{0-9:@]") & ~F.contains(r, F.lit("."))), "shape").when(F.col("_typed"), "typed")
+        .when(r.rlike(r"\.(?:" + "|".join(RELATION_BUILDERS) + r")\("), "relation").when(r.endswith("]"), "index").when((F.col("_root") != "") & F.col("_inside").isNull(), "outside")
+        .when(r.rlike(r"^[A-Z\"'\[{0-9:@]"), "shape").when(F.col("member").isin(DUCK_MEMBERS), "duck")
+    )
+    return on.select("call_id", why.alias("gate")).where("gate IS NOT NULL")
+
+
 def dynamic(t: Facts, c: DataFrame) -> DataFrame:
     """Calls on a receiver of unknown type: narrowed definitions of the name, shared out, or ambiguous.
 
-    Members that any object may answer, literals, constants and the own object have none.
+    What a gate holds back has none (see ``gates``).
     (call_id, file, target, edge_kind, confidence, ambiguous)
     """
-    typed_ = receiver_types(t, c).select("call_id")
-    on = _with(c).where(~F.col("member").isin(DUCK_MEMBERS) & ~F.col("receiver").isin("self", "this", "super") & ~F.col("receiver").rlike(r"^[A-Z\"'\[{0-9:@]")).join(typed_, "call_id", "left_anti")
+    on = c.join(gates(t, c).select("call_id"), "call_id", "left_anti")
     given = ["n_args", "given_keywords", "keyword_splat", "has_block"]
     facts = ["min_args", "max_args", "splat", "required_keywords", "declared_keywords", "visibility", "accepts_block"]
     cap = F.broadcast(fan_out_cap(t.symbols))  # one row

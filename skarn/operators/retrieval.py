@@ -107,14 +107,16 @@ PARTS = 64
 def postings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, bucket, tf, length, part): the sparse form of each text, to be stored by ``part``.
 
-    Rows come sorted by bucket within a part, so that a reader skips most of a file too.
+    Rows are dealt by ranges of (part, bucket, id) and come sorted, so a frequent bucket is written by
+    several tasks and a reader skips most of a file.
     """
-    texts = df.select(id_col, text_col).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(id_col, text_col).repartition(n, id_col)
     tokens = texts.select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy(id_col, "length", "token").agg(F.count("*").alias("n"))
     hashed = counts.select("token").distinct().select("token", feature_hash("token").alias("bucket"))  # each token once
     made = counts.join(hashed, "token").groupBy(id_col, "length", "bucket").agg(F.sum("n").alias("tf"))
-    return made.withColumn("part", (F.col("bucket") % PARTS).cast("int")).repartition("part").sortWithinPartitions("part", "bucket", id_col)
+    return made.withColumn("part", (F.col("bucket") % PARTS).cast("int")).repartitionByRange(n, "part", "bucket", id_col).sortWithinPartitions("part", "bucket", id_col)
 
 
 def stored_sparse(post: DataFrame, n_docs: int, query: str, limit: int, id_col: str = "doc_id", digits: int = 6) -> DataFrame:

@@ -52,13 +52,12 @@ def signal_percentiles(df: DataFrame, keys: Iterable[str] | None = None, scope_c
     """
     known = [SIGNALS[k] for k in keys] if keys else [s for s in SIGNALS.values() if s.percentiles]
     long = _melted(df, known, scope_col)
-    long.createOrReplaceTempView("_skarn_signal_values")
     at = {p: f"round(percentile(value, {p / 100}), {digits}) AS p{p}" for p in (10, 25, 50, 75, 90, 95)}
     return df.sparkSession.sql(f"""
         SELECT CASE grouping_id(signal, language, scope) WHEN 3 THEN 'collection' WHEN 1 THEN 'language' ELSE 'scope' END AS grain,
                language, scope, signal, count(*) AS n, {', '.join(at.values())}, round(min(value), {digits}) AS min_value, round(max(value), {digits}) AS max_value,
                round(avg(value), {digits}) AS mean_value, round(stddev_pop(value), {digits}) AS stddev_value
-        FROM _skarn_signal_values GROUP BY GROUPING SETS ((signal), (signal, language), (signal, language, scope))""")
+        FROM {{long}} GROUP BY GROUPING SETS ((signal), (signal, language), (signal, language, scope))""", long=long)
 
 
 def kept_languages(df: DataFrame) -> DataFrame:

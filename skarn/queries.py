@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from . import folding_fixture, oracle, resolution_fixture, ruby_fixture
+from . import folding_fixture, macro_fixture, oracle, resolution_fixture, ruby_fixture
 from .functions import numeric as N
 from .functions import text as S
-from .operators import dispatch, enrichment, graph, history, intervals, inverted, resolution, retrieval, segment, stats, symbols, sync
+from .operators import dispatch, enrichment, graph, history, intervals, inverted, macros, resolution, retrieval, segment, stats, symbols, sync
 from .plans import catalog, filters, rank
 from .plans.catalog import DERIVED
-from .sources import walkers
-from .storage import stored, written
+from .sources import gitlog, walkers
+from .storage import listing, stored, written
 from .streaming import machines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,7 +121,7 @@ _indexes: dict[tuple, inverted.Inverted] = {}
 
 def _inverted(spark: SparkSession, d: str) -> inverted.Inverted:
     """The inverted file of all vectors, built once per application; its centroids are rows as they are, which SQL can follow."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, listing(spark, f"{d}/embeddings.parquet"))
     if key not in _indexes:
         _indexes[key] = inverted.build(X.table(spark, d, "embeddings"), rounds=0)
     return _indexes[key]
@@ -197,7 +197,7 @@ TEXT_QUERY = "therean worthless tionha"
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, "postings", d, lambda: retrieval.postings(X.table(spark, d, "documents")), ["part"])
+    return stored(spark, "postings", listing(spark, f"{d}/documents.parquet"), lambda: retrieval.postings(X.table(spark, d, "documents")), ["part"])
 
 
 _POST = "WITH " + _BM25.replace("{q}", TEXT_QUERY)
@@ -787,6 +787,30 @@ def resolve_ruby(spark: SparkSession, d: str) -> DataFrame:
     return resolution.chain(ruby_fixture.facts(spark, d), "ruby").withColumnRenamed("by", "strategy")
 
 
+@query(macro_fixture.DECLARED)
+def macro_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Methods that the macros of all frameworks declare."""
+    return macros.declared(macro_fixture.calls(spark, d), macros.rules(spark))
+
+
+@query(macro_fixture.LINKED)
+def macro_links(spark: SparkSession, d: str) -> DataFrame:
+    """What macros refer to: own methods, models, aliases, delegates, actions, policies, subjects."""
+    return macros.linked(macro_fixture.calls(spark, d), macros.rules(spark))
+
+
+@query(ruby_fixture.fan_out_sql())
+def ruby_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that Ruby's chain leaves open: the gate that holds each back, or its candidates, or that it has too many."""
+    t = ruby_fixture.facts(spark, d)
+    c = t.of("ruby")
+    open_ = written(c.join(resolution.chain(t, "ruby").where("outcome = 'resolved'").select("call_id"), "call_id", "left_anti"), "open-calls")
+    none = F.lit(None)
+    held = resolution.gates(t, open_).select("call_id", "gate", none.cast("bigint").alias("n_candidates"), none.cast("string").alias("target"), none.cast("double").alias("confidence"))
+    wide = resolution.dynamic(t, open_)
+    return held.unionByName(wide.select("call_id", none.cast("string").alias("gate"), F.when(~F.col("ambiguous"), F.when(F.col("edge_kind") == "exact", 1).otherwise(F.round(resolution.DYNAMIC_DISCOUNT / F.col("confidence")))).cast("bigint").alias("n_candidates"), "target", "confidence"))
+
+
 @query(folding_fixture.sql())
 def folded_types(spark: SparkSession, d: str) -> DataFrame:
     """Calls that mean something once their receivers, which are parameters, are typed by the calls of their functions."""
@@ -952,7 +976,7 @@ def ambiguous_callers(spark: SparkSession, d: str) -> DataFrame:
     return graph.ambiguous_callers(wide, "m1").select("source_rel_path", "source_symbol_id", "call_expression", "member")
 
 
-_IMPORTS = "SELECT DISTINCT 'src/t' || CAST(p_partkey % 64 AS STRING) || '.py' AS src, 'pkg.t' || CAST((p_partkey * 3 + 1) % 80 AS STRING) AS import_text, p_partkey AS position FROM part"
+_IMPORTS = f"SELECT DISTINCT 'src/t' || CAST(p_partkey % kk AS STRING) || '.py' AS src, 'pkg.t' || CAST((p_partkey * 3 + 1) % (kk + 16) AS STRING) AS import_text, p_partkey AS position FROM part, {X.NAMES}"
 
 
 @query(f"WITH i AS ({_IMPORTS}), f AS (SELECT DISTINCT rel_path FROM ({X.SYMBOLS}) s), m AS (SELECT src, rel_path AS dst, import_text, row_number() OVER (PARTITION BY src, rel_path ORDER BY position) AS n FROM i JOIN f ON 'src/' || split_part(import_text, '.', 2) || '.py' = rel_path WHERE src <> rel_path) SELECT src, dst, import_text FROM m WHERE n = 1")
@@ -1053,3 +1077,12 @@ def quarantine_log(spark: SparkSession, d: str) -> DataFrame:
     machine = machines.Quarantine(_DELAY, _LONGEST, ("error", "click"), ("signup",))
     out = machines.drained(events, machine, "user_id", kind="event_type")
     return out.select(F.col("key").alias("user_id"), "what", "at", "attempts", "first_failed", "last_failed", "due", "last_id")
+
+
+@query(f"""WITH c AS ({COMMITS_SQL}), f AS (SELECT id AS sha, author, ts, 'src/d' || (id % 4) || '/k' || file AS file, 0 AS z FROM c WHERE ts BETWEEN 1704412800 AND 1705622400)
+SELECT sha, author, ts, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM f WHERE starts_with(file, 'src/d1/') OR file IN ('src/d2/k3', 'src/d0/k12') GROUP BY sha, author, ts""")
+def commits_touching(spark: SparkSession, d: str) -> DataFrame:
+    """Commits on a folder and some files within two weeks."""
+    c = commits(spark, d).select(F.col("id").alias("sha"), "author", "ts", F.concat(F.lit("src/d"), F.col("id") % 4, F.lit("/k"), "file").alias("file"))
+    wanted = spark.createDataFrame([("src/d1/",), ("src/d2/k3",), ("src/d0/k12",), ("src/d",)], "path string")
+    return gitlog.touching(c, wanted, 1_704_412_800, 1_705_622_400).select("sha", "author", "ts", F.array_join("files", ",").alias("files"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .operators.resolution import CONSTANT, ENQUEUE, RELATION_BUILDERS, RUNTIME_HOOKS, Facts
+from .operators.resolution import CONSTANT, DUCK_MEMBERS, ENQUEUE, RELATION_BUILDERS, RUNTIME_HOOKS, Facts
 from .resolution_fixture import _rows
 
 # K is the number of types, made from the table's size
@@ -25,11 +25,11 @@ def tables() -> dict[str, str]:
     members = f"{types} t CROSS JOIN (SELECT DISTINCT p_partkey % 5 AS j FROM part) u"
     receiver = f"""CASE n % 17 WHEN 0 THEN NULL WHEN 1 THEN 'self' WHEN 2 THEN '@fld' || CAST(n % 4 AS STRING) WHEN 3 THEN 'v' || CAST(n % 3 AS STRING) WHEN 4 THEN {_T.format('o')} WHEN 5 THEN 'super' WHEN 6 THEN 'w' || CAST(n % 3 AS STRING)
 WHEN 7 THEN 't' || CAST(o AS STRING) WHEN 8 THEN {_T.format('o')} WHEN 9 THEN 'lib' || CAST(n % 4 AS STRING) WHEN 10 THEN {_T.format('o')} || '.new' WHEN 11 THEN 'v' || CAST(n % 3 AS STRING) || '.m' || CAST(n % 13 AS STRING) WHEN 12 THEN 'v1.where(x)'
-WHEN 13 THEN '@t' || CAST(o AS STRING) WHEN 14 THEN NULL WHEN 15 THEN 'In' ELSE {_T.format('o')} END"""
+WHEN 13 THEN '@t' || CAST(o AS STRING) WHEN 14 THEN NULL WHEN 15 THEN CASE n % 4 WHEN 0 THEN 'In' WHEN 1 THEN 'rows[k]' WHEN 2 THEN 'Gem::Client.thing' ELSE 'thing' END ELSE {_T.format('o')} END"""
     member = "CASE WHEN n % 17 = 8 THEN 'perform_later' WHEN n % 17 = 14 THEN 'hook' || CAST(a % 4 AS STRING) WHEN n % 17 = 16 THEN 'run' WHEN n % 17 = 5 AND n % 2 = 0 THEN 'inherited' WHEN n % 17 = 0 AND n % 2 = 0 THEN 'col' || CAST(n % 6 AS STRING) ELSE 'm' || CAST(n % 13 AS STRING) END"
     owner = f"CASE WHEN n % 9 = 0 THEN NULL ELSE {_T.format('a')} || CASE WHEN n % 17 = 14 THEN '.run' ELSE '#m0' END END"
     return {
-        "calls": f"SELECT n AS call_id, 'ruby' AS language, {_HOME.format('a')} AS rel_path, CAST(n % 50 AS INT) AS line, {owner} AS source_symbol_id, CASE WHEN n % 9 = 0 THEN NULL ELSE {_T.format('a')} END AS scope, {receiver} AS receiver, {member} AS member FROM {calls} c",
+        "calls": f"SELECT n AS call_id, 'ruby' AS language, {_HOME.format('a')} AS rel_path, CAST(n % 50 AS INT) AS line, {owner} AS source_symbol_id, CASE WHEN n % 9 = 0 THEN NULL ELSE {_T.format('a')} END AS scope, {receiver} AS receiver, {member} AS member, CAST(n % 3 AS INT) AS n_args, n % 7 = 0 AS has_block FROM {calls} c",
         "symbols": f"""SELECT 'ruby' AS language, {_HOME.format('a')} AS rel_path, {_T.format('a')} || CASE WHEN (a + j) % 3 > 0 THEN '#' ELSE '.' END || 'm' || CAST((a * 3 + j) % 13 AS STRING) AS symbol_id, 'm' || CAST((a * 3 + j) % 13 AS STRING) AS short_name, {_T.format('a')} AS scope, false AS is_column FROM {members}
 UNION ALL SELECT 'ruby', {_HOME.format('a')}, {_T.format('a')}, {_T.format('a')}, CAST(NULL AS STRING), false FROM {types} t
 UNION ALL SELECT 'ruby', {_HOME.format('a')}, {_T.format('a')} || '#perform', 'perform', {_T.format('a')}, false FROM {types} t WHERE a % 3 = 0
@@ -45,8 +45,15 @@ UNION ALL SELECT 'ruby', {_HOME.format('a')}, {_T.format('a')} || '#col' || CAST
     }
 
 
+#: What definitions take, by the digits in their ids.
+ARITY = "SELECT *, CAST(length(symbol_id) % 2 AS INT) AS min_args, CAST(length(symbol_id) % 2 + 1 AS INT) AS max_args, length(symbol_id) % 5 = 0 AS splat, length(rel_path) % 3 = 0 AS accepts_block, CASE WHEN length(symbol_id) % 4 = 3 AND length(rel_path) % 2 = 0 THEN 'private' ELSE 'public' END AS visibility FROM ({}) s"
+
+
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
-    made = {k: X.frame(spark, sf_dir, sql, "part") for k, sql in tables().items()}
+    made = {k: X.frame(spark, sf_dir, ARITY.format(sql) if k == "symbols" else sql, "part") for k, sql in tables().items()}
+    none = F.lit(None).cast("array<string>")
+    made["symbols"] = made["symbols"].withColumn("required_keywords", none).withColumn("declared_keywords", none)
+    made["calls"] = made["calls"].withColumn("given_keywords", none).withColumn("keyword_splat", F.lit(False))
     made["imports"] = made["imports"].withColumn("names", F.array("name")).drop("name")
     return Facts(**made)
 
@@ -146,3 +153,21 @@ anc AS MATERIALIZED (SELECT scope, ancestor, min({{'n': len(rank), 'rank': rank}
     return f"""{body}, v AS ({every}), stop AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY pr, v) AS nth FROM v WHERE v IN ('resolved', 'drop')), park AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY pr, file) AS nth FROM v WHERE v = 'deferred'),
 j AS (SELECT c.call_id, a.v, a.file, a.target, a.who, p.file AS pfile, p.who AS pwho, p.call_id IS NOT NULL AND (a.pr IS NULL OR p.pr < a.pr) AS early FROM c LEFT JOIN stop a ON a.call_id = c.call_id AND a.nth = 1 LEFT JOIN park p ON p.call_id = c.call_id AND p.nth = 1)
 SELECT call_id, CASE WHEN v = 'resolved' OR early THEN 'resolved' WHEN v = 'drop' THEN 'dropped' ELSE 'unresolved' END AS outcome, CASE WHEN v = 'resolved' THEN file WHEN early THEN pfile END AS file, CASE WHEN v = 'resolved' THEN target END AS target, CASE WHEN v = 'resolved' THEN who WHEN early THEN pwho END AS strategy FROM j"""
+
+
+def fan_out_sql() -> str:
+    """(call_id, gate, n_candidates, target, confidence) of calls that the chain leaves open."""
+    t = tables()
+    builders, duck = "|".join(RELATION_BUILDERS), ", ".join(f"'{m}'" for m in DUCK_MEMBERS)
+    first = "[A-Z\"''\\[{0-9:@]"
+    bound = "SELECT c.call_id FROM c JOIN b ON b.rel_path = c.rel_path AND b.owner IS NOT DISTINCT FROM c.source_symbol_id AND b.name = c.receiver AND b.line <= c.line"
+    gate = f"""CASE WHEN receiver IS NULL THEN 'bare' WHEN receiver IN ('self', 'this', 'super') OR (regexp_matches(receiver, '^{first}') AND NOT contains(receiver, '.')) THEN 'shape' WHEN call_id IN ({bound}) THEN 'typed' WHEN regexp_matches(receiver, '\\.(?:{builders})\\(') THEN 'relation'
+WHEN ends_with(receiver, ']') THEN 'index' WHEN contains(receiver, '.') AND regexp_matches(receiver, '^[A-Z]') AND split_part(receiver, '.', 1) NOT IN (SELECT target FROM every) THEN 'outside' WHEN regexp_matches(receiver, '^{first}') THEN 'shape' WHEN member IN ({duck}) THEN 'duck' END"""
+    fits = "(s.min_args IS NULL OR (x.n_args >= s.min_args AND (s.splat OR x.n_args <= s.max_args))) AND s.visibility <> 'private'"
+    return f"""WITH done AS MATERIALIZED (SELECT call_id FROM ({sql()}) d WHERE outcome = 'resolved'), c AS MATERIALIZED ({t['calls']}), every AS MATERIALIZED (SELECT rel_path AS file, symbol_id AS target, short_name AS member, scope AS in_scope, * EXCLUDE (rel_path, symbol_id, short_name, scope) FROM ({ARITY.format(t['symbols'])}) x), b AS ({t['bindings']}),
+o AS MATERIALIZED (SELECT *, {gate} AS gate FROM c WHERE call_id NOT IN (SELECT call_id FROM done)),
+k AS (SELECT greatest(16, list_sort(list(n))[least(ceil(count(*) * 0.990000000001)::INT, count(*))]) AS cap FROM (SELECT count(*) AS n FROM every GROUP BY member) z),
+m AS MATERIALIZED (SELECT x.call_id, s.file, s.target, s.accepts_block, x.has_block, max(s.accepts_block::INT) OVER (PARTITION BY x.call_id) AS any_block FROM o x JOIN every s ON s.member = x.member AND s.in_scope IS NOT NULL AND NOT s.is_column WHERE x.gate IS NULL AND {fits}),
+f AS MATERIALIZED (SELECT call_id, target, count(*) OVER (PARTITION BY call_id) AS n FROM m WHERE NOT (has_block AND any_block = 1) OR accepts_block)
+SELECT call_id, gate, NULL::BIGINT AS n_candidates, NULL AS target, NULL::DOUBLE AS confidence FROM o WHERE gate IS NOT NULL
+UNION ALL SELECT call_id, NULL, n, target, CASE WHEN n = 1 THEN 1.0 ELSE 0.5 / n END FROM f, k WHERE n <= cap UNION ALL SELECT DISTINCT call_id, NULL, NULL::BIGINT, NULL, NULL::DOUBLE FROM f, k WHERE n > cap"""

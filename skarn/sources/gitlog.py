@@ -51,6 +51,22 @@ def changed_files(commits_: DataFrame) -> DataFrame:
     return commits_.withColumn("files", files).drop("stat")
 
 
+def touching(changes: DataFrame, paths: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Commits that change any of some paths within a range of time, each with those of its files.
+
+    changes: as ``numstat`` gives them; paths: one column of files or folders.  A file is looked up by
+    itself and by each of its folders, so it is an equi join whatever the number of paths.  ``since`` and
+    ``until`` are seconds, both included, and reach the scan.
+    """
+    rows = changes if since is None else changes.where(F.col("ts") >= since)
+    rows = rows if until is None else rows.where(F.col("ts") <= until)
+    wanted = paths.select(F.regexp_replace(F.col(paths.columns[0]), "/+$", "").alias("_path")).distinct()
+    parts = F.split("file", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    met = rows.withColumn("_path", F.explode(prefixes)).join(wanted, "_path", "left_semi")
+    return met.groupBy("sha").agg(F.first("author").alias("author"), F.first("ts").alias("ts"), F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def blame(spark: SparkSession, text: str) -> DataFrame:
     """One row per live line of a porcelain blame: line, author, email, sha, ts.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import weakref
@@ -59,11 +60,31 @@ def discard(table: DataFrame) -> None:
         del _places[key]
 
 
+def listing(spark: SparkSession, path: str) -> str:
+    """What a table is made of now: path, length and time of each file, digested; another listing is another table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(target))
+    return f"{path}#{hashlib.sha256(repr(files).encode()).hexdigest()}"
+
+
+def bucketed(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Write the rows as a table of the catalog, in one bucket per shuffle partition, in the shared folder.
+
+    A join on ``by`` then moves the other side only, as often as it is done.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"skarn_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, *by).write.format("parquet").option("path", fresh_path(spark, name)).bucketBy(n, *by).sortBy(*by).saveAsTable(table)
+    return spark.table(table)
+
+
 _stored: dict[tuple, DataFrame] = {}
 
 
 def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
-    """A table derived from ``source``, written the first time it is asked for and read after that.
+    """A table derived from ``source`` (see ``listing``), written the first time it is asked for and read after that.
 
     For what a collection keeps beside its rows (postings, codes): made once per
     application, partitioned by ``by``, so that queries prune to what they need.

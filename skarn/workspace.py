@@ -249,12 +249,28 @@ class Workspace:
             self._mark(name, statistics_of=version)
         return self.read(name, "statistics")
 
+    def vectors(self, name: str, width: int = 64) -> DataFrame:
+        """(id, vector): stored with the collection; of a new version of its chunks only changed contents are hashed."""
+        known = self._get("collections.json")[name]
+        of = [known["versions"].get("chunks"), width]
+        if known.get("vectors_of") != of or "vectors" not in known["versions"]:
+            c = self.payload(name).select("id", "content", F.sha2("content", 256).alias("hash"))
+            make = lambda df: df.select("id", "hash", retrieval.hashed_embedding("content", width).alias("vector"))
+            if "vectors" in known["versions"] and known.get("vectors_of", [None, None])[1] == width:
+                old = self.read(name, "vectors")
+                made = c.select("id", "hash").join(old, ["id", "hash"]).unionByName(make(c.join(old, ["id", "hash"], "left_anti")))
+            else:
+                made = make(c)
+            self.write(name, {"vectors": made})
+            self._mark(name, vectors_of=of)
+        return self.read(name, "vectors").select("id", "vector")
+
     def collection(self, name: str, width: int = 64) -> Collection:
         """What is stored, for queries: chunks, vectors, statistics and, where there is one, the graph."""
         c = self.payload(name)
         versions = self._get("collections.json")[name]["versions"]
         some = lambda t: self.read(name, t) if t in versions else None
-        return Collection(c, c.select("id", retrieval.hashed_embedding("content", width).alias("vector")), self.statistics(name), some("edges"), some("inheritance"))
+        return Collection(c, self.vectors(name, width), self.statistics(name), some("edges"), some("inheritance"))
 
     def copy(self, name: str, to: str) -> None:
         """A collection's tables under another name (a branch's index begins as a copy)."""

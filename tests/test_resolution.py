@@ -1,6 +1,7 @@
 """Small projects in each language, from their source to the edges of their calls."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from skarn.operators import graph, resolution
 from skarn.sources import walkers
@@ -150,3 +151,51 @@ def test_templates_columns_and_parameters(spark, found):
     assert got["c2"] == ("SubTask#work", "selfDispatchEntry") and got["c3"] == ("User#email", "schemaColumn")
     args = spark.createDataFrame([("c2", 0, "A"), ("c2", 1, "A"), ("c1", 0, "B")], "call_id string, position int, type string")
     assert {(r.function, r.position, r.type) for r in resolution.parameter_types(f, args).collect()} >= {("Task.call", 0, "A"), ("Task.call", 1, "A")}
+
+
+def test_folded_parameter_types(spark):
+    """Types travel from call to call; disagreement is silence; a cycle of calls ends."""
+    calls = [
+        (1, None, "start"), (2, None, "start"), (3, "job", "run"), (4, "other", "run"), (5, "it", "stop"), (6, None, "loop"), (7, None, "loop"),
+    ]
+    inside = {1: "main", 2: "main", 3: "start", 4: "start", 5: "Job#run", 6: "main", 7: "loop"}
+    rows = [(k, "ruby", "m.rb", 1, inside[k], None, receiver, member) for k, receiver, member in calls]
+    defs = [("Job", None), ("Job#run", "Job"), ("Base#stop", "Base"), ("Task", None), ("Task#run", "Task"), ("start", None), ("loop", None), ("main", None)]
+    f = resolution.Facts(
+        calls=spark.createDataFrame(rows, "call_id bigint, language string, rel_path string, line int, source_symbol_id string, scope string, receiver string, member string"),
+        symbols=spark.createDataFrame([("ruby", "m.rb", s, s.split("#")[-1], c) for s, c in defs], "language string, rel_path string, symbol_id string, short_name string, scope string"),
+        imports=spark.createDataFrame([], "language string, rel_path string, position int, import_text string, names array<string>"),
+        bindings=spark.createDataFrame([("m.rb", "main", "v", 1, "Job", False)], "rel_path string, owner string, name string, line int, type string, is_class boolean"),
+        fields=spark.createDataFrame([], "language string, scope string, field string, type string"),
+        inheritance=spark.createDataFrame([("ruby", "Task", "Base", "extends", 0)], "language string, source_fq_name string, ancestor_fq_name string, kind string, ordinal int"),
+        returns=spark.createDataFrame([], "language string, function string, type string"), call_bindings=spark.createDataFrame([], "rel_path string, owner string, name string, line int, function string"),
+    )
+    targets = spark.createDataFrame([(1, "start"), (2, "start"), (6, "loop"), (7, "loop")], "call_id bigint, target string")
+    # start(v, Job), start(Job, Task): the first agrees on Job, the second does not; job.run(Task) says what run's ``it`` is
+    arguments = spark.createDataFrame([(1, 0, None, "v"), (1, 1, "Job", None), (2, 0, "Job", None), (2, 1, "Task", None), (3, 0, "Task", None), (4, 0, "Job", None), (6, 0, "Task", None), (7, 0, None, "x")], "call_id bigint, position int, type string, name string")
+    parameters = spark.createDataFrame([("start", 0, "job"), ("start", 1, "other"), ("Job#run", 0, "it"), ("loop", 0, "x")], "function string, position int, name string")
+    made = resolution.folded(f, targets, arguments, parameters)
+    assert sorted((r.function, r.name, r.type) for r in made["types"].collect()) == [("Job#run", "it", "Task"), ("loop", "x", "Task"), ("start", "job", "Job")]
+    assert sorted((r.call_id, r.target) for r in made["edges"].collect()) == [(3, "Job#run"), (5, "Base#stop")]
+    none = resolution.folded(f, targets, arguments.limit(0), parameters)
+    assert none["types"].count() == none["edges"].count() == 0
+
+
+def test_names_are_reduced_before_calls_meet_them(spark):
+    """A name that very many calls and definitions share makes no pairs."""
+    n = 3000
+    calls = spark.range(n).selectExpr("id AS call_id", "'ruby' AS language", "'a.rb' AS rel_path", "1 AS line", "'m' AS source_symbol_id", "CAST(NULL AS STRING) AS scope", "'thing' AS receiver", "'get' AS member", "1 AS n_args", "CAST(NULL AS ARRAY<STRING>) AS given_keywords", "false AS keyword_splat", "false AS has_block")
+    symbols = spark.range(n).selectExpr("'ruby' AS language", "concat('f', id, '.rb') AS rel_path", "concat('T', id, '#get') AS symbol_id", "'get' AS short_name", "concat('T', id) AS scope", "1 AS min_args", "1 AS max_args", "false AS splat", "CAST(NULL AS ARRAY<STRING>) AS required_keywords", "CAST(NULL AS ARRAY<STRING>) AS declared_keywords", "'public' AS visibility", "false AS accepts_block")
+    rare = symbols.where("scope < 'T2'").withColumn("short_name", F.col("scope")).withColumn("symbol_id", F.concat("scope", F.lit("#"), "scope"))  # or the cap would be what all share
+    symbols = symbols.unionByName(rare)
+    none = lambda schema: spark.createDataFrame([], schema)
+    f = resolution.Facts(
+        calls=calls, symbols=symbols, imports=none("language string, rel_path string, position int, import_text string, names array<string>"), bindings=none("rel_path string, owner string, name string, line int, type string, is_class boolean"), fields=none("language string, scope string, field string, type string"),
+        inheritance=none("language string, source_fq_name string, ancestor_fq_name string, kind string, ordinal int"), returns=none("language string, function string, type string"), call_bindings=none("rel_path string, owner string, name string, line int, function string"),
+    )
+    wide = resolution.dynamic(f, f.of("ruby"))
+    assert wide.where("ambiguous").count() == n and wide.count() == n  # one row a call, not 9 million
+    assert resolution.global_name(f, f.of("ruby")).count() == 0
+    few = resolution.Facts(**{k: getattr(f, k) for k in ("calls", "imports", "bindings", "fields", "inheritance", "returns", "call_bindings")}, symbols=symbols.where("scope IN ('T1', 'T2')"))
+    out = resolution.dynamic(few, few.of("ruby").where("call_id < 2")).collect()
+    assert sorted((r.call_id, r.target, r.confidence, r.edge_kind) for r in out) == [(c, t, 0.25, "dynamic") for c in (0, 1) for t in ("T1#get", "T2#get")]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.operators import history, inverted, retrieval
+from skarn import storage
+from skarn.operators import graph, history, inverted, retrieval
 from skarn.streaming import machines
 
 SF = "/root/testdata/sf0.001"
@@ -241,3 +242,55 @@ def test_blocks_of_an_inverted_list(spark, monkeypatch):
     monkeypatch.setattr(inverted, "MEMBERS", 64)
     monkeypatch.setattr(inverted, "QUERIES", 8)
     assert sorted(map(tuple, inverted.search_all(index, asked, 7, 2).collect())) == want and len(want) == 7 * asked.count()
+
+
+# -- adjacency ----------------------------------------------------------------------
+
+
+def test_steps_leave_edges_where_they_are(spark):
+    """From the first step on only the rows move: no exchange stands above the scan of the edges."""
+    r = random.Random(4)
+    e = spark.createDataFrame([(r.randint(0, 50), r.randint(0, 50)) for _ in range(400)], "s bigint, d bigint").distinct()
+    a = graph.Adjacency(e, "s", "d")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(40).select(F.col("id").alias("node"))
+        step = a.step(rows, "node").select(F.col("d").alias("node")).distinct()
+        again = a.step(step, "node")
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2
+        for part in plan.split("Bucketed: true")[:-1]:  # the lines above each scan, up to its join
+            above = part[part.rindex("SortMergeJoin") :].split("\n") if "SortMergeJoin" in part else []
+            depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+            at, chain = len(above) - 1, []
+            for line in reversed(above[:-1]):
+                if depth(line) < depth(above[at]):
+                    at = above.index(line)
+                    chain.append(line)
+            assert not any("Exchange" in line for line in chain[: next((k for k, x in enumerate(chain) if "SortMergeJoin" in x), len(chain))])
+        got = sorted(tuple(x) for x in again.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pairs = [tuple(x) for x in e.collect()]
+    first = {d for s, d in pairs if s < 40}
+    assert got == sorted((s, d) for s, d in pairs if s in first)
+
+
+def test_busy_nodes_are_spread(spark):
+    """Edges of a node beyond the limit lie in several buckets; steps find all of them once."""
+    pairs = [(0, d) for d in range(300)] + [(d, d + 1) for d in range(1, 100)]
+    e = spark.createDataFrame(pairs, "s bigint, d bigint")
+    a = graph.Adjacency(e, "s", "d", hot=50)
+    assert a.edges.where("s = 0").select("_salt").distinct().count() == 6 and a.edges.where("s > 0").agg(F.max("_salt")).first()[0] == 0
+    rows = spark.createDataFrame([(0,), (5,)], "node bigint")
+    assert sorted(tuple(r) for r in a.step(rows, "node").select("s", "d").collect()) == sorted([(0, d) for d in range(300)] + [(5, 6)])
+
+
+def test_listing_follows_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    first = storage.listing(spark, path)
+    assert first == storage.listing(spark, path)
+    spark.range(2).write.mode("append").parquet(path)
+    assert first != storage.listing(spark, path)

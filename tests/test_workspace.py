@@ -45,6 +45,38 @@ def test_index(spark, tmp_path):
     assert w.status("p")["status"] == "not_indexed"
 
 
+def test_stored_vectors(spark, tmp_path, monkeypatch):
+    """Vectors are kept with the collection; a new version hashes the contents that changed and no others."""
+    from skarn.operators import retrieval
+
+    src = tmp_path / "src"
+    src.mkdir()
+    for k in range(4):
+        (src / f"f{k}.py").write_text(f"def f{k}():\n    return {k}\n")
+    w = Workspace(spark, f"file://{tmp_path}/w")
+    w.index("p", f"file://{src}")
+    first = {r.id: r.vector for r in w.vectors("p").collect()}
+    assert len(first) == 4 and w.info("p")["rows"]["vectors"] == 4
+    hashed, real = [], retrieval.hashed_embedding
+    monkeypatch.setattr(retrieval, "hashed_embedding", lambda text, width=64: hashed.append(text) or real(text, width))
+    assert {r.id: r.vector for r in w.vectors("p").collect()} == first and not hashed
+    (src / "f1.py").write_text("def g():\n    return 'other'\n")
+    w.index("p", f"file://{src}")
+    again = {r.id: r.vector for r in w.vectors("p").collect()}
+    assert len(again) == 4 and hashed == ["content"] and sum(again[k] != v for k, v in first.items() if k in again) <= 1
+    c = w.collection("p")
+    text = "def g():\n    return 'other'\n"
+    best = c.find_similar_to(positive_code=[text, "  "], limit=2).first()
+    assert "other" in best.content
+    ids = [r.id for r in c.find_similar_to(positive_ids=[best.id], limit=5).collect()]
+    assert best.id not in ids and len(ids) == 3
+    assert {r.relativePath for r in c.find_similar_to(positive_code=[text], negative_ids=[ids[0]], level="file", extensions=[".py"], limit=2).collect()} <= {f"f{k}.py" for k in range(4)}
+    with pytest.raises(KeyError):
+        c.find_similar_to(positive_ids=["nowhere"])
+    assert [r.order_value for r in c.ordered("startLine", 2, ascending=True).collect()] == [1, 1]
+    assert len(w.vectors("p", 16).first().vector) == 16
+
+
 def test_descriptions(spark):
     assert len(describe()["signals"]) == 33 and "hotspots" in describe("rank_chunks")["presets"] and "relevance" not in describe("trace_path")["presets"]
     assert drift(["content"])["undeclared"] == ["content"]
