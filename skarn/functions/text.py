@@ -16,17 +16,19 @@ HASH_SPACE = 65536
 FNV_OFFSET, FNV_PRIME, WORD = 2166136261, 16777619, 4294967295
 
 # Words that carry no meaning in code search, and in headings.
-STOP_WORDS = (
-    "the a an is in of to and or for it this that with as by on at be are was were been has have had not but from "
-    "will do if no so we he she my your"
-).split()
-HEADING_STOP_WORDS = "the a an in on at to for of and or is are was were be been with from by as it this that".split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "in", "of", "to", "and", "or", "for", "it", "this", "that", "with", "as", "by", "on", "at", "be", "are", "was", "were", "been", "has", "have", "had", "not",
+    "but", "from", "will", "do", "if", "no", "so", "we", "he", "she", "my", "your",
+]
+HEADING_STOP_WORDS = [
+    "the", "a", "an", "in", "on", "at", "to", "for", "of", "and", "or", "is", "are", "was", "were", "be", "been", "with", "from", "by", "as", "it", "this", "that",
+]
 
 # Path tokens that mark security-relevant code.
-SECURITY_TOKENS = (
-    "auth authn authz authentication authorization security crypto password passwords secret secrets token tokens "
-    "credential credentials permission permissions acl oauth jwt sso"
-).split()
+SECURITY_TOKENS = [
+    "auth", "authn", "authz", "authentication", "authorization", "security", "crypto", "password", "passwords", "secret", "secrets", "token", "tokens", "credential", "credentials",
+    "permission", "permissions", "acl", "oauth", "jwt", "sso",
+]
 
 
 #: Parts of identifiers: an acronym before a word, a word, capitals, digits.

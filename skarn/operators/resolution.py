@@ -39,18 +39,25 @@ DYNAMIC_DISCOUNT = 0.5
 ANCESTOR_DEPTH = 30
 
 # Types that every Java file sees.
-JAVA_LANG = (
-    "String Integer Long Double Float Boolean Byte Short Character Math System Object Thread Runtime Class Number StringBuilder StringBuffer Iterable Comparable "
-    "Runnable CharSequence Throwable Exception RuntimeException Error Void Enum Record Process ClassLoader"
-).split()
+JAVA_LANG = [
+    "String", "Integer", "Long", "Double", "Float", "Boolean", "Byte", "Short", "Character", "Math", "System", "Object", "Thread", "Runtime", "Class", "Number", "StringBuilder",
+    "StringBuffer", "Iterable", "Comparable", "Runnable", "CharSequence", "Throwable", "Exception", "RuntimeException", "Error", "Void", "Enum", "Record", "Process", "ClassLoader",
+]
 # Calls in a Ruby receiver that build a query.
-RELATION_BUILDERS = "where order joins select group having includes eager_load preload limit offset distinct ransack unscope reorder except pluck".split()
+RELATION_BUILDERS = [
+    "where", "order", "joins", "select", "group", "having", "includes", "eager_load", "preload", "limit", "offset", "distinct", "ransack", "unscope", "reorder", "except", "pluck",
+]
 # Methods that Ruby itself calls.
-RUNTIME_HOOKS = "method_missing respond_to_missing? method_added method_removed inherited included extended prepended const_missing singleton_method_added".split()
+RUNTIME_HOOKS = [
+    "method_missing", "respond_to_missing?", "method_added", "method_removed", "inherited", "included", "extended", "prepended", "const_missing", "singleton_method_added",
+]
 # Verbs that enqueue a job, and the method the job runs.
 ENQUEUE = {"perform_async": "perform", "perform_in": "perform", "perform_at": "perform", "perform_later": "perform", "perform_bulk": "perform"}
 # Members that any object may answer; no fan-out over them says anything.
-DUCK_MEMBERS = "call each map to_s to_h to_a to_json inspect name id size length empty? present? blank? nil? == hash dup freeze send public_send".split()
+DUCK_MEMBERS = [
+    "call", "each", "map", "to_s", "to_h", "to_a", "to_json", "inspect", "name", "id", "size", "length", "empty?", "present?", "blank?", "nil?", "==", "hash", "dup", "freeze", "send",
+    "public_send",
+]
 
 CONSTANT = r"^[A-Z][A-Za-z0-9_]*(?:::[A-Z][A-Za-z0-9_]*)*$"
 

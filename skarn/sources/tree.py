@@ -17,11 +17,12 @@ LANGUAGES = {
     ".vue": "vue", ".svelte": "svelte",
 }
 # What is never indexed unless an ignore file says otherwise.
-BUILTIN_IGNORE = (
-    "node_modules/ .next/ .nuxt/ _nuxt/ .svelte-kit/ .vite/ .parcel-cache/ .turbo/ out/ .cache/ __pycache__/ *.pyc .pytest_cache/ .mypy_cache/ .ruff_cache/ .tox/ .nox/ htmlcov/ "
-    "*.egg-info/ .venv/ venv/ .bundle/ vendor/bundle/ target/ .gradle/ .git/ .svn/ .hg/ .DS_Store *.log coverage/ .idea/ .vscode/ *.min.js *.min.css *.bundle.js *-min.js *-bundle.js "
-    "*.chunk.js **/vendor/assets/** public/assets/** public/packs/** dist/** *.json *.yaml *.yml !package.json !tsconfig.json !tsconfig.*.json !*.config.json !composer.json !deno.json"
-).split()
+BUILTIN_IGNORE = [
+    "node_modules/", ".next/", ".nuxt/", "_nuxt/", ".svelte-kit/", ".vite/", ".parcel-cache/", ".turbo/", "out/", ".cache/", "__pycache__/", "*.pyc", ".pytest_cache/", ".mypy_cache/",
+    ".ruff_cache/", ".tox/", ".nox/", "htmlcov/", "*.egg-info/", ".venv/", "venv/", ".bundle/", "vendor/bundle/", "target/", ".gradle/", ".git/", ".svn/", ".hg/", ".DS_Store", "*.log",
+    "coverage/", ".idea/", ".vscode/", "*.min.js", "*.min.css", "*.bundle.js", "*-min.js", "*-bundle.js", "*.chunk.js", "**/vendor/assets/**", "public/assets/**", "public/packs/**",
+    "dist/**", "*.json", "*.yaml", "*.yml", "!package.json", "!tsconfig.json", "!tsconfig.*.json", "!*.config.json", "!composer.json", "!deno.json",
+]
 IGNORE_FILES = (".gitignore", ".dockerignore", ".npmignore", ".contextignore", ".contextignore.local")
 # Names of test files by language.
 TESTS = {
