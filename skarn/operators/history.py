@@ -16,7 +16,7 @@ from pyspark.sql.types import NumericType
 from ..functions.numeric import age_days, round0, round2
 from ..functions.text import is_fix, is_merge_subject, subject, task_ids
 from ..storage import discard, written
-from .intervals import contained
+from .intervals import blocks, holders
 
 # History windows and session gap.
 SESSION_MINUTES, DECAY, TOP_AUTHORS = 30, 0.1, 10
@@ -130,17 +130,34 @@ def chunk_metrics(touches: DataFrame, chunks: DataFrame, files: DataFrame, as_of
 
 def blame(lines: DataFrame, key: str = "file", author: str = "author") -> DataFrame:
     """(key, dominant author, share, authors, contributors) by live lines; ties by name."""
-    counts = lines.groupBy(key, author).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
+    return _owned(lines.groupBy(key, author).agg(F.count("*").alias("n")), [key], author)
+
+
+def _owned(counts: DataFrame, keys: list[str], author: str) -> DataFrame:
+    """``blame`` from the number ``n`` of lines of each author."""
+    w = Window.partitionBy(*keys)
     placed = counts.withColumn("rank", F.row_number().over(w.orderBy(F.col("n").desc(), author))).withColumn("total", F.sum("n").over(w))
     top = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= TOP_AUTHORS, F.struct("rank", F.col(author).alias("a"))))), lambda x: x["a"])
-    return placed.groupBy(key).agg(F.max(F.when(F.col("rank") == 1, F.col(author))).alias("blame_dominant_author"), F.max(F.when(F.col("rank") == 1, round0(100 * F.col("n") / F.col("total")))).cast("bigint").alias("blame_dominant_author_pct"), top.alias("blame_authors"), F.count("*").alias("blame_contributor_count"))
+    return placed.groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col(author))).alias("blame_dominant_author"), F.max(F.when(F.col("rank") == 1, round0(100 * F.col("n") / F.col("total")))).cast("bigint").alias("blame_dominant_author_pct"), top.alias("blame_authors"), F.count("*").alias("blame_contributor_count"))
 
 
 def chunk_blame(lines: DataFrame, chunks: DataFrame, author: str = "author") -> DataFrame:
-    """Ownership of each chunk: live lines (file, line, author) within its range."""
-    inside = contained(lines, chunks.select("file", "chunk_id", "start_line", "end_line"), "file", "line", ("start_line", "end_line"))
-    return blame(inside, "chunk_id", author)
+    """Ownership of each chunk: live lines (file, line, author) within its range.
+
+    Lines are counted by author once for each aligned block of lines, and a range adds up the
+    blocks it is made of; chunks of one range take what was found for that range.
+    """
+    spans = ["file", "start_line", "end_line"]
+    known = chunks.select("chunk_id", *spans).where("start_line <= end_line")
+    known = written(known.withColumn("_k", F.count("*").over(Window.partitionBy("chunk_id"))), "chunks")
+    parts = written(known.select(*spans).distinct().select("*", F.explode(blocks("start_line", "end_line")).alias("_at")).select(*spans, "_at.level", "_at.block"), "blocks")
+    top = parts.agg(F.max("level")).first()[0] or 0
+    counts = lines.groupBy("file", "line", author).agg(F.count("*").alias("n")).select("file", author, "n", F.explode(holders("line", top)).alias("_at"))
+    counts = counts.groupBy("file", "_at.level", "_at.block", author).agg(F.sum("n").alias("n"))
+    inside = written(parts.join(counts, ["file", "level", "block"]).groupBy(*spans, author).agg(F.sum("n").alias("n")), "inside")
+    single = known.where("_k = 1").select("chunk_id", *spans).join(_owned(inside, spans, author), spans).drop(*spans)
+    several = known.where("_k > 1").join(inside, spans).groupBy("chunk_id", author).agg(F.sum("n").alias("n"))
+    return single.unionByName(_owned(several, ["chunk_id"], author))
 
 
 def fix_branch_commits(commits: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from skarn.operators import intervals
+from skarn.operators import history, intervals
 
 
 def _ranges(seed, n, files="fg"):
@@ -33,3 +33,23 @@ def test_innermost_makes_no_pairs(spark, monkeypatch):
             want[pid] = min(held)
     assert {x.pid: (x.b - x.a, -x.depth, x.id) for x in got.collect()} == want and len(want) > 50
     assert intervals.innermost(p, r.limit(0), "file", "line", ("a", "b"), "pid", "depth", "id").count() == 0
+
+
+def test_chunk_blame_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(history, "contained", _no_pairs, raising=False)
+    g = random.Random(3)
+    ranges, lines = _ranges(4, 60), [(g.choice("fgh"), g.randrange(-60, 520), g.choice("xyz")) for _ in range(400)]
+    c = spark.createDataFrame(ranges, "file string, start_line int, end_line int, depth int, chunk_id string")
+    got = {x.chunk_id: x for x in history.chunk_blame(spark.createDataFrame(lines, "file string, line int, author string"), c).collect()}
+    want = {}
+    for f, a, b, _, chunk in ranges:  # some chunks have two ranges
+        for file, line, author in lines:
+            if file == f and a <= line <= b:
+                of = want.setdefault(chunk, {})
+                of[author] = of.get(author, 0) + 1
+    assert set(got) == set(want) and len(ranges) > len({r[4] for r in ranges})
+    for chunk, of in want.items():
+        order = sorted(of, key=lambda x: (-of[x], x))
+        x = got[chunk]
+        assert (x.blame_dominant_author, x.blame_authors, x.blame_contributor_count) == (order[0], order, len(of))
+        assert x.blame_dominant_author_pct == int(100 * of[order[0]] / sum(of.values()) + 0.5)
