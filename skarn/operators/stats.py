@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import cosine
 from ..plans.catalog import SIGNALS, Signal
 from ..plans.payload import Payload
+from ..storage import written
 
 # Smallest share and sample of a language to have its own statistics.
 LANGUAGE_SHARE, LANGUAGE_SAMPLE = 0.05, 10
@@ -98,16 +99,22 @@ def top_and_others(df: DataFrame, key: str, limit: int = 10) -> DataFrame:
     return best.unionByName(rest.where("n > 0"))
 
 
-def score_background(vectors: DataFrame, sample: int = 20_000, min_pairs: int = 50, vec_col: str = "embedding", id_col: str = "vec_id", digits: int = 6) -> DataFrame:
+def score_background(vectors: DataFrame, sample: int | None = None, min_pairs: int = 50, vec_col: str = "embedding", id_col: str = "vec_id", digits: int = 6) -> DataFrame:
     """One row: mean, stddev and number of cosines of disjoint pairs of neighbours by id.
 
-    Of vectors with the most frequent length; the first ``sample`` of them by id, which
-    is the operator's documented sample.  No row with fewer pairs than ``min_pairs``.
+    Of all vectors with the most frequent length, or of the first ``sample`` of them by id where a
+    caller gives one.  No row with fewer pairs than ``min_pairs``.
     """
     sized = vectors.select(id_col, vec_col, F.size(vec_col).alias("width"))
     width = sized.groupBy("width").agg(F.count("*").alias("k"), F.min(id_col).alias("first")).orderBy(F.col("k").desc(), "first").limit(1).select("width")
-    some = sized.join(F.broadcast(width), "width").orderBy(id_col).limit(sample)
-    placed = some.withColumn("at", F.row_number().over(Window.orderBy(id_col)) - 1)  # at most ``sample`` rows
+    some = sized.join(F.broadcast(width), "width").select(id_col, vec_col)
+    some = some if sample is None else some.orderBy(id_col).limit(sample)
+    # ranges of ids are numbered by themselves, from where the ranges before them end
+    dealt = written(some.repartitionByRange(id_col).withColumn("part", F.spark_partition_id()), "by-id")
+    before = F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("part").agg(F.count("*").alias("k")).select("part", before.alias("before"))  # as many rows as partitions
+    at = F.row_number().over(Window.partitionBy("part").orderBy(id_col)) - 1 + F.col("before")
+    placed = dealt.join(F.broadcast(parts), "part").withColumn("at", at)
     pair = placed.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col(vec_col))).alias("a"), F.max(F.when(F.col("at") % 2 == 1, F.col(vec_col))).alias("b"))
     scored = pair.where("a IS NOT NULL AND b IS NOT NULL").select(cosine("a", "b").alias("s"))
     return scored.agg(F.round(F.avg("s"), digits).alias("mean"), F.round(F.stddev_pop("s"), digits).alias("stddev"), F.count("*").alias("pairs")).where(F.col("pairs") >= min_pairs)

@@ -2,7 +2,9 @@
 
 import random
 
-from skarn.operators import history, intervals
+from pyspark.sql import functions as F
+
+from skarn.operators import history, intervals, stats
 
 
 def _ranges(seed, n, files="fg"):
@@ -53,3 +55,11 @@ def test_chunk_blame_makes_no_pairs(spark, monkeypatch):
         x = got[chunk]
         assert (x.blame_dominant_author, x.blame_authors, x.blame_contributor_count) == (order[0], order, len(of))
         assert x.blame_dominant_author_pct == int(100 * of[order[0]] / sum(of.values()) + 0.5)
+
+
+def test_background_of_all_vectors(spark):
+    """Pairs beyond the first 20,000 ids count, wherever partitions end."""
+    v = spark.range(0, 20_101 * 3, 3, 7).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 60_000, F.array(F.lit(1.0), F.lit(0.0))).when(F.col("id") % 2 == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("embedding"))
+    row = stats.score_background(v.repartition(5)).first()
+    assert (row.pairs, row.mean) == (10_050, round(10_000 / 10_050, 6))
+    assert stats.score_background(v, sample=200).first().pairs == 100
