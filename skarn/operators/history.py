@@ -160,26 +160,65 @@ def chunk_blame(lines: DataFrame, chunks: DataFrame, author: str = "author") ->
     return single.unionByName(_owned(several, ["chunk_id"], author))
 
 
+#: Merges that a commit remembers to be reached from; two, as a commit may be the first parent of one.
+WITNESSES = 2
+
+
+def _walk_branches(start: DataFrame, parents: DataFrame, keep: int | None) -> DataFrame:
+    """(main, sha) reached from the rows of ``start`` through ``parents`` without entering ``main``.
+
+    With ``keep``, a commit that so many rows have reached hands no further ones on.
+    """
+    def first(rows: DataFrame, n: DataFrame | None = None) -> DataFrame:
+        if keep is None:
+            return rows
+        taken = rows.withColumn("_n", F.row_number().over(Window.partitionBy("sha").orderBy("main")))
+        if n is not None:
+            taken = taken.join(n, "sha", "left").withColumn("_n", F.col("_n") + F.coalesce("_seen", F.lit(0)))
+        return taken.where(F.col("_n") <= keep).select("main", "sha")
+
+    frontier = seen = written(first(start.select("main", "sha").distinct()), "branch")
+    while not frontier.isEmpty():
+        steps = [frontier]
+        for _ in range(STEPS):  # several generations in one job
+            steps.append(steps[-1].join(parents, "sha").where("parent != main").select("main", F.col("parent").alias("sha")).distinct())
+        met = reduce(DataFrame.unionByName, steps[1:]).distinct()
+        frontier = written(first(met.join(seen, ["main", "sha"], "left_anti").select("main", "sha"), seen.groupBy("sha").agg(F.count("*").alias("_seen"))), "branch")
+        seen = written(seen.unionByName(frontier), "branch", instead_of=seen if seen is not frontier else None)
+    return seen
+
+
 def fix_branch_commits(commits: DataFrame) -> DataFrame:
     """(sha): commits merged from bug-fix branches.
 
     From the second parent of such a merge through the parents, up to the first parent or
     a commit that is not known.  commits: sha, parents, body.
+
+    A merge matters to a commit only by its first parent, where its walk ends.  So walks of many
+    merges go on as those of two, and where they leave out a parent, the walks of all merges
+    that lead there are made in full.
     """
     merge = subject("body").rlike(FIX_BRANCHES[0]) | subject("body").rlike(FIX_BRANCHES[1])
-    tips = commits.where((F.size("parents") >= 2) & merge).select(F.col("sha").alias("merge"), F.element_at("parents", 1).alias("main"), F.element_at("parents", 2).alias("sha"))
+    tips = commits.where((F.size("parents") >= 2) & merge).select(F.element_at("parents", 1).alias("main"), F.element_at("parents", 2).alias("sha"))
     parents = commits.select("sha", F.explode_outer("parents").alias("parent"))
     known = commits.select("sha")
-    frontier = seen = written(tips.where("sha != main").join(known, "sha", "left_semi").select("merge", "main", "sha"), "branch")
-    parents = written(parents.where("parent IS NOT NULL").join(known.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent"), "parents")
-    while not frontier.isEmpty():
-        steps = [frontier]
-        for _ in range(STEPS):  # several generations in one job
-            steps.append(steps[-1].join(parents, "sha").where("parent != main").select("merge", "main", F.col("parent").alias("sha")).distinct())
-        met = reduce(DataFrame.unionByName, steps[1:]).distinct()
-        frontier = written(met.join(seen, ["merge", "main", "sha"], "left_anti").select("merge", "main", "sha"), "branch")
-        seen = written(seen.unionByName(frontier), "branch")
-    return seen.select("sha").distinct()
+    tips = written(tips.where("sha != main").join(known, "sha", "left_semi").select("main", "sha").distinct(), "tips")
+    parents = written(parents.where("parent IS NOT NULL").join(known.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent").distinct(), "parents")
+    reached = written(_walk_branches(tips, parents, WITNESSES).select("sha").distinct(), "reached")
+    left = parents.join(reached, "sha", "left_semi").join(reached.select(F.col("sha").alias("parent")), "parent", "left_anti").select("sha", "parent")
+    left = written(left, "left")
+    if left.isEmpty():
+        return reached
+    # what lies behind a parent left out, and what leads to it: all that a walk that adds a commit can pass
+    nowhere = F.lit("").alias("main")
+    behind = _walk_branches(left.select(nowhere, F.col("parent").alias("sha")), parents, 1).select("sha").join(reached, "sha", "left_anti")
+    inside = written(reached.unionByName(behind), "inside")
+    on = parents.join(inside, "sha", "left_semi").join(inside.select(F.col("sha").alias("parent")), "parent", "left_semi")
+    back = written(on.select(F.col("parent").alias("sha"), F.col("sha").alias("parent")), "back")
+    leads = written(_walk_branches(left.select(nowhere, F.col("parent").alias("sha")), back, 1).select("sha").unionByName(inside.join(reached, "sha", "left_anti")).distinct(), "leads")
+    some = written(parents.join(leads, "sha", "left_semi").join(leads.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent"), "some")
+    whole = _walk_branches(tips.join(leads, "sha", "left_semi"), some, None)
+    return reached.unionByName(whole.select("sha")).distinct()
 
 
 def with_fix(commits: DataFrame) -> DataFrame:

@@ -63,3 +63,46 @@ def test_background_of_all_vectors(spark):
     row = stats.score_background(v.repartition(5)).first()
     assert (row.pairs, row.mean) == (10_050, round(10_000 / 10_050, 6))
     assert stats.score_background(v, sample=200).first().pairs == 100
+
+
+def _branches(rows):
+    """Commits of the walks of all merges, one walk at a time."""
+    parents, found = {s: p for s, p, _ in rows}, set()
+    for _, p, body in rows:
+        if len(p) >= 2 and body.startswith("Merge branch 'fix/") and p[1] != p[0] and p[1] in parents:
+            todo, seen = [p[1]], {p[1]}
+            while todo:
+                new = [q for q in parents[todo.pop()] if q in parents and q != p[0] and q not in seen]
+                todo += new
+                seen |= set(new)
+            found |= seen
+    return found
+
+
+def test_fix_branches_that_share_commits(spark, monkeypatch):
+    """Merges whose branches go on into each other's do not each walk to the end."""
+    calls, plain = [], history.written
+    monkeypatch.setattr(history, "written", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    rows = []
+    for k in range(40):
+        rows += [(f"m{k}", [f"main{k}", f"c{k}.0"], "Merge branch 'fix/x'"), (f"main{k}", [f"m{k}"], "work")]
+        rows += [(f"c{k}.{j}", [f"c{k}.{j + 1}"] if j < 5 else [f"m{k + 1}"], "work") for j in range(6)]
+    df = spark.createDataFrame(rows, "sha string, parents array<string>, body string")
+    assert {r.sha for r in history.fix_branch_commits(df).collect()} == _branches(rows)
+    assert len(calls) < 40
+
+
+def test_fix_branches_of_any_form(spark):
+    """Walks end at the first parent of their own merge only, however many meet there."""
+    for seed in range(3):
+        g = random.Random(seed)
+        n, rows = 40, []
+        for k in range(n):
+            p = [f"c{g.randrange(n + 2)}" for _ in range(g.choice([0, 1, 1, 1, 2]))]
+            rows.append((f"c{k}", p, g.choice(["Merge branch 'fix/x'", "work"]) if len(p) > 1 else "work"))
+        # a row of first parents on one way, each walk ends at its own
+        ends = [f"e{k}" for k in range(5)]
+        rows += [("s", ["e0"], "work"), *[(e, [f"e{k + 1}"] if k < 4 else ["last"], "work") for k, e in enumerate(ends)], ("last", ["end"], "work"), ("end", [], "work")]
+        rows += [(f"x{k}", [e, "s"], "Merge branch 'fix/x'") for k, e in enumerate(ends[: 3 + seed])]
+        df = spark.createDataFrame(rows, "sha string, parents array<string>, body string")
+        assert {r.sha for r in history.fix_branch_commits(df).collect()} == _branches(rows)
