@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from skarn.operators import history, intervals, stats
+from skarn import ruby_fixture
+from skarn.operators import history, intervals, resolution, stats
 
 
 def _ranges(seed, n, files="fg"):
@@ -106,3 +107,11 @@ def test_fix_branches_of_any_form(spark):
         rows += [(f"x{k}", [e, "s"], "Merge branch 'fix/x'") for k, e in enumerate(ends[: 3 + seed])]
         df = spark.createDataFrame(rows, "sha string, parents array<string>, body string")
         assert {r.sha for r in history.fix_branch_commits(df).collect()} == _branches(rows)
+
+
+def test_ruby_names_make_no_pairs(spark, monkeypatch):
+    """Calls meet definitions in the file they want, or names that only one definition has."""
+    t = ruby_fixture.facts(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(resolution, "by_name", _no_pairs)
+    for name in ("constant", "explicitRequire", "bareCall"):
+        assert resolution.strategy(t, "ruby", name).columns == ["call_id", "verdict", "file", "target"]
