@@ -6,14 +6,18 @@ A query vector is a literal in the plan, so a search is one scan with a per-task
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, dot, euclidean
+from ..functions.terms import term_counts
 from ..functions.text import bm25_tf, code_tokens, feature_hash
+from ..storage import written
 
 RRF_K = 60
 
@@ -102,6 +106,31 @@ def grouped(df: DataFrame, query: Sequence[float], group_col: str, group_size: i
 
 #: Partitions of stored postings; a query reads those of its buckets only.
 PARTS = 64
+#: Bytes of text that a Python worker takes at a time, and rows it gives at a time.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1 << 18
+
+
+def terms(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: Sequence[int] | None = None) -> DataFrame:
+    """(id, length, bucket, tf): the sparse form of each text, or its part in some buckets.
+
+    Tokens are counted where the text is, so none of them moves; ids that repeat are not added up here.
+    """
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    wanted = None if buckets is None else np.array(sorted(buckets), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, doc, length, bucket, tf in term_counts(b.column(1)):
+                if wanted is not None:
+                    keep = np.isin(bucket, wanted)
+                    doc, length, bucket, tf = doc[keep], length[keep], bucket[keep], tf[keep]
+                for at in range(0, len(doc), BATCH_ROWS):
+                    cut = slice(at, at + BATCH_ROWS)
+                    columns = [b.column(0).take(pa.array(first + doc[cut])), pa.array(length[cut], pa.int32()), pa.array(bucket[cut], pa.int32()), pa.array(tf[cut], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, [id_col, "length", "bucket", "tf"])
+
+    return df.select(id_col, text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, f"{id_col} {kind}, length int, bucket int, tf bigint")
 
 
 def postings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -111,12 +140,12 @@ def postings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     several tasks and a reader skips most of a file.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(id_col, text_col).repartition(n, id_col)
-    tokens = texts.select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    counts = tokens.groupBy(id_col, "length", "token").agg(F.count("*").alias("n"))
-    hashed = counts.select("token").distinct().select("token", feature_hash("token").alias("bucket"))  # each token once
-    made = counts.join(hashed, "token").groupBy(id_col, "length", "bucket").agg(F.sum("n").alias("tf"))
-    return made.withColumn("part", (F.col("bucket") % PARTS).cast("int")).repartitionByRange(n, "part", "bucket", id_col).sortWithinPartitions("part", "bucket", id_col)
+    made = terms(df, text_col, id_col).select(id_col, "length", "bucket", "tf")
+    # the borders of ranges are found on what is written, so that texts are read once
+    made = written(made.withColumn("part", (F.col("bucket") % PARTS).cast("int")), "terms")
+    dealt = made.repartitionByRange(n, "part", "bucket", id_col)
+    # ids may repeat; all rows of a bucket and id are in one range, so nothing moves again
+    return dealt.groupBy(id_col, "length", "bucket", "part").agg(F.sum("tf").alias("tf")).select(id_col, "length", "bucket", "tf", "part").sortWithinPartitions("part", "bucket", id_col)
 
 
 def stored_sparse(post: DataFrame, n_docs: int, query: str, limit: int, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -148,11 +177,7 @@ def sparse(df: DataFrame, query: str, limit: int, text_col: str = "text", id_col
     weights = query_weights(df.sparkSession, query)
     if not weights:
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    # distinct tokens are hashed, not all occurrences; those of the query's buckets are few,
-    # so what does not match is dropped before anything is shuffled
-    tokens = df.select(id_col, text_col).select(id_col, code_tokens(text_col).alias("tokens")).select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    wanted = tokens.select("token").distinct().select("token", feature_hash("token").alias("bucket")).where(F.col("bucket").isin(list(weights)))
-    hits = tokens.join(wanted, "token").groupBy(id_col, "length", "bucket").agg(F.count("*").alias("tf"))
+    hits = written(terms(df, text_col, id_col, list(weights)).groupBy(id_col, "length", "bucket").agg(F.sum("tf").alias("tf")), "hits")
     freq = hits.groupBy("bucket").agg(F.count("*").alias("df"))  # as many rows as the query has buckets
     n = df.agg(F.count("*").alias("n_docs"))
     return _scored(hits, freq.crossJoin(n), weights, limit, id_col, digits)

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from skarn import ruby_fixture
-from skarn.operators import history, intervals, resolution, stats
+from skarn.functions import text as T
+from skarn.operators import history, intervals, resolution, retrieval, stats
 
 
 def _ranges(seed, n, files="fg"):
@@ -115,3 +116,23 @@ def test_ruby_names_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(resolution, "by_name", _no_pairs)
     for name in ("constant", "explicitRequire", "bareCall"):
         assert resolution.strategy(t, "ruby", name).columns == ["call_id", "verdict", "file", "target"]
+
+
+def test_terms_of_odd_texts(spark):
+    """Tokens counted on arrays of bytes are those of the plain functions, and no row carries a text's tokens."""
+    g = random.Random(5)
+    texts = ["", " ", None, "A", "ab", "ABc", "ABCdef1x2YZ the", "the The tHe", "é12ab√CDe", "x" * 300, "notNot not", "HTTPServer2Go", "if", "ß", "a" * 5 + "B" * 5]
+    texts += ["".join(g.choice("abABz019 _é\n") for _ in range(g.randrange(1, 60))) for _ in range(300)]
+    texts += ["worthless " * 20_000 + " ".join(f"w{k}" for k in range(20_000))]
+    rows = [(k % 290, t) for k, t in enumerate(texts)]  # some ids repeat
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tokens = df.select("doc_id", T.code_tokens("text").alias("t")).select("doc_id", F.explode(F.transform("t", lambda w: F.struct(F.size("t").alias("length"), w.alias("w")))).alias("x"))
+    want = tokens.groupBy("doc_id", "x.length", T.feature_hash("x.w").alias("bucket")).agg(F.count("*").alias("tf"))
+    got = retrieval.postings(df)
+    assert sorted(tuple(r) for r in got.select("doc_id", "length", "bucket", "tf").collect()) == sorted(tuple(r) for r in want.collect())
+    assert got.where("part != bucket % 64").isEmpty()
+    plan = retrieval.sparse(df, "worthless w77", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp_extract_all" not in plan
+    stored = retrieval.stored_sparse(got, df.count(), "worthless w77", 5).collect()
+    assert retrieval.sparse(df, "worthless w77", 5).collect() == stored and len(stored) == 1
+    assert retrieval.sparse(df.limit(0), "worthless", 5).count() == retrieval.postings(df.limit(0)).count() == 0
