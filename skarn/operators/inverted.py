@@ -12,7 +12,7 @@ Centroids are fitted on at most ``SAMPLE`` rows a list, those of smallest hashed
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ from .retrieval import coded, dense
 
 #: Rows a list to fit on; rows of a list, and queries, that meet in one task at a time.
 SAMPLE, MEMBERS, QUERIES = 64, 4096, 512
+#: Cosines of rows to centroids, and rows that queries are sent as, that a worker holds at a time.
+CELLS, SENT = 1 << 20, 1 << 13
 DIGITS = 9
 
 
@@ -60,6 +62,24 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+def _pieces(parts: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows, at most so many at a time, one at least."""
+    step = max(1, rows)
+    for df in parts:
+        for at in range(0, len(df), step):
+            yield df.iloc[at : at + step]
+
+
+def _probed(parts: Iterator[pd.DataFrame], centroids: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
+    """(query_id, q, list): a query goes out once for each of its lists, so rows grow with both and are sent in pieces."""
+    for df in _pieces(parts, min(CELLS // max(1, len(centroids)), SENT // max(1, probes))):
+        near = _near(centroids, _stack(df["q"]))[:, :probes]
+        at, lists = np.repeat(np.arange(len(df)), near.shape[1]), near.ravel().astype("int32")
+        for first in range(0, len(at), SENT):
+            cut = slice(first, first + SENT)
+            yield pd.DataFrame({"query_id": df["query_id"].to_numpy()[at[cut]], "q": df["q"].to_numpy()[at[cut]], "list": lists[cut]})
+
+
 def fit(vectors: DataFrame, lists: int, rounds: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
     """Centroids: the sample's first ``lists`` rows by hashed id, then rounds of spherical k-means on the sample."""
     order = F.sha2(F.concat(F.lit("1:"), F.col(id_col).cast("string")), 256)
@@ -80,9 +100,8 @@ def assigned(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id",
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def run(parts):
-        for df in parts:
-            df["list"] = _near(centroids, _stack(df["vector"]))[:, 0].astype("int32") if len(df) else pd.Series([], dtype="int32")
-            yield df
+        for df in _pieces(parts, CELLS // max(1, len(centroids))):
+            yield df.assign(list=_near(centroids, _stack(df["vector"]))[:, 0].astype("int32"))
 
     rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<float>").alias("vector"))
     return rows.mapInPandas(run, f"{id_col} {kind}, vector array<float>, list int")
@@ -147,16 +166,8 @@ def search_all(index: Inverted, queries: DataFrame, limit: int, probes: int, ove
     """(query_id, rank, id, score) of every query; as ``search`` for each."""
     i, centroids = index.id_col, index.centroids
     kind = queries.schema[query_id].dataType.simpleString()
-
-    def lists(parts):
-        for df in parts:
-            if len(df):
-                near = _near(centroids, _stack(df["q"]))[:, :probes]
-                at = np.repeat(np.arange(len(df)), near.shape[1])
-                yield pd.DataFrame({"query_id": df["query_id"].to_numpy()[at], "q": df["q"].to_numpy()[at], "list": near.ravel().astype("int32")})
-
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
-    probed = asked.mapInPandas(lists, f"query_id {kind}, q array<double>, list int")
+    probed = asked.mapInPandas(lambda parts: _probed(parts, centroids, probes), f"query_id {kind}, q array<double>, list int")
     rough = _meet(index.rows.select(i, "list", "codes"), probed, i, "codes", math.ceil(limit * oversample)).select("query_id", i)
     whole = rough.join(index.rows.select(i, "vector"), i).join(asked, "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)

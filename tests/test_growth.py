@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from skarn import ruby_fixture
 from skarn.functions import text as T
-from skarn.operators import history, intervals, resolution, retrieval, stats
+from skarn.operators import history, intervals, inverted, resolution, retrieval, stats
 
 
 def _ranges(seed, n, files="fg"):
@@ -136,3 +138,17 @@ def test_terms_of_odd_texts(spark):
     stored = retrieval.stored_sparse(got, df.count(), "worthless w77", 5).collect()
     assert retrieval.sparse(df, "worthless w77", 5).collect() == stored and len(stored) == 1
     assert retrieval.sparse(df.limit(0), "worthless", 5).count() == retrieval.postings(df.limit(0)).count() == 0
+
+
+def test_queries_are_sent_in_pieces():
+    """However many queries and lists there are, a worker holds a bounded number of their rows."""
+    g = np.random.default_rng(3)
+    centroids, asked = g.normal(size=(300, 4)), g.normal(size=(1000, 4))
+    df = pd.DataFrame({"query_id": range(1000), "q": list(asked)})
+    sent = list(inverted._probed(iter([df, df[:0]]), centroids, 225))
+    assert max(map(len, sent)) <= inverted.SENT and sum(map(len, sent)) == 225_000
+    want = np.argsort(-inverted._cosines(asked, centroids), axis=1, kind="stable")[:, :225]
+    every = pd.concat(sent)
+    assert every["list"].tolist() == want.ravel().tolist() and every["query_id"].tolist() == np.repeat(range(1000), 225).tolist()
+    assert (every["q"].iloc[-1] == asked[-1]).all()
+    assert [len(x) for x in inverted._pieces(iter([df[:5], df[:0], df[:2]]), 2)] == [2, 2, 1, 2] and len(next(inverted._pieces(iter([df]), 0))) == 1
