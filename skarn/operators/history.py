@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import groupby
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -250,6 +249,8 @@ def shift(ranges: Iterable[list[int]], hunks: Iterable[tuple[int, int, int]]) ->
 
 #: Hunks of one file that a task walks, and chunks that it walks them for.
 WALK_HUNKS, WALK_CHUNKS = 50_000, 256
+#: Stretches that all hunks are cut into at most, and so rounds; beyond that stretches grow with the table.
+STRETCHES = 128
 _WALKED = "file string, chunk_id string, id string, author string, ts bigint, is_fix boolean, added bigint, deleted bigint, start_line bigint, end_line bigint"
 
 
@@ -261,27 +262,23 @@ def _walk(key: tuple, hunks: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame
     names = [c.split()[0] for c in _WALKED.split(", ")]
     if not len(chunks):
         return pd.DataFrame([], columns=names)
-    ids = chunks["chunk_id"].to_numpy(object)
-    start, end = (chunks[c].to_numpy("int64").copy() for c in ("start_line", "end_line"))
-    met = []
+    ids, met = chunks["chunk_id"].tolist(), []
+    ranges = [list(r) for r in zip(chunks["start_line"].tolist(), chunks["end_line"].tolist(), strict=True)]
+    placed = list(zip(ids, ranges, strict=True))
     ordered = hunks.sort_values(["ts", "id", "new_start", "old_start", "new_lines", "old_lines"], ascending=[False, True, True, True, True, True], kind="stable")
-    rows = list(zip(*[ordered[c].tolist() for c in ("ts", "id", "author", "is_fix", "new_start", "old_lines", "new_lines")], strict=True))
+    rows = zip(*[ordered[c].tolist() for c in ("ts", "id", "author", "is_fix", "new_start", "old_lines", "new_lines")], strict=True)
+    # few chunks and millions of hunks: plain numbers are quicker than arrays of few entries
     for (ts, sha), part in groupby(rows, key=lambda r: r[:2]):
-        commit = list(part)
-        for _, _, author, fix, first, old, new in commit:
-            last = first + max(new - 1, 0)
-            for i in np.flatnonzero((first <= end) & (last >= start)).tolist():
-                lines = min(last, int(end[i])) - max(first, int(start[i])) + 1
-                met.append((key[0], ids[i], sha, author, ts, fix, lines, math.floor(old * lines / new + 0.5) if new > 0 else 0, None, None))
-        for _, _, _, _, first, old, new in sorted(commit, key=lambda r: -r[4]):
-            delta, last = new - old, first + max(new - 1, 0)
-            if delta:
-                below = start > last
-                end -= delta * (below | ((first >= start) & (last <= end)))
-                start -= delta * below
-        np.maximum(start, 1, out=start)
-        np.maximum(end, start, out=end)
-    kept = [(key[0], c, None, None, None, None, None, None, a, b) for c, a, b in zip(ids, start.tolist(), end.tolist(), strict=True)]
+        moves = []
+        for _, _, author, fix, first, old, new in part:
+            last = first + new - 1 if new > 1 else first
+            for name, (start, end) in placed:
+                if first <= end and last >= start:
+                    lines = min(last, end) - max(first, start) + 1
+                    met.append((key[0], name, sha, author, ts, fix, lines, math.floor(old * lines / new + 0.5) if new > 0 else 0, None, None))
+            moves.append((old, first, new))
+        shift(ranges, moves)
+    kept = [(key[0], c, None, None, None, None, None, None, a, b) for c, (a, b) in placed]
     return pd.DataFrame(met + kept, columns=names)
 
 
@@ -299,11 +296,13 @@ def walk_hunks(hunks: DataFrame, chunks: DataFrame, block: int = WALK_HUNKS, tog
     of a busy file into stretches of some ``block`` hunks; round k walks the k-th stretch of
     every file, ``together`` chunks to a task, and hands on where the chunks stood before it.
     A file whose commits fit one stretch is done in the first round, later rounds read only
-    stretches of the busy ones.  A commit is never cut.
+    stretches of the busy ones.  A commit is never cut.  A round costs a few jobs however few hunks it
+    walks, so there are ``STRETCHES`` of them at most: a file of a twentieth of all hunks takes seven or eight,
+    whatever the size of the table.
     """
     spark = hunks.sparkSession
     rows = hunks.select("file", F.col("id").cast("string").alias("id"), "author", F.col("ts").cast("bigint").alias("ts"), "is_fix", *[F.col(c).cast("bigint").alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")]).where("file IS NOT NULL")
-    n = max(1, -(-rows.count() // block))
+    n = min(max(1, -(-rows.count() // block)), STRETCHES)
     dealt = written(rows.repartitionByRange(n, "file", F.col("ts").desc(), "id").withColumn("part", F.spark_partition_id()), "dealt")
     parts = dealt.groupBy("file").agg(F.min("part").alias("first"), F.max("part").alias("last"))
     busy = written(parts.where("first < last"), "busy")  # at most one file for each border of stretches

@@ -152,3 +152,19 @@ def test_queries_are_sent_in_pieces():
     assert every["list"].tolist() == want.ravel().tolist() and every["query_id"].tolist() == np.repeat(range(1000), 225).tolist()
     assert (every["q"].iloc[-1] == asked[-1]).all()
     assert [len(x) for x in inverted._pieces(iter([df[:5], df[:0], df[:2]]), 2)] == [2, 2, 1, 2] and len(next(inverted._pieces(iter([df]), 0))) == 1
+
+
+def test_rounds_of_a_walk_do_not_grow(spark, monkeypatch):
+    """Twice the history of a busy file is not twice the rounds once all stretches are there."""
+    g, rounds, plain = random.Random(7), [], history.written
+    monkeypatch.setattr(history, "STRETCHES", 6)
+    monkeypatch.setattr(history, "written", lambda df, name="step", *a, **k: rounds.append(name) or plain(df, name, *a, **k))
+    schema = "file string, id string, author string, ts bigint, is_fix boolean, old_start bigint, old_lines bigint, new_start bigint, new_lines bigint"
+    chunks = spark.createDataFrame([("hot", "x", 10, 60), ("hot", "y", 61, 90), ("cold", "z", 1, 9)], "file string, chunk_id string, start_line bigint, end_line bigint")
+    hunks = [("hot" if k % 2 else "cold", f"c{k:05d}", "a", k, False, 1, g.randrange(4), g.randrange(1, 90), g.randrange(4)) for k in range(800)]
+    counts, found = [], []
+    for rows, block in ((hunks[:400], 10), (hunks, 10), (hunks, 10_000)):
+        rounds.clear()
+        found.append(sorted(tuple(r) for r in history.walk_hunks(spark.createDataFrame(rows, schema), chunks, block).collect()))
+        counts.append(rounds.count("walked"))
+    assert found[1] == found[2] and counts[2] == 1 < counts[1] and max(counts) <= 6
