@@ -168,3 +168,25 @@ def test_rounds_of_a_walk_do_not_grow(spark, monkeypatch):
         found.append(sorted(tuple(r) for r in history.walk_hunks(spark.createDataFrame(rows, schema), chunks, block).collect()))
         counts.append(rounds.count("walked"))
     assert found[1] == found[2] and counts[2] == 1 < counts[1] and max(counts) <= 6
+
+
+def test_facts_are_made_once_a_run(spark):
+    """Strategies read tables that the run has written; none of them makes the definitions again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        made.add(1)
+        return name
+
+    rows = lambda schema, *found: spark.createDataFrame(list(found), schema)
+    symbols = rows("language string, rel_path string, symbol_id string, short_name string, scope string", ("java", "A.java", "A#m", "m", "A"), ("java", "B.java", "B#n", "n", "B"))
+    t = resolution.Facts(
+        calls=rows("call_id int, language string, rel_path string, line int, source_symbol_id string, scope string, receiver string, member string", (1, "java", "A.java", 3, "A#m", "A", "this", "m"), (2, "java", "A.java", 4, "A#m", "A", None, "n")),
+        symbols=symbols.withColumn("short_name", counted.asNondeterministic()("short_name")), imports=rows("language string, rel_path string, position int, import_text string, names array<string>"),
+        bindings=rows("rel_path string, owner string, name string, line int, type string, is_class boolean"), fields=rows("language string, scope string, field string, type string"),
+        inheritance=rows("language string, source_fq_name string, ancestor_fq_name string, kind string, ordinal int", ("java", "A", "B", "extends", 0)), returns=rows("language string, function string, type string"),
+        call_bindings=rows("rel_path string, owner string, name string, line int, function string"),
+    )
+    assert {x.call_id: x.target for x in resolution.chain(t, "java").collect()} == {1: "A#m", 2: "B#n"}
+    assert made.value == 2
