@@ -190,3 +190,18 @@ def test_facts_are_made_once_a_run(spark):
     )
     assert {x.call_id: x.target for x in resolution.chain(t, "java").collect()} == {1: "A#m", 2: "B#n"}
     assert made.value == 2
+
+
+def test_steps_of_a_strategy_are_written(spark):
+    """A task pays for every sort of its plan, so the long strategies leave few joins to one plan."""
+    rows = lambda schema: spark.createDataFrame([], schema)
+    t = resolution.Facts(
+        calls=rows("call_id int, language string, rel_path string, line int, source_symbol_id string, scope string, receiver string, member string"),
+        symbols=rows("language string, rel_path string, symbol_id string, short_name string, scope string"), imports=rows("language string, rel_path string, position int, import_text string, names array<string>"),
+        bindings=rows("rel_path string, owner string, name string, line int, type string, is_class boolean"), fields=rows("language string, scope string, field string, type string"),
+        inheritance=rows("language string, source_fq_name string, ancestor_fq_name string, kind string, ordinal int"), returns=rows("language string, function string, type string"),
+        call_bindings=rows("rel_path string, owner string, name string, line int, function string"),
+    )
+    for run, language in ((resolution.python_binding, "python"), (resolution.java_import, "java")):
+        plan = run(t, t.of(language))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("Join ") <= 8, (language, plan.count("Join "))
