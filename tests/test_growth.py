@@ -205,3 +205,25 @@ def test_steps_of_a_strategy_are_written(spark):
     for run, language in ((resolution.python_binding, "python"), (resolution.java_import, "java")):
         plan = run(t, t.of(language))._jdf.queryExecution().analyzed().toString()
         assert plan.count("Join ") <= 8, (language, plan.count("Join "))
+
+
+def test_folding_sends_no_table_to_the_driver(spark, monkeypatch):
+    """Tables that grow with the calls are not broadcast, however small their files are."""
+    plans, put = [], resolution.written
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, *args, **kwargs)
+
+    monkeypatch.setattr(resolution, "written", seen)
+    rows = lambda schema, *found: spark.createDataFrame(list(found), schema)
+    t = resolution.Facts(
+        calls=rows("call_id int, language string, rel_path string, line int, source_symbol_id string, scope string, receiver string, member string", (1, "ruby", "b.rb", 3, "B#x", "B", None, "f"), (2, "ruby", "b.rb", 4, "B#f", "B", "p", "g")),
+        symbols=rows("language string, rel_path string, symbol_id string, short_name string, scope string", ("ruby", "a.rb", "A#g", "g", "A"), ("ruby", "b.rb", "B#f", "f", "B")), imports=rows("language string, rel_path string, position int, import_text string, names array<string>"),
+        bindings=rows("rel_path string, owner string, name string, line int, type string, is_class boolean"), fields=rows("language string, scope string, field string, type string"),
+        inheritance=rows("language string, source_fq_name string, ancestor_fq_name string, kind string, ordinal int", ("ruby", "B", "A", "extends", 0)), returns=rows("language string, function string, type string"),
+        call_bindings=rows("rel_path string, owner string, name string, line int, function string"),
+    )
+    made = resolution.folded(t, rows("call_id int, target string", (1, "B#f")), rows("call_id int, position int, type string, name string", (1, 0, "B", None)), rows("function string, position int, name string", ("B#f", 0, "p")))
+    assert [tuple(x) for x in made["edges"].collect()] == [(2, "a.rb", "A#g")]
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("BroadcastExchange" in p for p in plans)
