@@ -9,9 +9,9 @@ only, which keeps it cheap whatever the text's length.
 
 Fitted on all labelled documents, whatever their number (``max_rows`` and ``max_bytes``
 bound them only where a caller gives them; rows then count in order of the hash of their
-id, whole texts).  The rows are dealt to tasks of about ``TASK_BYTES``; each trains from
-the same start (rows of a single task by several, in different orders, as the order decides where labels are
-few), and the means of how far the parameters and the sums of their squared
+id, whole texts).  The rows are dealt to tasks of about ``TASK_BYTES``; each trains several
+times from the same start, in different orders, as the order decides where labels are few.  That
+is so whatever the number of rows and tasks.  The means of how far the parameters and the sums of their squared
 gradients have moved, weighted by use, are the start of the next round.
 
 A fifth of the labelled documents is set apart: the net never sees it, and the thresholds
@@ -50,8 +50,8 @@ TASK_BYTES = 32 << 20
 #: Rounds over all training rows, and passes of a task over its rows in each.
 ROUNDS = 4
 PASSES = 2
-#: Rows that fit one task are trained on by so many, each in an order of its own, and averaged like others.
-ORDERS = 6
+#: A task trains on its rows so many times, each in an order of its own; the results are averaged like those of tasks.
+ORDERS = 3
 #: Texts and words of a training step; a longer text is a step of its own.
 STEP_TEXTS = 48
 STEP_WORDS = 1 << 18
@@ -295,22 +295,20 @@ def _added(parts: DataFrame, key: list[str], layers: int) -> DataFrame:
 
 
 def _round(dealt: DataFrame, net: Net, sums: dict, seed: int) -> None:
-    """Each task trains from the same start on its rows (words, label), each order by itself; the weighted means become the net's."""
+    """Each task trains from the same start on its rows (words, label), in each of ``ORDERS`` orders by itself; the weighted means become the net's."""
     spread = dealt.sparkSession.sparkContext.broadcast(pickle.dumps((net, sums)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, texts, labels, orders = TaskContext.get().partitionId(), [], [], []
+        task, texts, labels = TaskContext.get().partitionId(), [], []
         for b in batches:
             texts += [np.array(t) for t in _texts(b.column(0))]
             labels += b.column(1).to_pylist()
-            orders += b.column(2).to_pylist()
-        for k in sorted(set(orders)):
-            of = [i for i, o in enumerate(orders) if o == k]
+        for k in range(task * ORDERS, (task + 1) * ORDERS if texts else 0):
             mine, its = pickle.loads(spread.value)
             layers, rows = mine.flat(its)
-            steps, used = mine.train([texts[i] for i in of], np.array([labels[i] for i in of]), PASSES, its, seed=seed + task + 1000 * k)
+            steps, used = mine.train(texts, np.array(labels), PASSES, its, seed=seed + k)
             far, moved = mine.flat(its)
             moved -= rows
             out = [(-1, _pack(np.zeros(1), np.array([steps]), far - layers))]
@@ -319,10 +317,10 @@ def _round(dealt: DataFrame, net: Net, sums: dict, seed: int) -> None:
                 some = at[at // BLOCK == block]
                 out.append((block, _pack(some - block * BLOCK, used.ravel()[some], moved[some])))
             for block, raw in out:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task * ORDERS + k], pa.int64()), pa.array([raw], pa.binary())], ["block", "task", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([k], pa.int64()), pa.array([raw], pa.binary())], ["block", "task", "raw"])
 
     width = net.flat(sums)[0].size
-    made = arrow_stage(dealt.select("words", "label", "order"), run, "block int, task bigint, raw binary")
+    made = arrow_stage(dealt.select("words", "label"), run, "block int, task bigint, raw binary")
     got = _added(_added(made, ["block", "fan"], width), ["block"], width).toArrow()  # as many rows as the net has blocks
     layers, rows = np.zeros((1, width)), np.zeros((len(net.e) * BUCKETS, 2 * HALF), np.float32)
     for block, raw in zip(got.column("block").to_pylist(), got.column("raw").to_pylist(), strict=True):
@@ -386,8 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     else:
         # dealt by hash, not by place in the input; in a fixed order within a task
         tasks = max(1, -(-seen.bytes // TASK_BYTES))
-        orders = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1 if tasks == 1 else 0)))
-        dealt = train.select("key", "words", "label", orders.alias("order")).repartition(ORDERS if tasks == 1 else tasks, "order" if tasks == 1 else "key").sortWithinPartitions("order", "key", "label")
+        dealt = train.select("key", "words", "label").repartition(tasks, "key").sortWithinPartitions("key", "label")
         for k in range(ROUNDS):
             # what moved before: the texts, then the rows of each round
             release(docs.sparkSession)

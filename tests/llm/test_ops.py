@@ -665,6 +665,40 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
         assert model.net.constant is None and late > 0.8 and plain < 0.2
 
 
+def test_toxicity_trains_alike_whatever_the_size(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    rows = [(k, g.integers(0, toxicity.BUCKETS, (int(g.integers(1, 9)), 1 + len(toxicity.HEADS))).astype(np.uint16).tobytes(), k % 2) for k in range(40)]
+    table = spark.createDataFrame(rows, "key bigint, words binary, label int")
+    for tasks in (1, 3):
+        dealt = table.repartition(tasks, "key").sortWithinPartitions("key", "label")
+        net, plain = toxicity.Net(), toxicity.Net()
+        sums = net.sums()
+        toxicity._round(dealt, net, sums, 9)
+        start, moves, weights, steps = plain.flat(plain.sums()), [], [], []
+        for part in dealt.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sort_array(F.collect_list(F.struct("key", "words", "label"))).alias("rows")).collect():
+            texts = [np.frombuffer(r.words, np.uint16).reshape(-1, 1 + len(toxicity.HEADS)) for r in part.rows]
+            for order in range(toxicity.ORDERS):
+                one = toxicity.Net()
+                its = one.sums()
+                n, used = one.train(texts, np.array([r.label for r in part.rows]), toxicity.PASSES, its, seed=9 + part.task * toxicity.ORDERS + order)
+                moves.append([x - y for x, y in zip(one.flat(its), start, strict=True)])
+                weights.append(used.ravel())
+                steps.append(n)
+        assert len(moves) == tasks * toxicity.ORDERS > tasks
+        layers = start[0] + np.average([m[0] for m in moves], axis=0, weights=steps)
+        rows_ = start[1] + np.sum([w[:, None] * m[1] for w, m in zip(weights, moves, strict=True)], axis=0) / np.maximum(np.sum(weights, axis=0), 1)[:, None]
+        got = net.flat(sums)
+        assert np.allclose(got[0], layers, atol=1e-4) and np.allclose(got[1], rows_, atol=1e-4)
+    # each text is dealt once, to one task or to many
+    seen = []
+    monkeypatch.setattr(toxicity, "_round", lambda dealt, *_: seen.append((dealt.rdd.getNumPartitions(), sorted(dealt.columns), dealt.count())))
+    docs = spark.createDataFrame([(i, f"word{i % 7} kind{i % 3}", "en", i % 2) for i in range(200)], "doc_id bigint, text string, lang string, toxic int")
+    for size in (toxicity.TASK_BYTES, 400):
+        monkeypatch.setattr(toxicity, "TASK_BYTES", size)
+        toxicity.fit(docs, docs)
+    assert seen[0][0] == 1 < seen[-1][0] and all(x[1:] == seen[0][1:] for x in seen)
+
+
 def test_toxicity_cuts(spark):
     """Cuts counted in Spark are those of the sorted list, also among equal scores."""
     g = np.random.default_rng(5)
