@@ -17,12 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..storage import fresh_path
 
+#: Groups that a stream deals its keys to, by hash.
+LANES = 1024
+
 
 @dataclass(frozen=True)
 class Accumulator:
@@ -164,39 +167,63 @@ def batch(events: DataFrame, machine: Machine, key: str, time: str = "ts", id_co
     return dealt.mapInPandas(run, f"key {type_}, shard int, {machine.output}")
 
 
-def stream(events: DataFrame, machine: Machine, key: str, time: str = "ts", id_col: str = "event_id", kind: str | None = None, delay: int = 0, shards: int = 1) -> DataFrame:
+def _texts(type_: str) -> tuple[Column, Column]:
+    """A key's column as a string, and back."""
+    if type_ in ("string", "tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp_ntz") or type_.startswith("decimal"):
+        return F.col("key").cast("string"), F.col("key").cast(type_)
+    if type_ == "timestamp":
+        return F.unix_micros("key").cast("string"), F.timestamp_micros(F.col("key").cast("bigint"))
+    if type_ in ("float", "double"):
+        return (F.col("key") + F.lit(0).cast(type_)).cast("string"), F.col("key").cast(type_)  # one zero
+    if type_ == "binary":
+        return F.base64("key"), F.unbase64("key")
+    raise ValueError(f"no stream is keyed by {type_}")
+
+
+def stream(events: DataFrame, machine: Machine, key: str, time: str = "ts", id_col: str = "event_id", kind: str | None = None, delay: int = 0, shards: int = 1, lanes: int = LANES) -> DataFrame:
     """The same over a stream, to be written in append mode.
 
-    The state of a key is the machine's and the rows that the watermark has not passed yet.
+    The state of a key is the machine's and the rows that the watermark has not passed yet.  A call of
+    Python costs milliseconds whatever it holds, so keys share a lane: its state is one of Spark's, its
+    keys do not meet.  More keys want more lanes; a checkpoint keeps the number it was made with.
     """
     rows = _rows(events, key, time, id_col, kind, shards).withWatermark("ts", f"{delay} milliseconds")
     type_ = rows.schema["key"].dataType.simpleString()
     names = ["key", "shard", *[c.split()[0] for c in machine.output.split(", ")]]
+    text, back = _texts(type_)
 
-    def advance(mine: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state, waiting = (json.loads(x) for x in group.get) if group.exists else (machine.start(), [])
+    def advance(_: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(k, shard): (state, waiting) for k, shard, state, waiting in json.loads(group.get[0])} if group.exists else {}
         if not group.hasTimedOut:
             for df in parts:
-                waiting += [[int(r.at), int(r.row_id), r.kind] for r in df.itertuples(index=False)]
-        waiting.sort(key=lambda r: (r[0], r[1]))
-        mark, out, done = group.getCurrentWatermarkMs(), [], 0
-        for at, row_id, what in waiting:
-            if at >= mark:
-                break
-            out += _until(machine, state, at)
-            out += machine.take(state, at, row_id, what)
-            done += 1
-        waiting = waiting[done:]
-        out += _until(machine, state, mark - 1)
-        group.update((json.dumps(state), json.dumps(waiting)))
-        wake = [t for t in (state["due"], waiting[0][0] if waiting else None) if t is not None]
+                for k, shard, *row in zip(*[df[c].tolist() for c in ("key", "shard", "at", "row_id", "kind")], strict=True):
+                    if (k, shard) not in held:
+                        held[k, shard] = (machine.start(), [])
+                    held[k, shard][1].append(row)
+        mark, out, kept, wake = group.getCurrentWatermarkMs(), [], [], []
+        for mine, (state, waiting) in held.items():
+            waiting.sort(key=lambda r: (r[0], r[1]))
+            made, done = [], 0
+            for at, row_id, what in waiting:
+                if at >= mark:
+                    break
+                made += _until(machine, state, at)
+                made += machine.take(state, at, row_id, what)
+                done += 1
+            made += _until(machine, state, mark - 1)
+            out += [(*mine, *row) for row in made]
+            kept.append((*mine, state, waiting[done:]))
+            wake += [t for t in (state["due"], waiting[done][0] if done < len(waiting) else None) if t is not None]
+        group.update((json.dumps(kept),))
         if wake:
             group.setTimeoutTimestamp(max(min(wake), mark) + 1)
         if out:
-            yield pd.DataFrame([(*mine, *row) for row in out], columns=names)
+            yield pd.DataFrame(out, columns=names)
 
-    out = f"key {type_}, shard int, {machine.output}"
-    return rows.groupBy("key", "shard").applyInPandasWithState(advance, out, "state string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    lane = F.pmod(F.xxhash64("key", "shard"), F.lit(lanes)).cast("int")
+    dealt = rows.withColumn("key", text).withColumn("lane", lane)
+    made = dealt.groupBy("lane").applyInPandasWithState(advance, f"key string, shard int, {machine.output}", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return made.withColumn("key", back)
 
 
 def follow(df: DataFrame, folder: str, checkpoint: str, once: bool = True):

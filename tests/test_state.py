@@ -153,6 +153,26 @@ def test_accumulator(spark, size, timeout, least):
         assert mine == plain_batches([(t, k) for k, v, t, _ in rows if v == u], size, timeout, size // 2 if least is None else least, horizon)
 
 
+@pytest.mark.parametrize("type_", ["string", "bigint", "double", "timestamp", "binary", "decimal(20,2)"])
+def test_keys_of_a_stream_share_groups(spark, tmp_path, monkeypatch, type_):
+    """A lane holds many keys, of any plain type and null, and gives each its own rows."""
+    df, _ = events_of(spark, 3, keys=40)
+    number = F.substring("user", 2, 9).cast("bigint")
+    keys = {"binary": F.col("user").cast("binary"), "timestamp": F.timestamp_micros(number), "bigint": number}
+    df = df.withColumn("user", F.when(number > 0, keys.get(type_, F.col("user") if type_ == "string" else number / 4).cast(type_)))
+    df.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    used = []
+    real = machines.follow
+    monkeypatch.setattr(machines, "follow", lambda *a: used.append(real(*a)) or used[-1])
+    machine = machines.Accumulator(4, 300, 2)
+    streamed = machines.drained(s, machine, "user", lanes=3)
+    got, want = ([tuple(r) for r in x.collect()] for x in (streamed, machines.batch(df, machine, "user")))
+    order = lambda r: (str(r[0]), r[1:3])
+    assert sorted(got, key=order) == sorted(want, key=order) and streamed.schema["key"].dataType == df.schema["user"].dataType and len({r[0] for r in got}) == 40
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in used[0].recentProgress if p["stateOperators"]) <= 3
+
+
 @pytest.mark.parametrize("kind", ["accumulator", "quarantine"])
 def test_streams_equal_tables_after_restarts(spark, tmp_path, kind):
     """Rows come out of order in three runs from one checkpoint; shards too."""
