@@ -199,3 +199,12 @@ def test_names_are_reduced_before_calls_meet_them(spark):
     few = resolution.Facts(**{k: getattr(f, k) for k in ("calls", "imports", "bindings", "fields", "inheritance", "returns", "call_bindings")}, symbols=symbols.where("scope IN ('T1', 'T2')"))
     out = resolution.dynamic(few, few.of("ruby").where("call_id < 2")).collect()
     assert sorted((r.call_id, r.target, r.confidence, r.edge_kind) for r in out) == [(c, t, 0.25, "dynamic") for c in (0, 1) for t in ("T1#get", "T2#get")]
+
+
+def test_imports_are_reduced_before_calls_meet_them(spark):
+    """A call has the first import that binds its receiver; calls are not joined with all imports of their file, nor sorted."""
+    calls = spark.createDataFrame([(1, "a.js", "B"), (2, "a.js", "Z"), (3, "b.js", "B"), (4, "a.js", None)], "call_id bigint, rel_path string, receiver string")
+    imports = spark.createDataFrame([("javascript", "a.js", 2, "./late", ["B"]), ("javascript", "a.js", 1, "./early", ["A", "B"]), ("javascript", "a.js", 0, "./other", ["A"])], "language string, rel_path string, position int, import_text string, names array<string>")
+    got = resolution.first_keyed(calls, imports.withColumn("key", F.explode("names")), F.col("receiver"))
+    assert [(r.call_id, r.position, r.import_text, r.names) for r in got.collect()] == [(1, 1, "./early", ["A", "B"])]
+    assert "Window" not in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
