@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from skarn import ruby_fixture
+from skarn import queries, ruby_fixture
 from skarn.functions import text as T
 from skarn.operators import history, intervals, inverted, resolution, retrieval, stats
 
@@ -41,6 +42,37 @@ def test_innermost_makes_no_pairs(spark, monkeypatch):
     assert intervals.innermost(p, r.limit(0), "file", "line", ("a", "b"), "pid", "depth", "id").count() == 0
 
 
+@pytest.mark.parametrize(("bucket", "block"), [(256, 50_000), (16, 7), (64, 1)])
+def test_overlap_deals_busy_buckets(spark, bucket, block):
+    """Pairs are those of a plain loop, equal rows kept or counted once, whatever the buckets and blocks."""
+    g = random.Random(3)
+    hunks = [(g.choice("fffg"), a := g.randrange(-40, 300), a + g.choice([-1, 0, 3, 7, 70]), f"h{k % 70}") for k in range(90)] + [(None, 1, 2, "n"), ("f", None, 2, "n"), ("f", 5, 9, "same"), ("f", 5, 9, "same")]
+    ranges = [(f, a, b, i) for f, a, b, _, i in _ranges(4, 80)] + [(None, 1, 2, "n"), ("f", 3, None, "n"), ("f", 0, 300, "twice"), ("f", 0, 300, "twice")]
+    h, r = spark.createDataFrame(hunks, "file string, x int, y int, h string"), spark.createDataFrame(ranges, "file string, a int, b int, id string")
+    for distinct in (False, True):
+        once = (lambda rows: sorted(set(rows), key=str)) if distinct else list
+        want = sorted((hf, x, y, hid, a, b, i) for hf, x, y, hid in once(hunks) for f, a, b, i in once(ranges) if hf is not None and hf == f and None not in (x, y, a, b) and x <= y and a <= b and x <= b and y >= a)
+        met = intervals.overlap(h, r, "file", ("x", "y"), ("a", "b"), bucket, distinct=distinct, block=block)
+        assert met.columns == ["file", "x", "y", "h", "a", "b", "id"]
+        assert sorted(tuple(p) for p in met.collect()) == want and len(want) > 500
+    x, y = intervals._dealt(h.withColumn("_b", F.lit(0)), r.withColumn("_b", F.lit(0)), ["file", "_b"], 7)
+    for rows in (x, y):
+        assert rows.where("file = 'f'").groupBy("_pair").count().agg(F.max("count")).first()[0] < 25
+
+
+def test_hunk_overlap_moves_rows_once(spark, tmp_path):
+    """Each side is shuffled once, by its place; rows that are there twice count once."""
+    rows = [(k % 3 * 5000 + k % 2, k * 7 % 200, k * 11 % 100, k % 7 + 1) for k in range(60)]
+    spark.createDataFrame(rows + rows[:20], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    met = queries.hunk_overlap(spark, f"file://{tmp_path}")
+    dealt = [x for x in met._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange hashpartitioning(" in x]
+    assert sum("_pair" in x for x in dealt) == 2 and not any("hunk_id" in x or "chunk_id" in x for x in dealt)
+    h = {(f"{o}-{n}-{p}-{s}", o % 5000, s % 100, s % 100 + n) for o, p, s, n in rows}
+    r = {(o % 5000, p, p % 80, p % 80 + n * 9, n) for o, p, _, n in rows}
+    want = sorted((i, c, depth, a) for i, f, x, y in h for g, c, a, b, depth in r if f == g and x <= b and y >= a)
+    assert sorted(tuple(x) for x in met.collect()) == want and len(want) > 100
+
+
 def test_chunk_blame_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(history, "contained", _no_pairs, raising=False)
     g = random.Random(3)
